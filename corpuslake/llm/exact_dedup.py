@@ -53,8 +53,8 @@ class DigestIndex:
         (
             merged.sortWithinPartitions("digest")
             .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", "1000000")
             .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option("parquet.bloom.filter.max.bytes", "32768")
             .parquet(path)
         )
         self.runs.append((level, path))
