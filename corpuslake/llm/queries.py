@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm.exact_dedup import exact_groups
+from corpuslake.llm.near_dedup import near_duplicates
 from corpuslake.llm.substring_dedup import drop_repeated_windows
 
 
@@ -22,9 +23,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_windows(_table(spark, sf_dir, "documents"), size=20)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 ORACLES = {
