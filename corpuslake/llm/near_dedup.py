@@ -212,8 +212,8 @@ def _rest(docs: DataFrame, buckets: DataFrame, labels: DataFrame, done: DataFram
     cell = F.col("gram").bitwiseAND(F.lit(cells - 1))
     counted = sets.select(F.explode("grams").alias("gram")).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
     counts = np.zeros(cells, np.int64)
-    found = counted.toPandas()  # one row a cell: at most `cells`, whatever the input
-    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    found = counted.toArrow()  # one row a cell: at most `cells`, whatever the input
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     schema = "key long, rep long, n long, " + ", ".join(f"{c} long" for c in _bits("x"))
     rare = sets.mapInArrow(_rarest(percent, shared), schema)
