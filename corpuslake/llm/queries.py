@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.llm.chat import format_chats, read_back, text_parts
+from corpuslake.llm.decontamination import contaminations
 from corpuslake.llm.exact_dedup import exact_groups
+from corpuslake.llm.html_text import extract_text
+from corpuslake.llm.language import bucket, fit_languages, identify
 from corpuslake.llm.near_dedup import near_duplicates
+from corpuslake.llm.quality import fit_quality, score_quality
 from corpuslake.llm.substring_dedup import drop_repeated_windows
+from corpuslake.llm.url_filter import Rule, judge_urls
+
+#: The rules of op7: host, path, verdict.
+RULES = [
+    Rule("com", "/en/", "block"),
+    Rule("example.com", "/en/7", "allow"),
+    Rule("net", "/de/", "allow"),
+    Rule("example.net", "/de/8", "block"),
+    Rule("org", "/es/", "block"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket(F.col("doc_id"), 5) == 0
+    model = fit_quality(docs, _table(spark, sf_dir, "labels").filter(~held_out))
+    return score_quality(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -23,13 +45,56 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_windows(_table(spark, sf_dir, "documents"), size=20)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: how many items it contains, the smallest of them, the longest overlap."""
+    docs = _table(spark, sf_dir, "documents")
+    found = contaminations(docs, _table(spark, sf_dir, "benchmark"))
+    by_doc = found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("item_id"), F.max("overlap").alias("overlap"))
+    out = docs.select("doc_id").join(by_doc, "doc_id", "left")
+    return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), "item_id", "overlap")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = bucket(F.col("doc_id"), 4) == 2
+    model = fit_languages(docs.filter(~held_out))
+    return identify(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(own)
+    chats = read_back(format_chats(rows.withColumn("parts", text_parts(F.col("text"))).drop("text")))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return chats.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(lines).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        digest(F.col("loss_text")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
+    "op7_url_filter": op7_url_filter,
+    "op8_chat_format": op8_chat_format,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
@@ -50,4 +115,23 @@ ORACLES = {
         joined AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept_text, count(*) AS n FROM kept GROUP BY doc_id)
         SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
         FROM w LEFT JOIN joined USING (doc_id)""",
+    "op7_url_filter": """
+        WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+        r(rhost, rpath, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+        fit AS (SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
+                FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+        SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN fit USING (page_id)""",
+    "op8_chat_format": """
+        WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
+        e AS (SELECT *, length(text) + length(text) - length(replace(text, '\\', ''))
+                     + (length(text) - length(replace(text, '### ', ''))) // 4 + (length(text) - length(replace(text, ': ', ''))) // 2
+                     + (length(text) - length(replace(text, '</turn>', ''))) // 7 + (length(text) - length(replace(text, '<|', ''))) // 2 AS escaped FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(escaped + length(role) + 15)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
