@@ -12,6 +12,7 @@ from corpuslake.llm.html_text import extract_text
 from corpuslake.llm.language import bucket, fit_languages, identify
 from corpuslake.llm.near_dedup import near_duplicates
 from corpuslake.llm.quality import fit_quality, score_quality
+from corpuslake.llm.sentencepiece_lattice import PieceTable, decode, default_model, encode
 from corpuslake.llm.substring_dedup import drop_repeated_windows
 from corpuslake.llm.url_filter import Rule, judge_urls
 
@@ -86,6 +87,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids of every document, and whether they decode to its text again."""
+    table = PieceTable.read(default_model())
+    coded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), table), table)
+    return coded.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -96,6 +104,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_chat_format": op8_chat_format,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES = {
