@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corpuslake.plans import relational, text_search, views  # noqa: F401  (they register their queries)
+
+QUERIES = views.QUERIES
+ORACLES = views.ORACLES
