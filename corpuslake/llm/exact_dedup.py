@@ -122,4 +122,5 @@ def exact_groups(
 def drop_exact_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """``docs`` without the rows whose text another row keeps (columns unchanged)."""
     gone = exact_groups(docs, keep).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone"))
+    gone = written(gone, "copies")
     return without(docs, gone, docs["doc_id"] == gone["__gone"])

@@ -33,6 +33,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import xxhash
@@ -345,11 +346,11 @@ def decode(rows: DataFrame, table: PieceTable, ids: str = "ids") -> DataFrame:
     array = [spelling.get(i, b"") for i in range(max(spelling, default=0) + 1)]
 
     @F.pandas_udf("string")
-    def spell(column):
+    def spell(column: pd.Series) -> pd.Series:
         out = []
         for row in column:
             text = b"".join([array[i] for i in row]).decode("utf-8", "replace") if row is not None else ""
             out.append(text[1:] if text.startswith(" ") else text)
-        return column.__class__(out, dtype=object)
+        return pd.Series(out, dtype=object)
 
     return rows.withColumn("decoded", F.coalesce(spell(F.col(ids)), F.lit("")))
