@@ -33,7 +33,9 @@ def audit(classified: DataFrame, document: str) -> DataFrame:
 
 
 def reason_counts(classified: DataFrame) -> DataFrame:
-    return classified.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    # explode would infer a filter on the reasons, whose push-down computes all measures twice; explode_outer does not.
+    rows = classified.select(F.explode_outer("reasons").alias("reason")).filter("reason IS NOT NULL")
+    return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def worst(audited: DataFrame, document: str, top: int = 40) -> DataFrame:
