@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import sys
@@ -20,9 +21,9 @@ def ship(spark: SparkSession) -> SparkSession:
     on_path = str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if not on_path and sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
-        with tempfile.TemporaryDirectory() as folder:
-            archive = shutil.make_archive(f"{folder}/corpuslake", "zip", _ROOT, "corpuslake")
-            sc.addPyFile(archive)
+        folder = tempfile.mkdtemp(prefix="corpuslake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from the driver as they come
+        sc.addPyFile(shutil.make_archive(f"{folder}/corpuslake", "zip", _ROOT, "corpuslake"))
     return spark
 
 
