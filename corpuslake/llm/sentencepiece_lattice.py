@@ -1,8 +1,8 @@
 r"""SentencePiece encoding and decoding as a relational lattice.
 
-A text becomes ``_`` + text with every space as ``_`` (U+2581), and is cut into units: places
-where no piece of the table holds the two characters next to each other are never
-crossed by a piece. Each distinct unit of the corpus is encoded once:
+A text becomes ``_`` + text with every space as ``_`` (U+2581), and is cut into units, at places that
+no piece of the table crosses: before a space, around line ends, and before a sign that follows
+none of its kind in any piece. Each distinct unit of the corpus is encoded once:
 
 1. its substrings up to the longest piece's length are exploded and equi-joined with
    the piece table (a table of fixed size, which is broadcast): the edges of the lattice;
@@ -13,27 +13,27 @@ crossed by a piece. Each distinct unit of the corpus is encoded once:
    pieces are the bits of a long.
 
 Characters without piece become the pieces of their UTF-8 bytes. Documents look their units
-up in the encoded vocabulary: at most ``vocabulary`` units, the most frequent ones, are
-broadcast after they were counted; the units beyond it are joined by the documents that hold them.
+up in the encoded vocabulary by hash: at most ``vocabulary`` units, the most frequent ones, are
+broadcast after they were counted (about 30 bytes each); the units beyond it are joined by the documents that hold them.
 Units of over 60 characters, which the bits of a long can't hold, are folded by the same
-rule in a Python helper.
+rule in a Python helper where they occur.
 
-Decoding maps ids to the bytes of their pieces and removes the leading space.
+Decoding maps ids to the bytes of their pieces and removes the leading space; it stays in the JVM.
 
 Nulls and odd input: null and empty texts have no ids and decode to the empty text. U+2581 in a text is
 read as a space, as the format has no other. Repeated rows are encoded alike. An empty table gives an empty result. Other columns pass through;
-``ids`` and ``n_tokens`` are replaced.
+``ids``, ``n_tokens`` and ``decoded`` are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import xxhash
@@ -49,8 +49,8 @@ SPACE = "▁"
 LONGEST = 60
 #: Characters below this code are looked up in an array.
 _BASIC = 1 << 16
-#: Distinct chunks that a task counts or remembers before it starts again.
-_CHUNKS = 200_000
+#: Distinct units that a task counts or remembers before it starts again.
+_UNITS = 150_000
 
 
 def default_model() -> str:
@@ -59,6 +59,21 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _cuts(pairs: set[str]) -> str:
+    """A pattern of the units, from all neighbours within pieces: never is one cut apart."""
+    if any(y == SPACE != x for x, y in pairs):
+        raise ValueError("a piece holds a space after another sign")
+    signs = {c for pair in pairs for c in pair if not c.isalnum()} - {SPACE}
+    while held := {y for x, y in pairs if y in signs and x not in signs and x != SPACE}:
+        signs -= held
+    signs.discard("\n")
+    line = "\n" if not any("\n" in pair for pair in pairs) else ""
+    sign = "".join(map(re.escape, sorted(signs)))
+    plain = f"[^{SPACE}{line}{sign}]"
+    rest = f"|{SPACE}*[{sign}]+{plain}*" if sign else ""
+    return f"{SPACE}*{plain}+{rest}|{SPACE}+" + (f"|{line}" if line else "")
+
+
 class PieceTable:
     """(id, piece, score) of the normal pieces, the byte pieces, and where texts may be cut."""
 
@@ -66,9 +81,7 @@ class PieceTable:
         self.rows, self.byte_ids, self.kind, self.unknown = rows, byte_ids, kind, unknown
         self.index = {p: (i, s) for i, p, s in rows}
         self.longest = max((len(p) for _, p, _ in rows), default=1)
-        self.pairs = {p[i : i + 2] for _, p, _ in rows for i in range(len(p) - 1)}
-        line = "\n" if not any("\n" in x for x in self.pairs) else ""
-        self.chunks = re.compile(f"{line}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if line else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.units = re.compile(_cuts({p[i : i + 2] for _, p, _ in rows for i in range(len(p) - 1)})).findall
 
     @classmethod
     def read(cls, path: str, kind: str = "bpe") -> PieceTable:
@@ -81,18 +94,20 @@ class PieceTable:
                 rows.append((i, sp.id_to_piece(i), sp.get_score(i)))
         return cls(rows, byte_ids, kind, sp.unk_id())
 
-    def units(self, chunk: str) -> list[str]:
-        cut = [i + 1 for i in range(len(chunk) - 1) if chunk[i : i + 2] not in self.pairs]
-        return [chunk[a:b] for a, b in zip([0, *cut], [*cut, len(chunk)], strict=True)]
-
-    def chunked(self, text: str | None) -> list[str]:
-        return self.chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    def cut(self, text: str | None) -> list[str]:
+        """The units of a text in order."""
+        return self.units(SPACE + text.replace(" ", SPACE)) if text else []
 
     def fallback(self, text: str) -> list[int]:
         return [self.byte_ids.get(b, self.unknown) for b in text.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
+    def ordered(self) -> list[tuple[int, str, float]]:
+        """The rows from the best score on."""
+        return sorted(self.rows, key=lambda r: (-r[2], r[0]))
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "id int, piece string, score double")
+        """(piece, place): the pieces with their places in that order."""
+        return spark.createDataFrame([(p, k) for k, (_, p, _) in enumerate(self.ordered())], "piece string, place long")
 
     def bytes_of(self) -> dict[int, bytes]:
         out = {i: p.replace(SPACE, " ").encode() for i, p, _ in self.rows}
@@ -104,17 +119,14 @@ def _count_units(table: PieceTable):
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            units: Counter = Counter()
-            for chunk, n in seen.items():
-                for unit in table.units(chunk):
-                    units[unit] += n
+            found = [(u, n) for u, n in seen.items() if len(u) <= LONGEST]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["unit", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["unit", "n"])
 
         for part in row_slices(batches):
             for text in part.column("text").to_pylist():
-                seen.update(table.chunked(text))
-            if len(seen) >= 2 * _CHUNKS:
+                seen.update(table.cut(text))
+            if len(seen) >= 2 * _UNITS:
                 yield flush()
         if seen:
             yield flush()
@@ -126,64 +138,98 @@ def _bit(place: str) -> str:
     return f"shiftleft(1L, {place})"
 
 
-#: The bounds that are left when no edge joins two neighbours any more.
-_MERGES = """aggregate(sequence(1, length(unit)), shiftleft(1L, length(unit) + 1) - 1, (bounds, step) ->
-  bounds & ~coalesce(get(filter(edges, e -> (bounds & e.ends) = e.ends AND bit_count(bounds & e.inner) = 1), 0).inner, 0L))"""
+#: The bounds that are left when no edge joins two neighbours any more. Edges that a merge
+#: has crossed or completed are dropped at each step.
+_MERGES = """aggregate(sequence(1, length(unit)), named_struct('bounds', shiftleft(1L, length(unit) + 1) - 1, 'live', edges), (s, step) ->
+  get(transform(array(filter(s.live, e -> (s.bounds & e.ends) = e.ends AND (s.bounds & e.inner) != 0L)), live -> named_struct(
+    'bounds', s.bounds & ~coalesce(get(filter(live, e -> bit_count(s.bounds & e.inner) = 1), 0).inner, 0L), 'live', live)), 0),
+  s -> s.bounds)"""
 
 #: For each position the best score and where its last piece starts; then the path back as bounds.
 _VITERBI = """aggregate(sequence(1, length(unit)), array(struct(0D AS score, 0 AS start)), (best, j) ->
     concat(best, array(array_max(concat(
       array(struct(best[j - 1].score + {unknown}D AS score, j - 1 AS start)),
-      transform(filter(edges, e -> e.stop = j), e -> struct(best[e.start].score - e.rank AS score, e.start AS start)))))),
+      transform(filter(edges, e -> e.stop = j), e -> struct(best[e.start].score + scores[e.place] AS score, e.start AS start)))))),
   best -> aggregate(sequence(1, length(unit)), struct(shiftleft(1L, length(unit)) AS bounds, length(unit) AS at), (s, step) ->
     IF(s.at = 0, s, struct(s.bounds | shiftleft(1L, best[s.at].start) AS bounds, best[s.at].start AS at)), s -> s.bounds))"""
 
 
+def _reach(table: PieceTable) -> list[int]:
+    """By Spark's hash of a text's first three characters, the length of the longest piece that begins so (2 is assumed anywhere)."""
+    out = [0] * _BASIC
+    for _, p, _ in table.rows:
+        place = _hash32(p[:3].encode("utf-8", "replace")) % _BASIC
+        out[place] = max(out[place], len(p))
+    return out
+
+
+def _hash32(data: bytes) -> int:
+    """Spark's ``hash`` of a string (Murmur3 with seed 42, odd bytes one by one), as a signed number."""
+    mask, h = 0xFFFFFFFF, 42
+    whole = len(data) // 4 * 4
+    words = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)]
+    for k in [*words, *(b - 256 if b > 127 else b for b in data[whole:])]:
+        k = k * 0xCC9E2D51 & mask
+        k = (k << 15 | k >> 17) & mask
+        h ^= k * 0x1B873593 & mask
+        h = (h << 13 | h >> 19) & mask
+        h = (h * 5 + 0xE6546B64) & mask
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
 def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
-    """``units`` (column unit, distinct) with ids."""
+    """``units`` (column unit, distinct, of at most 60 characters) with ids."""
     spark = units.sparkSession
     pieces = F.broadcast(table.frame(spark))
     other = [c for c in units.columns if c != "unit"]
-    size, start = F.length("unit"), F.col("start")
-    short = units.filter(size <= LONGEST)
-    lattice = short.select("unit", *other, F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    lattice = lattice.select("*", F.explode(F.sequence(start + 1, F.least(size, start + table.longest))).alias("stop"))
-    lattice = lattice.withColumn("piece", F.substr("unit", start + 1, F.col("stop") - start))
-    # Single characters of the basic plane are looked up by their code; one row keeps a unit without edge.
-    keep = (F.col("stop") - start > 1) | ((start == 0) & (F.col("stop") == 1)) | (F.ascii("piece") >= _BASIC)
+    size, start, stop = F.length("unit"), F.col("start"), F.col("stop")
+    lattice = units.select("unit", *other, F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    # How far pieces reach that begin like the text here; single characters of a BPE table are looked up by their code.
+    begin = F.pmod(F.hash(F.substr("unit", start + 1, F.lit(3))), F.lit(_BASIC))
+    reach = F.greatest(F.element_at(F.from_json(F.lit(str(_reach(table))), "array<int>"), begin + 1), F.lit(2))
+    one = (start == 0) | (F.ascii(F.substr("unit", start + 1, F.lit(1))) >= _BASIC)  # one row keeps a unit without edge
+    first = F.when(one, start + 1).otherwise(start + (2 if table.kind == "bpe" else 1))
+    last = F.least(size, start + reach)
+    lattice = lattice.filter(first <= last).select("*", F.explode(F.sequence(first, last)).alias("stop"))
+    lattice = lattice.withColumn("piece", F.substr("unit", start + 1, stop - start))
+    lattice = lattice.join(pieces, "piece", "left").filter("place IS NOT NULL OR (start = 0 AND stop = 1)")
+    # An edge is one long: the place of its piece in the table's order, where it starts and where it stops.
+    packed = F.collect_list(F.col("place") * 4096 + start * 64 + stop)  # null places are left out
+    grouped = lattice.groupBy("unit", *other).agg(F.sort_array(packed).alias("packed"))
+    start_bit, stop_bit = "shiftleft(1L, CAST(shiftright(e, 6) & 63L AS INT))", "shiftleft(1L, CAST(e & 63L AS INT))"
     if table.kind == "bpe":
-        lattice = lattice.filter(keep)
-    lattice = lattice.join(pieces, "piece", "left").filter("id IS NOT NULL OR (start = 0 AND stop = 1)")
-    edge = F.expr(
-        f"""struct(-score AS rank, start, stop, id, {_bit('start')} | {_bit('stop')} AS ends,
-                   ({_bit('stop')} - 1) & ~({_bit('start + 1')} - 1) AS inner)"""
-    )
-    grouped = lattice.groupBy("unit", *other).agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
-    least = min((s for _, _, s in table.rows), default=0.0)
-    fold = _MERGES if table.kind == "bpe" else _VITERBI.format(unknown=least - 10.0)
+        unpacked = f"struct(e AS packed, {start_bit} | {stop_bit} AS ends, {stop_bit} - 2L * {start_bit} AS inner)"
+    else:
+        unpacked = "struct(e AS packed, CAST(shiftright(e, 12) AS INT) AS place, CAST(shiftright(e, 6) & 63L AS INT) AS start, CAST(e & 63L AS INT) AS stop)"
+    grouped = grouped.withColumn("edges", F.expr(f"transform(packed, e -> {unpacked})"))
+    order = table.ordered()
+    constant = lambda values, kind: F.from_json(F.lit(str(values)), f"array<{kind}>")
     single = [-1] * _BASIC
-    for i, p, score in table.rows:
+    for i, p, _ in table.rows:
         if len(p) == 1 and ord(p) < _BASIC:
             single[ord(p)] = i
-    grouped = grouped.withColumn("single", F.from_json(F.lit(str(single)), "array<int>"))
+    grouped = grouped.withColumns({"single": constant(single, "int"), "piece_ids": constant([i for i, _, _ in order], "int")})
+    fold = _MERGES
+    if table.kind != "bpe":
+        grouped = grouped.withColumn("scores", constant([x for _, _, x in order], "double"))
+        fold = _VITERBI.format(unknown=min((x for _, _, x in order), default=0.0) - 10.0)
     code = "ascii(substr(unit, places[k] + 1, 1))"
     found = f"""IF(places[k + 1] - places[k] = 1 AND {code} < {_BASIC}, nullif(single[{code}], -1),
-                   get(filter(edges, e -> e.start = places[k] AND e.stop = places[k + 1]), 0).id)"""
+                   piece_ids[CAST(shiftright(get(filter(kept, e -> (e & 4095L) = places[k] * 64 + places[k + 1]), 0), 12) AS INT)])"""
     spelled = f"array({table.unknown})"
     if table.byte_ids:
         codes = ", ".join(str(table.byte_ids.get(b, table.unknown)) for b in range(256))
         raw = "hex(encode(substr(unit, places[k] + 1, 1), 'UTF-8'))"
         spelled = f"transform(sequence(1, length({raw}), 2), b -> element_at(array({codes}), CAST(conv(substr({raw}, b, 2), 16, 10) AS INT) + 1))"
-    ids = f"""get(transform(array({fold}), bounds -> get(transform(array(filter(sequence(0, length(unit)), p -> getbit(bounds, p) = 1)), places ->
-        flatten(transform(sequence(0, size(places) - 2), k -> get(transform(array({found}), id -> IF(id IS NOT NULL, array(id), {spelled})), 0)))), 0)), 0)"""
-    out = grouped.select("unit", *other, F.expr(ids).alias("ids"))  # arrays of one element name a value, so that each fold runs once a unit
-
-    @F.udf("array<int>")
-    def long_unit(unit: str) -> list[int]:
-        return merge(unit, table)
-
-    rest = units.filter(F.length("unit") > LONGEST).select("unit", *other, long_unit("unit").alias("ids"))
-    return out.unionByName(rest)
+    # Of the edges only those between neighbouring bounds are looked at again.
+    own = "getbit(bounds, CAST(shiftright(e, 6) & 63L AS INT)) = 1 AND getbit(bounds, CAST(e & 63L AS INT)) = 1"
+    ids = f"""get(transform(array({fold}), bounds -> get(transform(array(filter(packed, e -> {own})), kept -> get(transform(array(filter(sequence(0, length(unit)), p -> getbit(bounds, p) = 1)), places ->
+        flatten(transform(sequence(0, size(places) - 2), k -> get(transform(array({found}), id -> IF(id IS NOT NULL, array(id), {spelled})), 0)))), 0)), 0)), 0)"""
+    return grouped.select("unit", *other, F.expr(ids).alias("ids"))  # arrays of one element name a value, so that each fold runs once a unit
 
 
 def merge(unit: str, table: PieceTable) -> list[int]:
@@ -233,11 +279,15 @@ def merge(unit: str, table: PieceTable) -> list[int]:
     return out
 
 
+def unit_hash(unit: str) -> int:
+    """Spark's ``xxhash64`` of the unit."""
+    return xxhash.xxh64_intdigest(unit.encode("utf-8", "replace"), 42)
+
+
 class Vocabulary:
     """Encoded units in three flat arrays: sorted hashes, offsets, ids."""
 
-    def __init__(self, units: list[str], ids: pa.ListArray):
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(u) for u in units), np.uint64, len(units))
+    def __init__(self, hashes: np.ndarray, ids: pa.ListArray):
         order = np.argsort(hashes, kind="stable")
         flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype(np.uint32), ids.offsets.to_numpy().astype(np.int64)
         sizes = np.diff(offsets)[order]
@@ -245,26 +295,28 @@ class Vocabulary:
         at = np.repeat(offsets[:-1][order] - (ends - sizes), sizes) + np.arange(sizes.sum())
         self.hashes, self.offsets, self.ids = hashes[order], np.concatenate([[0], ends]).astype(np.uint32), flat[at]
 
-    def get(self, unit: str) -> np.ndarray | None:
-        h = np.uint64(xxhash.xxh3_64_intdigest(unit))
-        i = int(self.hashes.searchsorted(h))
-        if i < len(self.hashes) and self.hashes[i] == h:
-            return self.ids[self.offsets[i] : self.offsets[i + 1]]
-        return None
+    def find(self, units: list[str]) -> list[bytes | None]:
+        """The ids of each unit as 32-bit numbers; None where it is not held."""
+        wanted = np.fromiter(map(unit_hash, units), np.uint64, len(units))
+        if not len(self.hashes):
+            return [None] * len(units)
+        at = np.minimum(self.hashes.searchsorted(wanted), len(self.hashes) - 1)
+        there = (self.hashes[at] == wanted).tolist()
+        first, last = self.offsets[at].tolist(), self.offsets[at + 1].tolist()
+        return [self.ids[a:b].tobytes() if ok else None for ok, a, b in zip(there, first, last, strict=True)]
 
 
 def _unknown_units(table: PieceTable, shared):
     """(key, unit) of the units that the broadcast part of the vocabulary lacks, once for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
         for part in row_slices(batches):
             keys, units = [], []
             for key, text in zip(*(part.column(c).to_pylist() for c in ("key", "text")), strict=True):
-                for unit in {u for c in set(table.chunked(text)) for u in table.units(c)}:
-                    if vocabulary.get(unit) is None:
-                        keys.append(key)
-                        units.append(unit)
+                own = [u for u in set(table.cut(text)) if len(u) <= LONGEST]
+                lacking = [u for u, ids in zip(own, shared.value.find(own), strict=True) if ids is None]
+                keys += [key] * len(lacking)
+                units += lacking
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(units, pa.string())], names=["key", "unit"])
 
@@ -272,40 +324,41 @@ def _unknown_units(table: PieceTable, shared):
 
 
 def _encode_texts(table: PieceTable, shared, schema: pa.Schema, beyond: bool):
+    names = [n for n in schema.names if n not in ("ids", "n_tokens")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known = shared.value, {}
         for part in row_slices(batches):
-            columns = [part.column(n) for n in schema.names if n not in ("ids", "n_tokens")]
+            cut = [table.cut(t) for t in part.column("text").to_pylist()]
+            new = list({u for units in cut for u in units if u not in known})
+            if len(known) + len(new) > 2 * _UNITS:
+                known.clear()
+                new = list({u for units in cut for u in units})
+            lacking = set()
+            for unit, ids in zip(new, vocabulary.find(new), strict=True):
+                if len(unit) > LONGEST:
+                    known[unit] = np.array(merge(unit, table), np.uint32).tobytes()
+                elif ids is not None:
+                    known[unit] = ids
+                else:
+                    lacking.add(unit)
             extra = part.column("extra").to_pylist() if beyond else [None] * part.num_rows
-            out, sizes = [], []
-            for text, own in zip(part.column("text").to_pylist(), extra, strict=True):
-                own = {e["unit"]: np.array(e["ids"], np.uint32).tobytes() for e in own} if own else {}
-                ids = []
-                for chunk in table.chunked(text):
-                    found = known.get(chunk)
-                    if found is None:
-                        ok, parts = True, []
-                        for unit in table.units(chunk):
-                            a = vocabulary.get(unit)
-                            ok &= a is not None
-                            parts.append(own[unit] if a is None else a.tobytes())
-                        found = b"".join(parts)
-                        if ok:
-                            if len(known) >= _CHUNKS:
-                                known.clear()
-                            known[chunk] = found
-                    ids.append(found)
-                flat = np.frombuffer(b"".join(ids), np.uint32)
-                out.append(flat)
-                sizes.append(len(flat))
+            out = []
+            for units, own in zip(cut, extra, strict=True):
+                if own:
+                    own = {e["unit"]: np.array(e["ids"], np.uint32).tobytes() for e in own}
+                    out.append(b"".join([own[u] if u in lacking else known[u] for u in units]))
+                else:
+                    out.append(b"".join(map(known.__getitem__, units)))
+            sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(np.array(sizes, np.int64))], names=[*(n for n in schema.names if n not in ("ids", "n_tokens")), "ids", "n_tokens"])
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids, pa.array(sizes)], names=[*names, "ids", "n_tokens"])
 
     return run
 
 
-def encode(docs: DataFrame, table: PieceTable, vocabulary: int = 1 << 21) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, vocabulary: int = 2 << 20) -> DataFrame:
     """``docs`` (column text) with ids (array<int>) and n_tokens."""
     spark = docs.sparkSession
     docs = docs.drop("ids", "n_tokens")
@@ -323,10 +376,10 @@ def encode(docs: DataFrame, table: PieceTable, vocabulary: int = 1 << 21) -> Dat
                 bound = row["n"]
                 break
         often = units.filter(F.col("n") > bound)
-    got = often.select("unit", "ids").toArrow().combine_chunks()  # at most `vocabulary` rows
-    ids = got["ids"].combine_chunks() if total else pa.array([], pa.list_(pa.int32()))
+    got = often.select(F.xxhash64("unit").alias("hash"), "ids").toArrow().combine_chunks()  # at most `vocabulary` rows
+    ids = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     ids = ids if isinstance(ids, pa.ListArray) else ids.cast(pa.list_(pa.int32()))
-    shared = spark.sparkContext.broadcast(Vocabulary(got["unit"].to_pylist(), ids))
+    shared = spark.sparkContext.broadcast(Vocabulary(got["hash"].to_numpy().view(np.uint64), ids))
     del got, ids
 
     beyond = total > vocabulary
@@ -343,14 +396,9 @@ def encode(docs: DataFrame, table: PieceTable, vocabulary: int = 1 << 21) -> Dat
 def decode(rows: DataFrame, table: PieceTable, ids: str = "ids") -> DataFrame:
     """``rows`` with decoded, the text of the ids."""
     spelling = table.bytes_of()
-    array = [spelling.get(i, b"") for i in range(max(spelling, default=0) + 1)]
-
-    @F.pandas_udf("string")
-    def spell(column: pd.Series) -> pd.Series:
-        out = []
-        for row in column:
-            text = b"".join([array[i] for i in row]).decode("utf-8", "replace") if row is not None else ""
-            out.append(text[1:] if text.startswith(" ") else text)
-        return pd.Series(out, dtype=object)
-
-    return rows.withColumn("decoded", F.coalesce(spell(F.col(ids)), F.lit("")))
+    hexes = [spelling.get(i, b"").hex() for i in range(max(spelling, default=0) + 1)]
+    spelled = F.transform(F.col(ids), lambda i: F.get(F.col("__hexes"), i))
+    raw = F.make_valid_utf8(F.unhex(F.array_join(spelled, "")).cast("string"))
+    text = F.when(raw.startswith(" "), F.substring(raw, 2, 2**31 - 1)).otherwise(raw)
+    held = rows.withColumn("__hexes", F.from_json(F.lit(json.dumps(hexes)), "array<string>"))
+    return held.withColumn("decoded", F.coalesce(text, F.lit(""))).drop("__hexes")
