@@ -42,7 +42,7 @@ def plan_of(df) -> str:
 
 
 #: Joins with one row of totals.
-ONE_ROW = {"agg_02_counts", "agg_14_reconciliation", "flagship_search", "rnk_01_bm25", "q_02_fuzzy_prefix"}
+ONE_ROW = {"agg_02_counts", "agg_14_reconciliation", "flagship_search", "rnk_01_bm25", "q_02_fuzzy_prefix", "snk_17_purge_report"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ONE_ROW))
