@@ -46,9 +46,11 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 4):
         self.spark, self.path, self.fan_in = spark, path or work_path(spark, "digests"), fan_in
         self.runs: list[tuple[int, str]] = []
+        self.written = 0
 
     def _write(self, entries: DataFrame, level: int) -> None:
-        path = f"{self.path}/level={level}/run={len(self.runs)}"
+        path = f"{self.path}/level={level}/run={self.written}"
+        self.written += 1
         merged = entries.groupBy("digest").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
         (
             merged.sortWithinPartitions("digest")

@@ -69,21 +69,24 @@ def longest_overlap(a, b, shift, agree):
     return best
 
 
+def seed(tokens, at, mask):
+    return tuple(tokens[at + k] for k, bit in enumerate(mask) if bit == "1")
+
+
 def contaminated(docs, items, masks, least, agree):
     """{(doc_id, item_id): overlap} over all diagonals on which a seed agrees."""
-    out = {}
+    out, seeds = {}, {}
+    cut = [(i, tokens(other)) for i, other in items]
+    for k, (_, b) in enumerate(cut):
+        for mask in masks if len(b) >= len(masks[0]) else ("1" * len(b),) if b else ():
+            for y in range(len(b) - len(mask) + 1):
+                seeds.setdefault(mask, {}).setdefault(seed(b, y, mask), []).append((k, y))
     for d, text in docs:
         a = tokens(text)
-        for i, other in items:
-            b = tokens(other)
-            own = masks if len(b) >= len(masks[0]) else ("1" * len(b),) if b else ()
-            shifts = set()
-            for mask in own:
-                for x in range(len(a) - len(mask) + 1):
-                    for y in range(len(b) - len(mask) + 1):
-                        if x - y not in shifts and all(a[x + k] == b[y + k] for k, bit in enumerate(mask) if bit == "1"):
-                            shifts.add(x - y)
-            found = max((longest_overlap(a, b, s, agree) for s in shifts), default=0)
+        shifts = {(k, x - y) for mask, places in seeds.items() for x in range(len(a) - len(mask) + 1) for k, y in places.get(seed(a, x, mask), ())}
+        for k, shift in shifts:
+            i, b = cut[k]
+            found = longest_overlap(a, b, shift, agree)
             if found and found >= min(least, len(b)):
-                out[d, i] = found
+                out[d, i] = max(found, out.get((d, i), 0))
     return out
