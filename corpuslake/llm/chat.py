@@ -8,8 +8,10 @@ reference and the tokens its placeholder expands to. A turn is written as
     ### role: content </turn>\n
 
 Inside contents and roles a backslash is doubled and a control string gets a backslash before
-it, so that the output can be read back exactly, whatever the texts say. The loss spans
-are the places of assistant contents in the output.
+it, so that the output can be read back exactly, whatever the texts say. Neighbouring text parts are
+escaped as one. Reading looks for the mark that may come next and no other: the opening between turns,
+the ``: `` in a role, the closing in a content; so a content may end like the start of a control
+string (``:``, ``###``). The loss spans are the places of assistant contents in the output.
 
 Turns are dealt by conversation and sorted within the task, which reads them one by
 one; it holds one conversation at a time, the unit of the output.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,7 +41,8 @@ FORMATTED = "conv_id long, formatted string, n_turns long, loss_spans array<stru
 _OPEN, _MIDDLE, _CLOSE, _HOLD = "### ", ": ", " </turn>\n", "<|"
 _CONTROL = re.compile(r"\\|### |: |</turn>|<\|")
 _ESCAPED = re.compile(r"\\(\\|### |: |</turn>|<\|)")
-_SCAN = re.compile(r"\\(?:\\|### |: |</turn>|<\|)|(### )|(: )|( </turn>\n)")
+_ROLE_END = re.compile(r"\\(?:\\|### |: |</turn>|<\|)|(: )")
+_CONTENT_END = re.compile(r"\\(?:\\|### |: |</turn>|<\|)|( </turn>\n)")
 
 
 def escape(text: str) -> str:
@@ -62,9 +66,16 @@ class Flattener:
         self.patch, self.audio_rate, self.page = patch, audio_rate, page
         self.attachments: list[tuple[int, str, str | None, int]] = []
 
+    def content(self, parts) -> str:
+        """All parts; texts in a row are escaped together, as a control string may lie across two of them."""
+        groups = groupby(parts, lambda part: self._visitor(part) == self.visit_text)
+        return "".join(escape("".join(p["text"] or "" for p in own)) if texts else "".join(map(self.visit, own)) for texts, own in groups)
+
     def visit(self, part) -> str:
-        kind = (part["type"] or "text").lower()
-        return getattr(self, f"visit_{kind}", self.visit_text)(part)
+        return self._visitor(part)(part)
+
+    def _visitor(self, part):
+        return getattr(self, f"visit_{(part['type'] or 'text').lower()}", self.visit_text)
 
     def visit_text(self, part) -> str:
         return escape(part["text"] or "")
@@ -115,7 +126,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
                         out.append(done())
                     now, state = conv, {"text": [], "at": 0, "n": 0, "spans": [], "flat": Flattener()}
                 head = f"{_OPEN}{escape(role or '')}{_MIDDLE}"
-                body = "".join(state["flat"].visit(p) for p in (parts if parts is not None else []))
+                body = state["flat"].content(parts if parts is not None else [])
                 state["n"] += 1
                 if role == loss_role:
                     state["spans"].append((state["at"] + len(head), state["at"] + len(head) + len(body)))
@@ -136,15 +147,17 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """(role, escaped content) of each turn of a formatted conversation."""
-    out, at, role = [], 0, None
-    for m in _SCAN.finditer(formatted):
-        if m[1] and role is None:
-            at = m.end()
-        elif m[2] and role is None:
-            role, at = unescape(formatted[at : m.start()]), m.end()
-        elif m[3] and role is not None:
-            out.append((role, formatted[at : m.start()]))
-            role, at = None, m.end()
+    def end(mark: re.Pattern, at: int) -> re.Match | None:
+        return next((m for m in mark.finditer(formatted, at) if m[1]), None)
+
+    out, at = [], 0
+    while formatted.startswith(_OPEN, at):
+        middle = end(_ROLE_END, at + len(_OPEN))
+        close = middle and end(_CONTENT_END, middle.end())
+        if not close:
+            break
+        out.append((unescape(formatted[at + len(_OPEN) : middle.start()]), formatted[middle.end() : close.start()]))
+        at = close.end()
     return out
 
 

@@ -20,6 +20,25 @@ def test_any_text_is_read_back(turns):
     assert [(r, unescape(c)) for r, c in parse(text)] == turns
 
 
+EDGES = st.lists(st.sampled_from([":", "###", "##", "\\", "### ", ": ", "</turn>", " </turn>\n", "</tu", "rn>", "<", "|", " ", "a"]), max_size=8).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.tuples(EDGES, st.lists(EDGES, max_size=3)), max_size=4))
+def test_texts_that_end_like_a_mark_are_read_back(turns):
+    """Contents of several text parts, too: no control string forms where they meet."""
+    made = [(r, Flattener().content([{"type": "text", "text": t, "ref": None, "size": None} for t in texts])) for r, texts in turns]
+    text = "".join(f"### {escape(r)}: {c} </turn>\n" for r, c in made)
+    assert [(r, unescape(c)) for r, c in parse(text)] == [(r, "".join(texts)) for r, texts in turns]
+
+
+def test_turns_that_end_in_a_colon(spark):
+    rows = [(1, 1, "user", "Write this:"), (1, 2, "assistant", "yes"), (2, 1, "user", "###"), (2, 2, "assistant", "no:")]
+    got = plain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert [tuple(t) for t in got[1]["turns"]] == [("user", "Write this:"), ("assistant", "yes")] and got[1]["loss_text"] == "yes"
+    assert [tuple(t) for t in got[2]["turns"]] == [("user", "###"), ("assistant", "no:")] and got[2]["loss_text"] == "no:"
+
+
 def plain(rows):
     df = rows.withColumn("parts", text_parts(F.col("text"))).drop("text")
     return {r["conv_id"]: r for r in read_back(format_chats(df)).collect()}
