@@ -166,3 +166,15 @@ def test_windows_need_no_more_than_their_length(spark):
     rows = [(1, "a b c d e"), (2, "z b c d y"), (3, "b c d"), (3, "b c d")]
     got = drop_repeated_windows(spark.createDataFrame(rows[:3], SCHEMA), size=3, gram=2, with_text=True).collect()
     assert {r["doc_id"]: r["kept_text"] for r in got} == {1: "a b c d e", 2: "z y", 3: ""}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_rows_that_repeat_a_doc_id_are_one_document(spark, parts):
+    """Equal, different and shorter texts under one id, wherever the rows lie."""
+    rows = [(1, "a b c d e"), (2, "z b c d y"), (3, "b c d"), (3, "b c d"), (4, "q r s t u v w x q r s"), (4, "p"), (4, None), (5, "m n o"), (5, "k l p q r s t"), (6, "p")]
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t or "")
+    want = brute.kept_words([(i, " ".join(sorted(t))) for i, t in texts.items()], 3)
+    got = drop_repeated_windows(spark.createDataFrame(rows, SCHEMA).repartition(parts), size=3, gram=2, with_text=True).collect()
+    assert len(got) == len(want) and {r["doc_id"]: (r["n_words"], r["kept_text"].split()) for r in got} == want
