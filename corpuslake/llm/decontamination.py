@@ -11,8 +11,13 @@ least ``agree`` of the tokens match. A document is contaminated by an item when
 overlap covers ``least`` tokens, or the whole item if that is shorter.
 
 Documents are hashed whole, in a single pass; a passage in a third of all documents
-gives each of them its own hits and needs no group. Items shorter than the masks' span are found by
-a mask of all their tokens.
+gives each of them its own hits and needs no group.
+
+The masks lose nothing: ``complete`` proves for the limits of a call that each stretch which ``agree``
+and ``least`` accept contains a mask, of any length; limits for which the masks can't promise that are
+refused. Items under 13 tokens must be covered whole and have masks of their own, up to three tokens
+without any substitution, as ``agree`` = 0.7 demands. Masks of weight 3 and 4 also meet by chance:
+such hits are only compared in vain.
 
 Nulls and odd input: null and empty texts have no token and are clean; items without token
 find nothing. Repeated items and documents give repeated matches once each by id. Documents without
@@ -31,12 +36,54 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import WordHashes, gram_starts, mix, row_slices, without, written
 
-#: Fixed masks of span 12: 1 is compared, 0 ignored. A substitution every fourth token leaves one of them whole somewhere.
-MASKS = ("110110110111", "101101101101", "111000111011")
+#: 1 is compared, 0 ignored. Each stretch of 13 tokens or more of which 70 % match contains one of them (``complete``).
+MASKS = ("1100101", "1011100", "1110010", "1000111", "1111000")
+#: From this length on an item is found by MASKS.
+_LONG = 13
+#: The same for whole items of fewer tokens, by length.
+_SHORT = {n: ("1" * n,) for n in (1, 2, 3)} | {4: ("1101", "1011"), 5: ("11001", "10110")} | {n: ("110001", "100110", "101001") for n in range(6, _LONG)}
 _TOKEN = re.compile(r"\w+")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
+def complete(masks: tuple[str, ...], least: int, agree: float, exact: bool = False) -> bool:
+    """Whether one of ``masks`` (of one span) lies in every stretch of ``least`` tokens or more (``exact``: of ``least``)
+    whose ends match and in which at least ``agree`` of the tokens match.
+
+    A state is what the last span - 1 tokens did; the best gain (matches less agree * length) of a stretch that avoids
+    all masks is carried from state to state, until no longer stretch betters it.
+    """
+    span, up, down = len(masks[0]), round((1 - agree) * 1000), round(agree * 1000)
+    if any(m[0] != "1" for m in masks):
+        raise ValueError("masks must start with 1")
+    never, states = -(1 << 40), 1 << (span - 1)
+    seen = np.arange(1 << span)
+    hit = np.any([seen & int(m, 2) == int(m, 2) for m in masks], axis=0)
+    gain = np.where(hit, never, np.where(seen & 1, up, -down))
+
+    def longer(best: np.ndarray) -> np.ndarray:
+        whole = np.maximum(best[seen >> 1] + gain, never)  # the oldest token leaves the state
+        return np.maximum(whole[:states], whole[states:])
+
+    def ends_badly(best: np.ndarray) -> bool:
+        ends = best[1::2] if states > 1 else best
+        return bool(ends.max() >= 0)
+
+    best = np.full(states, never)
+    best[0] = 0  # mismatches before the stretch: no mask starts there
+    best = longer(best)
+    if states > 1:
+        best[::2] = never  # the first token matches
+    for _ in range(least - 1):
+        best = longer(best)
+    while not ends_badly(best):
+        more = np.maximum(best, longer(best))
+        if exact or (more == best).all():
+            return True
+        best = more
+    return False
+
+
 def _tokens(part: pa.RecordBatch, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     arrays = [cache.of([t.encode() for t in _TOKEN.findall((x or "").lower())]) for x in part.column("text").to_pylist()]
     lens = np.fromiter(map(len, arrays), np.int64, len(arrays))
@@ -44,16 +91,15 @@ def _tokens(part: pa.RecordBatch, cache: WordHashes) -> tuple[np.ndarray, np.nda
 
 
 def _seed_hashes(tokens: np.ndarray, index: np.ndarray, mask: str) -> np.ndarray:
-    h = np.full(len(index), np.uint64(len(mask)))
+    h = np.full(len(index), np.uint64(int(f"1{mask}", 2)))
     for offset, bit in enumerate(mask):
         if bit == "1":
             h = mix(h * _SEED + tokens[index + offset])
     return h
 
 
-def _item_rows(masks: tuple[str, ...]):
+def _item_rows(masks: tuple[str, ...], long: int):
     """(item_id, tokens, seeds: hash and place) of the benchmark items."""
-    span = len(masks[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -64,7 +110,7 @@ def _item_rows(masks: tuple[str, ...]):
                 for i, (at, n) in enumerate(zip(offsets.tolist(), lens.tolist(), strict=True)):
                     own = tokens[at : at + n]
                     seeds = []
-                    for mask in masks if n >= span else ("1" * n,) if n else ():
+                    for mask in masks if n >= long else _SHORT.get(n, ()):
                         starts = np.arange(n - len(mask) + 1)
                         seeds += list(zip(_seed_hashes(own, starts, mask).view(np.int64).tolist(), starts.tolist(), strict=True))
                     yield pa.RecordBatch.from_pydict(
@@ -163,10 +209,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 13, agree
     spark = docs.sparkSession
     if len({len(m) for m in masks}) != 1:
         raise ValueError("masks must have one span")
+    long = min(least, _LONG)
+    if not complete(masks, long, agree):
+        raise ValueError(f"masks miss overlaps of {long} tokens or more of which {agree} match: pass masks of lower weight")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id IS NOT NULL")
     seed = "array<struct<hash:long,at:int>>"
-    items = written(items.mapInArrow(_item_rows(masks), f"item_id long, item array<long>, seeds {seed}"), "items")
+    items = written(items.mapInArrow(_item_rows(masks, long), f"item_id long, item array<long>, seeds {seed}"), "items")
 
     size = 1 << bloom_bits
     bloom = np.zeros(size // 8, np.uint8)  # of one size, whatever the benchmark
@@ -184,10 +233,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 13, agree
     hashes = items.select(F.explode("seeds.hash").alias("hash")).distinct()
     merged = hashes.mapInArrow(parts, "place long, byte short").groupBy("place").agg(F.bit_or("byte").alias("byte")).toArrow()  # at most size / 8 rows
     bloom[merged["place"].to_numpy()] = merged["byte"].to_numpy().astype(np.uint8)
-    span = len(masks[0])
-    short = [r[0] for r in items.filter((F.size("item") < span) & (F.size("item") > 0)).select(F.size("item")).distinct().collect()]  # fewer than the span
+    short = [r[0] for r in items.filter((F.size("item") < long) & (F.size("item") > 0)).select(F.size("item")).distinct().collect()]  # fewer than 13
+    if not all(complete(_SHORT[n], n, agree, exact=True) for n in short):
+        raise ValueError(f"items of under {long} tokens of which {agree} match would be missed")
+    every = list(dict.fromkeys([*masks, *(m for n in sorted(short) for m in _SHORT[n])]))
     shared = spark.sparkContext.broadcast(bloom)
-    hit = docs.mapInArrow(_doc_rows([*masks, *("1" * n for n in sorted(short))], shared, size), f"doc_id long, tokens array<long>, seeds {seed}")
+    hit = docs.mapInArrow(_doc_rows(every, shared, size), f"doc_id long, tokens array<long>, seeds {seed}")
     hit = written(hit, "hits")
 
     there = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.hash").alias("hash"), F.col("s.at").alias("there"))

@@ -90,3 +90,16 @@ def contaminated(docs, items, masks, least, agree):
             if found and found >= min(least, len(b)):
                 out[d, i] = max(found, out.get((d, i), 0))
     return out
+
+
+def contaminated_on_any_diagonal(docs, items, least, agree):
+    """{(doc_id, item_id): overlap} over all diagonals, without masks."""
+    out = {}
+    for d, text in docs:
+        a = tokens(text)
+        for i, other in items:
+            b = tokens(other)
+            found = max((longest_overlap(a, b, shift, agree) for shift in range(1 - len(b), len(a))), default=0)
+            if found and found >= min(least, len(b)):
+                out[d, i] = found
+    return out

@@ -1,5 +1,6 @@
 """Html text, decontamination and SentencePiece against plain versions, round trips and odd input."""
 
+import itertools
 import random
 
 import brute
@@ -7,6 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from corpuslake.llm import decontamination
 from corpuslake.llm.decontamination import MASKS, contaminations, decontaminate
 from corpuslake.llm.html_text import extract_text, main_text
 from corpuslake.llm.sentencepiece_lattice import PieceTable, decode, default_model, encode, encode_units, merge
@@ -84,6 +86,43 @@ def test_decontaminate_keeps_clean_documents(spark):
         contaminations(table, benchmark, masks=("11", "101"))
 
 
+@pytest.mark.parametrize("n", range(1, 18))
+def test_masks_lie_in_every_overlap_that_is_accepted(n):
+    masks = MASKS if n >= 13 else decontamination._SHORT[n]
+    wrong = n - next(m for m in range(n + 1) if 10 * m >= 7 * n)
+    for gone in itertools.combinations(range(1, n - 1), wrong):
+        same = "".join("0" if i in gone else "1" for i in range(n))
+        assert any(all(same[at + k] == "1" for k, bit in enumerate(m) if bit == "1") for m in masks for at in range(n - len(m) + 1)), same
+    assert decontamination.complete(masks, n, 0.7, exact=True)
+
+
+def test_masks_are_proved_for_all_lengths():
+    assert decontamination.complete(MASKS, 13, 0.7)
+    assert not decontamination.complete(("110110110111", "101101101101", "111000111011"), 13, 0.7)
+    assert not decontamination.complete(("11011", "10111"), 13, 0.7)
+    assert not decontamination.complete(MASKS, 13, 0.5)
+
+
+def test_leaks_with_many_substitutions_equal_all_diagonals(spark):
+    draw = random.Random(12)
+    items = [(i, " ".join(f"i{i}w{k}" if k % 5 else f"c{draw.randrange(9)}" for k in range(n))) for i, n in enumerate((40, 24, 20, 16, 14, 13, 12, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1))]
+    docs = []
+    for d in range(170):
+        passage = items[d % len(items)][1].split()
+        if d >= 102:
+            passage[3::4] = ["changed"] * len(passage[3::4])
+        else:
+            for at in draw.sample(range(1, len(passage) - 1), len(passage) * 3 // 10) if len(passage) > 2 else ():
+                passage[at] = "changed"
+        own = [f"c{draw.randrange(9)}" if draw.random() < 0.2 else f"d{draw.randrange(500)}" for _ in range(draw.randrange(0, 30))]
+        at = draw.randrange(len(own) + 1)
+        docs.append((d, " ".join([*own[:at], *passage, *own[at:]])))
+    got = contaminations(spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute.contaminated_on_any_diagonal(docs, items, 13, 0.7)
+    assert {(r["doc_id"], r["item_id"]): r["overlap"] for r in got} == want and len(got) == len(want)
+    assert all((d, d % len(items)) in want for d in range(102))
+
+
 @pytest.fixture(scope="module")
 def table():
     return PieceTable.read(default_model())
