@@ -7,9 +7,14 @@ dictionary's share of the evidence the same at the end of a long text as at its
 start. The score is the margin, the share by which the smallest total lies below
 the next one; a document is rejected when its margin is below ``narrow`` or it has no letter.
 
-Fit: at most ``per_language`` labelled rows of each of at most ``languages`` languages,
-chosen by the hash of their id, and at most ``piece`` * 4 characters of each, so the
-model is bounded whatever the input. Prediction reads every whole text.
+Fit: at most ``per_language`` labelled rows of each language, chosen by the hash of their
+id, and at most ``piece`` * 4 characters of each, so the model is bounded by the number of
+languages. Prediction reads every whole text.
+
+A larger dictionary must not win by its size. Each language has the largest of a few sizes that its
+rows fill (the smallest, if none). All are compared at the smallest size first; where the best one has
+no longer dictionary it is the answer, otherwise those with longer ones are compared again at the
+next size. So a language with few rows is judged at its size and shortens no other's dictionary.
 
 Nulls and odd input: a null text or one without a letter is ``und`` with score 0 and
 is rejected. Equal totals go to the language with more labelled rows, then by name. Rows that repeat
@@ -28,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: Sizes at which dictionaries are compared; beyond the last one only the longest of a fit.
+_SIZES = tuple(k << 10 for k in (8, 16, 32, 64, 96))
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -43,15 +50,25 @@ class LanguageModel:
     def __init__(self, dictionaries: dict[str, bytes], levels: tuple[int, int] = (12, 6), short: int = 2000, piece: int = 1000):
         self.dictionaries, self.levels, self.short, self.piece = dictionaries, levels, short, piece
 
-    def encoders(self) -> list[list[zstandard.ZstdCompressor]]:
-        """For short texts, which need the finer search, and for the others."""
-        out = []
+    def rounds(self) -> list[tuple[int, list[int]]]:
+        """(dictionary size, places of the languages compared at it), from the smallest size on."""
+        lengths = [len(raw) for raw in self.dictionaries.values()]
+        sizes = sorted({*_SIZES, *[max(lengths)] * (max(lengths) > _SIZES[-1])}) if lengths else []
+        own = [max([s for s in sizes if s <= n], default=sizes[0]) for n in lengths]
+        return [(s, [i for i, o in enumerate(own) if o >= s]) for s in sorted(set(own))]
+
+    def encoders(self) -> list[list[dict[int, zstandard.ZstdCompressor]]]:
+        """For short texts, which need the finer search, and for the others: those of each round, by place of the language."""
+        out, raws = [], list(self.dictionaries.values())
         for level in self.levels:
             out.append([])
-            for raw in self.dictionaries.values():
-                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                out[-1].append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False))
+            for size, places in self.rounds():
+                made = {}
+                for i in places:
+                    d = zstandard.ZstdCompressionDict(raws[i][-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                    d.precompute_compress(level=level)
+                    made[i] = zstandard.ZstdCompressor(dict_data=d, write_content_size=False)
+                out[-1].append(made)
         return out
 
     def classify(self, text: str | None, encoders) -> tuple[str, float]:
@@ -60,9 +77,13 @@ class LanguageModel:
         raw = _letters(text).encode("utf-8", "replace")
         step = self.piece
         pieces = [raw[i : i + step] for i in range(0, len(raw), step)]
-        totals = [sum(len(e.compress(p)) for p in pieces) for e in encoders[len(raw) > self.short]]
-        best = min(range(len(totals)), key=totals.__getitem__)
-        rest = min((t for i, t in enumerate(totals) if i != best), default=totals[best] * 2)
+        rounds = encoders[len(raw) > self.short]
+        for made, longer in zip(rounds, [*rounds[1:], {}], strict=True):
+            totals = {i: sum(len(e.compress(p)) for p in pieces) for i, e in made.items()}
+            best = min(totals, key=totals.__getitem__)
+            if best not in longer:
+                break
+        rest = min((t for i, t in totals.items() if i != best), default=totals[best] * 2)
         return list(self.dictionaries)[best], (rest - totals[best]) / rest
 
     def udf(self) -> Callable[[Column], Column]:
@@ -76,22 +97,28 @@ class LanguageModel:
         return judge
 
 
-def fit_languages(labelled: DataFrame, per_language: int = 300, languages: int = 64, piece: int = 1000, dictionary: int = 96 << 10) -> LanguageModel:
-    """A model from rows with doc_id, text and lang (rows without text or lang teach nothing)."""
+def fit_languages(labelled: DataFrame, per_language: int = 300, languages: int | None = None, piece: int = 1000, dictionary: int = 96 << 10) -> LanguageModel:
+    """A model from rows with doc_id, text and lang (rows without text or lang teach nothing).
+
+    All languages are learned, or the ``languages`` most frequent ones if given.
+    """
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
+    most = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang")
+    if languages is not None:
+        most = most.limit(languages)
+    texts: dict[str, list[str]] = {r["lang"]: [] for r in most.collect()}  # one row for each language
+    if languages is not None:
+        labelled = labelled.filter(F.col("lang").isin(list(texts)))
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(turn)).filter(F.col("n") <= per_language)
-    most = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages).collect()
     ids = chosen.select("doc_id", "lang").distinct()  # bounded: per_language rows of each language
     parts = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", 1, piece * 4).alias("part"))
-    texts: dict[str, list[str]] = {r["lang"]: [] for r in most}
-    for r in sorted(parts.limit(per_language * languages).collect(), key=lambda r: (r["lang"], r["doc_id"], r["part"])):
-        if r["lang"] in texts:
-            texts[r["lang"]].append(_letters(r["part"]))
+    again = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "part")  # ids may repeat
+    parts = parts.withColumn("n", F.row_number().over(again)).filter(F.col("n") <= per_language)
+    for r in sorted(parts.collect(), key=lambda r: (r["lang"], r["doc_id"], r["part"])):
+        texts[r["lang"]].append(_letters(r["part"]))
     cut = {k: "".join(v).encode("utf-8", "replace") for k, v in texts.items() if v}
-    size = min([dictionary, *map(len, cut.values())])  # the same size for all: a larger dictionary must not win by its size
-    size = max(size, min(dictionary, 8 << 10))
-    return LanguageModel({k: v[-size:] for k, v in cut.items()}, piece=piece)
+    return LanguageModel({k: v[-dictionary:] for k, v in cut.items()}, piece=piece)
 
 
 def identify(docs: DataFrame, model: LanguageModel, narrow: float = 0.001) -> DataFrame:

@@ -1,5 +1,6 @@
 """Quality and language models: held-out accuracy, the identity of the machine, odd input."""
 
+import random
 import itertools
 
 import numpy as np
@@ -83,3 +84,38 @@ def test_a_narrow_margin_is_rejected(spark):
     same = LanguageModel({"aa": b"the same words in both", "bb": b"the same words in both"})
     row = identify(spark.createDataFrame([(1, "the same words")], "doc_id long, text string"), same).first()
     assert row["lang_pred"] == "aa" and row["score"] == 0 and row["rejected"]
+
+
+def made_up(lang, n, seed):
+    """Words of a vocabulary of the language's own."""
+    own, draw = random.Random(lang), random.Random(f"{lang}{seed}")
+    words = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(own.randrange(2, 9))) for _ in range(40)]
+    return " ".join(draw.choice(words) for _ in range(n))
+
+
+def test_every_language_is_learned(spark):
+    """More than 64 languages of 2 to 3 rows each, and two with more."""
+    names = [f"l{i:02}" for i in range(70)]
+    rows = [(k * 100 + i, made_up(lang, 150, k), lang) for k in range(3) for i, lang in enumerate(names) if k < 2 or i < 2]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    assert sorted(model.dictionaries) == names
+    held = spark.createDataFrame([(i, made_up(lang, 60, "held"), lang) for i, lang in enumerate(names)], "doc_id long, text string, lang string")
+    assert identify(held, model).filter("lang_pred = lang").count() >= 66
+    few = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=1, languages=2)
+    assert sorted(few.dictionaries) == names[:2] and all(few.dictionaries.values())
+
+
+def test_ids_that_repeat_teach_no_more_than_others(spark):
+    rows = [(7, made_up("aa", 5, k), "aa") for k in range(20)]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=4)
+    assert len(model.dictionaries["aa"].split()) == 20
+
+
+def test_a_rare_language_shortens_no_dictionary(spark):
+    rows = [(i, made_up(lang, 600, i), lang) for i, lang in enumerate(["aa", "bb"] * 40)] + [(1000, "eine kurze zeile", "cc")]
+    rows += [(2000 + k, made_up("dd", 600, k), "dd") for k in range(4)]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {k: len(v) for k, v in model.dictionaries.items() if k in ("aa", "bb")} == {"aa": 96 << 10, "bb": 96 << 10}
+    assert [(size, len(places)) for size, places in model.rounds()] == [(8 << 10, 4), (96 << 10, 2)]
+    held = spark.createDataFrame([(i, made_up(lang, 80, "held"), lang) for i, lang in enumerate(["aa", "bb", "dd"])] + [(9, "eine kurze zeile", "cc")], "doc_id long, text string, lang string")
+    assert identify(held, model).filter("lang_pred = lang").count() == 4
