@@ -9,6 +9,12 @@ between surge and dive the one with most text is the page's; ranges that hold at
 least ``share`` of its text are kept too, as articles are interrupted by adverts. A page whose sums never
 surge keeps all its lines with a weight. Lines of weight 0 within a range are left out.
 
+A page that marks its article (<article>, <main>) is cut by tag: all lines with a weight in it stay, and
+``window``, ``surge`` and ``share`` don't act, as the author's mark is exact and short lines between
+adverts belong to it. An article inside an element that counts as navigation and so on is read
+where the rest of the page has no mark and never surges. A class that says what a page has or lacks
+(``has-sidebar``, ``no-sidebar``) names no such element.
+
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by an empty line. Every whole page is read and no text is cut.
 
@@ -47,11 +53,15 @@ _BOILER = re.compile(
 )
 
 
+#: Class words that say something about an element (has-sidebar) instead of naming it.
+_STATE = re.compile(r"(?:has|have|no|not|non|with|without)[_-]", re.I)
+
+
 def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _ASIDE or tag == "header" and not in_article:
         return True
     if tag in ("div", "section", "ul", "ol", "p", "span", "table", "aside", "header", "details", "figure"):
-        return any(_BOILER.search(m.strip("\"'")) for m in _MARK.findall(attributes))
+        return any(_BOILER.search(name) and not _STATE.match(name) for m in _MARK.findall(attributes) for name in m.strip("\"'").split())
     return False
 
 
@@ -71,13 +81,15 @@ class _Lines:
         self.parts, self.linked = [], 0
 
 
-def _strip(page: str) -> list[tuple[str, int, bool]]:
+def _strip(page: str, wrapped: bool = False) -> list[tuple[str, int, bool]]:
+    """The lines of a page; ``wrapped``: those of an article inside an aside count too."""
     closes: dict[str, int] = {}
     for m in _TOKEN.finditer(page):
         if m[3] and m[2]:
             closes[m[3].lower()] = m.start()  # where the last one closes
     lines, at = _Lines(), 0
     aside: list[str] = []  # open elements from the outermost aside on, of that element's name only
+    held: list[tuple[int, list[str]]] = []  # asides around the open articles
     article = links = 0
 
     def add(text: str) -> None:
@@ -107,22 +119,34 @@ def _strip(page: str) -> list[tuple[str, int, bool]]:
                     aside.append(tag)
             elif tag in ("article", "main") and not closing and closes.get(aside[0], -1) < at:
                 aside = []
+            elif wrapped and tag in ("article", "main") and not closing:
+                held.append((article, aside))
+                aside = []
         elif not closing and tag not in _VOID and _is_aside(tag, m[4], article > 0) and closes.get(tag, -1) >= at:
             aside = [tag]
         if tag in ("article", "main"):
             article = max(0, article - 1) if closing else article + 1
+            if closing and held and article == held[-1][0]:
+                aside = held.pop()[1]
     add(page[at:])
     lines.end(bool(aside), article > 0)
     return lines.out
 
 
+def _sums(lines: list[tuple[str, int, bool]], window: int) -> list[int]:
+    weights = [w for _, w, _ in lines]
+    return [sum(weights[max(0, i - window + 1) : i + 1]) for i in range(len(weights))]
+
+
 def main_text(page: str | None, window: int = 3, surge: int = 80, share: float = 0.2) -> str:
     lines = _strip(page or "")
+    if not any(inside and weight for _, weight, inside in lines) and max(_sums(lines, window), default=0) < surge:
+        again = _strip(page or "", wrapped=True)
+        lines = again if any(inside and weight for _, weight, inside in again) else lines
     if any(inside and weight for _, weight, inside in lines):  # the page marks its article
         lines = [(text, weight if inside else 0, inside) for text, weight, inside in lines]
         share = 0.0
-    weights = [w for _, w, _ in lines]
-    sums = [sum(weights[max(0, i - window + 1) : i + 1]) for i in range(len(weights))]
+    weights, sums = [w for _, w, _ in lines], _sums(lines, window)
     ranges: list[tuple[int, int, int]] = []
     start = None
     for i, total in enumerate([*sums, 0]):

@@ -31,6 +31,20 @@ def test_surge_and_dive_without_article_element():
     assert main_text(page) == f"{LONG}\n\nMiddle.\n\n{LONG}"
 
 
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class='page no-sidebar'", "div class='sidebar-left'", "form id=all", "div"])
+def test_an_article_inside_any_wrapper_is_read(wrapper):
+    tag = wrapper.split()[0]
+    page = f"<body><nav><a href=/>Home</a></nav><{wrapper}><div class=menu>Menu</div><article><h1>Head</h1><div>{LONG}</div></article><div class=ads>Buy</div></{tag}><footer>Foot</footer></body>"
+    assert main_text(page) == f"Head\n\n{LONG}"
+
+
+def test_cards_inside_an_aside_stay_out():
+    cards = f"<section class='related'><article><p>{LONG}</p></article></section>"
+    assert main_text(f"<body><p>{LONG} one</p>{cards}</body>") == f"{LONG} one"
+    assert main_text(f"<body><article><p>Short.</p></article>{cards}</body>") == "Short."
+    assert main_text(f"<body class='x'><div class='has-sidebar'><p>{LONG}</p></div></body>") == LONG
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("<p>", ""), ("plain", "plain"), ("<p>a  b\n c<p>d", "a b c\n\nd"), ("<p>x<script>never closed", "x"), ("a < b", "a < b"), ("<b>a</b>b", "ab")])
 def test_main_text_of_odd_pages(page, text):
     assert main_text(page) == text
