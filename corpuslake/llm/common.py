@@ -92,8 +92,8 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in slices of at most SLICE_BYTES of text."""
+def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of at most ``limit`` bytes of text."""
     for batch in batches:
         column = batch.column(text)
         sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
@@ -101,7 +101,7 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterato
         start = 0
         while start < len(sizes):
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 

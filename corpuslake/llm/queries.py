@@ -89,9 +89,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids of every document, and whether they decode to its text again."""
-    table = PieceTable.read(default_model())
-    coded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), table), table)
-    return coded.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    table, digest = PieceTable.read(default_model()), lambda text: F.sha2(text.cast("binary"), 256)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", digest(F.coalesce("text", F.lit(""))).alias("sha256"))
+    coded = decode(encode(docs, table, keep_text=False), table)
+    return coded.select("doc_id", "n_tokens", "ids", (digest(F.col("decoded")) == F.col("sha256")).alias("exact"))
 
 
 QUERIES = {

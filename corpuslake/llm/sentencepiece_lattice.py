@@ -2,27 +2,31 @@ r"""SentencePiece encoding and decoding as a relational lattice.
 
 A text becomes ``_`` + text with every space as ``_`` (U+2581), and is cut into units, at places that
 no piece of the table crosses: before a space, around line ends, and before a sign that follows
-none of its kind in any piece. Each distinct unit of the corpus is encoded once:
+none of its kind in any piece. Units are encoded as a lattice:
 
-1. its substrings up to the longest piece's length are exploded and equi-joined with
+1. their substrings up to the length of a piece that begins alike are exploded and equi-joined with
    the piece table (a table of fixed size, which is broadcast): the edges of the lattice;
-2. the edges are grouped by unit (the units are dealt by that key already);
+2. the edges are grouped by unit;
 3. Spark's ``aggregate`` folds them: for a unigram table it is Viterbi over the
    positions; for a BPE table, whose scores are merge ranks and don't add up, it
-   applies, step by step, the best edge that joins exactly two neighbours. Bounds between
+   applies, best first, every edge that joins exactly two neighbours. Bounds between
    pieces are the bits of a long.
 
-Characters without piece become the pieces of their UTF-8 bytes. Documents look their units
-up in the encoded vocabulary by hash: at most ``vocabulary`` units, the most frequent ones, are
-broadcast after they were counted (about 30 bytes each); the units beyond it are joined by the documents that hold them.
+Characters without piece become the pieces of their UTF-8 bytes.
+
+The most frequent units, ``vocabulary`` at most, are encoded once and broadcast in flat arrays (25 bytes each).
+Documents become the codes of their units in it, and each unit without code is a hole: a row
+of its own, which is dealt with its document by the document's key and encoded there by the same lattice. So
+texts are cut twice (to count, to code) and shuffled once, as codes of two bytes a unit, and no number
+of rare units reaches the driver. The size of the vocabulary changes no result.
 Units of over 60 characters, which the bits of a long can't hold, are folded by the same
 rule in a Python helper where they occur.
 
 Decoding maps ids to the bytes of their pieces and removes the leading space; it stays in the JVM.
 
 Nulls and odd input: null and empty texts have no ids and decode to the empty text. U+2581 in a text is
-read as a space, as the format has no other. Repeated rows are encoded alike. An empty table gives an empty result. Other columns pass through;
-``ids``, ``n_tokens`` and ``decoded`` are replaced.
+read as a space, as the format has no other. Repeated rows are encoded alike and all returned. An empty table gives an empty result.
+Other columns, of any name, pass through; ``ids``, ``n_tokens`` and ``decoded`` are replaced.
 """
 
 from __future__ import annotations
@@ -32,9 +36,11 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,15 +48,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpuslake.llm.common import row_slices, written
+from corpuslake.llm.common import SLICE_BYTES, row_slices, written
 
 SPACE = "▁"
 #: The most characters of a unit whose bounds fit a long.
 LONGEST = 60
 #: Characters below this code are looked up in an array.
 _BASIC = 1 << 16
-#: Distinct units that a task counts or remembers before it starts again.
-_UNITS = 150_000
+#: A fourth of the distinct units that a task counts or remembers before it starts again.
+_UNITS = 75_000
 
 
 def default_model() -> str:
@@ -79,6 +85,7 @@ class PieceTable:
 
     def __init__(self, rows: list[tuple[int, str, float]], byte_ids: dict[int, int], kind: str = "bpe", unknown: int = 0):
         self.rows, self.byte_ids, self.kind, self.unknown = rows, byte_ids, kind, unknown
+        self._reach: list[int] | None = None
         self.index = {p: (i, s) for i, p, s in rows}
         self.longest = max((len(p) for _, p, _ in rows), default=1)
         self.units = re.compile(_cuts({p[i : i + 2] for _, p, _ in rows for i in range(len(p) - 1)})).findall
@@ -101,6 +108,15 @@ class PieceTable:
     def fallback(self, text: str) -> list[int]:
         return [self.byte_ids.get(b, self.unknown) for b in text.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
+    def reach(self, spark: SparkSession) -> list[int]:
+        """By the hash of a text's first three characters, the length of the longest piece that begins so."""
+        if self._reach is None:
+            self._reach = [0] * _BASIC
+            begin = F.pmod(F.hash(F.substr("piece", F.lit(1), F.lit(3))), F.lit(_BASIC))
+            for place, most in self.frame(spark).groupBy(begin).agg(F.max(F.length("piece"))).collect():  # one row a piece at most
+                self._reach[place] = most
+        return self._reach
+
     def ordered(self) -> list[tuple[int, str, float]]:
         """The rows from the best score on."""
         return sorted(self.rows, key=lambda r: (-r[2], r[0]))
@@ -119,14 +135,15 @@ def _count_units(table: PieceTable):
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            found = [(u, n) for u, n in seen.items() if len(u) <= LONGEST]
+            units, n = pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["unit", "n"])
+            counted = pa.RecordBatch.from_arrays([units, n], names=["unit", "n"])
+            return counted.filter(pc.less_equal(pc.utf8_length(units), LONGEST))
 
         for part in row_slices(batches):
             for text in part.column("text").to_pylist():
                 seen.update(table.cut(text))
-            if len(seen) >= 2 * _UNITS:
+            if len(seen) >= 4 * _UNITS:
                 yield flush()
         if seen:
             yield flush()
@@ -134,102 +151,105 @@ def _count_units(table: PieceTable):
     return run
 
 
-def _bit(place: str) -> str:
-    return f"shiftleft(1L, {place})"
-
-
-#: The bounds that are left when no edge joins two neighbours any more. Edges that a merge
-#: has crossed or completed are dropped at each step.
-_MERGES = """aggregate(sequence(1, length(unit)), named_struct('bounds', shiftleft(1L, length(unit) + 1) - 1, 'live', edges), (s, step) ->
-  get(transform(array(filter(s.live, e -> (s.bounds & e.ends) = e.ends AND (s.bounds & e.inner) != 0L)), live -> named_struct(
-    'bounds', s.bounds & ~coalesce(get(filter(live, e -> bit_count(s.bounds & e.inner) = 1), 0).inner, 0L), 'live', live)), 0),
+#: Of an edge ``e``: the bits of its two ends, those of the places between them (shifts use the low six bits), and whether both ends are bounds.
+_STOP, _START = "CAST(e AS INT)", "CAST(shiftright(e, 6) AS INT)"
+_ENDS, _INNER = f"(shiftleft(1L, {_STOP}) | shiftleft(1L, {_START}))", f"(shiftleft(1L, {_STOP}) - shiftleft(2L, {_START}))"
+_BOUND = "(shiftright({0}, " + _START + ") & shiftright({0}, " + _STOP + ") & 1L) = 1L"
+_ALL = "shiftleft(1L, length(unit) + 1) - 1"
+
+#: One walk over the edges, best first. An edge that waits, as more than one bound lies within it, and whose inner
+#: bounds fall to one later on would have come first then: such units (-1) are folded by _MERGES instead.
+_WALK = f"""aggregate(packed, named_struct('bounds', {_ALL}, 'waits', CAST(array() AS array<bigint>)), (s, e) ->
+  CASE WHEN NOT {_BOUND.format("s.bounds")} THEN s
+       WHEN bit_count(s.bounds & {_INNER}) = 1 THEN named_struct('bounds', s.bounds & ~{_INNER}, 'waits', s.waits)
+       WHEN (s.bounds & {_INNER}) = 0L THEN s
+       ELSE named_struct('bounds', s.bounds, 'waits', array_append(s.waits, e)) END,
+  s -> IF(exists(s.waits, e -> bit_count(s.bounds & {_INNER}) <= 1), -1L, s.bounds))"""
+
+#: At each step the best edge that joins exactly two neighbours, until there is none; edges that
+#: a merge has crossed or completed are dropped.
+_MERGES = f"""aggregate(sequence(1, length(unit)), named_struct('bounds', {_ALL}, 'live', packed), (s, step) ->
+  IF(size(s.live) = 0, s, get(transform(array(filter(s.live, e -> (s.bounds & {_ENDS}) = {_ENDS} AND (s.bounds & {_INNER}) != 0L)), live ->
+    get(transform(array(get(filter(live, e -> bit_count(s.bounds & {_INNER}) = 1), 0)), e -> named_struct(
+      'bounds', IF(e IS NULL, s.bounds, s.bounds & ~{_INNER}), 'live', IF(e IS NULL, slice(live, 1, 0), live))), 0)), 0)),
   s -> s.bounds)"""
 
 #: For each position the best score and where its last piece starts; then the path back as bounds.
 _VITERBI = """aggregate(sequence(1, length(unit)), array(struct(0D AS score, 0 AS start)), (best, j) ->
     concat(best, array(array_max(concat(
       array(struct(best[j - 1].score + {unknown}D AS score, j - 1 AS start)),
-      transform(filter(edges, e -> e.stop = j), e -> struct(best[e.start].score + scores[e.place] AS score, e.start AS start)))))),
+      transform(filter(packed, e -> (e & 63L) = j), e -> struct(best[CAST(shiftright(e, 6) & 63L AS INT)].score + scores[CAST(shiftright(e, 12) AS INT)] AS score,
+        CAST(shiftright(e, 6) & 63L AS INT) AS start)))))),
   best -> aggregate(sequence(1, length(unit)), struct(shiftleft(1L, length(unit)) AS bounds, length(unit) AS at), (s, step) ->
     IF(s.at = 0, s, struct(s.bounds | shiftleft(1L, best[s.at].start) AS bounds, best[s.at].start AS at)), s -> s.bounds))"""
 
 
-def _reach(table: PieceTable) -> list[int]:
-    """By Spark's hash of a text's first three characters, the length of the longest piece that begins so (2 is assumed anywhere)."""
-    out = [0] * _BASIC
-    for _, p, _ in table.rows:
-        place = _hash32(p[:3].encode("utf-8", "replace")) % _BASIC
-        out[place] = max(out[place], len(p))
-    return out
+_FOLDED = ("packed", "single", "piece_ids", "walked", "bounds", "scores")
 
 
-def _hash32(data: bytes) -> int:
-    """Spark's ``hash`` of a string (Murmur3 with seed 42, odd bytes one by one), as a signed number."""
-    mask, h = 0xFFFFFFFF, 42
-    whole = len(data) // 4 * 4
-    words = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)]
-    for k in [*words, *(b - 256 if b > 127 else b for b in data[whole:])]:
-        k = k * 0xCC9E2D51 & mask
-        k = (k << 15 | k >> 17) & mask
-        h ^= k * 0x1B873593 & mask
-        h = (h << 13 | h >> 19) & mask
-        h = (h * 5 + 0xE6546B64) & mask
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & mask
-    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
+def _constant(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(str(values)), f"array<{kind}>")
 
 
-def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
-    """``units`` (column unit, distinct, of at most 60 characters) with ids."""
-    spark = units.sparkSession
+def lattice_ids(rows: DataFrame, table: PieceTable, keys: list[str], carried: list[str] | None = None, *more: Column) -> DataFrame:
+    """``keys``, ``carried`` and ids of each group of ``keys``, which has one unit (of at most 60 characters) in the column ``unit``.
+
+    The rows of a group are alike. Where unit is null, so are the ids.
+    """
+    spark, carried = rows.sparkSession, carried or []
     pieces = F.broadcast(table.frame(spark))
-    other = [c for c in units.columns if c != "unit"]
     size, start, stop = F.length("unit"), F.col("start"), F.col("stop")
-    lattice = units.select("unit", *other, F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    lattice = rows.select("*", F.explode(F.sequence(F.lit(0), F.coalesce(size, F.lit(1)) - 1)).alias("start"))
     # How far pieces reach that begin like the text here; single characters of a BPE table are looked up by their code.
     begin = F.pmod(F.hash(F.substr("unit", start + 1, F.lit(3))), F.lit(_BASIC))
-    reach = F.greatest(F.element_at(F.from_json(F.lit(str(_reach(table))), "array<int>"), begin + 1), F.lit(2))
+    far = F.greatest(F.element_at(_constant(table.reach(spark), "int"), begin + 1), F.lit(2))
     one = (start == 0) | (F.ascii(F.substr("unit", start + 1, F.lit(1))) >= _BASIC)  # one row keeps a unit without edge
     first = F.when(one, start + 1).otherwise(start + (2 if table.kind == "bpe" else 1))
-    last = F.least(size, start + reach)
+    last = F.least(size, start + far)
     lattice = lattice.filter(first <= last).select("*", F.explode(F.sequence(first, last)).alias("stop"))
     lattice = lattice.withColumn("piece", F.substr("unit", start + 1, stop - start))
     lattice = lattice.join(pieces, "piece", "left").filter("place IS NOT NULL OR (start = 0 AND stop = 1)")
     # An edge is one long: the place of its piece in the table's order, where it starts and where it stops.
-    packed = F.collect_list(F.col("place") * 4096 + start * 64 + stop)  # null places are left out
-    grouped = lattice.groupBy("unit", *other).agg(F.sort_array(packed).alias("packed"))
-    start_bit, stop_bit = "shiftleft(1L, CAST(shiftright(e, 6) & 63L AS INT))", "shiftleft(1L, CAST(e & 63L AS INT))"
-    if table.kind == "bpe":
-        unpacked = f"struct(e AS packed, {start_bit} | {stop_bit} AS ends, {stop_bit} - 2L * {start_bit} AS inner)"
-    else:
-        unpacked = "struct(e AS packed, CAST(shiftright(e, 12) AS INT) AS place, CAST(shiftright(e, 6) & 63L AS INT) AS start, CAST(e & 63L AS INT) AS stop)"
-    grouped = grouped.withColumn("edges", F.expr(f"transform(packed, e -> {unpacked})"))
+    edge = F.col("place") * 4096 + start * 64 + stop  # null places are left out
+    held = [c for c in dict.fromkeys(["unit", *carried]) if c not in keys]
+    grouped = lattice.groupBy(*keys).agg(F.sort_array(F.collect_set(edge)).alias("packed"), *(F.first(c).alias(c) for c in held), *more)
     order = table.ordered()
-    constant = lambda values, kind: F.from_json(F.lit(str(values)), f"array<{kind}>")
     single = [-1] * _BASIC
     for i, p, _ in table.rows:
         if len(p) == 1 and ord(p) < _BASIC:
             single[ord(p)] = i
-    grouped = grouped.withColumns({"single": constant(single, "int"), "piece_ids": constant([i for i, _, _ in order], "int")})
-    fold = _MERGES
-    if table.kind != "bpe":
-        grouped = grouped.withColumn("scores", constant([x for _, _, x in order], "double"))
-        fold = _VITERBI.format(unknown=min((x for _, _, x in order), default=0.0) - 10.0)
-    code = "ascii(substr(unit, places[k] + 1, 1))"
-    found = f"""IF(places[k + 1] - places[k] = 1 AND {code} < {_BASIC}, nullif(single[{code}], -1),
-                   piece_ids[CAST(shiftright(get(filter(kept, e -> (e & 4095L) = places[k] * 64 + places[k + 1]), 0), 12) AS INT)])"""
-    spelled = f"array({table.unknown})"
+    grouped = grouped.withColumns({"single": _constant(single, "int"), "piece_ids": _constant([i for i, _, _ in order], "int")})
+    if table.kind == "bpe":
+        grouped = grouped.withColumn("walked", F.expr(_WALK)).withColumn("bounds", F.expr(f"IF(walked = -1L, {_MERGES}, walked)"))
+    else:
+        grouped = grouped.withColumn("scores", _constant([x for _, _, x in order], "double"))
+        grouped = grouped.withColumn("bounds", F.expr(_VITERBI.format(unknown=min((x for _, _, x in order), default=0.0) - 10.0)))
+    # Tokens as longs that sort by place: pieces of several characters from the edges, single ones by their code or as bytes.
+    sign, at = "substr(unit, p + 1, 1)", "shiftleft(CAST(p AS BIGINT), 40)"
+    spelled = f"array({at} + {table.unknown}L)"
     if table.byte_ids:
         codes = ", ".join(str(table.byte_ids.get(b, table.unknown)) for b in range(256))
-        raw = "hex(encode(substr(unit, places[k] + 1, 1), 'UTF-8'))"
-        spelled = f"transform(sequence(1, length({raw}), 2), b -> element_at(array({codes}), CAST(conv(substr({raw}, b, 2), 16, 10) AS INT) + 1))"
-    # Of the edges only those between neighbouring bounds are looked at again.
-    own = "getbit(bounds, CAST(shiftright(e, 6) & 63L AS INT)) = 1 AND getbit(bounds, CAST(e & 63L AS INT)) = 1"
-    ids = f"""get(transform(array({fold}), bounds -> get(transform(array(filter(packed, e -> {own})), kept -> get(transform(array(filter(sequence(0, length(unit)), p -> getbit(bounds, p) = 1)), places ->
-        flatten(transform(sequence(0, size(places) - 2), k -> get(transform(array({found}), id -> IF(id IS NOT NULL, array(id), {spelled})), 0)))), 0)), 0)), 0)"""
-    return grouped.select("unit", *other, F.expr(ids).alias("ids"))  # arrays of one element name a value, so that each fold runs once a unit
+        raw = f"hex(encode({sign}, 'UTF-8'))"
+        spelled = f"transform(sequence(1, length({raw}), 2), b -> {at} + shiftleft(CAST(b AS BIGINT), 32) + element_at(array({codes}), CAST(conv(substr({raw}, b, 2), 16, 10) AS INT) + 1))"
+    found = f"""IF(ascii({sign}) < {_BASIC}, single[ascii({sign})],
+                   coalesce(piece_ids[CAST(shiftright(get(filter(packed, e -> (e & 4095L) = p * 64 + p + 1), 0), 12) AS INT)], -1))"""
+    ids = f"""transform(sort_array(concat(
+        transform(filter(packed, e -> {_BOUND.format("bounds")} AND (bounds & {_INNER}) = 0L AND {_INNER} != 0L), e -> shiftleft(shiftright(e, 6) & 63L, 40) + piece_ids[CAST(shiftright(e, 12) AS INT)]),
+        flatten(transform(filter(sequence(0, length(unit) - 1), p -> (shiftright(bounds, p) & 3L) = 3L), p ->
+          get(transform(array({found}), id -> IF(id >= 0, array({at} + id), {spelled})), 0))))), x -> CAST(x & 4294967295L AS INT))"""
+    gone = {*_FOLDED, *keys, *({"unit"} - set(carried))}
+    return grouped.select(*keys, *[c for c in grouped.columns if c not in gone], F.expr(ids).alias("ids"))
+
+
+def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
+    """``units`` (column unit, distinct, of at most 60 characters) with ids.
+
+    They are dealt and grouped by a hash, as a single long is sorted without comparisons. Units that have one hash
+    in common, if there are any, are left out: to ``encode`` they are units without code.
+    """
+    dealt = units.withColumn("__hash", F.xxhash64("unit")).repartition("__hash")
+    alone = (F.count_if((F.col("start") == 0) & (F.col("stop") == 1)) == 1).alias("__alone")  # the row that every unit has
+    return lattice_ids(dealt, table, ["__hash"], units.columns, alone).filter("__alone").drop("__hash", "__alone")
 
 
 def merge(unit: str, table: PieceTable) -> list[int]:
@@ -279,118 +299,213 @@ def merge(unit: str, table: PieceTable) -> list[int]:
     return out
 
 
-def unit_hash(unit: str) -> int:
-    """Spark's ``xxhash64`` of the unit."""
-    return xxhash.xxh64_intdigest(unit.encode("utf-8", "replace"), 42)
+def unit_hashes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each unit to look it up by, and 32 others that must agree."""
+    raw = b"".join([xxhash.xxh3_128_digest(u.encode("utf-8", "replace")) for u in units])
+    both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    return both[:, 1].copy(), both[:, 0].astype(np.uint32)
+
+
+def _packed_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Encoded units as flat blobs: counts, hashes, numbers of ids, ids."""
+    for batch in batches:
+        if batch.num_rows:
+            ids, n = batch.column("ids"), np.minimum(np.asarray(batch.column("n")), 0xFFFFFFFF).astype(np.uint32)
+            hashes, checks = unit_hashes(batch.column("unit").to_pylist())
+            parts = (n, hashes, checks, np.diff(np.asarray(ids.offsets)).astype(np.uint16), np.asarray(ids.flatten()).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["n", "hash", "check", "size", "ids"])
 
 
 class Vocabulary:
-    """Encoded units in three flat arrays: sorted hashes, offsets, ids."""
-
-    def __init__(self, hashes: np.ndarray, ids: pa.ListArray):
-        order = np.argsort(hashes, kind="stable")
-        flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype(np.uint32), ids.offsets.to_numpy().astype(np.int64)
-        sizes = np.diff(offsets)[order]
-        ends = np.cumsum(sizes)
-        at = np.repeat(offsets[:-1][order] - (ends - sizes), sizes) + np.arange(sizes.sum())
-        self.hashes, self.offsets, self.ids = hashes[order], np.concatenate([[0], ends]).astype(np.uint32), flat[at]
-
-    def find(self, units: list[str]) -> list[bytes | None]:
-        """The ids of each unit as 32-bit numbers; None where it is not held."""
-        wanted = np.fromiter(map(unit_hash, units), np.uint64, len(units))
+    """Encoded units in flat arrays. A unit's code is its rank by frequency; hashes are sorted, with their codes."""
+
+    def __init__(self, blobs: list, largest: int):
+        def joined(k: str, kind, to=None) -> np.ndarray:
+            parts = [np.frombuffer(b[k], kind).astype(to or kind) for b in blobs]
+            return np.concatenate(parts) if parts else np.empty(0, to or kind)
+
+        hashes, sizes = joined("hash", np.uint64), joined("size", np.uint16)
+        rank = np.lexsort((hashes, ~joined("n", np.uint32))).astype(np.uint32)
+        ids, starts = joined("ids", np.uint32, np.uint16 if largest < 1 << 16 else np.uint32), (np.cumsum(sizes, dtype=np.uint32) - sizes)[rank]
+        sizes = sizes[rank]
+        step = 1 << 17  # bounds what is held besides the result
+        self.ids = np.concatenate([ids[_ragged(starts[i : i + step].astype(np.int64), sizes[i : i + step].astype(np.int64))] for i in range(0, len(rank), step)] or [ids])
+        self.ends = np.concatenate([np.zeros(1, np.uint32), np.cumsum(sizes, dtype=np.uint32)])
+        hashes = hashes[rank]
+        self.codes = np.argsort(hashes, kind="stable").astype(np.uint32)
+        self.hashes, self.checks = hashes[self.codes], joined("check", np.uint32)[rank][self.codes]
+
+    def find(self, units: list[str]) -> np.ndarray:
+        """Code + 1 of each unit; 0 where it is not held."""
+        wanted, checks = unit_hashes(units)
         if not len(self.hashes):
-            return [None] * len(units)
+            return np.zeros(len(units), np.int64)
         at = np.minimum(self.hashes.searchsorted(wanted), len(self.hashes) - 1)
-        there = (self.hashes[at] == wanted).tolist()
-        first, last = self.offsets[at].tolist(), self.offsets[at + 1].tolist()
-        return [self.ids[a:b].tobytes() if ok else None for ok, a, b in zip(there, first, last, strict=True)]
+        return np.where((self.hashes[at] == wanted) & (self.checks[at] == checks), self.codes[at].astype(np.int64) + 1, 0)
+
+
+class _Known(dict):
+    """Unit to code + 1; units that are met for the first time get a place in ``new`` instead (-1, -2, ...)."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = -len(self.new)
+        return -len(self.new)
+
+    def codes(self, units: list[str], vocabulary: Vocabulary) -> np.ndarray:
+        if len(self) > 4 * _UNITS:
+            self.clear()
+        out = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+        if self.new:
+            found = vocabulary.find(self.new)
+            first = out < 0
+            out[first] = found[-out[first] - 1]
+            for unit, code in zip(self.new, found.tolist(), strict=True):  # units without code are rare: they are not kept
+                if code:
+                    self[unit] = code
+                else:
+                    del self[unit]
+            self.new = []
+        return out
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + sizes[i] - 1 of all i in order."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
 
+def _varints(codes: np.ndarray, lens: np.ndarray) -> list[bytes]:
+    """The codes of each row (``lens`` of them) as bytes of seven bits, the lowest first."""
+    width = 1 + sum((codes >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
+    ends = np.cumsum(width)
+    first, out = ends - width, np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(width.max()) if len(width) else 0):
+        more = width > k
+        out[first[more] + k] = (codes[more] >> 7 * k & 127) | np.where(width[more] > k + 1, 128, 0)
+    raw, cut = out.tobytes(), np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)])].tolist()
+    return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
-def _unknown_units(table: PieceTable, shared):
-    """(key, unit) of the units that the broadcast part of the vocabulary lacks, once for each text."""
+
+def _codes(raw: np.ndarray) -> np.ndarray:
+    """The numbers of all rows' bytes."""
+    last = raw < 128
+    ends = np.flatnonzero(last)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    codes, width = np.zeros(len(ends), np.int64), ends - starts + 1
+    for k in range(int(width.max()) if len(width) else 0):
+        more = width > k
+        codes[more] |= (raw[starts[more] + k].astype(np.int64) & 127) << 7 * k
+    return codes
+
+
+def _coded(table: PieceTable, shared, schema: pa.Schema):
+    """Each text as the codes of its units, and one row for each unit without code, a hole (code 0). Rows of a slice that are equal are one, with their number."""
+    passed = [f.name for f in schema if f.name not in _OWN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches):
-            keys, units = [], []
-            for key, text in zip(*(part.column(c).to_pylist() for c in ("key", "text")), strict=True):
-                own = [u for u in set(table.cut(text)) if len(u) <= LONGEST]
-                lacking = [u for u, ids in zip(own, shared.value.find(own), strict=True) if ids is None]
-                keys += [key] * len(lacking)
-                units += lacking
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(units, pa.string())], names=["key", "unit"])
+        vocabulary, known = shared.value, _Known()
+        for part in row_slices(batches, "__text", SLICE_BYTES // 4):
+            keys = list(zip(part.column("__k1").to_pylist(), part.column("__k2").to_pylist(), strict=True))
+            copies = Counter(keys)
+            if len(copies) < len(keys):
+                part = part.take(pa.array(sorted({k: i for i, k in reversed(list(enumerate(keys)))}.values())))
+                keys = list(zip(part.column("__k1").to_pylist(), part.column("__k2").to_pylist(), strict=True))
+            cut = [table.cut(t) for t in part.column("__text").to_pylist()]
+            lens = np.fromiter(map(len, cut), np.int64, len(cut))
+            codes = known.codes(list(chain.from_iterable(cut)), vocabulary)
+            holes = np.flatnonzero(codes == 0)
+            rows = np.searchsorted(np.cumsum(lens), holes, "right")
+            ats = holes - (np.cumsum(lens) - lens)[rows]
+            units = [cut[row][at] for row, at in zip(rows.tolist(), ats.tolist(), strict=True)]
+            n = part.num_rows
+            body = {"__at": pa.array(np.full(n, -1, np.int32)), "__codes": pa.array(_varints(codes, lens), pa.binary()), "__n": pa.array([copies[k] for k in keys], pa.int64())}
+            body |= {c: part.column(c) for c in ("__k1", "__k2", *passed)}
+            yield pa.RecordBatch.from_arrays([body[f.name].cast(f.type) if f.name in body else pa.nulls(n, f.type) for f in schema], schema=schema)
+            if len(holes):
+                hole = {"__at": pa.array(ats, pa.int32()), "unit": pa.array([u if len(u) <= LONGEST else None for u in units], pa.string())}
+                hole["__ids"] = pa.array([None if len(u) <= LONGEST else merge(u, table) for u in units], pa.list_(pa.int32()))
+                hole |= {c: part.column(c).take(pa.array(rows)) for c in ("__k1", "__k2")}
+                yield pa.RecordBatch.from_arrays([hole[f.name].cast(f.type) if f.name in hole else pa.nulls(len(holes), f.type) for f in schema], schema=schema)
 
     return run
 
 
-def _encode_texts(table: PieceTable, shared, schema: pa.Schema, beyond: bool):
-    names = [n for n in schema.names if n not in ("ids", "n_tokens")]
+def _assembled(shared, names: list[str]):
+    """The ids of each row from its codes and from the ids of its holes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = shared.value, {}
-        for part in row_slices(batches):
-            cut = [table.cut(t) for t in part.column("text").to_pylist()]
-            new = list({u for units in cut for u in units if u not in known})
-            if len(known) + len(new) > 2 * _UNITS:
-                known.clear()
-                new = list({u for units in cut for u in units})
-            lacking = set()
-            for unit, ids in zip(new, vocabulary.find(new), strict=True):
-                if len(unit) > LONGEST:
-                    known[unit] = np.array(merge(unit, table), np.uint32).tobytes()
-                elif ids is not None:
-                    known[unit] = ids
-                else:
-                    lacking.add(unit)
-            extra = part.column("extra").to_pylist() if beyond else [None] * part.num_rows
-            out = []
-            for units, own in zip(cut, extra, strict=True):
-                if own:
-                    own = {e["unit"]: np.array(e["ids"], np.uint32).tobytes() for e in own}
-                    out.append(b"".join([own[u] if u in lacking else known[u] for u in units]))
-                else:
-                    out.append(b"".join(map(known.__getitem__, units)))
-            sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids, pa.array(sizes)], names=[*names, "ids", "n_tokens"])
+        vocabulary = shared.value
+        for part in row_slices(batches, "__codes", SLICE_BYTES // 8):
+            rows = part.column("__codes").to_pylist()
+            raw = np.frombuffer(b"".join(rows), np.uint8)
+            codes = _codes(raw)
+            hole = codes == 0
+            known = codes[~hole] - 1
+            size = np.empty(len(codes), np.int64)
+            starts = vocabulary.ends[known].astype(np.int64)
+            size[~hole] = vocabulary.ends[known + 1] - starts
+            size[hole] = np.asarray(part.column("__sizes").flatten())
+            of_hole = np.repeat(hole, size)
+            out = np.empty(len(of_hole), np.int32)
+            out[of_hole] = np.asarray(part.column("__fills").flatten())
+            out[~of_hole] = vocabulary.ids[_ragged(starts, size[~hole])]
+            units = np.concatenate([[0], np.cumsum(raw < 128)])[np.cumsum([0, *map(len, rows)])]  # units before each row's end
+            offsets = np.concatenate([[0], np.cumsum(size)])[units]
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids, pa.array(np.diff(offsets))], names=[*names, "ids", "n_tokens"])
 
     return run
 
 
-def encode(docs: DataFrame, table: PieceTable, vocabulary: int = 2 << 20) -> DataFrame:
-    """``docs`` (column text) with ids (array<int>) and n_tokens."""
-    spark = docs.sparkSession
-    docs = docs.drop("ids", "n_tokens")
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    units = texts.mapInArrow(_count_units(table), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    units = written(encode_units(units, table), "units")
-    total = units.count()
-    often = units
-    if total > vocabulary:  # a bound on n that about `vocabulary` units reach; ties fall beyond it
-        ranks = units.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toLocalIterator()
-        reached, bound = 0, None
-        for row in ranks:
-            reached += row["c"]
-            if reached > vocabulary:
-                bound = row["n"]
-                break
-        often = units.filter(F.col("n") > bound)
-    got = often.select(F.xxhash64("unit").alias("hash"), "ids").toArrow().combine_chunks()  # at most `vocabulary` rows
-    ids = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    ids = ids if isinstance(ids, pa.ListArray) else ids.cast(pa.list_(pa.int32()))
-    shared = spark.sparkContext.broadcast(Vocabulary(got["hash"].to_numpy().view(np.uint64), ids))
-    del got, ids
-
-    beyond = total > vocabulary
-    rows = docs
-    if beyond:
-        key = F.xxhash64(F.coalesce("text", F.lit("")))
-        pairs = docs.select(key.alias("key"), "text").mapInArrow(_unknown_units(table, shared), "key long, unit string").distinct()
-        extra = pairs.join(units.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
-        rows = docs.withColumn("__key", key).join(extra, F.col("__key") == F.col("key"), "left").select(*docs.columns, "extra")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
-    return rows.mapInArrow(_encode_texts(table, shared, to_arrow_schema(schema), beyond), schema)
+#: Columns that rows have on their way.
+_OWN = {"__k1": "long", "__k2": "long", "__at": "int", "unit": "string", "__ids": "array<int>", "__codes": "binary", "__n": "long"}
+
+
+def _frequent(counted: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` units, the most frequent ones; of equally frequent units all or none."""
+    if counted.count() <= most:
+        return counted
+    reached = 0
+    for row in counted.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toLocalIterator():
+        reached += row["c"]
+        if reached > most:
+            return counted.filter(F.col("n") > row["n"])
+    return counted
+
+
+def encode(docs: DataFrame, table: PieceTable, vocabulary: int = 1_500_000, keep_text: bool = True) -> DataFrame:
+    """``docs`` (column text) with ids (array<int>) and n_tokens; without text if not ``keep_text``."""
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
+    counted = docs.select(text.alias("text")).mapInArrow(_count_units(table), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    often = encode_units(_frequent(written(counted, "units"), vocabulary), table)
+    blobs = often.mapInArrow(_packed_units, "n binary, hash binary, check binary, size binary, ids binary").collect()  # at most `vocabulary` units
+    shared = spark.sparkContext.broadcast(Vocabulary(blobs, max((i for i, _, _ in table.rows), default=0)))
+    del blobs
+
+    # A row is dealt by its own values, so that it goes the same way if a task runs again.
+    known = [F.col(f"`{f.name}`") for f in docs.schema if not _has_map(f.dataType)]
+    names = [c for c in docs.columns if c not in ("ids", "n_tokens", *["text"] * (not keep_text))]
+    inner = [f"__c{i}" for i in range(len(names))]
+    keyed = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)), F.xxhash64(*known).alias("__k1"), F.xxhash64(F.lit(1), *known).alias("__k2"), text.alias("__text"))
+    schema = T.StructType([*(T.StructField(c, keyed.schema[c].dataType) for c in inner), *(T.StructField(c, T._parse_datatype_string(k)) for c, k in _OWN.items())])
+    rows = keyed.mapInArrow(_coded(table, shared, to_arrow_schema(schema)), schema).repartition("__k1", "__k2")
+    keys = ["__key", "__k1", "__k2", "__at"]  # the first one differs from row to row, so that few rows are compared
+    rows = rows.withColumn("__row", F.when(F.col("__at") < 0, F.struct("__codes", "__n", *inner))).withColumn("__key", F.xxhash64(*keys[1:])).select(*keys, "unit", "__ids", "__row")
+    parts = lattice_ids(rows, table, keys, ["__ids", "__row"], F.sum("__row.__n").alias("__n"))
+    hole = F.when(F.col("__at") >= 0, F.struct("__at", F.coalesce("ids", "__ids").alias("ids")))
+    texts = parts.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(hole)).alias("__holes"), F.max("__n").alias("__n"), F.first("__row", ignorenulls=True).alias("__row"))
+    sizes, fills = F.transform("__holes", lambda h: F.size(h["ids"])), F.flatten(F.transform("__holes", lambda h: h["ids"]))
+    texts = texts.select(*(F.col(f"__row.{c}") for c in inner), F.col("__row.__codes").alias("__codes"), sizes.alias("__sizes"), fills.alias("__fills"), F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__copy"))
+    out = T.StructType([*schema.fields[: len(inner)], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
+    return texts.mapInArrow(_assembled(shared, inner), out).toDF(*names, "ids", "n_tokens")
+
+
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
 
 
 def decode(rows: DataFrame, table: PieceTable, ids: str = "ids") -> DataFrame:

@@ -167,6 +167,22 @@ def test_ids_of_an_empty_table(spark, table):
     assert encode(spark.createDataFrame([], SCHEMA), table).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [1 << 21, 3])
+def test_encoding_of_repeated_rows_clashing_names_and_long_texts(spark, table, model, vocabulary):
+    long = " ".join(f"wort{i}{'x' * (i % 7)}" for i in range(20_000))
+    rows = [(1, "same text here", 2, 3), (1, "same text here", 2, 3), (1, "same text here", 2, 3), (1, "other text", 2, 3), (None, None, None, None), (2, long, 0, 0)]
+    docs = spark.createDataFrame(rows, "key long, text string, unit long, extra long").repartition(3)
+    docs = docs.withColumns({"n": F.lit(1), "__k1": F.lit("k"), "__row": F.lit(1), "ids": F.lit("mine"), "hash": F.lit(0), "facts": F.create_map(F.lit("a"), F.lit(1))})
+    got = decode(encode(docs, table, vocabulary=vocabulary), table)
+    assert got.columns == [c for c in docs.columns if c != "ids"] + ["ids", "n_tokens", "decoded"]
+    out = got.collect()
+    key = lambda r: (r["key"] or 0, r["text"] or "")
+    assert sorted(map(key, out)) == sorted((k or 0, t or "") for k, t, _, _ in rows)
+    for r in out:
+        assert list(r["ids"]) == model.encode(r["text"] or "") and r["decoded"] == (r["text"] or "") and r["n_tokens"] == len(r["ids"]) and r["facts"] == {"a": 1}
+    assert encode(docs.limit(0), table, vocabulary=vocabulary).count() == 0
+
+
 def unigram():
     pieces = {"▁": -3.0, "a": -2.0, "b": -2.5, "c": -2.2, "ab": -2.1, "bc": -2.6, "abc": -5.9, "▁a": -2.4, "▁ab": -3.9, "ca": -2.0, "cab": -4.5}
     return PieceTable([(i + 1, p, s) for i, (p, s) in enumerate(pieces.items())], {}, kind="unigram")
