@@ -50,10 +50,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether they decode to its text again."""
-    table = PieceTable.read(default_model())
-    coded = decode(encode(docs.select("doc_id", "text", "lang", "source"), table), table)
-    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", exact.alias("exact"))
+    table, digest = PieceTable.read(default_model()), lambda text: F.sha2(text.cast("binary"), 256)
+    docs = docs.select("doc_id", "text", "lang", "source", digest(F.coalesce("text", F.lit(""))).alias("sha256"))
+    coded = decode(encode(docs, table, keep_text=False), table)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", (digest(F.col("decoded")) == F.col("sha256")).alias("exact"))
 
 
 STAGES = [
