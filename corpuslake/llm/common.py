@@ -7,6 +7,7 @@ of an intermediate result with it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,9 +29,11 @@ _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all of the cluster sees; a temporary one only where none is set."""
+    """The folder that all of the cluster sees; a temporary one where none is set and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="corpuslake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -71,6 +74,16 @@ def without(big: DataFrame, keys: DataFrame, on, limit: int = 1_000_000) -> Data
     return big.join(keys, on, "left_anti")
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with the rows that repeat a doc_id joined; of the others only the ids are dealt out."""
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("__again")), "again")
+    if again.isEmpty():
+        return docs
+    own = semi_by_size(docs, again.withColumnRenamed("__again", "doc_id"), ["doc_id"])
+    joined = own.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
+    return without(docs, again, docs["doc_id"] == again["__again"]).unionByName(written(joined, "joined"))
+
+
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash, remembered for the frequent ones."""
 

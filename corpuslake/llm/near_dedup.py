@@ -17,7 +17,7 @@ all buckets with probability 5e-6. Links are found without the pairs of a bucket
    of them are compared across components, but only those that have one of their
    rarest shingles in common: sets with J >= t share a shingle among the first
    n - ceil(t n) + 1 of any common order, so this loses no link, and the shingles that
-   a large group has in common come last in the order. Pairs within one component
+   a large group has in common come last in the order. A pair is a row under the first shingle it has in common and under few others. Pairs within one component
    need no comparison, as they can't change it.
 
 Every link is confirmed on the full sets. Components come from
@@ -26,9 +26,8 @@ documents reaches the driver.
 
 Nulls and odd input: null, empty or blank texts have no shingle and are alone. A
 text with fewer words than a shingle is one shingle. Rows without doc_id are left
-out. Rows that repeat a doc_id keep one row each; equal sets share a class anyhow,
-and different texts under one doc_id have one component. An empty table gives an
-empty result. Other columns are not read.
+out. Rows that repeat a doc_id are one document: their texts are joined by a space, in order of text.
+An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import WordHashes, gram_starts, hashed_words, mix, ngram_hashes, row_slices, semi_by_size, written
+from corpuslake.llm.common import WordHashes, gram_starts, hashed_words, mix, ngram_hashes, one_row_each, row_slices, semi_by_size, written
 from corpuslake.llm.components import connected_components
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Longs of a set's parity bitmap: bit i tells whether an odd number of its shingles hash to i.
 _BITS = 8
-#: Components of more members than this meet as wholes first.
-_LARGE = 64
+#: Shingles that stand before a rare shingle in its set's order and travel with it.
+_BEFORE = 8
 
 
 def _bits(name: str) -> list[str]:
@@ -139,19 +138,22 @@ def _rarest(percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            ids, n, tokens, bits = [], [], [], []
+            ids, n, tokens, bits, before = [], [], [], [], []
             for id_, grams in zip(batch.column("id").to_pylist(), batch.column("grams"), strict=True):
                 g = grams.values.to_numpy(zero_copy_only=False)
                 first = len(g) - -(-len(g) * percent // 100) + 1
                 order = np.lexsort((g, counts[g & (len(counts) - 1)]))[:first]
                 tokens.append(g[order])
+                before += [g[order[max(0, i - _BEFORE) : i]] for i in range(len(order))]
                 ids.append(np.full(len(order), id_))
                 n.append(np.full(len(order), len(g)))
                 odd = np.bincount((g >> 32) & (64 * _BITS - 1), minlength=64 * _BITS).astype(np.uint8) & 1
                 bits.append(np.broadcast_to(np.packbits(odd).view(np.int64), (len(order), _BITS)))
             if ids:
                 columns = [np.concatenate(x) for x in (tokens, ids, n)] + list(np.concatenate(bits).T)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["key", "rep", "n", *_bits("x")])
+                offsets = np.cumsum([0, *map(len, before)], dtype=np.int32)
+                before = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(before)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), before], names=["key", "rep", "n", *_bits("x"), "before"])
 
     return run
 
@@ -215,7 +217,7 @@ def _rest(docs: DataFrame, buckets: DataFrame, labels: DataFrame, done: DataFram
     found = counted.toArrow()  # one row a cell: at most `cells`, whatever the input
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = "key long, rep long, n long, " + ", ".join(f"{c} long" for c in _bits("x"))
+    schema = "key long, rep long, n long, " + ", ".join(f"{c} long" for c in _bits("x")) + ", before array<long>"
     rare = sets.mapInArrow(_rarest(percent, shared), schema)
     pairs = _cross_pairs(_members(rare, labels), percent).join(done, ["a", "b"], "left_anti")
     return _verified(sets, written(pairs, "pairs"), percent)
@@ -226,24 +228,16 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     Symmetric differences bound links: 2 * |A xor B| / (|A| + |B|) is at most
     2 (1 - t) / (1 + t), and the bitmaps differ in no more bits than the sets in
-    shingles. The test is part of the joins, so that pairs which fail it are never
-    rows. Members of large components are not compared with each other by key:
-    large components that meet under any key are, and then their members.
+    shingles. The test is part of the join, so that pairs which fail it are never
+    rows. Nor are pairs that meet under a key although they have a shingle in common shortly before it
+    in the order: they meet under that one as well, and under the first one that they have in common in any case.
     """
-    sizes = members.select("rep", "comp").distinct().groupBy("comp").agg((F.count("*") > _LARGE).alias("large"))
-    members = members.join(_several(members), "key", "left_semi").join(sizes, "comp")
-    members = written(members, "members")
-    there = members.select("key", F.col("rep").alias("o"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("large").alias("wide"), *(F.col(x).alias(y) for x, y in zip(_bits("x"), _bits("y"), strict=True)))
+    members = written(members.join(_several(members), "key", "left_semi"), "members")
+    there = members.select("key", F.col("rep").alias("o"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("before").alias("earlier"), *(F.col(x).alias(y) for x, y in zip(_bits("x"), _bits("y"), strict=True)))
     apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_bits("x"), _bits("y"), strict=True)), F.lit(0))
     near = _close(percent) & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
-
-    one = members.filter("NOT large").alias("p").join(there.alias("q"), (F.col("p.key") == F.col("q.key")) & ((F.col("comp") < F.col("other")) | (F.col("wide") & (F.col("comp") != F.col("other")))) & near)
-    comps = members.filter("large").select("key", "comp").distinct()
-    meet = comps.join(comps.select("key", F.col("comp").alias("other")), "key").filter("comp < other").select("comp", "other").distinct()
-    wide = there.filter("wide").drop("key", "wide").dropDuplicates(["o"])
-    lot = members.filter("large").drop("key", "large").dropDuplicates(["rep"]).join(meet, "comp")
-    two = lot.alias("p").join(wide.alias("q"), (F.col("p.other") == F.col("q.other")) & near)
-    return one.select("rep", "n", "o", "m").union(two.select("rep", "n", "o", "m")).transform(_pairs, percent)
+    met = members.alias("p").join(there.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("comp") < F.col("other")) & near & ~F.arrays_overlap("before", "earlier"))
+    return met.select("rep", "n", "o", "m").transform(_pairs, percent)
 
 
 def _joined(done: DataFrame, found: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,6 +253,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+    docs = one_row_each(docs)
     schema = "doc_id long, n long, d1 long, d2 long, bands array<long>"
     entries = written(docs.mapInArrow(_entries(size, bands, rows), schema), "sketches")
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import WordHashes, gram_starts, hashed_words, mix, ngram_hashes, partitions, row_slices, semi_by_size, without, words_of, written
+from corpuslake.llm.common import WordHashes, gram_starts, hashed_words, mix, ngram_hashes, one_row_each, partitions, row_slices, words_of, written
 
 _BLOCK = 1 << 16
 #: Anchors that a task collects before it sends them.
@@ -198,23 +198,13 @@ def _keep(size: int, with_text: bool):
     return run
 
 
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the rows that repeat a doc_id joined; of the others only the ids are dealt out."""
-    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("__again")), "again")
-    if again.isEmpty():
-        return docs
-    own = semi_by_size(docs, again.withColumnRenamed("__again", "doc_id"), ["doc_id"])
-    joined = own.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
-    return without(docs, again, docs["doc_id"] == again["__again"]).unionByName(written(joined, "joined"))
-
-
 def drop_repeated_windows(docs: DataFrame, size: int = 20, gram: int = 12, cells: int = 27, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text)."""
     if not 16 <= cells <= 30 or not 1 <= gram <= size:
         raise ValueError("cells must be 16 to 30 and gram 1 to size")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    docs = _one_row_each(docs)
+    docs = one_row_each(docs)
     shared = spark.sparkContext.broadcast(repeated_cells(docs, size, gram, cells))
 
     found = docs.mapInArrow(_candidates(size, gram, cells, shared), "h1 long, h2 long, doc_id long, start int, run int")
