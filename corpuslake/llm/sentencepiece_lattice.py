@@ -22,7 +22,7 @@ of rare units reaches the driver. The size of the vocabulary changes no result.
 Units of over 60 characters, which the bits of a long can't hold, are folded by the same
 rule in a Python helper where they occur.
 
-Decoding maps ids to the bytes of their pieces and removes the leading space; it stays in the JVM.
+Decoding maps ids to the bytes of their pieces and removes the leading space. Bytes that are no UTF-8 become U+FFFD.
 
 Nulls and odd input: null and empty texts have no ids and decode to the empty text. U+2581 in a text is
 read as a space, as the format has no other. Repeated rows are encoded alike and all returned. An empty table gives an empty result.
@@ -32,7 +32,6 @@ Other columns, of any name, pass through; ``ids``, ``n_tokens`` and ``decoded``
 from __future__ import annotations
 
 import heapq
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -53,8 +52,8 @@ from corpuslake.llm.common import SLICE_BYTES, row_slices, written
 SPACE = "▁"
 #: The most characters of a unit whose bounds fit a long.
 LONGEST = 60
-#: Characters below this code are looked up in an array.
-_BASIC = 1 << 16
+#: Single characters below this code are looked up in an array, others are edges.
+_BASIC = 1 << 10
 #: A fourth of the distinct units that a task counts or remembers before it starts again.
 _UNITS = 75_000
 
@@ -85,7 +84,6 @@ class PieceTable:
 
     def __init__(self, rows: list[tuple[int, str, float]], byte_ids: dict[int, int], kind: str = "bpe", unknown: int = 0):
         self.rows, self.byte_ids, self.kind, self.unknown = rows, byte_ids, kind, unknown
-        self._reach: list[int] | None = None
         self.index = {p: (i, s) for i, p, s in rows}
         self.longest = max((len(p) for _, p, _ in rows), default=1)
         self.units = re.compile(_cuts({p[i : i + 2] for _, p, _ in rows for i in range(len(p) - 1)})).findall
@@ -108,22 +106,20 @@ class PieceTable:
     def fallback(self, text: str) -> list[int]:
         return [self.byte_ids.get(b, self.unknown) for b in text.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
-    def reach(self, spark: SparkSession) -> list[int]:
-        """By the hash of a text's first three characters, the length of the longest piece that begins so."""
-        if self._reach is None:
-            self._reach = [0] * _BASIC
-            begin = F.pmod(F.hash(F.substr("piece", F.lit(1), F.lit(3))), F.lit(_BASIC))
-            for place, most in self.frame(spark).groupBy(begin).agg(F.max(F.length("piece"))).collect():  # one row a piece at most
-                self._reach[place] = most
-        return self._reach
+    def reaches(self, spark: SparkSession) -> DataFrame:
+        """(begin, reach): how long pieces are that begin with these three characters (or consist of one or two)."""
+        reach: dict[str, int] = {}
+        for _, p, _ in self.rows:
+            reach[p[:3]] = max(reach.get(p[:3], 2), len(p))
+        return spark.createDataFrame([r for r in reach.items() if len(r[0]) == 3] or [("", 2)], "begin string, reach int")
 
     def ordered(self) -> list[tuple[int, str, float]]:
         """The rows from the best score on."""
         return sorted(self.rows, key=lambda r: (-r[2], r[0]))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(piece, place): the pieces with their places in that order."""
-        return spark.createDataFrame([(p, k) for k, (_, p, _) in enumerate(self.ordered())], "piece string, place long")
+        """(piece, place): the pieces with their places in that order and, in the lower 20 bits, their ids."""
+        return spark.createDataFrame([(p, (k << 20) + i) for k, (i, p, _) in enumerate(self.ordered())], "piece string, place long")
 
     def bytes_of(self) -> dict[int, bytes]:
         out = {i: p.replace(SPACE, " ").encode() for i, p, _ in self.rows}
@@ -151,8 +147,8 @@ def _count_units(table: PieceTable):
     return run
 
 
-#: Of an edge ``e``: the bits of its two ends, those of the places between them (shifts use the low six bits), and whether both ends are bounds.
-_STOP, _START = "CAST(e AS INT)", "CAST(shiftright(e, 6) AS INT)"
+#: Of an edge ``e``: the bits of its two ends, those of the places between them, and whether both ends are bounds.
+_STOP, _START = "CAST(e & 63L AS INT)", "CAST(shiftright(e, 6) & 63L AS INT)"
 _ENDS, _INNER = f"(shiftleft(1L, {_STOP}) | shiftleft(1L, {_START}))", f"(shiftleft(1L, {_STOP}) - shiftleft(2L, {_START}))"
 _BOUND = "(shiftright({0}, " + _START + ") & shiftright({0}, " + _STOP + ") & 1L) = 1L"
 _ALL = "shiftleft(1L, length(unit) + 1) - 1"
@@ -178,13 +174,13 @@ _MERGES = f"""aggregate(sequence(1, length(unit)), named_struct('bounds', {_ALL}
 _VITERBI = """aggregate(sequence(1, length(unit)), array(struct(0D AS score, 0 AS start)), (best, j) ->
     concat(best, array(array_max(concat(
       array(struct(best[j - 1].score + {unknown}D AS score, j - 1 AS start)),
-      transform(filter(packed, e -> (e & 63L) = j), e -> struct(best[CAST(shiftright(e, 6) & 63L AS INT)].score + scores[CAST(shiftright(e, 12) AS INT)] AS score,
+      transform(filter(packed, e -> (e & 63L) = j), e -> struct(best[CAST(shiftright(e, 6) & 63L AS INT)].score + scores[CAST(shiftright(e, 32) AS INT)] AS score,
         CAST(shiftright(e, 6) & 63L AS INT) AS start)))))),
   best -> aggregate(sequence(1, length(unit)), struct(shiftleft(1L, length(unit)) AS bounds, length(unit) AS at), (s, step) ->
     IF(s.at = 0, s, struct(s.bounds | shiftleft(1L, best[s.at].start) AS bounds, best[s.at].start AS at)), s -> s.bounds))"""
 
 
-_FOLDED = ("packed", "single", "piece_ids", "walked", "bounds", "scores")
+_FOLDED = ("packed", "single", "walked", "bounds", "scores")
 
 
 def _constant(values: list, kind: str) -> Column:
@@ -200,16 +196,15 @@ def lattice_ids(rows: DataFrame, table: PieceTable, keys: list[str], carried: li
     pieces = F.broadcast(table.frame(spark))
     size, start, stop = F.length("unit"), F.col("start"), F.col("stop")
     lattice = rows.select("*", F.explode(F.sequence(F.lit(0), F.coalesce(size, F.lit(1)) - 1)).alias("start"))
-    # How far pieces reach that begin like the text here; single characters of a BPE table are looked up by their code.
-    begin = F.pmod(F.hash(F.substr("unit", start + 1, F.lit(3))), F.lit(_BASIC))
-    far = F.greatest(F.element_at(_constant(table.reach(spark), "int"), begin + 1), F.lit(2))
-    one = (start == 0) | (F.ascii(F.substr("unit", start + 1, F.lit(1))) >= _BASIC)  # one row keeps a unit without edge
+    # Pieces reach as far as those that begin like the text here; single characters of a BPE table are looked up by their code.
+    lattice = lattice.withColumn("begin", F.substr("unit", start + 1, F.lit(3))).join(F.broadcast(table.reaches(spark)), "begin", "left")
+    one = (start == 0) | (F.ascii("begin") >= _BASIC)  # one row keeps a unit without edge
     first = F.when(one, start + 1).otherwise(start + (2 if table.kind == "bpe" else 1))
-    last = F.least(size, start + far)
+    last = F.least(size, start + F.coalesce("reach", F.lit(2)))
     lattice = lattice.filter(first <= last).select("*", F.explode(F.sequence(first, last)).alias("stop"))
     lattice = lattice.withColumn("piece", F.substr("unit", start + 1, stop - start))
     lattice = lattice.join(pieces, "piece", "left").filter("place IS NOT NULL OR (start = 0 AND stop = 1)")
-    # An edge is one long: the place of its piece in the table's order, where it starts and where it stops.
+    # An edge is one long: the place of its piece in the table's order, its id, where it starts and where it stops.
     edge = F.col("place") * 4096 + start * 64 + stop  # null places are left out
     held = [c for c in dict.fromkeys(["unit", *carried]) if c not in keys]
     grouped = lattice.groupBy(*keys).agg(F.sort_array(F.collect_set(edge)).alias("packed"), *(F.first(c).alias(c) for c in held), *more)
@@ -218,7 +213,7 @@ def lattice_ids(rows: DataFrame, table: PieceTable, keys: list[str], carried: li
     for i, p, _ in table.rows:
         if len(p) == 1 and ord(p) < _BASIC:
             single[ord(p)] = i
-    grouped = grouped.withColumns({"single": _constant(single, "int"), "piece_ids": _constant([i for i, _, _ in order], "int")})
+    grouped = grouped.withColumn("single", _constant(single, "int"))
     if table.kind == "bpe":
         grouped = grouped.withColumn("walked", F.expr(_WALK)).withColumn("bounds", F.expr(f"IF(walked = -1L, {_MERGES}, walked)"))
     else:
@@ -232,9 +227,9 @@ def lattice_ids(rows: DataFrame, table: PieceTable, keys: list[str], carried: li
         raw = f"hex(encode({sign}, 'UTF-8'))"
         spelled = f"transform(sequence(1, length({raw}), 2), b -> {at} + shiftleft(CAST(b AS BIGINT), 32) + element_at(array({codes}), CAST(conv(substr({raw}, b, 2), 16, 10) AS INT) + 1))"
     found = f"""IF(ascii({sign}) < {_BASIC}, single[ascii({sign})],
-                   coalesce(piece_ids[CAST(shiftright(get(filter(packed, e -> (e & 4095L) = p * 64 + p + 1), 0), 12) AS INT)], -1))"""
+                   coalesce(CAST(shiftright(get(filter(packed, e -> (e & 4095L) = p * 64 + p + 1), 0), 12) & 1048575L AS INT), -1))"""
     ids = f"""transform(sort_array(concat(
-        transform(filter(packed, e -> {_BOUND.format("bounds")} AND (bounds & {_INNER}) = 0L AND {_INNER} != 0L), e -> shiftleft(shiftright(e, 6) & 63L, 40) + piece_ids[CAST(shiftright(e, 12) AS INT)]),
+        transform(filter(packed, e -> {_BOUND.format("bounds")} AND (bounds & {_INNER}) = 0L AND {_INNER} != 0L), e -> shiftleft(shiftright(e, 6) & 63L, 40) + (shiftright(e, 12) & 1048575L)),
         flatten(transform(filter(sequence(0, length(unit) - 1), p -> (shiftright(bounds, p) & 3L) = 3L), p ->
           get(transform(array({found}), id -> IF(id >= 0, array({at} + id), {spelled})), 0))))), x -> CAST(x & 4294967295L AS INT))"""
     gone = {*_FOLDED, *keys, *({"unit"} - set(carried))}
@@ -511,9 +506,20 @@ def _has_map(kind: T.DataType) -> bool:
 def decode(rows: DataFrame, table: PieceTable, ids: str = "ids") -> DataFrame:
     """``rows`` with decoded, the text of the ids."""
     spelling = table.bytes_of()
-    hexes = [spelling.get(i, b"").hex() for i in range(max(spelling, default=0) + 1)]
-    spelled = F.transform(F.col(ids), lambda i: F.get(F.col("__hexes"), i))
-    raw = F.make_valid_utf8(F.unhex(F.array_join(spelled, "")).cast("string"))
-    text = F.when(raw.startswith(" "), F.substring(raw, 2, 2**31 - 1)).otherwise(raw)
-    held = rows.withColumn("__hexes", F.from_json(F.lit(json.dumps(hexes)), "array<string>"))
-    return held.withColumn("decoded", F.coalesce(text, F.lit(""))).drop("__hexes")
+    spelled = [spelling.get(i, b"") for i in range(max(spelling, default=0) + 1)]
+    flat, ends = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum([0, *map(len, spelled)])
+
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        out: list[str] = []
+        for i in range(0, len(column), 64):  # bounds what is held besides the result
+            part = column.slice(i, 64)
+            own = np.asarray(part.flatten())
+            sizes = ends[own + 1] - ends[own]
+            raw = flat[_ragged(ends[own], sizes)].tobytes()
+            lens = np.asarray(pc.fill_null(pc.list_value_length(part), 0))
+            cut = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *lens])].tolist()
+            out += [raw[a + raw.startswith(b" ", a, b) : b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)]
+        return pa.array(out, pa.string())
+
+    return rows.withColumn("decoded", text(F.col(ids)))

@@ -1,7 +1,9 @@
 """Html text, decontamination and SentencePiece against plain versions, round trips and odd input."""
 
+import html
 import itertools
 import random
+import re
 
 import brute
 import pytest
@@ -45,6 +47,47 @@ def test_cards_inside_an_aside_stay_out():
     assert main_text(f"<body class='x'><div class='has-sidebar'><p>{LONG}</p></div></body>") == LONG
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        f"<div class='article-header'><h1>Title</h1><p>{LONG}</p></div><p>Body</p>",
+        f"<p>Body</p><section id='related-work'><h2>Related</h2><p>{LONG}</p></section>",
+        "<p class='search-result'>Short</p><p>More</p>",
+        "<p><a href=/>only a link</a></p><ul><li><a href=/>a</a></li><li>b</li></ul>",
+        "<p>Where <math><mi>x</mi></math> is.</p>",
+        "<p>One</p>" + "<div class='ad'><p>Buy</p><p>Now</p><p>Here</p><p>!</p></div>" + f"<p>{LONG}</p>" * 9,
+    ],
+)
+def test_nothing_of_an_article_is_dropped(inner):
+    page = f"<body><nav><a href=/>Home</a></nav><article>{inner}</article><footer>Foot</footer></body>"
+    plain = re.sub(r"<div class='ad'>.*?</div>", "", inner)
+    blocks = [html.unescape(re.sub(r"<[^>]*>", "", b)) for b in re.split(r"</?(?:p|div|h1|h2|section|ul|li)\b[^>]*>", plain)]
+    assert main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks if b.strip())
+
+
+def test_the_sums_decide_on_a_page_without_article():
+    """Against a plain version of surge and dive over lines and their lengths."""
+    draw = random.Random(3)
+    for _ in range(40):
+        lines = [("x" * draw.choice([3, 10, 30, 90]), draw.random() < 0.4) for _ in range(draw.randrange(1, 25))]
+        page = "<body>" + "".join(f"<p class=menu>{t}</p>" if boiler else f"<p>{t}</p>" for t, boiler in lines) + "</body>"
+        weights = [0 if boiler else len(t) for t, boiler in lines]
+        groups, current = [], []
+        for k in range(len(lines)):
+            if sum(weights[max(0, k - 2) : k + 1]):
+                current.append(k)
+            elif current:
+                groups, current = [*groups, current], []
+        groups = [g for g in [*groups, *[current] * bool(current)] if max(sum(weights[max(0, k - 2) : k + 1]) for k in g) >= 80] or [list(range(len(lines)))]
+        most = max(sum(weights[k] for k in g) for g in groups)
+        wanted = [lines[k][0] for g in groups if sum(weights[k] for k in g) >= 0.2 * most for k in g if weights[k]]
+        assert main_text(page) == "\n\n".join(wanted)
+
+
+def test_a_very_long_page():
+    assert main_text("<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>").count(LONG) == 20_000
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("<p>", ""), ("plain", "plain"), ("<p>a  b\n c<p>d", "a b c\n\nd"), ("<p>x<script>never closed", "x"), ("a < b", "a < b"), ("<b>a</b>b", "ab")])
 def test_main_text_of_odd_pages(page, text):
     assert main_text(page) == text
