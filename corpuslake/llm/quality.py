@@ -12,7 +12,7 @@ id); the model has a fixed size. Scoring reads every whole text within its task.
 
 Nulls and odd input: a null text is scored as the empty one, by the bias and the
 statistics of an empty text. Labels of a doc_id that has several count with their mean; labels
-without document teach nothing. Without labels the score is 0.5. Rows that repeat are scored
+without document teach nothing, and of texts that repeat a doc_id the smallest one is learned from. Without labels the score is 0.5. Rows that repeat are scored
 alike. Other columns pass through; one with the name of a result column is replaced.
 """
 
@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+_OTHER = re.compile(r"[\W\d_]+")
 _STATS = 14
 
 
 def _statistics(text: str, counts: Counter, tokens: int) -> list[float]:
     n = max(len(text), 1)
     raw = text.encode("utf-8", "replace")
-    letters = sum(map(str.isalpha, text)) / n if n < 4000 else len(re.findall(r"[^\W\d_]", text)) / n
+    letters = len(_OTHER.sub("", text)) / n
     upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text)) / n
     digits = len(re.findall(r"\d", text)) / n
     spaces = text.count(" ") / n
@@ -116,10 +117,11 @@ class FactorisationMachine:
                 p = 1 / (1 + np.exp(-np.clip(y, -30, 30)))
                 g = np.repeat(((p - labels[part]) * weights[part] / len(part)).astype(np.float32), own)
                 self.b -= np.float32(rate * g[first].sum())
-                used, where = np.unique(sl, return_inverse=True)
-                gw, gv = np.zeros(len(used), np.float32), np.zeros((len(used), self.rank), np.float32)
-                np.add.at(gw, where, g * x)
-                np.add.at(gv, where, (g * x)[:, None] * (np.repeat(s, own, axis=0) - self.v[sl] * x[:, None]))
+                order = np.argsort(sl, kind="stable")
+                first = np.flatnonzero(np.diff(sl[order], prepend=-1))
+                used, gx = sl[order][first], g * x
+                gw = np.add.reduceat(gx[order], first)
+                gv = np.add.reduceat((gx[:, None] * (np.repeat(s, own, axis=0) - self.v[sl] * x[:, None]))[order], first)
                 for param, grad, (m, u) in zip((self.w, self.v), (gw, gv), state, strict=True):
                     grad = grad + decay * param[used]
                     m[used] = 0.9 * m[used] + 0.1 * grad
@@ -144,7 +146,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, **machin
     """A machine from ``labels`` (doc_id, quality) and the texts of ``docs``."""
     rows = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by `sample`
-    known = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    known = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a row each label
     model = FactorisationMachine(**machine)
     bits = model.bits
 
@@ -155,7 +157,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, **machin
                 slots, values, _ = made.of([t])
                 yield pd.DataFrame({"doc_id": [i], "quality": [q], "slots": [slots], "x": [values]})
 
-    got = known.mapInPandas(features, "doc_id long, quality double, slots array<long>, x array<float>").limit(2 * sample).toPandas()
+    got = known.mapInPandas(features, "doc_id long, quality double, slots array<long>, x array<float>").toPandas()
     if not len(got):
         return model
     got = got.sort_values("doc_id", kind="stable")
