@@ -7,9 +7,9 @@ dictionary's share of the evidence the same at the end of a long text as at its
 start. The score is the margin, the share by which the smallest total lies below
 the next one; a document is rejected when its margin is below ``narrow`` or it has no letter.
 
-Fit: at most ``per_language`` labelled rows of each language, chosen by the hash of their
-id, and at most ``piece`` * 4 characters of each, so the model is bounded by the number of
-languages. Prediction reads every whole text.
+Fit: labelled texts are cut into parts of ``piece`` * 4 characters, from the first to the last one, and at most ``per_language`` parts of each
+language are drawn by a hash of id and place, so the model is bounded by the number of
+languages. A part passes a threshold from its language's count first, so that no task gets a whole language. Prediction reads every whole text.
 
 A larger dictionary must not win by its size. Each language has the largest of a few sizes that its
 rows fill (the smallest, if none). All are compared at the smallest size first; where the best one has
@@ -29,12 +29,13 @@ from collections.abc import Callable
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 #: Sizes at which dictionaries are compared; beyond the last one only the longest of a fit.
 _SIZES = tuple(k << 10 for k in (8, 16, 32, 64, 96))
+#: What may be a letter; of these, signs like the superscript two are none.
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -44,11 +45,15 @@ def _letters(text: str) -> str:
     return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 class LanguageModel:
     """Dictionaries by language, the most frequent language first."""
 
-    def __init__(self, dictionaries: dict[str, bytes], levels: tuple[int, int] = (12, 6), short: int = 2000, piece: int = 1000):
-        self.dictionaries, self.levels, self.short, self.piece = dictionaries, levels, short, piece
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 12, piece: int = 1000):
+        self.dictionaries, self.level, self.piece = dictionaries, level, piece
 
     def rounds(self) -> list[tuple[int, list[int]]]:
         """(dictionary size, places of the languages compared at it), from the smallest size on."""
@@ -57,28 +62,24 @@ class LanguageModel:
         own = [max([s for s in sizes if s <= n], default=sizes[0]) for n in lengths]
         return [(s, [i for i, o in enumerate(own) if o >= s]) for s in sorted(set(own))]
 
-    def encoders(self) -> list[list[dict[int, zstandard.ZstdCompressor]]]:
-        """For short texts, which need the finer search, and for the others: those of each round, by place of the language."""
+    def encoders(self) -> list[dict[int, zstandard.ZstdCompressor]]:
+        """Those of each round, by place of the language."""
         out, raws = [], list(self.dictionaries.values())
-        for level in self.levels:
-            out.append([])
-            for size, places in self.rounds():
-                made = {}
-                for i in places:
-                    d = zstandard.ZstdCompressionDict(raws[i][-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                    d.precompute_compress(level=level)
-                    made[i] = zstandard.ZstdCompressor(dict_data=d, write_content_size=False)
-                out[-1].append(made)
+        for size, places in self.rounds():
+            out.append({})
+            for i in places:
+                d = zstandard.ZstdCompressionDict(raws[i][-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=self.level)
+                out[-1][i] = zstandard.ZstdCompressor(dict_data=d, write_content_size=False)
         return out
 
     def classify(self, text: str | None, encoders) -> tuple[str, float]:
-        if not text or not self.dictionaries or not _LETTER.search(text):
+        if not text or not self.dictionaries or not has_letter(text):
             return UNKNOWN, 0.0
         raw = _letters(text).encode("utf-8", "replace")
         step = self.piece
         pieces = [raw[i : i + step] for i in range(0, len(raw), step)]
-        rounds = encoders[len(raw) > self.short]
-        for made, longer in zip(rounds, [*rounds[1:], {}], strict=True):
+        for made, longer in zip(encoders, [*encoders[1:], {}], strict=True):
             totals = {i: sum(len(e.compress(p)) for p in pieces) for i, e in made.items()}
             best = min(totals, key=totals.__getitem__)
             if best not in longer:
@@ -102,21 +103,27 @@ def fit_languages(labelled: DataFrame, per_language: int = 300, languages: int |
 
     All languages are learned, or the ``languages`` most frequent ones if given.
     """
-    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    most = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang")
+    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text != ''").select("doc_id", "lang", "text")
+    size = piece * 4
+    places = F.ceil(F.length("text") / size)
+    most = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(places).alias("parts")).orderBy(F.desc("rows"), "lang")
     if languages is not None:
         most = most.limit(languages)
-    texts: dict[str, list[str]] = {r["lang"]: [] for r in most.collect()}  # one row for each language
-    if languages is not None:
-        labelled = labelled.filter(F.col("lang").isin(list(texts)))
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(turn)).filter(F.col("n") <= per_language)
-    ids = chosen.select("doc_id", "lang").distinct()  # bounded: per_language rows of each language
-    parts = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", 1, piece * 4).alias("part"))
-    again = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "part")  # ids may repeat
-    parts = parts.withColumn("n", F.row_number().over(again)).filter(F.col("n") <= per_language)
-    for r in sorted(parts.collect(), key=lambda r: (r["lang"], r["doc_id"], r["part"])):
-        texts[r["lang"]].append(_letters(r["part"]))
+    counts = most.collect()  # one row for each language
+    texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}
+    few = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * per_language / r["parts"])) for r in counts], "lang string, few double")
+    # The share that passes holds twice as many parts as are wanted; the first ones by hash are taken.
+    parts = labelled.join(F.broadcast(few), "lang").select("*", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("at"))
+    turn = F.xxhash64("doc_id", "at")
+    parts = parts.filter(F.pmod(turn, F.lit(1 << 30)) < F.col("few") * (1 << 30)).select("lang", "doc_id", turn.alias("turn"), F.substr("text", F.col("at") * size + 1, F.lit(size)).alias("part"))
+    drawn: dict[str, list] = {lang: [] for lang in texts}
+    for r in parts.toLocalIterator():
+        own = drawn[r["lang"]]
+        own.append((r["turn"] & (1 << 30) - 1, r["turn"], r["part"]))
+        if len(own) >= 4 * per_language:  # ids that repeat can't make it grow
+            own[:] = sorted(own)[:per_language]
+    for lang, own in drawn.items():
+        texts[lang] = [_letters(part) for _, _, part in sorted(own)[:per_language]]
     cut = {k: "".join(v).encode("utf-8", "replace") for k, v in texts.items() if v}
     return LanguageModel({k: v[-dictionary:] for k, v in cut.items()}, piece=piece)
 

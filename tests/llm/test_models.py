@@ -1,14 +1,17 @@
 """Quality and language models: held-out accuracy, the identity of the machine, odd input."""
 
-import random
 import itertools
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from corpuslake.llm.language import UNKNOWN, LanguageModel, bucket, fit_languages, identify
-from corpuslake.llm.quality import _STATS, FactorisationMachine, Features, fit_quality, score_quality
+from corpuslake.llm.quality import _STATS, FactorisationMachine, Features, _statistics, fit_quality, score_quality
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -119,3 +122,41 @@ def test_a_rare_language_shortens_no_dictionary(spark):
     assert [(size, len(places)) for size, places in model.rounds()] == [(8 << 10, 4), (96 << 10, 2)]
     held = spark.createDataFrame([(i, made_up(lang, 80, "held"), lang) for i, lang in enumerate(["aa", "bb", "dd"])] + [(9, "eine kurze zeile", "cc")], "doc_id long, text string, lang string")
     assert identify(held, model).filter("lang_pred = lang").count() == 4
+
+
+def test_signs_that_are_no_letters_have_no_language():
+    model = LanguageModel({"aa": b" lorem ipsum " * 9, "bb": b" dolor sit " * 9})
+    assert all(model.classify(t, model.encoders()) == (UNKNOWN, 0.0) for t in ("\u00b2 \u00bd", "\u2462", "12 + 3", ""))
+    assert model.classify("\u00b2 lorem", model.encoders())[0] == "aa"
+
+
+def test_the_choice_equals_plain_compression(spark):
+    """Short and long texts against one compressor a language made here."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang")
+    model = fit_languages(docs, per_language=20)
+    assert len({len(d) for d in model.dictionaries.values()}) >= 1 and len(model.rounds()) == 1
+    size = model.rounds()[0][0]
+    for text in [r["text"] for r in docs.filter("length(text) > 0").limit(60).collect()]:
+        raw = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+        raw = f" {raw} ".encode()
+        totals = {}
+        for lang, d in model.dictionaries.items():
+            made = zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(d[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+            totals[lang] = sum(len(made.compress(raw[i : i + 1000])) for i in range(0, len(raw), 1000))
+        least = min(totals.values())
+        lang, score = model.classify(text, model.encoders())
+        if lang != UNKNOWN:
+            second = sorted(totals.values())[1]
+            assert abs(totals[lang] - least) <= len(raw) // 1000 * 2 + 2 and abs(score - (second - least) / second) < 0.05
+
+
+def test_parts_come_from_the_ends_of_texts_too(spark):
+    rows = [(i, "\u00e4 " * 4000 + "qqq " * 4000, "aa") for i in range(40)]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=30)
+    assert b"qqq" in model.dictionaries["aa"] and "\u00e4".encode() in model.dictionaries["aa"]
+
+
+@pytest.mark.parametrize("times", [1, 5000])
+def test_the_share_of_letters_does_not_depend_on_the_length(times):
+    text = "\u2167\u00b2a" * times
+    assert _statistics(text, Counter(), 1)[3] == _statistics(text[:3], Counter(), 1)[3]
