@@ -1,24 +1,24 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line's weight is the
-length of its text; it is 0 for lines of navigation, headers, footers, sidebars, notices,
-adverts, forms and comments (by element, role, id or class), for lines that are mostly link text and, where
-the page marks its article, for lines outside it. The weights of ``window`` lines in a row are summed:
-text surges where the sum rises over ``surge`` characters and dives where it falls to 0. Of the ranges
-between surge and dive the one with most text is the page's; ranges that hold at
-least ``share`` of its text are kept too, as articles are interrupted by adverts. A page whose sums never
-surge keeps all its lines with a weight. Lines of weight 0 within a range are left out.
-
-A page that marks its article (<article>, <main>) is cut by tag: all lines with a weight in it stay, and
-``window``, ``surge`` and ``share`` don't act, as the author's mark is exact and short lines between
-adverts belong to it. An article inside an element that counts as navigation and so on is read
+Markup is stripped to lines, one for each block element. The weights of ``window`` lines in a row are summed:
+text surges where the sum rises over 0 and dives where it falls to 0 again. A range between surge and dive counts
+if its largest sum reaches ``surge``, and it is the page's text if it also holds at least ``share`` of the text of the largest
+range, as articles are interrupted by adverts. A page where no sum reaches ``surge`` keeps all its lines with a weight.
+Lines of weight 0 within a range are left out.
+
+Markup only weights the lines. A line weighs the length of its text. It weighs 0 if it belongs to navigation,
+a header, footer, sidebar, notice, advert, form or to comments (by element, role, id or class) or is mostly link text. Where a page marks
+its article (<article>, <main>), lines outside it weigh 0 and lines inside it weigh ``surge`` more, link text or not, so that the sums surge
+at its first line and no range with such a line falls short of ``share``. Inside an article only a class or id that is such a word as a whole
+(``ad``, ``sidebar``) names an aside, not one that contains it (``article-header``, ``related-work``).
+An article inside an element that counts as navigation and so on is read
 where the rest of the page has no mark and never surges. A class that says what a page has or lacks
 (``has-sidebar``, ``no-sidebar``) names no such element.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by an empty line. Every whole page is read and no text is cut.
 
-Nulls and odd input: null and empty pages, and pages without text, give the empty text. Markup that
+Nulls and odd input: null and empty pages, and pages without text, give the empty text. Of ranges with equal text all count. Markup that
 is never closed ends with the page or with the next block of the article. Repeated rows give the same
 text. Other columns pass through; ``text`` and ``n_chars`` are replaced.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.I | re.S,
 )
@@ -46,7 +46,7 @@ _ASIDE = frozenset("nav footer aside form menu dialog button".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MARK = re.compile(r"\b(?:id|class|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsbygoogle|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|"
+    r"(?:^|[\s_-])(?:ads?(?:[_-](?:slot|box|unit|wrapper|container))?|advert\w*|adsbygoogle|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|"
     r"sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|comments?|disqus|replies|respond|share|sharing|"
     r"social|related|recommend\w*|complementary|contentinfo|search|login|pagination|pager|toolbar|skip\w*)(?:$|[\s_-])",
     re.I,
@@ -61,7 +61,8 @@ def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _ASIDE or tag == "header" and not in_article:
         return True
     if tag in ("div", "section", "ul", "ol", "p", "span", "table", "aside", "header", "details", "figure"):
-        return any(_BOILER.search(name) and not _STATE.match(name) for m in _MARK.findall(attributes) for name in m.strip("\"'").split())
+        names = _BOILER.fullmatch if in_article else _BOILER.search
+        return any(names(name) and not _STATE.match(name) for m in _MARK.findall(attributes) for name in m.strip("\"'").split())
     return False
 
 
@@ -76,7 +77,7 @@ class _Lines:
     def end(self, aside: bool, in_article: bool) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
-            mostly_links = self.linked > 0.6 * sum(map(len, self.parts))
+            mostly_links = not in_article and self.linked > 0.6 * sum(map(len, self.parts))
             self.out.append((text, 0 if aside or mostly_links else len(text), in_article))
         self.parts, self.linked = [], 0
 
@@ -144,22 +145,22 @@ def main_text(page: str | None, window: int = 3, surge: int = 80, share: float =
         again = _strip(page or "", wrapped=True)
         lines = again if any(inside and weight for _, weight, inside in again) else lines
     if any(inside and weight for _, weight, inside in lines):  # the page marks its article
-        lines = [(text, weight if inside else 0, inside) for text, weight, inside in lines]
-        share = 0.0
-    weights, sums = [w for _, w, _ in lines], _sums(lines, window)
-    ranges: list[tuple[int, int, int]] = []
+        lines = [(text, weight + surge if inside and weight else 0, inside) for text, weight, inside in lines]
+    sums = _sums(lines, window)
+    ranges: list[tuple[int, bool, int, int]] = []  # text, whether a line of the article is in it, first line, line behind the last one
     start = None
     for i, total in enumerate([*sums, 0]):
         if start is None and total > 0:
             start = i
         elif start is not None and total == 0:
-            if share == 0 or max(sums[start:i]) >= surge:
-                ranges.append((sum(weights[start:i]), start, i))
+            if max(sums[start:i]) >= surge:
+                held = [line for line in lines[start:i] if line[1]]
+                ranges.append((sum(len(text) for text, _, _ in held), any(inside for _, _, inside in held), start, i))
             start = None
     if not ranges:
-        ranges = [(sum(weights), 0, len(weights))]
+        ranges = [(0, True, 0, len(lines))]
     most = max(ranges)[0]
-    return "\n\n".join(text for total, a, b in ranges if total >= share * most for text, w, _ in lines[a:b] if w)
+    return "\n\n".join(text for total, marked, a, b in ranges if marked or total >= share * most for text, weight, _ in lines[a:b] if weight)
 
 
 def extract_text(pages: DataFrame, **limits) -> DataFrame:
