@@ -252,6 +252,6 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 13, agree
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """``docs`` without the contaminated documents."""
+    """``docs`` without the contaminated documents. Rows that repeat a doc_id are one document, which goes as a whole."""
     dirty = written(contaminations(docs, benchmark, **limits).select(F.col("doc_id").alias("__dirty")).distinct(), "dirty")
     return without(docs, dirty, docs["doc_id"] == dirty["__dirty"])

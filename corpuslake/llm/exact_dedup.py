@@ -122,7 +122,10 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps (columns unchanged)."""
-    gone = exact_groups(docs, keep).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone"))
+    """``docs`` without the rows whose text another row keeps (columns unchanged).
+
+    Rows are told apart by doc_id and text, so that of rows that repeat a doc_id only those go whose own text is kept elsewhere.
+    """
+    gone = exact_groups(docs, keep).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest"))
     gone = written(gone, "copies")
-    return without(docs, gone, docs["doc_id"] == gone["__gone"])
+    return without(docs, gone, (docs["doc_id"] == gone["__gone"]) & (sha256(normalised(docs["text"])) == gone["__digest"]))

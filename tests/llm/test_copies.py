@@ -127,6 +127,11 @@ def test_exact_dedup_of_odd_input(spark):
     assert {r["doc_id"] for r in drop_exact_copies(docs, keep="smallest").collect()} == {1, None}
 
 
+def test_a_text_under_a_repeated_id_is_not_lost(spark):
+    docs = spark.createDataFrame([(1, "x"), (1, "y"), (5, "X")], SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in drop_exact_copies(docs).collect()) == [(1, "y"), (5, "X")]
+
+
 def test_the_index_merges_its_runs(spark, tmp_path):
     index = DigestIndex(spark, str(tmp_path / "index"), fan_in=3)
     for b in range(5):
