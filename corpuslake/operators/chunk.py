@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters of a chunk.
 MOST, TARGET, LEAST, OVERLAP = 4000, 2500, 100, 200
 
-CHUNKS = "array<struct<page_number:int,chunk_index:int,content:string>>"
-_IMAGE = re.compile(r"<!--\s*image\s*-->", re.I)
+#: A placeholder that stands for an image.
+_IMAGE = r"(?i)<!--\s*image\s*-->"
 
 
 def split_pieces(text: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:
@@ -26,79 +23,70 @@ def chunk_id(document: Column, page: Column, index: Column) -> Column:
     return F.concat(document.cast("string"), F.lit("::p"), page.cast("string"), F.lit("::c"), index.cast("string"))
 
 
-def _cleaned(section: str) -> str:
-    out = re.sub(r"[ \t]+", " ", _IMAGE.sub(" ", section))
-    return re.sub(r"\n[ \t]*\n[ \t]*\n+", "\n\n", out).strip()
-
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
-def _furniture(text: str) -> bool:
-    body = _IMAGE.sub(" ", text)
-    dense = max(len(re.sub(r"\s", "", body)), 1)
-    ruled = sum(map(len, re.findall(r"[.\-_=·•*]{4,}", body)))
-    return round(ruled / dense, 3) > 0.3 and round(len(re.findall("[A-Za-z]", body)) / dense, 3) < 0.35
 
+def _cleaned(section: Column) -> Column:
+    out = F.regexp_replace(F.regexp_replace(section, _IMAGE, " "), r"[ \t]+", " ")
+    return _stripped(F.regexp_replace(out, r"\n[ \t]*\n[ \t]*\n+", "\n\n"))
 
-class Chunker:
-    """Takes sections in order; gives back the chunks that each one completes."""
 
-    def __init__(self) -> None:
-        self.gathered, self.held = "", None
-        self.page = self.index = 0
-        self.tail = ""
+def furniture(text: Column) -> Column:
+    """Whether a text is rules, dot leaders and form lines instead of words (TXT-04)."""
+    body = F.regexp_replace(text, _IMAGE, " ")
+    dense = F.greatest(F.length(F.regexp_replace(body, r"(?U)\s", "")), F.lit(1))
+    ruled = F.length(body) - F.length(F.regexp_replace(body, r"[.\-_=·•*]{4,}", ""))
+    letters = F.length(F.regexp_replace(body, "[^A-Za-z]", ""))
+    return (F.round(ruled / dense, 3) > 0.3) & (F.round(letters / dense, 3) < 0.35)
 
-    def _release(self, block: str | None) -> list[tuple[int, int, str]]:
-        if block is None:
-            return []
-        out, starts = [], range(0, max(len(block) - OVERLAP, 1), MOST - OVERLAP) if len(block) > MOST else [0]
-        for part, at in enumerate(starts):
-            own = block[at : at + MOST].strip()
-            first = self.index == 0
-            if own and (first or len(own) >= LEAST and not _furniture(own)):
-                out.append((self.page, self.index, f"{self.tail}\n\n{own}" if part == 0 and self.tail else own))
-                self.index, self.tail = self.index + 1, own[-OVERLAP:]
-        self.page += 1
-        return out
 
-    def push(self, section: str) -> list[tuple[int, int, str]]:
-        section = _cleaned(section)
-        if not section:
-            return []
-        self.gathered = f"{self.gathered}\n\n{section}" if self.gathered else section
-        if len(self.gathered) < TARGET:
-            return []
-        done, self.held, self.gathered = self._release(self.held), self.gathered, ""
-        return done
+def _block_starts(sizes: Column) -> Column:
+    """The sections (from 1) at which blocks start: a block ends with the section that brings it to ``TARGET`` characters.
 
-    def end(self) -> list[tuple[int, int, str]]:
-        done: list[tuple[int, int, str]] = []
-        if self.gathered and self.held is not None and len(self.gathered) < LEAST:
-            self.held += "\n\n" + self.gathered
-        elif self.gathered:
-            done, self.held = self._release(self.held), self.gathered
-        done += self._release(self.held)
-        self.gathered, self.held = "", None
-        return done
+    The fold sees lengths only. A last block of under ``LEAST`` characters belongs to the one before it.
+    """
+    none = F.struct(F.lit(TARGET).alias("size"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("seen"))
 
+    def add(block: Column, size: Column) -> Column:
+        at, full = block["seen"] + 1, block["size"] >= TARGET
+        return F.struct(
+            F.when(full, size).otherwise(block["size"] + 2 + size).alias("size"),
+            F.when(full, F.array_append(block["starts"], at)).otherwise(block["starts"]).alias("starts"), at.alias("seen"),
+        )
 
-def chunk_text(text: str | None) -> list[tuple[int, int, str]]:
-    if not text or not text.strip():
-        return []
-    chunker = Chunker()
-    return [c for section in re.split(r"\n{2,}", text) for c in chunker.push(section)] + chunker.end()
+    def settle(block: Column) -> Column:
+        several = F.size(block["starts"]) > 1
+        return F.when(several & (block["size"] < LEAST), F.slice(block["starts"], 1, F.size(block["starts"]) - 1)).otherwise(block["starts"])
 
+    return F.aggregate(sizes, none, add, settle)
 
-def chunks_of(column) -> Column:
-    return F.pandas_udf(_chunked, CHUNKS)(column)
 
+def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with chunks (page_number, chunk_index, content); a text without a word has none.
 
-def _chunked(texts: pd.Series) -> pd.Series:
-    names = ("page_number", "chunk_index", "content")
-    return pd.Series([[dict(zip(names, c, strict=True)) for c in chunk_text(t)] for t in texts], dtype=object)
+    Sections are gathered to blocks and blocks are split into pieces, whose page is the number of their block. The
+    first piece that isn't blank stays in any case, others if they are long enough and no furniture. The first piece of a
+    block is preceded by the end of the chunk before it.
+    """
+    sections = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n{2,}"), _cleaned), lambda s: s != "")
+    cut = docs.withColumn("__sections", sections)
+    cut = cut.withColumn("__starts", _block_starts(F.transform("__sections", F.length)))
+    stops = lambda k: F.coalesce(F.get("__starts", k + 1), F.size("__sections") + 1)
+    cut = cut.withColumn("__blocks", F.transform("__starts", lambda at, k: F.array_join(F.slice("__sections", at, stops(k) - at), "\n\n")))
+    piece = lambda page: lambda own, part: F.struct(page.alias("page"), part.alias("part"), _stripped(own).alias("own"))
+    pieces = F.flatten(F.transform("__blocks", lambda block, page: F.transform(split_pieces(block), piece(page))))
+    cut = cut.withColumn("__pieces", F.filter(pieces, lambda p: p["own"] != ""))
+    cut = cut.withColumn("__kept", F.filter("__pieces", lambda p, k: (k == 0) | ((F.length(p["own"]) >= LEAST) & ~furniture(p["own"]))))
+    before = lambda k: F.concat(F.right(F.get("__kept", k - 1)["own"], F.lit(OVERLAP)), F.lit("\n\n"))
+    content = lambda p, k: F.concat(F.when((p["part"] == 0) & (k > 0), before(k)).otherwise(""), p["own"])
+    chunks = F.transform("__kept", lambda p, k: F.struct(p["page"].alias("page_number"), k.alias("chunk_index"), content(p, k).alias("content")))
+    return cut.withColumn("chunks", chunks).drop("__sections", "__starts", "__blocks", "__pieces", "__kept")
 
 
 def chunk_documents(docs: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
     """One row for each chunk: id, key, page_number, chunk_index, content."""
-    rows = docs.select(key, F.explode(chunks_of(text)).alias("c")).select(key, "c.*")
+    rows = with_chunks(docs.select(key, text), text).select(key, F.explode("chunks").alias("c")).select(key, "c.*")
     return rows.select(chunk_id(F.col(key), F.col("page_number"), F.col("chunk_index")).alias("id"), key, "page_number", "chunk_index", "content")
 
 

@@ -74,27 +74,26 @@ def test_quality(spark, value, verdict):
         assert row.placeholders == 4
 
 
-def test_chunker_cases():
+def test_chunk_cases(spark):
     join = "\n\n".join
-    assert chunk.chunk_text(None) == chunk.chunk_text(" \n ") == []
-    assert len(chunk.chunk_text(join(["short one", "short two", "short three"]))) == 1
-    assert 2 <= len(chunk.chunk_text(join(["a" * 300] * 20))) <= 4
-    long = chunk.chunk_text("b" * 9000)
-    assert [len(c[2]) for c in long][0] == 4000 and all(len(c[2]) <= 4000 for c in long)
-    two = chunk.chunk_text(join(["c" * 2600, "d" * 2600]))
-    assert two[1][2].startswith("c" * 200 + "\n\n") and [c[0] for c in two] == [0, 1]
-    tail = chunk.chunk_text(join(["e" * 2600, "tiny"]))
-    assert len(tail) == 1 and tail[0][2].endswith("tiny")
-
-
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(1, 3000), max_size=12))
-def test_chunker_streamed_is_whole(sizes):
-    sections = [chr(97 + i % 26) * n for i, n in enumerate(sizes)]
-    c = chunk.Chunker()
-    streamed = [x for s in sections for x in c.push(s)] + c.end()
-    assert streamed == chunk.chunk_text("\n\n".join(sections))
-    assert [x[1] for x in streamed] == list(range(len(streamed)))
+    draw = random.Random(4)
+    mixed = [[chr(97 + i % 26) * draw.choice([1, 50, 99, 100, 900, 2600, 5000]) for i in range(draw.randrange(1, 9))] for _ in range(30)]
+    texts = {
+        "none": None, "blank": " \n ", "short": join(["short one", "short two", "short three"]), "many": join(["a" * 300] * 20), "long": "b" * 9000,
+        "two": join(["c" * 2600, "d" * 2600]), "tail": join(["e" * 2600, "tiny"]), "rule": join(["f" * 2600, "-" * 2600, "g" * 2600]), "image": "a <!-- Image --> b", "edge": "h" * 4000,
+    } | {f"mixed{i}": join(m) for i, m in enumerate(mixed)}
+    rows = chunk.with_chunks(spark.createDataFrame(list(texts.items()), "name string, text string")).collect()
+    got = {r["name"]: [(c.page_number, c.chunk_index, c.content) for c in r["chunks"]] for r in rows}
+    assert got["none"] == got["blank"] == [] and got["image"] == [(0, 0, "a b")] and len(got["short"]) == 1 and 2 <= len(got["many"]) <= 4
+    assert [len(c[2]) for c in got["long"]] == [4000, 4000, 1400] and len(got["edge"]) == 1
+    assert got["two"][1][2].startswith("c" * 200 + "\n\n") and [c[0] for c in got["two"]] == [0, 1]
+    assert len(got["tail"]) == 1 and got["tail"][0][2].endswith("tiny")
+    assert [(c[0], c[1]) for c in got["rule"]] == [(0, 0), (2, 1)] and got["rule"][1][2].startswith("f" * 200 + "\n\n")
+    for i, sections in enumerate(mixed):  # every section is in some chunk, but for what is left of a block that is split
+        chunks = got[f"mixed{i}"]
+        assert [c[1] for c in chunks] == list(range(len(chunks))) and all(len(c[2]) <= 4202 for c in chunks)
+        whole = [s for s in sections if len(s) == 900]
+        assert all(any(s in c[2] for c in chunks) or sum(map(len, sections)) > 4000 for s in whole)
 
 
 def test_ladder(spark):
