@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpuslake.llm.common import SLICE_BYTES, row_slices, written
+from corpuslake.llm.common import SLICE_BYTES, row_slices, small_batches, written
 
 SPACE = "▁"
 #: The most characters of a unit whose bounds fit a long.
@@ -55,7 +55,7 @@ LONGEST = 60
 #: Single characters below this code are looked up in an array, others are edges.
 _BASIC = 1 << 10
 #: A fourth of the distinct units that a task counts or remembers before it starts again.
-_UNITS = 75_000
+_UNITS = 50_000
 
 
 def default_model() -> str:
@@ -475,6 +475,7 @@ def _frequent(counted: DataFrame, most: int) -> DataFrame:
 def encode(docs: DataFrame, table: PieceTable, vocabulary: int = 1_500_000, keep_text: bool = True) -> DataFrame:
     """``docs`` (column text) with ids (array<int>) and n_tokens; without text if not ``keep_text``."""
     spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
+    small_batches(spark)
     counted = docs.select(text.alias("text")).mapInArrow(_count_units(table), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     often = encode_units(_frequent(written(counted, "units"), vocabulary), table)
     blobs = often.mapInArrow(_packed_units, "n binary, hash binary, check binary, size binary, ids binary").collect()  # at most `vocabulary` units
@@ -505,6 +506,7 @@ def _has_map(kind: T.DataType) -> bool:
 
 def decode(rows: DataFrame, table: PieceTable, ids: str = "ids") -> DataFrame:
     """``rows`` with decoded, the text of the ids."""
+    small_batches(rows.sparkSession)
     spelling = table.bytes_of()
     spelled = [spelling.get(i, b"") for i in range(max(spelling, default=0) + 1)]
     flat, ends = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum([0, *map(len, spelled)])
@@ -520,6 +522,7 @@ def decode(rows: DataFrame, table: PieceTable, ids: str = "ids") -> DataFrame:
             lens = np.asarray(pc.fill_null(pc.list_value_length(part), 0))
             cut = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *lens])].tolist()
             out += [raw[a + raw.startswith(b" ", a, b) : b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)]
+        pa.default_memory_pool().release_unused()
         return pa.array(out, pa.string())
 
     return rows.withColumn("decoded", text(F.col(ids)))
