@@ -54,7 +54,7 @@ SPACE = "▁"
 LONGEST = 60
 #: Single characters below this code are looked up in an array, others are edges.
 _BASIC = 1 << 10
-#: A fourth of the distinct units that a task counts or remembers before it starts again.
+#: A fourth of the distinct units that a task remembers before it starts again, a sixth of those that it counts.
 _UNITS = 50_000
 
 
@@ -106,12 +106,12 @@ class PieceTable:
     def fallback(self, text: str) -> list[int]:
         return [self.byte_ids.get(b, self.unknown) for b in text.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
-    def reaches(self, spark: SparkSession) -> DataFrame:
-        """(begin, reach): how long pieces are that begin with these three characters (or consist of one or two)."""
-        reach: dict[str, int] = {}
+    def lengths(self, spark: SparkSession) -> DataFrame:
+        """(begin, lengths): how long the pieces are that begin with these three characters, and two."""
+        found: dict[str, set[int]] = {}
         for _, p, _ in self.rows:
-            reach[p[:3]] = max(reach.get(p[:3], 2), len(p))
-        return spark.createDataFrame([r for r in reach.items() if len(r[0]) == 3] or [("", 2)], "begin string, reach int")
+            found.setdefault(p[:3], {2}).add(len(p))
+        return spark.createDataFrame([(b, sorted(n)) for b, n in found.items() if len(b) == 3] or [("", [2])], "begin string, lengths array<int>")
 
     def ordered(self) -> list[tuple[int, str, float]]:
         """The rows from the best score on."""
@@ -139,7 +139,7 @@ def _count_units(table: PieceTable):
         for part in row_slices(batches):
             for text in part.column("text").to_pylist():
                 seen.update(table.cut(text))
-            if len(seen) >= 4 * _UNITS:
+            if len(seen) >= 6 * _UNITS:
                 yield flush()
         if seen:
             yield flush()
@@ -155,12 +155,12 @@ _ALL = "shiftleft(1L, length(unit) + 1) - 1"
 
 #: One walk over the edges, best first. An edge that waits, as more than one bound lies within it, and whose inner
 #: bounds fall to one later on would have come first then: such units (-1) are folded by _MERGES instead.
-_WALK = f"""aggregate(packed, named_struct('bounds', {_ALL}, 'waits', CAST(array() AS array<bigint>)), (s, e) ->
+_WALK = f"""aggregate(packed, named_struct('bounds', {_ALL}, 'waits', CAST(array() AS array<bigint>), 'joined', CAST(array() AS array<bigint>)), (s, e) ->
   CASE WHEN NOT {_BOUND.format("s.bounds")} THEN s
-       WHEN bit_count(s.bounds & {_INNER}) = 1 THEN named_struct('bounds', s.bounds & ~{_INNER}, 'waits', s.waits)
+       WHEN bit_count(s.bounds & {_INNER}) = 1 THEN named_struct('bounds', s.bounds & ~{_INNER}, 'waits', s.waits, 'joined', array_append(s.joined, e))
        WHEN (s.bounds & {_INNER}) = 0L THEN s
-       ELSE named_struct('bounds', s.bounds, 'waits', array_append(s.waits, e)) END,
-  s -> IF(exists(s.waits, e -> bit_count(s.bounds & {_INNER}) <= 1), -1L, s.bounds))"""
+       ELSE named_struct('bounds', s.bounds, 'waits', array_append(s.waits, e), 'joined', s.joined) END,
+  s -> IF(exists(s.waits, e -> bit_count(s.bounds & {_INNER}) <= 1), named_struct('bounds', -1L, 'joined', packed), named_struct('bounds', s.bounds, 'joined', s.joined)))"""
 
 #: At each step the best edge that joins exactly two neighbours, until there is none; edges that
 #: a merge has crossed or completed are dropped.
@@ -196,12 +196,15 @@ def lattice_ids(rows: DataFrame, table: PieceTable, keys: list[str], carried: li
     pieces = F.broadcast(table.frame(spark))
     size, start, stop = F.length("unit"), F.col("start"), F.col("stop")
     lattice = rows.select("*", F.explode(F.sequence(F.lit(0), F.coalesce(size, F.lit(1)) - 1)).alias("start"))
-    # Pieces reach as far as those that begin like the text here; single characters of a BPE table are looked up by their code.
-    lattice = lattice.withColumn("begin", F.substr("unit", start + 1, F.lit(3))).join(F.broadcast(table.reaches(spark)), "begin", "left")
-    one = (start == 0) | (F.ascii("begin") >= _BASIC)  # one row keeps a unit without edge
-    first = F.when(one, start + 1).otherwise(start + (2 if table.kind == "bpe" else 1))
-    last = F.least(size, start + F.coalesce("reach", F.lit(2)))
-    lattice = lattice.filter(first <= last).select("*", F.explode(F.sequence(first, last)).alias("stop"))
+    # Only lengths of pieces that begin like the text here; single characters of a BPE table are looked up by their code.
+    lattice = lattice.withColumn("begin", F.substr("unit", start + 1, F.lit(3))).join(F.broadcast(table.lengths(spark)), "begin", "left")
+    lengths = F.coalesce("lengths", F.array(F.lit(2)))
+    if table.kind == "bpe":
+        one = (start == 0) | (F.ascii("begin") >= _BASIC)  # the row (0, 1) keeps a unit without edge
+        lengths = F.when(one, F.concat(F.array(F.lit(1)), lengths)).otherwise(lengths)
+    else:
+        lengths = F.concat(F.array(F.lit(1)), lengths)
+    lattice = lattice.select("*", F.explode(lengths).alias("length")).withColumn("stop", start + F.col("length")).filter((stop <= size) | (size.isNull() & (stop == 1)))
     lattice = lattice.withColumn("piece", F.substr("unit", start + 1, stop - start))
     lattice = lattice.join(pieces, "piece", "left").filter("place IS NOT NULL OR (start = 0 AND stop = 1)")
     # An edge is one long: the place of its piece in the table's order, its id, where it starts and where it stops.
@@ -215,7 +218,7 @@ def lattice_ids(rows: DataFrame, table: PieceTable, keys: list[str], carried: li
             single[ord(p)] = i
     grouped = grouped.withColumn("single", _constant(single, "int"))
     if table.kind == "bpe":
-        grouped = grouped.withColumn("walked", F.expr(_WALK)).withColumn("bounds", F.expr(f"IF(walked = -1L, {_MERGES}, walked)"))
+        grouped = grouped.withColumn("walked", F.expr(_WALK)).withColumn("bounds", F.expr(f"IF(walked.bounds = -1L, {_MERGES}, walked.bounds)"))
     else:
         grouped = grouped.withColumn("scores", _constant([x for _, _, x in order], "double"))
         grouped = grouped.withColumn("bounds", F.expr(_VITERBI.format(unknown=min((x for _, _, x in order), default=0.0) - 10.0)))
@@ -229,9 +232,9 @@ def lattice_ids(rows: DataFrame, table: PieceTable, keys: list[str], carried: li
     found = f"""IF(ascii({sign}) < {_BASIC}, single[ascii({sign})],
                    coalesce(CAST(shiftright(get(filter(packed, e -> (e & 4095L) = p * 64 + p + 1), 0), 12) & 1048575L AS INT), -1))"""
     ids = f"""transform(sort_array(concat(
-        transform(filter(packed, e -> {_BOUND.format("bounds")} AND (bounds & {_INNER}) = 0L AND {_INNER} != 0L), e -> shiftleft(shiftright(e, 6) & 63L, 40) + (shiftright(e, 12) & 1048575L)),
-        flatten(transform(filter(sequence(0, length(unit) - 1), p -> (shiftright(bounds, p) & 3L) = 3L), p ->
-          get(transform(array({found}), id -> IF(id >= 0, array({at} + id), {spelled})), 0))))), x -> CAST(x & 4294967295L AS INT))"""
+        transform(filter({"walked.joined" if table.kind == "bpe" else "packed"}, e -> {_BOUND.format("bounds")} AND (bounds & {_INNER}) = 0L AND {_INNER} != 0L), e -> shiftleft(shiftright(e, 6) & 63L, 40) + (shiftright(e, 12) & 1048575L)),
+        IF((bounds & shiftright(bounds, 1)) = 0L, CAST(array() AS array<bigint>), flatten(transform(filter(sequence(0, length(unit) - 1), p -> (shiftright(bounds, p) & 3L) = 3L), p ->
+          get(transform(array({found}), id -> IF(id >= 0, array({at} + id), {spelled})), 0)))))), x -> CAST(x & 4294967295L AS INT))"""
     gone = {*_FOLDED, *keys, *({"unit"} - set(carried))}
     return grouped.select(*keys, *[c for c in grouped.columns if c not in gone], F.expr(ids).alias("ids"))
 
