@@ -11,9 +11,12 @@ def regex_escape(text: Column) -> Column:
 
 
 def object_key(key: Column, prefix: str) -> Column:
-    """The key under its prefix, once."""
-    bare = F.regexp_replace(key, "^/+", "")
-    return F.when(bare.startswith(prefix), bare).otherwise(F.concat(F.lit(prefix), bare))
+    """The key under its prefix, once. Null and empty keys, the bare prefix and any key under an empty prefix stay as they are."""
+    folder = prefix.strip("/")
+    if not folder:
+        return key
+    has = (key == folder) | key.startswith(f"{folder}/")
+    return F.when(key.isNull() | (key == "") | has, key).otherwise(F.concat(F.lit(f"{folder}/"), F.regexp_replace(key, "^/+", "")))
 
 
 def extension(name: Column) -> Column:
@@ -97,7 +100,11 @@ def provenance(raw: Column, most: int = 200) -> Column:
 
 
 def fault_class(message: Column) -> Column:
-    # Parts of messages that tell whose fault it was.
+    # Parts of messages that tell of the runner's fault.
+    runner = [
+        "terminated abruptly", "process pool", "cannot schedule new futures", "cuda", "cublas", "cudnn", "out of memory",
+        "device-side assert", "no kernel image", "failed to load page",
+    ]
     m = F.lower(F.coalesce(message, F.lit("")))
     has = lambda *parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(m, p))
-    return F.when(has("out of memory", "cuda", "worker died", "timed out"), "runner").when(has("404", "not found", "no such key"), "source").otherwise("document")
+    return F.when(has(*runner), "runner").when(has("404", "not found", "no such key"), "source").otherwise("document")

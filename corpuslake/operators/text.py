@@ -183,10 +183,13 @@ def escalation(chars: Column, size: Column) -> Column:
 
 
 def extension_class(extension: Column) -> Column:
+    """image, document (what the converter reads), unsupported (what nothing reads), other (read as text layer or not known)."""
     # File types by the converter that reads them.
-    images, documents = ["png", "jpg", "jpeg", "tif", "tiff", "bmp", "gif", "webp"], ["pdf", "docx", "pptx", "xlsx", "html", "htm", "md", "txt", "csv"]
+    images = ["jpg", "jpeg", "png", "tif", "tiff", "bmp", "gif"]
+    documents = ["docx", "pptx", "xlsx", "htm", "html", "md"]
+    unsupported = ["msg", "zip", "rtf", "doc", "ppt", "xls", "eml", "exe", "dwg"]
     ext = F.lower(F.regexp_replace(extension, r"^\.", ""))
-    return F.when(ext.isin(images), "image").when(ext.isin(documents), "document").otherwise("unsupported")
+    return F.when(ext.isin(images), "image").when(ext.isin(documents), "document").when(ext.isin(unsupported), "unsupported").otherwise("other")
 
 
 def sampled_pages(n: int, most: int = 20) -> list[int]:
@@ -194,12 +197,18 @@ def sampled_pages(n: int, most: int = 20) -> list[int]:
     return list(range(n)) if n <= most else sorted({round(i * (n - 1) / (most - 1)) for i in range(most)})
 
 
-def tiles(width: Column, height: Column, side: int, overlap: float = 0.06) -> Column:
-    """Boxes of a grid over a page that overlap by a share of their side."""
-    step = int(side * (1 - overlap))
-    starts = lambda size: F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(step))
-    return F.flatten(F.transform(starts(height), lambda y: F.transform(starts(width), lambda x: F.struct(
-        x.alias("left"), y.alias("top"), F.least(x + side, width).alias("right"), F.least(y + side, height).alias("bottom")))))
+def tiles(width: Column, height: Column, grid: int, overlap: float = 0.06) -> Column:
+    """Boxes of a page cut into ``grid`` x ``grid`` equal tiles, row by row, each widened on all sides by a share of its own size."""
+    def side(size: Column, k: Column) -> tuple[Column, Column]:
+        tile = size.cast("double") / grid
+        low, high = (k * tile - tile * overlap).cast("int"), ((k + 1) * tile + tile * overlap).cast("int")
+        return F.greatest(low, F.lit(0)), F.least(high, size.cast("int"))
+
+    def box(k: Column) -> Column:
+        (left, right), (top, bottom) = side(width, k % grid), side(height, F.floor(k / grid))
+        return F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(grid * grid - 1)), box)
 
 
 def page_batches(page: Column, size: int = 25) -> Column:

@@ -298,21 +298,25 @@ def rou_04_real_chars(spark, d):
     return table(spark, d, "pages").select("page_id", text.real_chars(F.col("html")).alias("chars"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'document' ELSE 'unsupported' END AS kind FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'other' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'document' WHEN 4 THEN 'other' ELSE 'other' END AS kind FROM part""")
 def rou_05_extension_class(spark, d):
-    ext = F.element_at(F.array(F.lit(".PNG"), F.lit("pdf"), F.lit("exe")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    names = [".PNG", "pdf", "exe", "Md", "webp", "txt"]
+    ext = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", text.extension_class(ext).alias("kind"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'runner' WHEN 1 THEN 'source' ELSE 'document' END AS fault FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'source' WHEN 2 THEN 'document' WHEN 4 THEN 'document' ELSE 'runner' END AS fault FROM part")
 def rou_06_fault_class(spark, d):
-    message = F.element_at(F.array(F.lit("CUDA out of memory"), F.lit("HTTP 404"), F.lit("bad xref")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    messages = ["CUDA out of memory", "HTTP 404", "bad xref", "A process in the Process Pool was terminated abruptly", "timed out"]
+    message = F.element_at(F.array(*map(F.lit, messages)), (F.col("p_partkey") % 5 + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", fn.fault_class(message).alias("fault"))
 
 
-@query("SELECT p_partkey, ((1000 + p_size - 1) // 940 + 1) * 2 AS n FROM part")
+@query("""SELECT p_partkey, k::INTEGER AS tile, greatest(trunc((k % 3) * w / 3.0 - w / 3.0 * 0.06), 0)::INTEGER AS left, greatest(trunc((k // 3) * 500.0 - 500.0 * 0.06), 0)::INTEGER AS top,
+            least(trunc((k % 3 + 1) * w / 3.0 + w / 3.0 * 0.06), w)::INTEGER AS right, least(trunc((k // 3 + 1) * 500.0 + 500.0 * 0.06), 1500)::INTEGER AS bottom
+          FROM (SELECT p_partkey, p_size * 30 + 1005 AS w, unnest(range(9)) AS k FROM part)""")
 def rou_08_tiles(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.size(text.tiles(F.col("p_size") + 1000, F.lit(1500), 1000)).alias("n"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(text.tiles(F.col("p_size") * 30 + 1005, F.lit(1500), 3)).alias("tile", "box")).select("p_partkey", "tile", "box.*")
 
 
 @query("SELECT doc_id, 'store/' || source AS key FROM documents")

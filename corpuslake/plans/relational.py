@@ -240,7 +240,7 @@ def jon_10_last_wins(spark, d):
 def jon_12_phrase_containment(spark, d):
     """Each benchmark text in the documents that hold its longest inner word; only these are read for the whole text."""
     inner = F.slice(F.split("text", r"\s+"), 2, F.greatest(F.size(F.split("text", r"\s+")) - 2, F.lit(1)))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("word")))), -1)["word"]
+    longest = F.try_element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("word")))), F.lit(-1))["word"]
     items = _t("benchmark")(spark, d).withColumn("key", longest)
     docs = _t("documents")(spark, d).select("doc_id", "text")
     keys = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))

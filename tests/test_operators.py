@@ -74,6 +74,19 @@ def test_quality(spark, value, verdict):
         assert row.placeholders == 4
 
 
+@pytest.mark.parametrize(
+    "key, prefix, wanted",
+    [("a/b", "docs/", "docs/a/b"), ("docs/x", "docs", "docs/x"), ("docs", "/docs/", "docs"), ("docsy/x", "docs", "docs/docsy/x"), ("//x", "docs", "docs/x"), ("x", "", "x"), ("", "docs", ""), (None, "docs", None)],
+)
+def test_object_keys_carry_their_prefix_once(spark, key, prefix, wanted):
+    assert one(spark.createDataFrame([(key,)], "k string").select(fn.object_key(F.col("k"), prefix).alias("x"))) == wanted
+
+
+def test_tiles_are_equal_and_widened(spark):
+    boxes = [tuple(b) for b in one(spark.range(1).select(text.tiles(F.lit(1000), F.lit(500), 2).alias("x")))]
+    assert boxes == [(0, 0, 530, 265), (470, 0, 1000, 265), (0, 235, 530, 500), (470, 235, 1000, 500)]
+
+
 def test_chunk_cases(spark):
     join = "\n\n".join
     draw = random.Random(4)
@@ -216,7 +229,7 @@ def test_scalars(spark):
     row = df.select(
         fn.caller_ip(F.col("ip"), F.lit("r")).alias("ip"), fn.masked_ip(F.lit("9.8.7.6")).alias("mask"), fn.title_from_file(F.col("name")).alias("title"),
         fn.truncate(F.col("t"), 9).alias("cut"), fn.citations(F.col("t"), 3).alias("cites"), fn.strict_boolean(F.lit("yes")).alias("flag"), fn.to_number(F.lit(" 4.5 ")).alias("num"),
-        fn.object_key(F.lit("/docs/x"), "docs/").alias("key"), fn.fault_class(F.lit("CUDA error")).alias("fault"), fn.regex_escape(F.lit("a.b(c)")).alias("rx"),
+        fn.object_key(F.lit("/x"), "docs/").alias("key"), fn.fault_class(F.lit("CUDA error")).alias("fault"), fn.regex_escape(F.lit("a.b(c)")).alias("rx"),
     ).first()
     assert row.asDict() == {
         "ip": "5.6.7.8", "mask": "9.8.x.x", "title": "A B CD Document", "cut": "one two…", "cites": [0, 1], "flag": None, "num": 4.5, "key": "docs/x", "fault": "runner", "rx": r"a\.b\(c\)",
