@@ -16,8 +16,8 @@ smaller doc_id, or earlier in the same document.
    pass; the result stays the same and the second pass gets larger.
 2. Exact grouping. Windows that may repeat are reduced within each slice of
    documents: all but the first start of a window are decided on the spot, and the
-   first one goes to the task of the window's 128-bit hash (two independent 64-bit
-   hashes), where the earliest start wins. A window in a third of all documents
+   first one goes to the task of the window's 128-bit hash (two 64-bit hashes, both of the
+   words' 64-bit hashes: words of equal hash would count as equal), where the earliest start wins. A window in a third of all documents
    therefore costs one row a slice, not one a document.
 3. The decided starts meet their document's text, and the words left are joined.
 
