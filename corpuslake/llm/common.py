@@ -60,6 +60,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+def sorted_groups(spark: SparkSession) -> None:
+    """Groups of rows that are dealt and sorted by their key are aggregated in one pass, not partially and then again."""
+    spark.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

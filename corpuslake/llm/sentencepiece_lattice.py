@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpuslake.llm.common import SLICE_BYTES, row_slices, small_batches, written
+from corpuslake.llm.common import SLICE_BYTES, row_slices, small_batches, sorted_groups, written
 
 SPACE = "▁"
 #: The most characters of a unit whose bounds fit a long.
@@ -210,7 +210,8 @@ def lattice_ids(rows: DataFrame, table: PieceTable, keys: list[str], carried: li
     # An edge is one long: the place of its piece in the table's order, its id, where it starts and where it stops.
     edge = F.col("place") * 4096 + start * 64 + stop  # null places are left out
     held = [c for c in dict.fromkeys(["unit", *carried]) if c not in keys]
-    grouped = lattice.groupBy(*keys).agg(F.sort_array(F.collect_set(edge)).alias("packed"), *(F.first(c).alias(c) for c in held), *more)
+    sorted_groups(spark)
+    grouped = lattice.sortWithinPartitions(*keys).groupBy(*keys).agg(F.sort_array(F.collect_set(edge)).alias("packed"), *(F.first(c).alias(c) for c in held), *more)
     order = table.ordered()
     single = [-1] * _BASIC
     for i, p, _ in table.rows:
@@ -492,11 +493,11 @@ def encode(docs: DataFrame, table: PieceTable, vocabulary: int = 1_500_000, keep
     keyed = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)), F.xxhash64(*known).alias("__k1"), F.xxhash64(F.lit(1), *known).alias("__k2"), text.alias("__text"))
     schema = T.StructType([*(T.StructField(c, keyed.schema[c].dataType) for c in inner), *(T.StructField(c, T._parse_datatype_string(k)) for c, k in _OWN.items())])
     rows = keyed.mapInArrow(_coded(table, shared, to_arrow_schema(schema)), schema).repartition("__k1", "__k2")
-    keys = ["__key", "__k1", "__k2", "__at"]  # the first one differs from row to row, so that few rows are compared
-    rows = rows.withColumn("__row", F.when(F.col("__at") < 0, F.struct("__codes", "__n", *inner))).withColumn("__key", F.xxhash64(*keys[1:])).select(*keys, "unit", "__ids", "__row")
+    keys = ["__k1", "__k2", "__at"]  # a document's rows come in this order already
+    rows = rows.withColumn("__row", F.when(F.col("__at") < 0, F.struct("__codes", "__n", *inner))).select(*keys, "unit", "__ids", "__row")
     parts = lattice_ids(rows, table, keys, ["__ids", "__row"], F.sum("__row.__n").alias("__n"))
     hole = F.when(F.col("__at") >= 0, F.struct("__at", F.coalesce("ids", "__ids").alias("ids")))
-    texts = parts.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(hole)).alias("__holes"), F.max("__n").alias("__n"), F.first("__row", ignorenulls=True).alias("__row"))
+    texts = parts.sortWithinPartitions("__k1", "__k2").groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(hole)).alias("__holes"), F.max("__n").alias("__n"), F.first("__row", ignorenulls=True).alias("__row"))
     sizes, fills = F.transform("__holes", lambda h: F.size(h["ids"])), F.flatten(F.transform("__holes", lambda h: h["ids"]))
     texts = texts.select(*(F.col(f"__row.{c}") for c in inner), F.col("__row.__codes").alias("__codes"), sizes.alias("__sizes"), fills.alias("__fills"), F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__copy"))
     out = T.StructType([*schema.fields[: len(inner)], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
