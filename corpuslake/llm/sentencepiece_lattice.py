@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpuslake.llm.common import SLICE_BYTES, row_slices, small_batches, sorted_groups, written
+from corpuslake.llm.common import SLICE_BYTES, partitions, row_slices, small_batches, sorted_groups, written
 
 SPACE = "▁"
 #: The most characters of a unit whose bounds fit a long.
@@ -246,7 +246,7 @@ def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
     They are dealt and grouped by a hash, as a single long is sorted without comparisons. Units that have one hash
     in common, if there are any, are left out: to ``encode`` they are units without code.
     """
-    dealt = units.withColumn("__hash", F.xxhash64("unit")).repartition("__hash")
+    dealt = units.withColumn("__hash", F.xxhash64("unit")).repartition(partitions(units.sparkSession), "__hash")  # edges are many times their units: nothing is coalesced
     alone = (F.count_if((F.col("start") == 0) & (F.col("stop") == 1)) == 1).alias("__alone")  # the row that every unit has
     return lattice_ids(dealt, table, ["__hash"], units.columns, alone).filter("__alone").drop("__hash", "__alone")
 
@@ -492,7 +492,7 @@ def encode(docs: DataFrame, table: PieceTable, vocabulary: int = 1_500_000, keep
     inner = [f"__c{i}" for i in range(len(names))]
     keyed = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)), F.xxhash64(*known).alias("__k1"), F.xxhash64(F.lit(1), *known).alias("__k2"), text.alias("__text"))
     schema = T.StructType([*(T.StructField(c, keyed.schema[c].dataType) for c in inner), *(T.StructField(c, T._parse_datatype_string(k)) for c, k in _OWN.items())])
-    rows = keyed.mapInArrow(_coded(table, shared, to_arrow_schema(schema)), schema).repartition("__k1", "__k2")
+    rows = keyed.mapInArrow(_coded(table, shared, to_arrow_schema(schema)), schema).repartition(partitions(spark), "__k1", "__k2")
     keys = ["__k1", "__k2", "__at"]  # a document's rows come in this order already
     rows = rows.withColumn("__row", F.when(F.col("__at") < 0, F.struct("__codes", "__n", *inner))).select(*keys, "unit", "__ids", "__row")
     parts = lattice_ids(rows, table, keys, ["__ids", "__row"], F.sum("__row.__n").alias("__n"))
