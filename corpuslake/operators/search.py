@@ -100,6 +100,30 @@ def search(index: DataFrame, stats: DataFrame, clauses: list[Clause], key: str)
     return per.filter(F.col("met") == len(clauses)).select(key, "score")
 
 
+def search_fields(docs: DataFrame, key: str, fields: list[str], clauses: list[Clause]) -> DataFrame:
+    """(key, score): every clause is satisfied in one field or another; scores of fields, each with its own lengths and frequencies, are summed."""
+    if not clauses:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    texts = docs.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("f")).select(key, "f.*")
+    terms = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    words = texts.select(key, "field", terms.alias("terms"))
+    stats = words.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))  # a row a field
+    index = words.select(key, "field", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    df = index.groupBy("field", "term").agg(F.count("*").alias("df"))
+    wanted = matched_terms(df.select("term").distinct(), clauses)
+    hits = index.join(wanted, "term").join(df, ["field", "term"]).join(F.broadcast(stats), "field")
+    scored = hits.withColumn("s", F.col("weight") * bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("n_docs"), F.col("avg_len")))
+    per = scored.groupBy(key).agg(F.sum("s").alias("score"), F.countDistinct("clause").alias("met"))
+    return per.filter(F.col("met") == len(clauses)).select(key, "score")
+
+
+def keyword_page(ranked: DataFrame, order: list[Column], top: int = 20, skip: int = 0) -> DataFrame:
+    """A page of a keyword search: an oversized one is refused, not clamped."""
+    if top > PAGE:
+        raise ValueError(f"a page of more than {PAGE} rows is not supported for a keyword search")
+    return page(ranked, order, top, skip)
+
+
 def page(ranked: DataFrame, order: list[Column], top: int = 20, skip: int = 0) -> DataFrame:
     """One page, with the clamps of the service."""
     return ranked.orderBy(*order).offset(min(max(skip, 0), MAX_SKIP)).limit(min(max(top, 1), PAGE))

@@ -312,3 +312,24 @@ def test_streams(spark, tmp_path):
     rolled = str(tmp_path / "r")
     streams.drain(streams.rollup_stream(live, ["event_type"], late="0 seconds"), rolled, str(tmp_path / "c3"))
     assert spark.read.parquet(rolled).agg(F.sum("events")).first()[0] <= 60
+
+
+def test_shapes_hide_what_is_internal(spark):
+    from corpuslake.operators import shape
+
+    rows = spark.createDataFrame([(1, ("f", "x")), (2, (None, "x")), (3, None)], "id int, sources struct<wildfire:string,registry:string>")
+    assert [r["sources"] and r["sources"].asDict() for r in shape.public_view(rows).orderBy("id").collect()] == [{"wildfire": "f"}, None, None]
+    assert shape.public_view(rows.select("id", F.struct(F.lit(1).alias("registry")).alias("sources"))).columns == ["id"]
+    assert shape.redact(spark.createDataFrame([(1, "h")], "id int, hash string")).columns == ["id"]
+
+
+def test_clauses_hold_across_fields(spark):
+    rows = spark.createDataFrame([(1, "Red ring", None), (2, "red", "RING small"), (3, "ring", "ring"), (4, None, "")], "id int, name string, kind string")
+    found = search.search_fields(rows, "id", ["name", "kind"], search.compile_query("red ring", fuzzy=False))
+    assert sorted(r["id"] for r in found.collect()) == [1, 2]
+    assert search.search_fields(rows, "id", ["name", "kind"], []).count() == 0
+
+
+def test_an_oversized_keyword_page_is_refused(spark):
+    with pytest.raises(ValueError, match="500"):
+        search.keyword_page(spark.range(3), [F.asc("id")], top=501)
