@@ -15,16 +15,30 @@ def upsert(stored: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
     return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def patch(stored: DataFrame, changes: DataFrame, fields: list[str], key: str = "id", most: int = 10) -> DataFrame:
-    """Named fields replaced where a change has the row; at most ``most`` of them."""
+def one_change(changes: DataFrame, fields: list[str], key: str = "id", order: str | None = None) -> DataFrame:
+    """One row of each key: the last by ``order``; of equal ones, and without order, the greatest by ``fields``."""
+    ranked = F.struct(*([F.col(order).alias("__order")] if order else []), *fields)
+    return changes.groupBy(key).agg(F.max(ranked).alias("__change")).select(key, *(F.col("__change")[f].alias(f) for f in fields))
+
+
+def patch(stored: DataFrame, changes: DataFrame, fields: list[str], key: str = "id", most: int = 10, order: str | None = None) -> DataFrame:
+    """Named fields replaced where a change has the row; at most ``most`` of them. Of several changes of a key one holds (``one_change``)."""
     if len(fields) > most:
         raise ValueError(f"a patch has at most {most} fields")
-    c = changes.select(F.col(key).alias("__key"), *(F.col(f).alias(f"__{f}") for f in fields))
+    c = one_change(changes, fields, key, order).select(F.col(key).alias("__key"), *(F.col(f).alias(f"__{f}") for f in fields))
     joined = stored.join(c, stored[key] == c["__key"], "left")
     hit = F.col("__key").isNotNull()
     return joined.select(*(F.when(hit, F.col(f"__{x}")).otherwise(F.col(x)).alias(x) if x in fields else F.col(x) for x in stored.columns))
 
 
+def update(stored: DataFrame, changes: DataFrame, fixed: list[str], now: Column, key: str = "id", order: str | None = None) -> DataFrame:
+    """Rows with the changes' columns, but for the key and the ``fixed`` ones, which no update may set; updated_at where there was a change."""
+    fields = [c for c in changes.columns if c in stored.columns and c not in (key, order, "updated_at", *fixed)]
+    marked = changes.withColumn("updated_at", now)
+    base = stored if "updated_at" in stored.columns else stored.withColumn("updated_at", F.lit(None).cast(marked.schema["updated_at"].dataType))
+    return patch(base, marked, [*fields, "updated_at"], key, most=len(fields) + 1, order=order)
+
+
 def replace_if_unchanged(stored: DataFrame, changes: DataFrame, version: str = "etag", key: str = "id") -> DataFrame:
     """(key, status) of optimistic replacements: ok, conflict or missing."""
     now = stored.select(key, F.col(version).alias("__now"))

@@ -258,6 +258,12 @@ def balanced(fragment: Column, opening: str = "", closing: str = "") -> Co
     return F.aggregate(safe, start, step, lambda s: F.concat(s["out"], F.repeat(F.lit("</mark>"), s["depth"])))
 
 
+def snippet(fragments: Column, raw: Column | None = None) -> Column:
+    """Fragments, each balanced by itself, in one line; without fragments the escaped ``raw`` text, or nothing."""
+    joined = F.array_join(F.transform(fragments, lambda f: balanced(f)), " … ")
+    return F.when(F.size(fragments) > 0, joined).otherwise(F.lit("") if raw is None else escape_html(raw))
+
+
 def highlight(text: Column, terms: list[str]) -> Column:
     """Escaped text with the terms marked, whatever their case."""
     if not terms:

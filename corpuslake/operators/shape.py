@@ -1,4 +1,4 @@
-"""Shapes of results: what callers see of stored rows, and nothing internal (PRJ-02, PRJ-03, PRJ-06, PRJ-09)."""
+"""Shapes of results: what callers see of stored rows, and nothing internal (PRJ-02, PRJ-03, PRJ-05, PRJ-06, PRJ-09)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Fields of the store, the digest of a key, and the names of what has none.
 INTERNAL, SECRET = ("_rid", "_self", "_attachments", "_ts"), "hash"
 NO_PROJECT, NO_DOCUMENT, NO_TYPE = "Associated Project", "Untitled Document", "PDF Document"
+NO_FILE, NO_DESCRIPTION = "document.pdf", "Official document extracted from central registry."
 
 
 def strip_internals(rows: DataFrame) -> DataFrame:
@@ -47,3 +48,17 @@ def chunk_hits(hits: DataFrame, documents: DataFrame, projects: DataFrame) -> Da
         _or_else("project_name", NO_PROJECT).alias("project_name"), _or_else("name", NO_DOCUMENT).alias("document_name"), _or_else("type", NO_TYPE).alias("document_type"),
         F.coalesce("page", F.lit(0)).alias("page_number"), F.lit("").alias("content"), F.coalesce("snippet", F.lit("")).alias("snippet"),
     )
+
+
+def document_hits(documents: DataFrame) -> DataFrame:
+    """Documents (id, name, file, object_key, type, project_id, read, is_published, description) as callers get them.
+
+    The file is named by the last part of its object key if it has no name; a row is published if its list of roles says so, and by its flag where it has no list.
+    """
+    file = F.coalesce(F.when(F.col("file") != "", F.col("file")), F.when(F.col("object_key") != "", F.element_at(F.split("object_key", "/"), -1)), F.lit(NO_FILE))
+    return documents.select(
+        F.col("id").cast("string").alias("id"), _or_else("name", NO_DOCUMENT).alias("name"), file.alias("file"), _or_else("type", NO_TYPE).alias("type"),
+        F.coalesce(F.col("project_id").cast("string"), F.lit("")).alias("project_id"), F.lit(NO_PROJECT).alias("project_name"),
+        F.when(F.col("read").isNotNull(), F.array_contains("read", "public")).otherwise(F.coalesce("is_published", F.lit(False))).alias("is_published"),
+        _or_else("description", NO_DESCRIPTION).alias("description"),
+    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.operators import search, shape
+from corpuslake.operators import mutate, search, shape
+from corpuslake.plans import views as v
 
 from corpuslake.plans.views import query
 from corpuslake.sources.readers import table
@@ -59,3 +60,31 @@ def prj_06_chunk_hits(spark: SparkSession, d: str) -> DataFrame:
 def q_12_keyword_page(spark: SparkSession, d: str) -> DataFrame:
     return search.keyword_page(table(spark, d, "documents").select("doc_id"), [F.asc("doc_id")], top=500)
 
+
+
+@query("""SELECT id::VARCHAR AS id, CASE WHEN id % 2 = 0 THEN 'Untitled Document' ELSE 'doc ' || id END AS name, CASE WHEN id % 3 = 0 THEN id || '.txt' WHEN id % 3 = 1 THEN 'document.pdf' ELSE 'f' || id END AS file,
+    coalesce(type, 'PDF Document') AS type, coalesce(project_id, '') AS project_id, 'Associated Project' AS project_name,
+    CASE WHEN read IS NULL THEN is_published ELSE list_contains(read, 'public') END AS is_published, 'Official document extracted from central registry.' AS description FROM v_documents""")
+def prj_05_document_hits(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    docs = v.documents(spark, d).withColumn("name", F.when(i % 2 == 1, F.concat(F.lit("doc "), i))).withColumn("description", F.lit(""))
+    docs = docs.withColumn("file", F.when(i % 3 == 2, F.concat(F.lit("f"), i))).withColumn("object_key", F.when(i % 3 == 0, F.concat(F.lit("a/b/"), i, F.lit(".txt"))))
+    return shape.document_hits(docs)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN replace(p_name, ' ', '&amp;') ELSE '<mark>' || p_name || '</mark> … ' || p_type || ' &lt;' END AS html FROM part""")
+def rnk_07_fragments(spark: SparkSession, d: str) -> DataFrame:
+    first, second = F.concat(F.lit("\ue000"), "p_name"), F.concat("p_type", F.lit("\ue001 <"))
+    parts = F.when(F.col("p_partkey") % 5 > 0, F.array(first, second))
+    return table(spark, d, "part").select("p_partkey", search.snippet(parts, F.replace("p_name", F.lit(" "), F.lit("&"))).alias("html"))
+
+
+@query("""SELECT o_orderkey AS id, 'p' || o_custkey AS project_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new ' || (o_orderkey + 1) ELSE o_orderstatus END AS name,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'now' END AS updated_at FROM orders""")
+def snk_23_document_update(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders")
+    stored = orders.select(k.alias("id"), F.concat(F.lit("p"), "o_custkey").alias("project_id"), F.col("o_orderstatus").alias("name"))
+    changes = orders.filter(k % 3 == 0).select(k.alias("id"), F.lit("other").alias("project_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("at"))
+    changes = changes.withColumn("name", F.concat(F.lit("new "), F.col("id") + F.col("at")))
+    return mutate.update(stored, changes, ["project_id", "read", "is_published"], F.lit("now"), order="at")

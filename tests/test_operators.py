@@ -333,3 +333,10 @@ def test_clauses_hold_across_fields(spark):
 def test_an_oversized_keyword_page_is_refused(spark):
     with pytest.raises(ValueError, match="500"):
         search.keyword_page(spark.range(3), [F.asc("id")], top=501)
+
+
+def test_several_changes_of_a_key_multiply_nothing(spark):
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    changes = spark.createDataFrame([(1, "x", 2), (1, "z", 1), (3, "new", 1)], "id int, name string, at int")
+    assert sorted(map(tuple, mutate.patch(stored, changes, ["name"], order="at").collect())) == [(1, "x"), (2, "b")]
+    assert sorted(map(tuple, mutate.patch(stored, changes, ["name"]).collect())) == [(1, "z"), (2, "b")]
