@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.llm.centroids import cluster
 from corpuslake.llm.chat import format_chats, read_back, text_parts
 from corpuslake.llm.decontamination import contaminations
 from corpuslake.llm.exact_dedup import exact_groups
+from corpuslake.llm.hard_negatives import hard_negatives
 from corpuslake.llm.html_text import extract_text
 from corpuslake.llm.language import bucket, fit_languages, identify
 from corpuslake.llm.near_dedup import near_duplicates
+from corpuslake.llm.packing import pack_documents
 from corpuslake.llm.quality import fit_quality, score_quality
 from corpuslake.llm.sentencepiece_lattice import PieceTable, decode, default_model, encode
 from corpuslake.llm.substring_dedup import drop_repeated_windows
 from corpuslake.llm.url_filter import Rule, judge_urls
+from corpuslake.llm.vectors import usable, whole
 
 #: The rules of op7: host, path, verdict.
 RULES = [
@@ -95,6 +100,30 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids", (digest(F.col("decoded")) == F.col("sha256")).alias("exact"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=1024, end=2)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    v = F.when(usable(F.col("embedding")), whole(F.col("embedding")))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), v.alias("v"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, percent=80)
+
+
+def op13_hamerly_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, salt="2")
+
+
+#: One round of op13: every vector to its nearest centroid, then exact floors of the means.
+_ROUND = """
+        a{n} AS MATERIALIZED (SELECT row, v, arg_min(c.cluster, (list_sum(list_transform(list_zip(v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.cluster)) AS cluster,
+                  min(list_sum(list_transform(list_zip(v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS distance FROM k CROSS JOIN c{n} c GROUP BY row, v),
+        s{n} AS (SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM (SELECT cluster, v, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY cluster, i),
+        m{n} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{n} GROUP BY cluster),
+        c{next} AS MATERIALIZED (SELECT cluster, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (cluster)),"""
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -106,6 +135,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_hamerly_centroids": op13_hamerly_centroids,
 }
 
 ORACLES = {
@@ -144,4 +176,23 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(escaped + length(role) + 15)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op12_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+        s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+              FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 5""",
+    "op13_hamerly_centroids": """
+        WITH k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS cluster, v AS c FROM (SELECT sha256('2:' || vec_id) AS h, v FROM k WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 40)),"""
+    + "".join(_ROUND.format(n=n, next=n + 1) for n in range(6))
+    + """
+        o AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a5 GROUP BY cluster)
+        SELECT vec_id, cluster, distance::BIGINT AS distance, cluster_inertia, (SELECT sum(distance) FROM a5)::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a5 JOIN k USING (row) JOIN o USING (cluster) JOIN c5 USING (cluster)""",
 }
