@@ -13,7 +13,7 @@ others are packed in rounds:
    need, for at most ``rounds`` rounds, until one block holds them or a round fills almost none.
 
 A block is bounded whatever the input; a row of pieces has no text or ids, only their number and checksum.
-Words are cut by the tokenizer's own pattern and each distinct one is coded once while a task's cache holds
+Words are cut by the tokenizer's own pattern and each distinct one is coded once while a worker's cache holds
 it; words don't touch in this kind of vocabulary, so that ids equal those of whole texts.
 Texts with signs outside of the usual letters, or with a special token, are coded as wholes.
 
@@ -26,27 +26,30 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import row_slices, written
 
-#: Distinct words whose ids a task keeps; the cache starts again when it is full.
-CACHED_WORDS = 400_000
+#: Distinct words whose ids a Python worker keeps, at some 250 bytes each; the cache starts again when it is full.
+CACHED_WORDS = 1_000_000
 #: Bits for a row within a partition, a bin within a block, and a block within a round.
 _ROW_BITS, _BIN_BITS, _BLOCK_BITS = 40, 24, 34
 
-# The pattern by which byte-level vocabularies of this family cut words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these signs are cut alike by all versions of Unicode: ASCII and the Latin letters from A with grave on.
 PLAIN = r"[\t\n\r\x20-\x7eÀ-ɏ]*"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+# The pattern by which byte-level vocabularies of this family cut words, for plain texts; its alternatives exclude
+# each other by their first signs, so that the frequent ones may stand first.
+WORDS = rf" ?[{_LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
 
 
 class WordCoder:
@@ -57,24 +60,33 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached, self.ids = Tokenizer.from_file(file), cached, {}
-        self.words, self.plain = regex.compile(WORDS), regex.compile(PLAIN)
-        special = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(special) or r"(?!)")
+        self.words, self.plain = re.compile(WORDS), re.compile(PLAIN)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _coded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def code(self, texts: list[str]) -> list[bytes]:
-        by_word = [bool(self.plain.fullmatch(t)) and not self.special.search(t) for t in texts]
+        by_word = [bool(self.plain.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
         cut = [self.words.findall(t) if plain else () for t, plain in zip(texts, by_word, strict=True)]
         if len(self.ids) > self.cached:
             self.ids.clear()
-        new = list({w for words in cut for w in words}.difference(self.ids))
+        new = list(set().union(*cut).difference(self.ids))
         self.ids.update(zip(new, self._coded(new), strict=True))
         get = self.ids.__getitem__
         return [b"".join(map(get, words)) if plain else self._coded([t])[0] for t, words, plain in zip(texts, cut, by_word, strict=True)]
 
 
+#: The coders of this Python worker, which runs many tasks one after the other.
+_coders: dict[str, WordCoder] = {}
+
+
+def _coder(file: str) -> WordCoder:
+    if file not in _coders:
+        _coders[file] = WordCoder(file)
+    return _coders[file]
+
+
 def cut_points(n: int, length: int) -> range | list[int]:
     """Where the pieces of ``n`` ids start: all have ``length`` ids but the first."""
     return [0, *range(n % length or length, n, length)]
@@ -87,7 +99,7 @@ def _pieces(file: str, length: int, end: int):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, made = WordCoder(file), TaskContext.get().partitionId() << _ROW_BITS
+        coder, made = _coder(file), TaskContext.get().partitionId() << _ROW_BITS
         for part in row_slices(batches):
             rows = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), coder.code(part.column("text").to_pylist()), strict=True):
