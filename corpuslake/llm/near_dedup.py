@@ -13,12 +13,14 @@ all buckets with probability 5e-6. Links are found without the pairs of a bucket
 
 1. star rounds: each member is compared with one member of its bucket that lies in
    another component; links merge components;
-2. cross round: where members of one bucket still lie in different components, all
-   of them are compared across components, but only those that have one of their
-   rarest shingles in common: sets with J >= t share a shingle among the first
+2. cross round: where members of one bucket still lie in different components, they are compared
+   across components if they have one of their rarest shingles in common: sets with J >= t share a shingle among the first
    n - ceil(t n) + 1 of any common order, so this loses no link, and the shingles that
-   a large group has in common come last in the order. A pair is a row under the first shingle it has in common and under few others. Pairs within one component
-   need no comparison, as they can't change it.
+   a large group has in common come last in the order. The place of that shingle bounds the pair: nothing before the first
+   common one is common, so that of the two sets the smaller must have it among its first n - ceil(2 t n / (1 + t)) + 1, and
+   both places must leave room for what a link needs. Documents around one template that aren't links differ in more shingles
+   than that, all rarer than the template's, so the template's keys have no smaller side and make no pair. A pair is a row under
+   the first shingle it has in common and under few others. Pairs within one component need no comparison, as they can't change it.
 
 Every link is confirmed on the full sets. Components come from
 ``connected_components``; every loop writes work tables, and nothing of the
@@ -138,22 +140,23 @@ def _rarest(percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            ids, n, tokens, bits, before = [], [], [], [], []
+            ids, n, tokens, bits, before, at = [], [], [], [], [], []
             for id_, grams in zip(batch.column("id").to_pylist(), batch.column("grams"), strict=True):
                 g = grams.values.to_numpy(zero_copy_only=False)
                 first = len(g) - -(-len(g) * percent // 100) + 1
                 order = np.lexsort((g, counts[g & (len(counts) - 1)]))[:first]
                 tokens.append(g[order])
+                at.append(np.arange(len(order)))
                 before += [g[order[max(0, i - _BEFORE) : i]] for i in range(len(order))]
                 ids.append(np.full(len(order), id_))
                 n.append(np.full(len(order), len(g)))
                 odd = np.bincount((g >> 32) & (64 * _BITS - 1), minlength=64 * _BITS).astype(np.uint8) & 1
                 bits.append(np.broadcast_to(np.packbits(odd).view(np.int64), (len(order), _BITS)))
             if ids:
-                columns = [np.concatenate(x) for x in (tokens, ids, n)] + list(np.concatenate(bits).T)
+                columns = [np.concatenate(x) for x in (tokens, ids, n, at)] + list(np.concatenate(bits).T)
                 offsets = np.cumsum([0, *map(len, before)], dtype=np.int32)
                 before = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(before)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), before], names=["key", "rep", "n", *_bits("x"), "before"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), before], names=["key", "rep", "n", "at", *_bits("x"), "before"])
 
     return run
 
@@ -217,7 +220,7 @@ def _rest(docs: DataFrame, buckets: DataFrame, labels: DataFrame, done: DataFram
     found = counted.toArrow()  # one row a cell: at most `cells`, whatever the input
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = "key long, rep long, n long, " + ", ".join(f"{c} long" for c in _bits("x")) + ", before array<long>"
+    schema = "key long, rep long, n long, at long, " + ", ".join(f"{c} long" for c in _bits("x")) + ", before array<long>"
     rare = sets.mapInArrow(_rarest(percent, shared), schema)
     pairs = _cross_pairs(_members(rare, labels), percent).join(done, ["a", "b"], "left_anti")
     return _verified(sets, written(pairs, "pairs"), percent)
@@ -226,17 +229,23 @@ def _rest(docs: DataFrame, buckets: DataFrame, labels: DataFrame, done: DataFram
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of one key that lie in different components and may link.
 
-    Symmetric differences bound links: 2 * |A xor B| / (|A| + |B|) is at most
+    ``at`` shingles stand before the key in a set's order. Where the key is the first that a pair has in common, the sets
+    have at most least(n - at) shingles in common, and a link needs t (n + m) / (1 + t): for the smaller set,
+    whose partner is as large at least, that bounds its own place. Symmetric differences bound links, too: 2 * |A xor B| / (|A| + |B|) is at most
     2 (1 - t) / (1 + t), and the bitmaps differ in no more bits than the sets in
-    shingles. The test is part of the join, so that pairs which fail it are never
+    shingles. All tests are part of the join, so that pairs which fail them are never
     rows. Nor are pairs that meet under a key although they have a shingle in common shortly before it
     in the order: they meet under that one as well, and under the first one that they have in common in any case.
     """
     members = written(members.join(_several(members), "key", "left_semi"), "members")
-    there = members.select("key", F.col("rep").alias("o"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("before").alias("earlier"), *(F.col(x).alias(y) for x, y in zip(_bits("x"), _bits("y"), strict=True)))
+    smaller = members.filter((F.col("n") - F.col("at")) * (100 + percent) >= F.col("n") * (2 * percent))
+    there = members.select("key", F.col("rep").alias("o"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("comp").alias("other"), F.col("before").alias("earlier"), *(F.col(x).alias(y) for x, y in zip(_bits("x"), _bits("y"), strict=True)))
+    there = there.join(smaller.select("key").distinct(), "key", "left_semi")
     apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_bits("x"), _bits("y"), strict=True)), F.lit(0))
-    near = _close(percent) & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
-    met = members.alias("p").join(there.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("comp") < F.col("other")) & near & ~F.arrays_overlap("before", "earlier"))
+    room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    near = _close(percent) & room & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    once = (F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("rep") != F.col("o"))
+    met = smaller.alias("p").join(there.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("comp") != F.col("other")) & once & near & ~F.arrays_overlap("before", "earlier"))
     return met.select("rep", "n", "o", "m").transform(_pairs, percent)
 
 
