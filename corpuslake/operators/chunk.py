@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.sources.readers import spread
+
 # Characters of a chunk.
 MOST, TARGET, LEAST, OVERLAP = 4000, 2500, 100, 200
 
-#: A placeholder that stands for an image.
+# A placeholder that stands for an image, and runs of separators.
 _IMAGE = r"(?i)<!--\s*image\s*-->"
+SEPARATORS = r"[.\-_=·•*]{4,}"
 
 
 def split_pieces(text: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:
@@ -27,7 +30,8 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def _cleaned(section: Column) -> Column:
+def cleaned(section: Column) -> Column:
+    """A section without placeholders and superfluous blanks."""
     out = F.regexp_replace(F.regexp_replace(section, _IMAGE, " "), r"[ \t]+", " ")
     return _stripped(F.regexp_replace(out, r"\n[ \t]*\n[ \t]*\n+", "\n\n"))
 
@@ -36,7 +40,7 @@ def furniture(text: Column) -> Column:
     """Whether a text is rules, dot leaders and form lines instead of words (TXT-04)."""
     body = F.regexp_replace(text, _IMAGE, " ")
     dense = F.greatest(F.length(F.regexp_replace(body, r"(?U)\s", "")), F.lit(1))
-    ruled = F.length(body) - F.length(F.regexp_replace(body, r"[.\-_=·•*]{4,}", ""))
+    ruled = F.length(body) - F.length(F.regexp_replace(body, SEPARATORS, ""))
     letters = F.length(F.regexp_replace(body, "[^A-Za-z]", ""))
     return (F.round(ruled / dense, 3) > 0.3) & (F.round(letters / dense, 3) < 0.35)
 
@@ -69,7 +73,7 @@ def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     first piece that isn't blank stays in any case, others if they are long enough and no furniture. The first piece of a
     block is preceded by the end of the chunk before it.
     """
-    sections = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n{2,}"), _cleaned), lambda s: s != "")
+    sections = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n{2,}"), cleaned), lambda s: s != "")
     cut = docs.withColumn("__sections", sections)
     cut = cut.withColumn("__starts", _block_starts(F.transform("__sections", F.length)))
     stops = lambda k: F.coalesce(F.get("__starts", k + 1), F.size("__sections") + 1)
@@ -85,8 +89,11 @@ def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def chunk_documents(docs: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
-    """One row for each chunk: id, key, page_number, chunk_index, content."""
-    rows = with_chunks(docs.select(key, text), text).select(key, F.explode("chunks").alias("c")).select(key, "c.*")
+    """One row for each chunk: id, key, page_number, chunk_index, content.
+
+    The outer form of ``explode``: for the other one Catalyst tests the array's size before, and computes all chunks for that again.
+    """
+    rows = with_chunks(spread(docs.select(key, text)), text).select(key, F.explode_outer("chunks").alias("c")).filter("c IS NOT NULL").select(key, "c.*")
     return rows.select(chunk_id(F.col(key), F.col("page_number"), F.col("chunk_index")).alias("id"), key, "page_number", "chunk_index", "content")
 
 

@@ -56,7 +56,7 @@ def clauses_text(clauses: list[Clause]) -> str:
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, len) of the whole texts."""
     terms = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    words = docs.select(key, terms.alias("terms")).select(key, F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    words = docs.select(key, terms.alias("terms")).select(key, F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
@@ -108,7 +108,7 @@ def search_fields(docs: DataFrame, key: str, fields: list[str], clauses: list[Cl
     terms = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     words = texts.select(key, "field", terms.alias("terms"))
     stats = words.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))  # a row a field
-    index = words.select(key, "field", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    index = words.select(key, "field", F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL").groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = index.groupBy("field", "term").agg(F.count("*").alias("df"))
     wanted = matched_terms(df.select("term").distinct(), clauses)
     hits = index.join(wanted, "term").join(df, ["field", "term"]).join(F.broadcast(stats), "field")
@@ -297,5 +297,3 @@ def rerank(ranked: DataFrame, score: Column, key: str, top: int = 50) -> DataFra
 def rank_in(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["tokenize"]

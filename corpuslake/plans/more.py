@@ -393,12 +393,6 @@ def str_03_time_to_live(spark, d):
     return streams.expired(table(spark, d, "events"), "2024-01-31 00:00:00", 7).agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS batch FROM events")
-def str_04_buffer(spark, d):
-    rows = table(spark, d, "events").select("user_id", "event_id", F.lit(10).alias("bytes"))
-    return streams.buffered(rows, most_rows=10, order="event_id", stream="user_id").select("user_id", "event_id", F.col("batch").cast("long").alias("batch"))
-
-
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def str_08_daily_pseudonyms(spark, d):
     """Users counted by a pseudonym that changes with the day."""

@@ -129,7 +129,8 @@ def chk_03_chunk_id(spark, d):
     return p.select(chunk.chunk_id(F.col("document_id"), F.col("chunk_index"), F.col("chunk_index")).alias("id"), F.length("content").cast("long").alias("n"))
 
 
-@query(r"""WITH RECURSIVE sections AS (SELECT doc_id, unnest(range(1, len(list) + 1)) AS pos, list FROM (
+#: Chunks of all documents, whose lines are the sections.
+CHUNKS = r"""WITH RECURSIVE sections AS (SELECT doc_id, unnest(range(1, len(list) + 1)) AS pos, list FROM (
             SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '(?i)<!--\s*image\s*-->', ' ', 'g'), '[ \t]+', ' ', 'g'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda x: x != '') AS list FROM documents)),
           s AS (SELECT doc_id, pos, list[pos] AS section, length(list[pos]) AS n FROM sections),
           fold AS (SELECT doc_id, pos, n AS size, 0 AS block FROM s WHERE pos = 1
@@ -142,7 +143,10 @@ def chk_03_chunk_id(spark, d):
           rules AS (SELECT *, greatest(length(regexp_replace(own, '\s', '', 'g')), 1) AS dense, row_number() OVER (PARTITION BY doc_id ORDER BY page, off) AS k FROM pieces WHERE own != ''),
           kept AS (SELECT doc_id, page, off, own, row_number() OVER w - 1 AS i, lag(own) OVER w AS before FROM rules WHERE k = 1 OR length(own) >= 100 AND NOT
             (round((length(own) - length(regexp_replace(own, '[.\-_=·•*]{4,}', '', 'g'))) / dense, 3) > 0.3 AND round(length(regexp_replace(own, '[^A-Za-z]', '', 'g')) / dense, 3) < 0.35) WINDOW w AS (PARTITION BY doc_id ORDER BY page, off))
-          SELECT doc_id || '::p' || page || '::c' || i AS id, doc_id AS document_id, page::INTEGER AS page_number, i::INTEGER AS chunk_index, CASE WHEN off = 0 AND i > 0 THEN right(before, 200) || chr(10) || chr(10) ELSE '' END || own AS content FROM kept""")
+          SELECT doc_id || '::p' || page || '::c' || i AS id, doc_id AS document_id, page::INTEGER AS page_number, i::INTEGER AS chunk_index, CASE WHEN off = 0 AND i > 0 THEN right(before, 200) || chr(10) || chr(10) ELSE '' END || own AS content FROM kept"""
+
+
+@query(CHUNKS)
 def chk_01_chunks(spark, d):
     docs = _t("documents")(spark, d).select(F.col("doc_id").alias("document_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunk.chunk_documents(docs)

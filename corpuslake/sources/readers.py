@@ -12,6 +12,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A small scan over all cores: a file of one row group is one split, and costly maps over it would be one task. Scans with enough splits stay as they are."""
+    if rows.isStreaming:
+        return rows
+    wanted = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
+
+
 def scan(rows: DataFrame, access: Access, where: Column | None = None, field: str | None = "project_id") -> DataFrame:
     """Every scan carries the visibility; the rest of the criteria is joined to it."""
     return rows.filter(all_of(visible(access, field), *([where] if where is not None else [])))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.operators.chunk import chunk_documents
 from corpuslake.sources.readers import queue_ids
 
 
@@ -74,32 +73,10 @@ def usage_stream(events: DataFrame, quota: float, share: float = 0.8, ts: str =
     return wide.filter(F.col("used") > quota * share).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "used")
 
 
-def buffered(rows: DataFrame, most_rows: int = 100, most_bytes: int = 800_000, size: str = "bytes", order: str = "seq", stream: str = "stream") -> DataFrame:
-    """Batch numbers by rows and bytes: a batch ends before the row that would exceed either."""
-    state = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("out"))
-
-    def step(s, r):
-        full = (s["rows"] >= most_rows) | ((s["rows"] > 0) & (s["bytes"] + r[size] > most_bytes))
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(full, 1).otherwise(s["rows"] + 1).alias("rows"),
-            F.when(full, r[size].cast("long")).otherwise(s["bytes"] + r[size]).alias("bytes"), F.concat(s["out"], F.array(batch)).alias("out"),
-        )
-
-    grouped = rows.groupBy(stream).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(size)))).alias("r"))
-    numbered = grouped.withColumn("b", F.aggregate("r", state, step, lambda s: s["out"]))
-    return numbered.select(stream, F.explode(F.arrays_zip("r", "b")).alias("x")).select(stream, F.col("x.r")[order].alias(order), F.col("x.b").alias("batch"))
-
-
 def queue_stream(messages: DataFrame) -> DataFrame:
     return queue_ids(messages)
 
 
-def chunk_stream(docs: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
-    """Chunks of arriving documents: stateless, each document is whole in its row."""
-    return chunk_documents(docs, key, text)
-
-
 def drain(out: DataFrame, path: str, checkpoint: str, mode: str = "append", kind: str = "parquet") -> None:
     """Run a stream to the end of what is there."""
     query = out.writeStream.format(kind).outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()

@@ -280,14 +280,6 @@ def test_paged_source(spark, tmp_path):
     assert readers.counted(rows, 6).select("id").distinct().count() == 6
 
 
-def test_buffer(spark):
-    from corpuslake.streaming.streams import buffered
-
-    rows = spark.createDataFrame([("s", i, 300) for i in range(7)], "stream string, seq int, bytes int")
-    got = [r.batch for r in buffered(rows, most_rows=3, most_bytes=800).orderBy("seq").collect()]
-    assert got == [0, 0, 1, 1, 2, 2, 3]
-
-
 def test_streams(spark, tmp_path):
     from corpuslake.streaming import streams
 
