@@ -53,20 +53,8 @@ def clauses_text(clauses: list[Clause]) -> str:
     return " AND ".join(out)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, len) of the whole texts."""
-    terms = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    words = docs.select(key, terms.alias("terms")).select(key, F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-
-
-def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
-    terms = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(terms)).alias("avg_len"))
-
-
-def matched_terms(vocabulary: DataFrame, clauses: list[Clause]) -> DataFrame:
-    """(clause, term, weight) of the vocabulary's terms that satisfy a clause; the vocabulary is read once, never the documents."""
+def matched_terms(vocabulary: DataFrame, clauses: list[Clause], also: list[str] | None = None) -> DataFrame:
+    """(clause, term, weight, and the columns ``also``) of the vocabulary's terms that satisfy a clause; the vocabulary is read once, never the documents."""
     options = []
     for i, c in enumerate(clauses):
         weight = F.when(F.col("term") == c.term, 1.0)
@@ -76,8 +64,9 @@ def matched_terms(vocabulary: DataFrame, clauses: list[Clause]) -> DataFrame:
             close = F.length("term").between(len(c.term) - 1, len(c.term) + 1) & (F.levenshtein("term", F.lit(c.term), 1) == 1)
             weight = weight.when(close, FUZZY_WEIGHT)
         options.append(F.struct(F.lit(i).alias("clause"), weight.alias("weight")))
-    hits = vocabulary.select("term", F.explode(F.filter(F.array(*options), lambda o: o["weight"].isNotNull())).alias("o"))
-    return hits.select("o.clause", "term", "o.weight")
+    also = also or []
+    hits = vocabulary.select("term", *also, F.explode(F.filter(F.array(*options), lambda o: o["weight"].isNotNull())).alias("o"))
+    return hits.select("o.clause", "term", "o.weight", *also)
 
 
 def bm25(tf: Column, length: Column, df: Column, n_docs: Column, avg_len: Column) -> Column:
@@ -85,38 +74,6 @@ def bm25(tf: Column, length: Column, df: Column, n_docs: Column, avg_len: Column
     return idf * tf * (K1 + 1) / (tf + K1 * (F.lit(1 - B) + F.lit(B) * length / avg_len))
 
 
-def search(index: DataFrame, stats: DataFrame, clauses: list[Clause], key: str) -> DataFrame:
-    """(key, score) of the documents that satisfy all clauses.
-
-    Only postings of matched terms are joined: they are few words of the vocabulary, whatever the corpus.
-    """
-    if not clauses:
-        return index.select(key, F.lit(0.0).alias("score")).limit(0)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = matched_terms(df, clauses).join(df, "term")
-    hits = index.join(wanted, "term").join(F.broadcast(stats), F.lit(True))  # one row of totals
-    scored = hits.withColumn("s", F.col("weight") * bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("n_docs"), F.col("avg_len")))
-    per = scored.groupBy(key).agg(F.sum("s").alias("score"), F.countDistinct("clause").alias("met"))
-    return per.filter(F.col("met") == len(clauses)).select(key, "score")
-
-
-def search_fields(docs: DataFrame, key: str, fields: list[str], clauses: list[Clause]) -> DataFrame:
-    """(key, score): every clause is satisfied in one field or another; scores of fields, each with its own lengths and frequencies, are summed."""
-    if not clauses:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    texts = docs.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("f")).select(key, "f.*")
-    terms = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    words = texts.select(key, "field", terms.alias("terms"))
-    stats = words.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))  # a row a field
-    index = words.select(key, "field", F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL").groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = index.groupBy("field", "term").agg(F.count("*").alias("df"))
-    wanted = matched_terms(df.select("term").distinct(), clauses)
-    hits = index.join(wanted, "term").join(df, ["field", "term"]).join(F.broadcast(stats), "field")
-    scored = hits.withColumn("s", F.col("weight") * bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("n_docs"), F.col("avg_len")))
-    per = scored.groupBy(key).agg(F.sum("s").alias("score"), F.countDistinct("clause").alias("met"))
-    return per.filter(F.col("met") == len(clauses)).select(key, "score")
-
-
 def keyword_page(ranked: DataFrame, order: list[Column], top: int = 20, skip: int = 0) -> DataFrame:
     """A page of a keyword search: an oversized one is refused, not clamped."""
     if top > PAGE:

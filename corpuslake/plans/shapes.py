@@ -22,7 +22,8 @@ from corpuslake.sources.readers import table
     FROM p JOIN f USING (field, term) JOIN s USING (field), n WHERE term IN ('small', 'ring') GROUP BY p_partkey HAVING count(DISTINCT term) = 2""")
 def rnk_02_fields(spark: SparkSession, d: str) -> DataFrame:
     clauses = search.compile_query("small ring", fuzzy=False)
-    return search.search_fields(table(spark, d, "part"), "p_partkey", ["p_name", "p_type"], clauses).select("p_partkey", F.round("score", 6).alias("score"))
+    found = v.text_index(spark, d, "part", "p_partkey", ["p_name", "p_type"]).search(clauses)
+    return found.select(F.col("key").alias("p_partkey"), F.round("score", 6).alias("score"))
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'F' || c_custkey END AS wildfire FROM customer""")
 def prj_02_public_view(spark: SparkSession, d: str) -> DataFrame:

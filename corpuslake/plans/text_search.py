@@ -18,9 +18,9 @@ _BM25 = """s AS (SELECT count(*) AS n, avg(len) AS avgl FROM (SELECT doc_id, max
           FROM v_posts JOIN w USING (term), s GROUP BY doc_id)"""
 
 
-def _ranked(spark, d, keywords, fuzzy=False, prefix=False):
-    docs = _t("documents")(spark, d)
-    return search.search(search.postings(docs, "doc_id", "text"), search.corpus_stats(docs, "text"), search.compile_query(keywords, fuzzy, prefix), "doc_id")
+def _ranked(spark, d, keywords, fuzzy=False, prefix=False, **options):
+    index = v.text_index(spark, d, "documents", "doc_id", ["text"])
+    return index.search(search.compile_query(keywords, fuzzy, prefix), **options).withColumnRenamed("key", "doc_id")
 
 
 _EXACT = _BM25.format(clause="term", weight="1.0", match="term IN ('the', 'thin')")
@@ -45,6 +45,12 @@ def q_02_fuzzy_prefix(spark, d):
     return _ranked(spark, d, "the oning", fuzzy=True, prefix=True).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("SELECT doc_id, 0.0::DOUBLE AS score FROM documents")
+def q_14_match_all(spark, d):
+    """Without a term everything is found where that is asked for, and nothing otherwise."""
+    return _ranked(spark, d, "- . -", match_all=True).unionByName(_ranked(spark, d, "- . -"))
+
+
 @query(r"SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:16] AS terms FROM documents")
 def q_01_tokenize(spark, d):
     return _t("documents")(spark, d).select("doc_id", search.tokenize(F.col("text")).alias("terms"))

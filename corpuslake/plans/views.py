@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.operators.inverted import TextIndex
+from corpuslake.session import shared_folder
 from corpuslake.sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +79,19 @@ def pieces(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("document_id", F.col("pos").cast("long").alias("chunk_index"), F.col("col").alias("content"))
 
 
+_indexes: dict[tuple, TextIndex] = {}
+
+
+def text_index(spark: SparkSession, d: str, name: str, key: str, fields: list[str]) -> TextIndex:
+    """The stored index of a table: built from the whole table when a session first asks for it, and again when the table's files are others."""
+    rows = table(spark, d, name)
+    at = (spark.sparkContext.applicationId, name, key, *fields, *sorted(rows.inputFiles()))
+    if at not in _indexes:
+        index = TextIndex(spark, f"{shared_folder(spark)}/corpuslake/index-{name}-{uuid.uuid4().hex}")
+        _indexes[at] = index.add(rows, key, fields)
+    return _indexes[at]
+
+
 def places(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), *_point(F.col("s_suppkey")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import sys
 import tempfile
@@ -13,6 +14,8 @@ from pyspark.sql import SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+#: The one temporary folder of this process, where sessions on this machine have no shared one.
+_local: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -27,6 +30,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all of the cluster sees, ``spark.checkpoint.dir``; a temporary one where none is set and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="corpuslake-"))
+        base = _local[0]
+    return base.rstrip("/")
+
+
 def local_session(cpus: int | str = "*", name: str = "corpuslake", **conf: str) -> SparkSession:
     """A session on this machine, for tests, benchmarks and notebooks."""
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)

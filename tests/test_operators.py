@@ -316,13 +316,6 @@ def test_shapes_hide_what_is_internal(spark):
     assert shape.redact(spark.createDataFrame([(1, "h")], "id int, hash string")).columns == ["id"]
 
 
-def test_clauses_hold_across_fields(spark):
-    rows = spark.createDataFrame([(1, "Red ring", None), (2, "red", "RING small"), (3, "ring", "ring"), (4, None, "")], "id int, name string, kind string")
-    found = search.search_fields(rows, "id", ["name", "kind"], search.compile_query("red ring", fuzzy=False))
-    assert sorted(r["id"] for r in found.collect()) == [1, 2]
-    assert search.search_fields(rows, "id", ["name", "kind"], []).count() == 0
-
-
 def test_an_oversized_keyword_page_is_refused(spark):
     with pytest.raises(ValueError, match="500"):
         search.keyword_page(spark.range(3), [F.asc("id")], top=501)
