@@ -15,6 +15,11 @@ def in_box(lng: Column, lat: Column) -> Column:
     return lng.between(*BOX["lng"]) & lat.between(*BOX["lat"])
 
 
+def in_view(lng: Column, lat: Column, west: float, south: float, east: float, north: float) -> Column:
+    """Whether a point lies in a viewport, edges included; no point lies in none."""
+    return F.coalesce(lng.between(west, east) & lat.between(south, north), F.lit(False))
+
+
 def repaired(lng: Column, lat: Column) -> Column:
     """A point within the box, with a lost sign put back; null where that doesn't help."""
     x, y = lng.try_cast("double"), lat.try_cast("double")

@@ -93,15 +93,15 @@ def text_index(spark: SparkSession, d: str, name: str, key: str, fields: list[st
 
 
 def places(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), *_point(F.col("s_suppkey")))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), *point(F.col("s_suppkey")))
 
 
 def fires(spark: SparkSession, d: str) -> DataFrame:
     c, k = table(spark, d, "customer"), F.col("c_custkey")
-    return c.select(*_point(k * 3 + 1), F.when(k % 11 == 0, "Out").otherwise("Active").alias("status"), (k % 9 == 0).alias("of_note"))
+    return c.select(*point(k * 3 + 1), F.when(k % 11 == 0, "Out").otherwise("Active").alias("status"), (k % 9 == 0).alias("of_note"))
 
 
-def _point(k):
+def point(k):
     return (F.lit(-139.5) + (k * 7919 % 2600) / 100.0).alias("lng"), (F.lit(47.5) + (k * 104729 % 1300) / 100.0).alias("lat")
 
 
