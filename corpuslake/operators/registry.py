@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.operators.access import PUBLIC, merge_acl
 from corpuslake.operators.geo import pick_centroid
+from corpuslake.sources.readers import spread
 
 
 def has_value(column: Column, kind: str = "string") -> Column:
@@ -111,3 +112,21 @@ def gates(projects: DataFrame, most_names: int = 20, synthetic: int = 8_000_000)
 
 
 __all__ = ["decoded", "gates", "has_value", "last_wins", "match_classes", "merge", "pick_centroid", "reconciliation", "resolve_either", "valued"]
+
+
+def phrase_holders(items: DataFrame, docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """(item_id, doc_id) of the documents (doc_id, text) that hold the whole text of an item (item_id, text), each pair once.
+
+    An item is looked up by its longest inner word, which is a word of every text that holds it. Up to ``most`` counted items go to all
+    tasks, so that of the documents' words only those are shuffled that some item asks for; only documents with one are read for the whole text.
+    """
+    cut = F.split("text", r"\s+")
+    inner = F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(1)))
+    longest = F.try_element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("word")))), F.lit(-1))["word"]
+    keyed = items.select("item_id", F.col("text").alias("item"), F.coalesce(longest, F.element_at(cut, 1)).alias("key")).filter("item IS NOT NULL")
+    asked = keyed.select("item_id", "key")
+    if asked.count() <= most:
+        asked = F.broadcast(asked)
+    words = spread(docs.select("doc_id", "text")).select("doc_id", F.explode_outer(F.array_distinct(F.split("text", r"\s+"))).alias("key")).filter("key IS NOT NULL")
+    pairs = words.join(asked, "key").select("item_id", "doc_id").distinct()
+    return pairs.join(keyed.select("item_id", "item"), "item_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "item")).select("item_id", "doc_id").distinct()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.sources.readers import spread
+
+# White space as the reference's language has it, and a placeholder that stands for an image.
+SPACES = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 IMAGE = r"(?i)<!--\s*image\s*-->"
 
 
@@ -28,40 +34,40 @@ def _share(n: Column, of: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the quality measures of a text; all of it runs in the JVM."""
+    """``docs`` with the quality measures of a text; all of it runs in the JVM, each class of signs in one pass without a pattern."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    count = lambda pattern: F.regexp_count(F.col("__body"), F.lit(pattern))
+    without = lambda t, signs: F.translate(t, signs, "")
     alnum = lambda t: F.regexp_replace(t, "[^A-Za-z0-9]", "")
-    d = docs.withColumns({"length": F.length(raw), "placeholders": F.regexp_count(raw, F.lit(IMAGE)), "__body": F.regexp_replace(raw, IMAGE, " ")})
-    d = d.withColumns(
-        {
-            "__tokens": F.filter(F.split("__body", r"\s+"), lambda t: t != ""),
-            "__lines": F.filter(F.split("__body", "\n"), lambda x: F.regexp_replace(x, r"\s", "") != ""),
-            "__denom": F.greatest(F.length(F.regexp_replace("__body", r"\s", "")), F.lit(1)),
-            "__trimmed": F.length(F.regexp_replace("__body", r"^\s+|\s+$", "")),
-        }
-    )
-    d = d.withColumn("__words", F.filter(F.transform("__tokens", alnum), lambda w: w.rlike("^[A-Za-z]{3,}$")))
+    letters, digits = string.ascii_letters, string.digits
+    printable = "".join(map(chr, range(0x20, 0x7F)))
+    d = spread(docs).withColumns({"length": F.length(raw), "placeholders": F.regexp_count(raw, F.lit(IMAGE)), "__body": F.regexp_replace(raw, IMAGE, " ")})
+    d = d.withColumns({"__dense": without(F.col("__body"), SPACES), "__tokens": F.filter(F.split("__body", f"{SPACE}+"), lambda t: t != ""), "__lines": F.filter(F.split("__body", "\n"), lambda x: without(x, SPACES) != "")})
+    d = d.withColumns({"__denom": F.greatest(F.length("__dense"), F.lit(1)), "__plain": F.transform("__tokens", alnum), "__trimmed": F.length(F.trim("__body", F.lit(SPACES)))})
+    d = d.withColumn("__words", F.filter("__plain", lambda w: (F.length(w) >= 3) & (without(w, digits) == w)))
     # A number counts with the blanks around it, so two neighbours need a blank each.
-    numeric = lambda x: F.regexp_count(F.regexp_replace(x, r"(\s)", "$1$1"), F.lit(r"(^|\s)-?\d+(\.\d+)?(\s|$)"))
-    rows = F.size(F.filter("__lines", lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2)) + F.size(F.filter("__lines", lambda x: numeric(x) >= 3))
-    n = F.size("__tokens")
+    numeric = lambda x: F.regexp_count(F.regexp_replace(x, f"({SPACE})", "$1$1"), F.lit(rf"(^|{SPACE})-?[0-9]+(\.[0-9]+)?({SPACE}|$)"))
+    bars = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|")))
+    digital = lambda x: F.length(x) - F.length(without(x, digits)) >= 3
+    rows = F.size(F.filter("__lines", lambda x: bars(x) >= 2)) + F.size(F.filter("__lines", lambda x: F.when(digital(x), numeric(x) >= 3).otherwise(False)))
+    n, dense = F.size("__tokens"), F.length("__dense")
+    runs = F.transform(F.regexp_extract_all("__body", F.lit(r"(([^\n\r\u2028\u2029])\2{3,})"), F.lit(1)), F.length)
     d = d.withColumns(
         {
             "placeholder_ratio": _share(F.col("length") - F.col("__trimmed"), F.col("length")),
-            "alpha_ratio": _round(count("[A-Za-z]") / F.col("__denom")),
-            "digit_ratio": _round(count("[0-9]") / F.col("__denom")),
-            "non_ascii_ratio": _round(count(r"[^\x20-\x7E\s]") / F.col("__denom")),
+            "alpha_ratio": _round((dense - F.length(without(F.col("__dense"), letters))) / F.col("__denom")),
+            "digit_ratio": _round((dense - F.length(without(F.col("__dense"), digits))) / F.col("__denom")),
+            "non_ascii_ratio": _round(F.length(without(F.col("__dense"), printable)) / F.col("__denom")),
             "token_count": n.cast("long"),
             "word_count": F.size("__words").cast("long"),
             "tabular": (F.size("__lines") > 0) & (rows * 2 >= F.size("__lines")),
-            "mean_token_length": _share(F.length(F.array_join("__tokens", "")), n),
-            "short_token_ratio": _share(F.size(F.filter("__tokens", lambda t: F.length(alnum(t)) <= 2)), n),
-            "vowelless_ratio": _share(F.size(F.filter("__words", lambda w: ~w.rlike("[aeiouyAEIOUY]"))), F.size("__words")),
+            "mean_token_length": _share(dense, n),
+            "short_token_ratio": _share(F.size(F.filter("__plain", lambda t: F.length(t) <= 2)), n),
+            "vowelless_ratio": _share(F.size(F.filter("__words", lambda w: without(w, "aeiouyAEIOUY") == w)), F.size("__words")),
             "separator_ratio": _round(F.length(F.array_join(F.regexp_extract_all("__body", F.lit(r"[.\-_=·•*]{4,}"), F.lit(0)), "")) / F.col("__denom")),
+            "max_repeat": F.coalesce(F.array_max(runs), F.lit(0)).cast("long"),
         }
     )
-    return d.drop("__body", "__tokens", "__lines", "__denom", "__trimmed", "__words")
+    return d.drop("__body", "__dense", "__tokens", "__lines", "__denom", "__trimmed", "__plain", "__words")
 
 
 def _named(tests: list[tuple[str, Column]]) -> Column:
@@ -98,7 +104,20 @@ def classify(measured: DataFrame) -> DataFrame:
 
 
 def loose(text: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), "^ | $", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), rf"{SPACE}+", " "), "^ | $", ""))
+
+
+class _Folding(dict):
+    """Code point to what folding makes of it: nothing of a mark, a space of a separator, else its lower case."""
+
+    def __missing__(self, code: int) -> str | None:
+        ch = chr(code)
+        kind = unicodedata.category(ch)[0]
+        self[code] = None if kind == "M" else " " if kind in "PSZ" or ch.isspace() else ch.lower()
+        return self[code]
+
+
+_FOLDING = _Folding()
 
 
 def fold(column) -> Column:
@@ -107,12 +126,52 @@ def fold(column) -> Column:
 
 
 def _folded(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        kept = "".join(ch if ch.isalnum() else " " for ch in unicodedata.normalize("NFKD", text or "") if not unicodedata.category(ch).startswith("M"))
-        words = kept.lower().split()
-        rows.append((" ".join(words), "".join(words)))
-    return pd.DataFrame(rows, columns=["spaced", "despaced"])
+    words = [unicodedata.normalize("NFKD", text or "").translate(_FOLDING).split() for text in texts]
+    return pd.DataFrame({"spaced": [" ".join(w) for w in words], "despaced": ["".join(w) for w in words]})
+
+
+def fault_evidence(text, phrase) -> Column:
+    """(kind, evidence) of a phrase that is found without spaces only, null where it isn't.
+
+    ``joined``: the text has fewer spaces than the phrase, ``split``: more, ``other``: as many. The evidence is the place in the text's compatibility form with 40 signs around it, white space as single spaces.
+    """
+    return F.pandas_udf(_evidence, "kind string, evidence string")(text, phrase)
+
+
+def _place(text: str) -> tuple[str, list[int], list[int]]:
+    """Letters without separators; for each its position in ``text`` and the spaces before it."""
+    letters, at, before = [], [], []
+    spaces, apart = 0, False
+    for i, ch in enumerate(text):
+        folded = _FOLDING[ord(ch)]
+        if folded == " ":
+            apart = bool(letters)
+        elif folded:
+            spaces += apart
+            apart = False
+            letters.append(folded)
+            at += [i] * len(folded)
+            before += [spaces] * len(folded)
+    return "".join(letters), at, before
+
+
+#: Signs of evidence on both sides of the place.
+_AROUND = 40
+
+
+def _evidence(texts: pd.Series, phrases: pd.Series) -> pd.DataFrame:
+    out = []
+    for text, phrase in zip(texts, phrases, strict=True):
+        form = unicodedata.normalize("NFKD", text or "")
+        (letters, at, before), (needle, _, own) = _place(form), _place(unicodedata.normalize("NFKD", phrase or ""))
+        first = letters.find(needle) if needle else -1
+        if first < 0:
+            out.append((None, None))
+            continue
+        last = first + len(needle) - 1
+        more = before[last] - before[first] - own[-1]
+        out.append(("joined" if more < 0 else "split" if more > 0 else "other", " ".join(form[max(0, at[first] - _AROUND) : at[last] + 1 + _AROUND].split())))
+    return pd.DataFrame(out, columns=["kind", "evidence"])
 
 
 def ladder(text: Column, phrase: Column, folded_text: Column, folded_phrase: Column) -> Column:
@@ -140,7 +199,7 @@ def presence(labels: DataFrame, chunks: DataFrame) -> DataFrame:
     rank = lambda rung: F.coalesce(*[F.when(rung == r, F.lit(i)) for i, r in enumerate(RUNGS)], F.lit(9))
     own = pairs.withColumn("__rung", ladder(F.col("content"), F.col("phrase"), F.col("__hay"), F.col("__needle")))
     per = own.groupBy("label_id", "document_id", "phrase").agg(
-        F.min(F.struct(rank(F.col("__rung")).alias("rank"), F.col("chunk_index"), F.col("__rung").alias("rung"))).alias("best"),
+        F.min(F.struct(rank(F.col("__rung")).alias("rank"), F.col("chunk_index"), F.col("__rung").alias("rung"), F.when(F.col("__rung") == "despaced", F.col("content")).alias("own"))).alias("best"),
         F.count("content").alias("n_chunks"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n\n").alias("joined"),
     )
@@ -153,9 +212,13 @@ def presence(labels: DataFrame, chunks: DataFrame) -> DataFrame:
     words = F.array_distinct(F.transform(tokenize(F.col("phrase")), F.lower))
     missing = F.filter(words, lambda w: ~F.contains(F.col("__hay.despaced"), w))
     share = F.when((F.size(words) > 0) & (F.col("n_chunks") > 0), F.round((F.size(words) - F.size(missing)) / F.size(words), 4))
+    despaced = F.when(F.col("best.rung") == "despaced", F.col("best.own")).when(found == "straddle-despaced", F.col("joined"))
+    fault = fault_evidence(despaced, F.when(despaced.isNotNull(), F.col("phrase")))
+    per = per.withColumn("__fault", fault)
     return per.select(
         "label_id", "document_id", found.alias("class"), F.when((F.col("best.rank") < 9) & (F.col("n_chunks") > 0), F.col("best.chunk_index")).alias("matched_chunk"),
         share.alias("coverage"), F.when(F.col("n_chunks") > 0, missing).otherwise(F.array().cast("array<string>")).alias("missing_tokens"),
+        F.col("__fault.kind").alias("despaced_kind"), F.when(F.col("best.rank") < 9, F.col("__fault.evidence")).alias("evidence"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslake.operators import access as acl
-from corpuslake.operators import chunk, evaluate, search, text
+from corpuslake.operators import chunk, evaluate, registry, search, text
 from corpuslake.plans import views as v
 from corpuslake.plans.relational import ANYONE, SEEN, _t
 from corpuslake.plans.views import query
@@ -100,7 +100,10 @@ _MEASURE = r"""WITH b AS (SELECT doc_id, text AS body, length(text) AS length, l
       floor((length(array_to_string(regexp_extract_all(body, '[.\-_=·•*]{4,}'), '')) / denom) * 1000 + 0.5) / 1000 AS separator_ratio FROM w)"""
 
 
-@query(_MEASURE + " SELECT * FROM m")
+@query(_MEASURE + """, ch AS (SELECT doc_id, i, list[i] AS c FROM (SELECT doc_id, list, unnest(range(1, len(list) + 1)) AS i FROM (SELECT doc_id, string_split(text, '') AS list FROM documents))),
+    g AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS run FROM ch WHERE c NOT IN (chr(10), chr(13), chr(8232), chr(8233))),
+    r AS (SELECT doc_id, max(n) AS max_repeat FROM (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id, c, run HAVING count(*) >= 4) GROUP BY doc_id)
+    SELECT m.*, coalesce(max_repeat, 0) AS max_repeat FROM m LEFT JOIN r USING (doc_id)""")
 def txt_02_measure(spark, d):
     docs = _t("documents")(spark, d).select("doc_id", "text")
     return text.measure(docs).drop("text", "length", "placeholders")
@@ -177,15 +180,17 @@ def rou_09_page_batches(spark, d):
     return _t("lineitem")(spark, d).groupBy("l_orderkey", text.page_batches(F.col("l_linenumber"), 3).alias("batch")).agg(F.count("*").alias("pages"))
 
 
-@query()
+@query("""SELECT item_id AS label_id, document_id, ['exact', 'whitespace', 'punct', 'despaced'][item_id % 4 + 1] AS class, min(chunk_index) AS matched_chunk, CASE WHEN item_id % 4 = 3 THEN 'split' END AS despaced_kind
+          FROM v_pieces JOIN benchmark ON contains(content, benchmark.text) GROUP BY item_id, document_id""")
 def phr_03_presence(spark, d):
-    """Where the first words of each benchmark text stand in the first document that holds it, chunk by chunk."""
-    from corpuslake.plans.relational import jon_12_phrase_containment
-
-    own = jon_12_phrase_containment(spark, d).filter("documents > 0").select("item_id", F.col("first_document").alias("document_id"))
-    phrase = F.array_join(F.slice(F.split("text", " "), 1, 16), " ")
-    labels = _t("benchmark")(spark, d).join(own, "item_id").select(F.col("item_id").alias("label_id"), "document_id", phrase.alias("phrase"))
-    return text.presence(labels, v.pieces(spark, d).join(labels.select("document_id").distinct(), "document_id", "left_semi"))
+    """Where each benchmark text, with spaces doubled, as hyphens or left out, stands in each document that holds it, chunk by chunk."""
+    items = _t("benchmark")(spark, d)
+    held = registry.phrase_holders(items, _t("documents")(spark, d)).select("item_id", F.col("doc_id").alias("document_id"))
+    fault, space = F.col("item_id") % 4, F.lit(" ")
+    phrase = F.when(fault == 1, F.replace("text", space, F.lit("  "))).when(fault == 2, F.replace("text", space, F.lit(" - "))).when(fault == 3, F.replace("text", space)).otherwise(F.col("text"))
+    labels = items.join(held, "item_id").select(F.col("item_id").alias("label_id"), "document_id", phrase.alias("phrase"))
+    found = text.presence(labels, v.pieces(spark, d).join(labels.select("document_id").distinct(), "document_id", "left_semi"))
+    return found.filter("matched_chunk IS NOT NULL").select("label_id", "document_id", "class", "matched_chunk", "despaced_kind")
 
 
 @query("""SELECT c_custkey, list_sort(list_distinct(list_filter([c_custkey % 7, c_custkey % 5, c_custkey % 7], lambda k: k BETWEEN 1 AND 4))) AS cited FROM customer""")
