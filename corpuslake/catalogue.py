@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslake.plans import more, places, relational, shapes, states, text_search, views  # noqa: F401  (they register their queries)
+from corpuslake.plans import more, places, records, relational, shapes, states, text_search, views  # noqa: F401  (they register their queries)
 
 QUERIES = views.QUERIES
 ORACLES = views.ORACLES

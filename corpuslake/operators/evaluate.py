@@ -88,3 +88,13 @@ def stale(scorecards: DataFrame, chunks: DataFrame, document: str) -> DataFrame:
     """Scorecards whose document was extracted after they were made."""
     newest = chunks.groupBy(document).agg(F.max("extracted_at").alias("newest"))
     return scorecards.join(newest, document, "left").withColumn("stale", F.coalesce(F.col("newest") > F.col("scored_at"), F.lit(False)))
+
+
+def with_ranks(labels: DataFrame, ranks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Labels (document_id, phrase) with their rank in a scorecard (document_id, phrase, rank, started), their document's chunks counted and its newest
+    extraction, and ``stale``: the document was extracted anew after the scorecard was made, so that both tell of different texts."""
+    newest = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.max("extracted_at").alias("newest_extracted_at"))
+    started = ranks.agg(F.max("started").alias("started"))  # one report, one time
+    rows = labels.join(ranks.select("document_id", "phrase", "rank"), ["document_id", "phrase"], "left").join(newest, "document_id", "left").join(F.broadcast(started), F.lit(True), "left")
+    stale = F.coalesce(F.col("newest_extracted_at") > F.col("started"), F.lit(False))
+    return rows.withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0).cast("long")), "stale": stale}).drop("started")

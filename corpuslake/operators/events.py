@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.functions.scalars import caller_ip
+
 
 def actor_class(api_key: Column, service: Column, break_glass: Column, user: Column, token: Column) -> Column:
     """The strongest identity of a request."""
@@ -23,15 +21,49 @@ def device_class(agent: Column) -> Column:
     return F.when(agent.rlike("(?i)mobile|android|iphone"), "mobile").otherwise("desktop")
 
 
-def pseudonym(salts: dict[str, bytes]):
-    """A UDF (value, day) -> 32 hex digits of the keyed digest under the day's salt; null without a salt."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series, days: pd.Series) -> pd.Series:
-        made = [None if v is None or d not in salts else hmac.new(salts[d], str(v).encode(), hashlib.sha256).hexdigest()[:32] for v, d in zip(values, days, strict=True)]
-        return pd.Series(made, dtype=object)
-
-    return run
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """Hex digits of the keyed digest of bytes, composed of built-in functions; null where either is."""
+    short = F.when(F.length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key)
+    block = F.rpad(F.hex(short), 128, "0")
+
+    def pad(with_: int) -> Column:
+        byte = lambda i: F.conv(F.substr(block, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(with_))
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+
+    made = F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message), 256))), 256)
+    return F.when(key.isNotNull() & message.isNotNull(), made)
+
+
+def with_pseudonyms(events: DataFrame, salts: DataFrame, who: str = "user_id", ts: str = "ts") -> DataFrame:
+    """``events`` with ``pseudonym``: 32 hex digits of the keyed digest of ``who`` under the salt in force.
+
+    ``salts`` are (since, salt as bytes). A salt holds from its time to the next one, and not beyond its day: so no pseudonym outlives
+    a day, and a salt made anew within a day starts new ones. Without a salt in force it is null. Both sides meet by day, and salts are few a day.
+    """
+    next_ = F.lead("since").over(Window.partitionBy("day").orderBy("since"))
+    own = salts.select(F.to_date("since").alias("day"), "since", "salt").withColumn("until", next_)
+    own = own.select(F.col("day").alias("__day"), F.col("since").alias("__since"), F.col("until").alias("__until"), F.col("salt").alias("__salt"))
+    at = F.col(ts)
+    holds = (F.to_date(at) == F.col("__day")) & (at >= F.col("__since")) & (F.col("__until").isNull() | (at < F.col("__until")))
+    digest = F.substring(hmac_sha256(F.col("__salt"), F.col(who).cast("string").cast("binary")), 1, 32)
+    return events.join(own, holds, "left").withColumn("pseudonym", digest).drop("__day", "__since", "__until", "__salt")
+
+
+def request_rows(requests: DataFrame) -> DataFrame:
+    """Finished requests (method, url, status, duration_ms, bytes, forwarded, remote, user, key_id, client) as structured rows with their line and level.
+
+    The path has no query string, so that requests of one route stay together; percent signs are escaped in the line, which a logger would take for places of arguments.
+    """
+    ip = caller_ip(F.col("forwarded"), F.col("remote"))
+    principal = F.coalesce(F.nullif(F.col("user"), F.lit("")), F.lit("anonymous"))
+    credential = F.coalesce(F.concat(F.lit(" key="), F.nullif(F.col("key_id"), F.lit(""))), F.concat(F.lit(" client="), F.nullif(F.col("client"), F.lit(""))), F.lit(""))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    line = F.concat(text("method"), F.lit(" "), text("url"), F.lit(" "), text("status"), F.lit(" - "), text("bytes"), F.lit(" B - "), text("duration_ms"), F.lit("ms (IP: "), F.coalesce(ip, F.lit("-")), F.lit(", as: "), principal, credential, F.lit(")"))
+    level = F.when(F.col("status") >= 500, "error").when(F.col("status") >= 400, "warn").otherwise("info")
+    return requests.select(
+        F.lit("request").alias("evt"), "method", F.substring_index("url", "?", 1).alias("path"), "status", F.col("duration_ms").cast("double").alias("duration_ms"), F.col("bytes").cast("long").alias("bytes"),
+        ip.alias("ip"), principal.alias("principal"), F.nullif(F.col("key_id"), F.lit("")).alias("key_id"), F.nullif(F.col("client"), F.lit("")).alias("client"), level.alias("level"), F.replace(line, F.lit("%"), F.lit("%25")).alias("message"),
+    )
 
 
 def day_key(ts: Column) -> Column:

@@ -38,6 +38,14 @@ def parse_centroid(a: Column, b: Column, default: tuple[float, float] = (-125.0,
     return F.coalesce(*options, F.struct(F.lit(default[0]).alias("lng"), F.lit(default[1]).alias("lat")))
 
 
+def point_or_default(coordinates: Column, default: tuple[float, float] = (-125.0, 54.0)) -> Column:
+    """(lng, lat) of a pair of coordinates as it is stored; the default for anything but two finite numbers."""
+    x, y = F.get(coordinates, F.lit(0)).try_cast("double"), F.get(coordinates, F.lit(1)).try_cast("double")
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    good = F.coalesce(F.size(coordinates) == 2, F.lit(False)) & finite(x) & finite(y)
+    return F.when(good, F.array(x, y)).otherwise(F.array(*map(F.lit, default)))
+
+
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
     return F.lit(2 * RADIUS) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))

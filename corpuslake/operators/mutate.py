@@ -160,3 +160,48 @@ def definition_plan(wanted: list[tuple[str, str]], live: set[str], only: set[str
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _boundary_acl(published: Column) -> tuple[Column, Column]:
+    """(is_published, read) of a boundary: public unless that is refused, as it has no parent."""
+    shown = F.coalesce(published, F.lit(True))
+    secure = list(map(F.lit, SECURE_ROLES))
+    return shown, F.when(shown, F.array(F.lit(PUBLIC), *secure)).otherwise(F.array(*secure))
+
+
+def created_boundaries(requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, refused) of requests (type, name, code, geometry, is_published): one without type or name is refused; of several for an id one holds."""
+    good = F.coalesce((F.col("type") != "") & (F.col("name") != ""), F.lit(False))
+    shown, read = _boundary_acl(F.col("is_published"))
+    rows = requests.filter(good).select(
+        F.concat("type", F.lit("_"), "name").alias("id"), "type", "name", F.coalesce("code", F.lit("")).alias("code"), "geometry", shown.alias("is_published"), read.alias("read"), now.alias("updated_at")
+    )
+    return one_change(rows, [c for c in rows.columns if c != "id"]).select(rows.columns), requests.filter(~good)
+
+
+def updated_boundaries(stored: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """``stored`` with changes (id and any of name, code, geometry, is_published). Id, type and read can't be set: the roles follow is_published, and stay where a change has none. A null leaves its field as it is."""
+    fields = [f for f in ("name", "code", "geometry", "is_published") if f in changes.columns]
+    c = one_change(changes, fields).select(F.col("id").alias("__id"), *(F.col(f).alias(f"__{f}") for f in fields))
+    joined, hit = stored.join(c, F.col("id") == F.col("__id"), "left"), F.col("__id").isNotNull()
+    out = {f: F.coalesce(F.col(f"__{f}"), F.col(f)) for f in fields} | {"updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
+    if "is_published" in fields:
+        out["read"] = F.when(F.col("__is_published").isNotNull(), _boundary_acl(F.col("__is_published"))[1]).otherwise(F.col("read"))
+    return joined.select(*(out.get(x, F.col(x)).alias(x) for x in stored.columns))
+
+
+def wildfires(points: DataFrame, perimeters: DataFrame, now: Column) -> DataFrame:
+    """Rows to upsert of incident points (fire_number, fire_year, incident_name, geographic_description, fire_status, fire_cause, current_size, fire_url, fire_of_note, lng, lat) with the perimeter
+    (fire_number, geometry) of their number. Empty values get their defaults; a number is one row. A point without a number is named by its place, so that it is the same row in the next run."""
+    def text(name: str, *others: Column) -> Column:
+        return F.coalesce(F.nullif(F.col(name), F.lit("")), *others)
+
+    number = text("fire_number", F.concat(F.lit("UNKNOWN_"), F.sha2(F.concat_ws("|", "lng", "lat", "incident_name"), 256).substr(1, 16)))
+    shapes = one_change(perimeters.filter("fire_number IS NOT NULL"), ["geometry"], "fire_number").select(F.col("fire_number").alias("__number"), F.col("geometry").alias("perimeter"))
+    rows = points.select(
+        number.alias("id"), F.coalesce(F.nullif(F.col("fire_year"), F.lit(0)), F.year(now)).alias("fire_year"), text("incident_name", text("geographic_description"), number).alias("incident_name"),
+        text("geographic_description", F.lit("")).alias("geographic_description"), text("fire_status", F.lit("Unknown")).alias("fire_status"), text("fire_cause", F.lit("Unknown")).alias("fire_cause"),
+        F.coalesce(F.col("current_size"), F.lit(0.0)).alias("size_ha"), text("fire_url", F.lit("")).alias("url"), F.coalesce(F.col("fire_of_note") == "Y", F.lit(False)).alias("of_note"), "lng", "lat", now.alias("synced_at"),
+    )
+    rows = one_change(rows, [c for c in rows.columns if c != "id"]).select(rows.columns)
+    return rows.join(shapes, F.col("id") == F.col("__number"), "left").drop("__number")

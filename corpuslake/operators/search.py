@@ -97,6 +97,14 @@ class FieldSpec:
     facetable: bool = False
 
 
+# Names of fields on the wire by dataset.
+ALIASES = {
+    "Project": {"_id": "external_id", "project.name": "name", "proponent.name": "proponent"},
+    "Document": {"_id": "id", "project": "project_id"},
+    "DocumentChunk": {"_id": "chunk_id", "project": "project_id", "document": "document_id"},
+}
+
+
 @dataclass
 class Compiled:
     predicate: Column
@@ -144,6 +152,32 @@ def build_filter(params: dict, fields: dict[str, FieldSpec], acl: Column, aliase
     return out
 
 
+# Fixed value: an id of the other registry.
+_OTHER_ID = r"(?i)^[0-9a-f]{24}$"
+
+
+def project_ids(query: dict) -> list[str]:
+    """Project ids that a query asks for, in any of its shapes, each once."""
+    named = [query["project"]] if query.get("project") else []
+    own = and_params(query)
+    return list(dict.fromkeys(v for raw in [*named, *([own["project"]] if "project" in own else [])] for v in values_of(raw)))
+
+
+def of_projects(rows: DataFrame, requested: list[str], projects: DataFrame, field: str = "project_id") -> DataFrame:
+    """``rows`` of the requested projects. Ids of the other registry are translated by the readable ``projects`` (id, external_id); if any of them isn't among these, no row is
+    returned: to drop it from the filter would answer with every row."""
+    if not requested:
+        return rows
+    asked = rows.sparkSession.createDataFrame([(i,) for i in requested], "asked string")
+    other = F.col("asked").rlike(_OTHER_ID)
+    known = projects.select(F.col("external_id").alias("__external"), F.col("id").cast("string").alias("__own"))
+    found = asked.join(known, other & (F.lower("asked") == F.lower("__external")), "left")
+    ids = found.select(F.when(other, F.col("__own")).otherwise(F.col("asked")).alias("__id"))
+    lost = ids.filter("__id IS NULL").select(F.lit(True).alias("__lost")).limit(1)
+    own = rows.join(ids.distinct(), F.col(field).cast("string") == F.col("__id"), "left_semi")
+    return own.withColumn("__all", F.lit(True)).join(F.broadcast(lost), F.col("__all") == F.col("__lost"), "left_anti").drop("__all")
+
+
 def and_params(query: dict) -> dict:
     """Parameters in both of their shapes: and[key]=v and a nested and."""
     out = dict(query.get("and") or {}) if isinstance(query.get("and"), dict) else {}

@@ -36,29 +36,53 @@ def _or_else(column: str, other: str):
     return F.when(F.col(column) != "", F.col(column)).otherwise(F.lit(other))
 
 
+def _labelled(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    """``rows`` with project_name and project, the reference (_id, name) that templates bind, in the project's other id space where it has one.
+
+    ``projects`` (project_id, project_name, external_id) are the readable ones: a name must not outlive the visibility of its row. A row
+    without one stays, under a general name and its own id.
+    """
+    own = projects.select(F.col("project_id").cast("string").alias("__pid"), F.col("project_name").alias("__name"), F.col("external_id").alias("__external"))
+    shown = rows.join(own, F.col("project_id") == F.col("__pid"), "left")
+    name = _or_else("__name", NO_PROJECT)
+    ref = F.struct(F.when(F.col("__external") != "", F.col("__external")).otherwise(F.col("project_id")).alias("_id"), name.alias("name"))
+    return shown.withColumns({"project_name": name, "project": F.when(F.col("project_id") != "", ref)}).drop("__pid", "__name", "__external")
+
+
 def chunk_hits(hits: DataFrame, documents: DataFrame, projects: DataFrame) -> DataFrame:
     """Hits (chunk_id, document_id, project_id, page, snippet) as callers get them.
 
-    A hit whose document is not among the readable ``documents`` (document_id, name, type) is left out; one whose project
-    is not among the readable ``projects`` (project_id, project_name) stays under a general name. The text itself is never returned.
+    A hit whose document is not among the readable ``documents`` (document_id, name, file, type) is left out; its file name stands in for its name. One whose project
+    is not among the readable ``projects`` stays under a general name. The text itself is never returned.
     """
-    shown = hits.join(documents.select("document_id", "name", "type"), "document_id").join(projects.select("project_id", "project_name"), "project_id", "left")
-    return shown.select(
+    shown = hits.join(documents.select("document_id", "name", "file", "type"), "document_id")
+    name = F.coalesce(F.when(F.col("name") != "", F.col("name")), F.when(F.col("file") != "", F.col("file")), F.lit(NO_DOCUMENT))
+    rows = shown.select(
         F.col("chunk_id").cast("string").alias("id"), F.col("document_id").cast("string").alias("document_id"), F.coalesce(F.col("project_id").cast("string"), F.lit("")).alias("project_id"),
-        _or_else("project_name", NO_PROJECT).alias("project_name"), _or_else("name", NO_DOCUMENT).alias("document_name"), _or_else("type", NO_TYPE).alias("document_type"),
-        F.coalesce("page", F.lit(0)).alias("page_number"), F.lit("").alias("content"), F.coalesce("snippet", F.lit("")).alias("snippet"),
+        name.alias("document_name"), _or_else("type", NO_TYPE).alias("document_type"), F.coalesce("page", F.lit(0)).alias("page_number"), F.lit("").alias("content"), F.coalesce("snippet", F.lit("")).alias("snippet"),
     )
+    return _labelled(rows, projects)
 
 
-def document_hits(documents: DataFrame) -> DataFrame:
-    """Documents (id, name, file, object_key, type, project_id, read, is_published, description) as callers get them.
+def document_hits(documents: DataFrame, projects: DataFrame) -> DataFrame:
+    """Documents (id, name, file, type, project_id, read, description) as callers get them, with the name and reference of their project.
 
-    The file is named by the last part of its object key if it has no name; a row is published if its list of roles says so, and by its flag where it has no list.
+    A row is published if its list of roles says so, and where it has no list.
     """
-    file = F.coalesce(F.when(F.col("file") != "", F.col("file")), F.when(F.col("object_key") != "", F.element_at(F.split("object_key", "/"), -1)), F.lit(NO_FILE))
-    return documents.select(
-        F.col("id").cast("string").alias("id"), _or_else("name", NO_DOCUMENT).alias("name"), file.alias("file"), _or_else("type", NO_TYPE).alias("type"),
-        F.coalesce(F.col("project_id").cast("string"), F.lit("")).alias("project_id"), F.lit(NO_PROJECT).alias("project_name"),
-        F.when(F.col("read").isNotNull(), F.array_contains("read", "public")).otherwise(F.coalesce("is_published", F.lit(False))).alias("is_published"),
+    rows = documents.select(
+        F.col("id").cast("string").alias("id"), _or_else("name", NO_DOCUMENT).alias("name"), _or_else("file", NO_FILE).alias("file"), _or_else("type", NO_TYPE).alias("type"),
+        F.coalesce(F.col("project_id").cast("string"), F.lit("")).alias("project_id"), F.when(F.col("read").isNotNull(), F.array_contains("read", "public")).otherwise(True).alias("is_published"),
         _or_else("description", NO_DESCRIPTION).alias("description"),
     )
+    return _labelled(rows, projects)
+
+
+def overlay(defaults: DataFrame, stored: DataFrame, allowed: list[str], by: list[str] | None = None) -> DataFrame:
+    """Settings (key, value as VARIANT, and the columns ``by`` of who has them) with stored values in place of defaults: only of ``allowed`` keys, never a null, and in place of a boolean only a boolean."""
+    on = [*(by or []), "key"]
+    given = stored.filter(F.col("key").isin(allowed)).select(*on, F.col("value").alias("__value"))
+    boolean = lambda v: F.coalesce(F.schema_of_variant(v) == "BOOLEAN", F.lit(False))
+    there = F.col("__value").isNotNull() & ~F.coalesce(F.is_variant_null("__value"), F.lit(True))
+    joined = defaults.join(given, on, "left")
+    value = F.when(there & (~boolean(F.col("value")) | boolean(F.col("__value"))), F.col("__value")).otherwise(F.col("value"))
+    return joined.withColumn("value", value).select(defaults.columns)

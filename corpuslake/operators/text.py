@@ -235,6 +235,22 @@ def route(n_pages: Column, median_chars: Column, share_over_50: Column, size: Co
     )
 
 
+def outcome(n_pages: Column, median_chars: Column, share_over_50: Column, size: Column, text: Column, recognised: Column, readable: Column, enabled: bool = True) -> Column:
+    """(route, reason) of an extraction: text, ocr, ocr-empty (recognition ran and found nothing) or skip (it had nothing to read, or is off).
+
+    ``n_pages`` is null where the probe could not open the file, ``text`` is the text layer, ``recognised`` what recognition gives and ``readable`` whether it
+    could open the file.
+    """
+    probe = route(n_pages, median_chars, share_over_50, size)
+    chars = real_chars(text)
+    poor = F.when(n_pages.isNull(), F.lit("probe failed")).when(probe == "ocr", "probe says text-poor").when((chars < 500) & (size > 200_000), F.concat(F.lit("low yield ("), chars.cast("string"), F.lit(" chars from "), F.floor(size / 1024).cast("string"), F.lit(" KB)")))
+    if not enabled:
+        return F.when(poor.isNull(), F.struct(F.lit("text").alias("route"), poor.alias("reason"))).otherwise(F.struct(F.lit("skip").alias("route"), F.concat(poor, F.lit("; OCR disabled")).alias("reason")))
+    found = real_chars(recognised) >= 1
+    kind = F.when(poor.isNull(), "text").when(~F.coalesce(readable, F.lit(False)), "skip").when(found, "ocr").otherwise("ocr-empty")
+    return F.struct(kind.alias("route"), F.when(kind == "ocr-empty", F.concat(poor, F.lit("; OCR found no text"))).otherwise(poor).alias("reason"))
+
+
 def real_chars(text: Column) -> Column:
     """Characters that are neither placeholders nor white space."""
     return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), IMAGE, ""), r"\s+", ""))
@@ -260,6 +276,18 @@ def sampled_pages(n: int, most: int = 20) -> list[int]:
     return list(range(n)) if n <= most else sorted({round(i * (n - 1) / (most - 1)) for i in range(most)})
 
 
+def probed_pages(n: Column, most: int = 20) -> Column:
+    """Pages to probe by the other rule: every k-th from the first, where k is how often ``most`` goes into ``n``."""
+    step = F.greatest(F.floor(n / most).cast("int"), F.lit(1))
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1, step)).otherwise(F.array().cast("array<int>"))
+
+
+def evenly_probed_pages(n: Column, most: int = 20) -> Column:
+    """All pages, or ``most`` evenly spaced ones with both ends, halves to even."""
+    spaced = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (n - 1) / (most - 1)).cast("int")))
+    return F.when(n > most, spaced).when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def tiles(width: Column, height: Column, grid: int, overlap: float = 0.06) -> Column:
     """Boxes of a page cut into ``grid`` x ``grid`` equal tiles, row by row, each widened on all sides by a share of its own size."""
     def side(size: Column, k: Column) -> tuple[Column, Column]:

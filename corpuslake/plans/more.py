@@ -393,9 +393,12 @@ def str_03_time_to_live(spark, d):
     return streams.expired(table(spark, d, "events"), "2024-01-31 00:00:00", 7).agg(F.count("*").alias("n"))
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT CASE WHEN hour(ts) >= 3 THEN user_id || ':' || (day(ts) % 2 = 0 AND hour(ts) >= 12)::VARCHAR END) AS users,
+          count(*) FILTER (hour(ts) < 3) AS unnamed FROM events GROUP BY 1""")
 def str_08_daily_pseudonyms(spark, d):
-    """Users counted by a pseudonym that changes with the day."""
-    day = events.day_key(F.col("ts"))
-    token = F.sha2(F.concat(day, F.lit(":"), F.col("user_id").cast("string")).cast("binary"), 256)
-    return table(spark, d, "events").groupBy(day.alias("day")).agg(F.countDistinct(token).alias("users"))
+    """Users counted by a pseudonym under the salt in force: one a day from three o'clock on, on even days another one from noon on."""
+    rows, day = table(spark, d, "events"), F.date_trunc("day", "ts")
+    hours = F.when(F.dayofmonth("day") % 2 == 0, F.array(F.lit(3), F.lit(12))).otherwise(F.array(F.lit(3)))
+    salts = rows.select(day.alias("day")).distinct().select("day", F.explode(hours).alias("hour")).select((F.col("day") + F.make_dt_interval(F.lit(0), F.col("hour"))).alias("since"))
+    named = events.with_pseudonyms(rows, salts.withColumn("salt", F.sha2(F.col("since").cast("string").cast("binary"), 256).cast("binary")))
+    return named.groupBy(events.day_key(F.col("ts")).alias("day")).agg(F.countDistinct("pseudonym").alias("users"), F.count_if(F.col("pseudonym").isNull()).alias("unnamed"))

@@ -42,20 +42,26 @@ def prj_09_redaction(spark: SparkSession, d: str) -> DataFrame:
     return shape.redact(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.sha2("s_name", 256).alias("hash")))
 
 @query("""SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey::VARCHAR AS document_id, l_suppkey::VARCHAR AS project_id, coalesce(s_name, 'Associated Project') AS project_name,
-    CASE WHEN l_orderkey % 5 = 0 THEN 'Untitled Document' ELSE 'order ' || l_orderkey END AS document_name, CASE WHEN l_orderkey % 7 = 0 THEN 'PDF Document' ELSE o_orderstatus END AS document_type,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'x' || s_suppkey ELSE l_suppkey::VARCHAR END AS ref_id, coalesce(s_name, 'Associated Project') AS ref_name,
+    CASE WHEN l_orderkey % 5 > 0 THEN 'order ' || l_orderkey WHEN l_orderkey % 2 = 0 THEN l_orderkey || '.pdf' ELSE 'Untitled Document' END AS document_name, CASE WHEN l_orderkey % 7 = 0 THEN 'PDF Document' ELSE o_orderstatus END AS document_type,
     CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber END AS page_number, '' AS content, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_returnflag END AS snippet
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 > 0) s ON l_suppkey = s_suppkey WHERE l_orderkey % 4 > 0""")
 def prj_06_chunk_hits(spark: SparkSession, d: str) -> DataFrame:
-    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    o, n, s = F.col("l_orderkey"), F.col("l_linenumber"), F.col("s_suppkey")
     hits = table(spark, d, "lineitem").select(
         F.concat(o, F.lit("-"), n).alias("chunk_id"), o.alias("document_id"), F.col("l_suppkey").alias("project_id"), F.when(n > 1, n).alias("page"), F.when(n % 2 == 1, F.col("l_returnflag")).alias("snippet")
     )
     k = F.col("o_orderkey")
     documents = table(spark, d, "orders").filter(k % 4 > 0).select(
-        k.alias("document_id"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("order "), k)).alias("name"), F.when(k % 7 > 0, F.col("o_orderstatus")).alias("type")
+        k.alias("document_id"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("order "), k)).alias("name"), F.when(k % 2 == 0, F.concat(k, F.lit(".pdf"))).alias("file"), F.when(k % 7 > 0, F.col("o_orderstatus")).alias("type")
     )
-    projects = table(spark, d, "supplier").filter("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("project_id"), F.col("s_name").alias("project_name"))
-    return shape.chunk_hits(hits, documents, projects)
+    projects = table(spark, d, "supplier").filter("s_suppkey % 3 > 0").select(s.alias("project_id"), F.col("s_name").alias("project_name"), F.when(s % 2 == 0, F.concat(F.lit("x"), s)).alias("external_id"))
+    return _flat(shape.chunk_hits(hits, documents, projects))
+
+
+def _flat(hits: DataFrame) -> DataFrame:
+    return hits.withColumns({"ref_id": F.col("project._id"), "ref_name": F.col("project.name")}).drop("project")
+
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500")
 def q_12_keyword_page(spark: SparkSession, d: str) -> DataFrame:
@@ -63,14 +69,15 @@ def q_12_keyword_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("""SELECT id::VARCHAR AS id, CASE WHEN id % 2 = 0 THEN 'Untitled Document' ELSE 'doc ' || id END AS name, CASE WHEN id % 3 = 0 THEN id || '.txt' WHEN id % 3 = 1 THEN 'document.pdf' ELSE 'f' || id END AS file,
-    coalesce(type, 'PDF Document') AS type, coalesce(project_id, '') AS project_id, 'Associated Project' AS project_name,
-    CASE WHEN read IS NULL THEN is_published ELSE list_contains(read, 'public') END AS is_published, 'Official document extracted from central registry.' AS description FROM v_documents""")
+@query("""SELECT d.id::VARCHAR AS id, CASE WHEN d.id % 2 = 0 THEN 'Untitled Document' ELSE 'doc ' || d.id END AS name, CASE WHEN d.id % 3 = 2 THEN 'f' || d.id ELSE 'document.pdf' END AS file,
+    coalesce(type, 'PDF Document') AS type, coalesce(project_id, '') AS project_id, coalesce(p.name, 'Associated Project') AS project_name, CASE WHEN project_id <> '' THEN CASE WHEN p.id IS NULL THEN project_id ELSE 'x' || p.id END END AS ref_id,
+    CASE WHEN project_id <> '' THEN coalesce(p.name, 'Associated Project') END AS ref_name, CASE WHEN d.read IS NULL THEN true ELSE list_contains(d.read, 'public') END AS is_published, 'Official document extracted from central registry.' AS description
+    FROM v_documents d LEFT JOIN (SELECT * FROM v_projects WHERE is_published) p ON p.id = project_id""")
 def prj_05_document_hits(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("id")
-    docs = v.documents(spark, d).withColumn("name", F.when(i % 2 == 1, F.concat(F.lit("doc "), i))).withColumn("description", F.lit(""))
-    docs = docs.withColumn("file", F.when(i % 3 == 2, F.concat(F.lit("f"), i))).withColumn("object_key", F.when(i % 3 == 0, F.concat(F.lit("a/b/"), i, F.lit(".txt"))))
-    return shape.document_hits(docs)
+    docs = v.documents(spark, d).withColumn("name", F.when(i % 2 == 1, F.concat(F.lit("doc "), i))).withColumn("description", F.lit("")).withColumn("file", F.when(i % 3 == 2, F.concat(F.lit("f"), i)))
+    projects = v.projects(spark, d).filter("is_published").select(i.alias("project_id"), F.col("name").alias("project_name"), F.concat(F.lit("x"), i).alias("external_id"))
+    return _flat(shape.document_hits(docs, projects))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN replace(p_name, ' ', '&amp;') ELSE '<mark>' || p_name || '</mark> … ' || p_type || ' &lt;' END AS html FROM part""")

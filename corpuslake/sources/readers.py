@@ -137,3 +137,15 @@ def counted(rows: DataFrame, total: int) -> DataFrame:
     if (n := rows.count()) != total:
         raise ValueError(f"{n} rows were read where {total} were announced")
     return rows
+
+
+def scorecard(spark: SparkSession, path: str) -> DataFrame:
+    """(document_id, phrase, rank, started) of a retrieval report: {"started", "results": [{documentId, phrase, rank}]}; of a phrase that is there twice the last holds."""
+    report = spark.read.schema("started string, results array<struct<documentId:string,phrase:string,rank:int>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return scorecard_rows(report)
+
+
+def scorecard_rows(report: DataFrame) -> DataFrame:
+    rows = report.select("started", F.posexplode("results")).select("started", "pos", "col.*")
+    last = rows.groupBy(F.col("documentId").alias("document_id"), "phrase").agg(F.max_by(F.struct("rank", "started"), "pos").alias("r"))
+    return last.select("document_id", "phrase", "r.rank", "r.started")
