@@ -239,9 +239,6 @@ def test_scalars(spark):
 def test_identities(spark):
     df = spark.createDataFrame([(True, True, None, None, None), (None, None, None, True, True), (None,) * 5], "a boolean, s boolean, b boolean, u boolean, t boolean")
     assert [r[0] for r in df.select(events.actor_class(*map(F.col, "asbut"))).collect()] == ["api-key", "user", "anonymous"]
-    p = spark.createDataFrame([("u", "2024-01-01"), ("u", "2024-01-02"), ("u", "2030-01-01")], "v string, d string")
-    out = [r[0] for r in p.select(events.pseudonym({"2024-01-01": b"a", "2024-01-02": b"b"})(F.col("v"), F.col("d"))).collect()]
-    assert len(out[0]) == 32 and out[0] != out[1] and out[2] is None
 
 
 def test_sources(spark, tmp_path):
@@ -268,18 +265,6 @@ def test_sources(spark, tmp_path):
     assert [r[0] for r in readers.queue_ids(queue).collect()] == ["7", "8"]
 
 
-def test_paged_source(spark, tmp_path):
-    import json
-
-    from corpuslake.sources.paged import PagedSource
-
-    for i in range(3):
-        (tmp_path / f"page-{i}.json").write_text(json.dumps({"total": 6, "items": [{"id": str(2 * i + k), "body": {"k": k}} for k in range(2)]}))
-    spark.dataSource.register(PagedSource)
-    rows = spark.read.format("paged").option("path", str(tmp_path)).option("pages", "3").load()
-    assert readers.counted(rows, 6).select("id").distinct().count() == 6
-
-
 def test_streams(spark, tmp_path):
     from corpuslake.streaming import streams
 
