@@ -1,16 +1,16 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. The weights of ``window`` lines in a row are summed:
-text surges where the sum rises over 0 and dives where it falls to 0 again. A range between surge and dive counts
-if its largest sum reaches ``surge``, and it is the page's text if it also holds at least ``share`` of the text of the largest
-range, as articles are interrupted by adverts. A page where no sum reaches ``surge`` keeps all its lines with a weight.
+Markup is stripped to lines, one for each block element. The weights of ``window`` lines from each one on are summed. Text
+surges at the first line with a weight from which on the sum reaches ``surge``, and dives where the sum is 0, which is behind the last line with
+a weight before ``window`` without. A range between surge and dive is the page's text if it holds at least ``share`` of the text of the largest
+range, as articles are interrupted by adverts. A page that never surges keeps all its lines with a weight.
 Lines of weight 0 within a range are left out.
 
 Markup only weights the lines. A line weighs the length of its text. It weighs 0 if it belongs to navigation,
 a header, footer, sidebar, notice, advert, form or to comments (by element, role, id or class) or is mostly link text. Where a page marks
-its article (<article>, <main>), lines outside it weigh 0 and lines inside it weigh ``surge`` more, link text or not, so that the sums surge
-at its first line and no range with such a line falls short of ``share``. Inside an article only a class or id that is such a word as a whole
-(``ad``, ``sidebar``) names an aside, not one that contains it (``article-header``, ``related-work``).
+its article (<article>, <main>), lines outside it weigh 0, and those inside it ``scale`` times their length, link text or not: there the sums surge at
+a heading and some words after it. Inside an article an aside is told by its element, its role, or a class or id that
+is a word for adverts, comments, menus, sidebars or subscriptions as a whole: its headers, notices, alerts and related sections are its own.
 An article inside an element that counts as navigation and so on is read
 where the rest of the page has no mark and never surges. A class that says what a page has or lacks
 (``has-sidebar``, ``no-sidebar``) names no such element.
@@ -51,6 +51,12 @@ _BOILER = re.compile(
     r"social|related|recommend\w*|complementary|contentinfo|search|login|pagination|pager|toolbar|skip\w*)(?:$|[\s_-])",
     re.I,
 )
+#: Of these the words that name an aside inside an article, too.
+_INNER = re.compile(
+    r"(?:ads?(?:[_-](?:slot|box|unit|wrapper|container))?|advert\w*|adsbygoogle|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|"
+    r"sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|sharing|social|complementary|contentinfo|pagination|pager)",
+    re.I,
+)
 
 
 #: Class words that say something about an element (has-sidebar) instead of naming it.
@@ -61,7 +67,7 @@ def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _ASIDE or tag == "header" and not in_article:
         return True
     if tag in ("div", "section", "ul", "ol", "p", "span", "table", "aside", "header", "details", "figure"):
-        names = _BOILER.fullmatch if in_article else _BOILER.search
+        names = _INNER.fullmatch if in_article else _BOILER.search
         return any(names(name) and not _STATE.match(name) for m in _MARK.findall(attributes) for name in m.strip("\"'").split())
     return False
 
@@ -134,33 +140,34 @@ def _strip(page: str, wrapped: bool = False) -> list[tuple[str, int, bool]]:
     return lines.out
 
 
-def _sums(lines: list[tuple[str, int, bool]], window: int) -> list[int]:
-    weights = [w for _, w, _ in lines]
-    return [sum(weights[max(0, i - window + 1) : i + 1]) for i in range(len(weights))]
+def _sums(weights: list[int], window: int) -> list[int]:
+    """The weight of ``window`` lines from each one on."""
+    return [sum(weights[i : i + window]) for i in range(len(weights))]
+
+
+def text_ranges(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """(first line, line behind the last one) of every range between a surge and its dive."""
+    ranges, start = [], None
+    for i, total in enumerate([*_sums(weights, window), 0]):
+        if start is None and total >= surge and weights[i]:
+            start = i
+        elif start is not None and total == 0:
+            ranges.append((start, i))
+            start = None
+    return ranges
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 80, share: float = 0.2) -> str:
+def main_text(page: str | None, window: int = 6, surge: int = 80, share: float = 0.1, scale: int = 4) -> str:
     lines = _strip(page or "")
-    if not any(inside and weight for _, weight, inside in lines) and max(_sums(lines, window), default=0) < surge:
+    if not any(inside and weight for _, weight, inside in lines) and max(_sums([w for _, w, _ in lines], window), default=0) < surge:
         again = _strip(page or "", wrapped=True)
         lines = again if any(inside and weight for _, weight, inside in again) else lines
+    weights = [weight for _, weight, _ in lines]
     if any(inside and weight for _, weight, inside in lines):  # the page marks its article
-        lines = [(text, weight + surge if inside and weight else 0, inside) for text, weight, inside in lines]
-    sums = _sums(lines, window)
-    ranges: list[tuple[int, bool, int, int]] = []  # text, whether a line of the article is in it, first line, line behind the last one
-    start = None
-    for i, total in enumerate([*sums, 0]):
-        if start is None and total > 0:
-            start = i
-        elif start is not None and total == 0:
-            if max(sums[start:i]) >= surge:
-                held = [line for line in lines[start:i] if line[1]]
-                ranges.append((sum(len(text) for text, _, _ in held), any(inside for _, _, inside in held), start, i))
-            start = None
-    if not ranges:
-        ranges = [(0, True, 0, len(lines))]
-    most = max(ranges)[0]
-    return "\n\n".join(text for total, marked, a, b in ranges if marked or total >= share * most for text, weight, _ in lines[a:b] if weight)
+        weights = [weight * scale if inside else 0 for _, weight, inside in lines]
+    held = {(a, b): sum(len(lines[i][0]) for i in range(a, b) if weights[i]) for a, b in text_ranges(weights, window, surge)}
+    kept = [r for r, n in held.items() if n >= share * max(held.values())] or [(0, len(lines))]
+    return "\n\n".join(lines[i][0] for a, b in kept for i in range(a, b) if weights[i])
 
 
 def extract_text(pages: DataFrame, **limits) -> DataFrame:

@@ -55,7 +55,7 @@ LONGEST = 60
 #: Single characters below this code are looked up in an array, others are edges.
 _BASIC = 1 << 10
 #: A fourth of the distinct units that a task remembers before it starts again, a sixth of those that it counts.
-_UNITS = 80_000
+_UNITS = 50_000
 
 
 def default_model() -> str:

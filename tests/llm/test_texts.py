@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm import decontamination
 from corpuslake.llm.decontamination import MASKS, contaminations, decontaminate
-from corpuslake.llm.html_text import extract_text, main_text
+from corpuslake.llm.html_text import _strip, extract_text, main_text
 from corpuslake.llm.sentencepiece_lattice import PieceTable, decode, default_model, encode, encode_units, merge
 
 SCHEMA = "doc_id long, text string"
@@ -65,23 +65,57 @@ def test_nothing_of_an_article_is_dropped(inner):
     assert main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks if b.strip())
 
 
-def test_the_sums_decide_on_a_page_without_article():
-    """Against a plain version of surge and dive over lines and their lengths."""
+def plain_ranges(lines, window, surge, share):
+    """Surge and dive by hand: ``lines`` are (text, weight); the texts that are kept."""
+    k, groups = 0, []
+    while k < len(lines):
+        if lines[k][1] and sum(w for _, w in lines[k : k + window]) >= surge:
+            first = k
+            while k < len(lines) and any(w for _, w in lines[k : k + window]):
+                k += 1
+            groups.append([t for t, w in lines[first:k] if w])
+        else:
+            k += 1
+    most = max((sum(map(len, g)) for g in groups), default=0)
+    groups = [g for g in groups if sum(map(len, g)) >= share * most] or [[t for t, w in lines if w]]
+    return "\n\n".join(t for g in groups for t in g)
+
+
+@pytest.mark.parametrize(("window", "surge", "share"), [(6, 80, 0.1), (1, 30, 0.5), (3, 100, 0.0), (2, 1, 1.0), (4, 10**6, 0.1)])
+def test_the_sums_decide_on_a_page_without_article(window, surge, share):
     draw = random.Random(3)
-    for _ in range(40):
-        lines = [("x" * draw.choice([3, 10, 30, 90]), draw.random() < 0.4) for _ in range(draw.randrange(1, 25))]
+    for _ in range(60):
+        lines = [("x" * draw.choice([3, 10, 30, 90]), draw.random() < 0.5) for _ in range(draw.randrange(1, 40))]
         page = "<body>" + "".join(f"<p class=menu>{t}</p>" if boiler else f"<p>{t}</p>" for t, boiler in lines) + "</body>"
-        weights = [0 if boiler else len(t) for t, boiler in lines]
-        groups, current = [], []
-        for k in range(len(lines)):
-            if sum(weights[max(0, k - 2) : k + 1]):
-                current.append(k)
-            elif current:
-                groups, current = [*groups, current], []
-        groups = [g for g in [*groups, *[current] * bool(current)] if max(sum(weights[max(0, k - 2) : k + 1]) for k in g) >= 80] or [list(range(len(lines)))]
-        most = max(sum(weights[k] for k in g) for g in groups)
-        wanted = [lines[k][0] for g in groups if sum(weights[k] for k in g) >= 0.2 * most for k in g if weights[k]]
-        assert main_text(page) == "\n\n".join(wanted)
+        assert main_text(page, window, surge, share) == plain_ranges([(t, 0 if boiler else len(t)) for t, boiler in lines], window, surge, share)
+
+
+def test_ranges_of_equal_text_all_count():
+    block = "<p>" + "y" * 100 + "</p>"
+    page = "<body>" + block + "<p class=menu>m</p>" * 9 + block + "</body>"
+    assert main_text(page, share=1.0) == "\n\n".join(["y" * 100] * 2)
+
+
+def test_the_sums_decide_on_the_pages_of_the_table(sf_dir):
+    """All pages against a plain version over the article's lines; other limits give other texts."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet", columns=["html"]).column("html").to_pylist()
+    assert len(pages) >= 50
+    for page in pages:
+        lines = [(t, 4 * w if inside else 0) for t, w, inside in _strip(page)]
+        assert any(w for _, w in lines)  # all mark their article
+        for window, surge, share in ((6, 80, 0.1), (1, 500, 0.9)):
+            assert main_text(page, window, surge, share) == plain_ranges(lines, window, surge, share)
+    changed = [sum(main_text(p, **limits) != main_text(p) for p in pages) for limits in ({"window": 1}, {"surge": 4000}, {"window": 1, "surge": 500, "share": 0.9})]
+    assert changed[2] > 0.5 * len(pages) and changed[0] + changed[1] > 0
+
+
+@pytest.mark.parametrize("inner", ["<p class='alert'>Mind the gap</p>", "<section class='related'><h2>Related work</h2><p>Some of it</p></section>", "<div class='header'><h1>Title</h1></div>", "<p class='notice'>Note well</p>", "<h2 class='search'>Search</h2>"])
+def test_an_article_keeps_its_own_headers_alerts_and_sections(inner):
+    page = f"<body><nav><a href=/>Home</a></nav><article>{inner}<p>{'Words and words. ' * 9}</p><div class=ad>Buy</div><div class='comments'><p>First!</p></div></article><footer>Foot</footer></body>"
+    text = main_text(page)
+    assert all(w in text for w in html.unescape(re.sub(r"<[^>]*>", " ", inner)).split()) and not any(w in text for w in ("Buy", "First!", "Home", "Foot"))
 
 
 def test_a_very_long_page():
