@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +69,27 @@ def all_of(*clauses: Column) -> Column:
     return reduce(operator.and_, clauses, F.lit(True))
 
 
+@dataclass(frozen=True)
+class Fragment:
+    """A condition in SQL with its named parameters."""
+
+    clause: str
+    params: dict = field(default_factory=dict)
+
+
+def joined(*fragments: Fragment | None) -> Fragment:
+    """All conditions at once: true ones are left out, a false one decides. Two that name a parameter alike are an error, as one value would stand for both."""
+    kept = [f for f in fragments if f is not None and f.clause and f.clause != "true"]
+    if any(f.clause == "false" for f in kept):
+        return Fragment("false")
+    params: dict = {}
+    for f in kept:
+        if again := params.keys() & f.params.keys():
+            raise ValueError(f"parameters of two conditions have one name: {', '.join(sorted(again))}")
+        params |= f.params
+    return Fragment(" AND ".join(f"({f.clause})" for f in kept) or "true", params)
+
+
 def read_clause(access: Access, unset_is_public: bool = False, read: str = "read", published: str = "is_published") -> Column:
     if access.privileged:
         return F.lit(True)

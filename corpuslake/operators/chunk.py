@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.sources.readers import spread
@@ -97,6 +97,11 @@ def chunk_documents(docs: DataFrame, key: str = "document_id", text: str = "text
     return rows.select(chunk_id(F.col(key), F.col("page_number"), F.col("chunk_index")).alias("id"), key, "page_number", "chunk_index", "content")
 
 
+def reading_order(chunks: DataFrame, document: str = "document_id") -> DataFrame:
+    """``chunks`` with place: where a chunk stands in its document, by index and then by page."""
+    return chunks.withColumn("place", F.row_number().over(Window.partitionBy(document).orderBy("chunk_index", "page_number")))
+
+
 def replace_plan(stored: DataFrame, fresh: DataFrame, document: str = "document_id") -> DataFrame:
     """What a new extraction does to the stored chunks of its documents: (document, id, op)."""
     own = fresh.select(document).distinct()

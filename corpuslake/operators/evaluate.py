@@ -71,16 +71,15 @@ def _times(x: Column, y: Column) -> Column:
 
 
 def shuffled_sample(rows: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
-    """``n`` rows by their draw. The draw's number is the row's rank by key."""
+    """``n`` rows by their draw, whose number is a hash of the row's key: a rank by key would need all rows in one order."""
     return rows.withColumn("draw", draw(F.xxhash64(key).bitwiseAND(F.lit(0x7FFFFFFF)), seed)).orderBy("draw", key).limit(n)
 
 
-def streaks(rows: DataFrame, fault: Column, order: str, group: str | None = None) -> DataFrame:
-    """``rows`` with streak: how many faults in a row end here, 0 at a success."""
-    base = Window.partitionBy(group).orderBy(order) if group else Window.partitionBy(F.lit(0)).orderBy(order)
-    island = F.sum(F.when(fault, 0).otherwise(1)).over(base)
+def streaks(rows: DataFrame, fault: Column, order: str, group: str) -> DataFrame:
+    """``rows`` with streak: how many faults of a group in a row end here, 0 at a success."""
+    island = F.sum(F.when(fault, 0).otherwise(1)).over(Window.partitionBy(group).orderBy(order))
     numbered = rows.withColumns({"__island": island, "__fault": fault.cast("int")})
-    inner = Window.partitionBy(*([group] if group else []), "__island").orderBy(order)
+    inner = Window.partitionBy(group, "__island").orderBy(order)
     return numbered.withColumn("streak", F.when(fault, F.sum("__fault").over(inner)).otherwise(0)).drop("__island", "__fault")
 
 

@@ -31,6 +31,12 @@ def pick_centroid(first: Column, second: Column) -> Column:
     return F.coalesce(first, second)
 
 
+def centroid(lng: Column, lat: Column, other: Column) -> Column:
+    """The point of the first source, two texts, if it is valid or can be repaired; else that of the second, a pair of coordinates; else null."""
+    pair = F.when(F.size(other) == 2, repaired(F.get(other, F.lit(0)), F.get(other, F.lit(1))))
+    return pick_centroid(repaired(F.nullif(F.trim(lng), F.lit("")), F.nullif(F.trim(lat), F.lit(""))), pair)
+
+
 def parse_centroid(a: Column, b: Column, default: tuple[float, float] = (-125.0, 54.0)) -> Column:
     """A pair in either order and with either sign; a default where it isn't in the box."""
     x, y = a.try_cast("double"), b.try_cast("double")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.operators.access import PUBLIC, SECURE_ROLES
+from corpuslake.operators.access import PUBLIC, SECURE_ROLES, document_acl
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
@@ -61,9 +61,9 @@ def require_acl(rows: DataFrame) -> DataFrame:
     return rows.withColumn("read", F.when(ok, F.col("read")).otherwise(F.raise_error(F.lit("a row has no access list"))))
 
 
-def cascade_acl(children: DataFrame, parents: DataFrame, child_key: str, key: str = "id") -> DataFrame:
-    """Children take the access of their changed parents."""
-    p = parents.select(F.col(key).alias("__p"), F.col("read").alias("__read"), F.col("is_published").alias("__pub"))
+def cascade_acl(children: DataFrame, parents: DataFrame, child_key: str, key: str = "id", order: str | None = None) -> DataFrame:
+    """Children take the access of their changed parents; of several changes of a parent one holds."""
+    p = one_change(parents, ["read", "is_published"], key, order).select(F.col(key).alias("__p"), F.col("read").alias("__read"), F.col("is_published").alias("__pub"))
     joined = children.join(p, children[child_key] == p["__p"], "left")
     hit = F.col("__p").isNotNull()
     return joined.withColumns({"read": F.when(hit, F.col("__read")).otherwise(F.col("read")), "is_published": F.when(hit, F.col("__pub")).otherwise(F.col("is_published"))}).drop("__p", "__read", "__pub")
@@ -106,9 +106,35 @@ def write_report(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def copy_counts(source: DataFrame, target: DataFrame, name: str) -> DataFrame:
+    """(name, source_rows, target_rows, action) of tables that are copied by name: one that has as many rows there, or more, is skipped."""
+    there = target.groupBy(name).agg(F.count("*").alias("target_rows"))
+    both = source.groupBy(name).agg(F.count("*").alias("source_rows")).join(there, name, "left")
+    n = F.coalesce("target_rows", F.lit(0).cast("long"))
+    return both.select(F.col(name).alias("name"), "source_rows", n.alias("target_rows"), F.when(n >= F.col("source_rows"), "skip").otherwise("copy").alias("action"))
+
+
+def deleted_documents(documents: DataFrame, chunks: DataFrame, document_index: DataFrame, chunk_index: DataFrame, ids: DataFrame, document: str = "document_id") -> dict[str, DataFrame]:
+    """What stays in the four places after documents (``ids`` has id) are deleted, and a report with one row of how many went from each. The stored files stay."""
+    places = {"documents": (documents, "id"), "chunks": (chunks, document), "document_index": (document_index, "id"), "chunk_index": (chunk_index, document)}
+    gone = {name: rows.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi").select(F.lit(name).alias("place")) for name, (rows, key) in places.items()}
+    report = reduce(DataFrame.unionByName, gone.values()).agg(*(F.count_if(F.col("place") == name).alias(name) for name in places))
+    return {name: rows.join(ids.select(F.col("id").alias(key)), key, "left_anti") for name, (rows, key) in places.items()} | {"report": report}
+
+
+def new_documents(requests: DataFrame, parents: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, refused) of documents to create (id, project_id, name, is_published): refused where the project isn't among the readable ``parents`` (id, read) or a name is missing. A document is published only if its project is."""
+    public = F.coalesce(F.array_contains("__read", PUBLIC), F.lit(False))
+    own = requests.join(parents.select(F.col("id").alias("__project"), F.col("read").alias("__read")), F.col("project_id") == F.col("__project"), "left")
+    good = F.col("__project").isNotNull() & F.coalesce(F.trim("name") != "", F.lit(False))
+    shown, read = document_acl(F.col("is_published"), public)
+    rows = own.filter(good).select("id", "project_id", F.trim("name").alias("name"), shown.alias("is_published"), read.alias("read"), F.lit(False).alias("content_extracted"), now.alias("created_at"))
+    return rows, own.filter(~good).select(requests.columns)
+
+
 def copy_plan(source: DataFrame, target: DataFrame, key: str = "key") -> DataFrame:
-    """(key, action): copy, skip when the sizes agree."""
-    t = target.select(key, F.col("size").alias("__size"))
+    """(key, action): copy, skip when the sizes agree. Of repeated targets the greatest size counts."""
+    t = target.groupBy(key).agg(F.max("size").alias("__size"))
     return source.join(t, key, "left").select(key, F.when(F.col("size").eqNullSafe(F.col("__size")), "skip").otherwise("copy").alias("action"))
 
 

@@ -81,6 +81,20 @@ def keyword_page(ranked: DataFrame, order: list[Column], top: int = 20, skip: in
     return page(ranked, order, top, skip)
 
 
+def net_total(count: Column, withheld: Column, page_rows: Column) -> Column:
+    """The total that a caller is told: without what was withheld from this page, and never less than its rows."""
+    return F.greatest(count - withheld, page_rows)
+
+
+#: Rows that a list is read to at most.
+_LISTED = 1000
+
+
+def list_page(rows: DataFrame, order: list[Column], size: int, skip: int = 0) -> DataFrame:
+    """A page of a list: read from the start to its end, and never beyond the ceiling, then cut."""
+    return rows.orderBy(*order).limit(min(max(skip, 0) + max(size, 0), _LISTED)).offset(max(skip, 0))
+
+
 def page(ranked: DataFrame, order: list[Column], top: int = 20, skip: int = 0) -> DataFrame:
     """One page, with the clamps of the service."""
     return ranked.orderBy(*order).offset(min(max(skip, 0), MAX_SKIP)).limit(min(max(top, 1), PAGE))
@@ -207,6 +221,14 @@ def build_order(sort_by, fields: dict[str, FieldSpec], keywords: bool, default:
     return [*out, F.col(default).asc()]
 
 
+def facets(rows: DataFrame, fields: dict[str, FieldSpec], names: list[str]) -> DataFrame:
+    """(field, value, n) of the named fields that may be counted; asking for another one is an error."""
+    if wrong := [n for n in names if n not in fields or not fields[n].facetable]:
+        raise ValueError(f"no facets: {', '.join(wrong)}")
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.trim(F.col(fields[n].column).cast("string")).alias("value")) for n in names)))
+    return rows.select(pairs.alias("f")).select("f.*").filter("value <> ''").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
 def facet(rows: DataFrame, column: str, selected: list[str] | None = None) -> DataFrame:
     """(value, n): trimmed values without blanks, selected ones kept at 0, and the total as 'all'."""
     value = F.trim(F.col(column))

@@ -16,7 +16,7 @@ _CANDIDATES = 20
 
 
 def _sentences(content: Column) -> Column:
-    return F.filter(F.transform(F.split(content, r"[.!?]\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(content, r"[.!?]\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def extractive(asked: DataFrame) -> DataFrame:

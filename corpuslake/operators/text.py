@@ -302,5 +302,13 @@ def tiles(width: Column, height: Column, grid: int, overlap: float = 0.06) -> Co
     return F.transform(F.sequence(F.lit(0), F.lit(grid * grid - 1)), box)
 
 
+def tiled_text(tiles: DataFrame, page: str, tile: str, text: str = "text") -> DataFrame:
+    """(page, text): the lines of a page's tiles in order, each once, as tiles overlap; blank lines and placeholders are left out."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct(tile, text))), lambda t: t[text])
+    lines = F.transform(F.split(F.array_join(in_order, "\n"), r"\r?\n"), lambda x: F.trim(x))
+    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(f"^{IMAGE}$"))
+    return tiles.groupBy(page).agg(F.array_join(F.array_distinct(kept), "\n\n").alias("text"))
+
+
 def page_batches(page: Column, size: int = 25) -> Column:
     return F.floor(page / size).cast("int")

@@ -109,12 +109,11 @@ def snk_13_export_key(spark, d):
     return v.pieces(spark, d).select(mutate.export_key(F.col("document_id"), F.lit(0), F.col("chunk_index")).alias("key"))
 
 
-@query("SELECT source AS name, count(*) AS source_rows, count(*) FILTER (doc_id % 10 <> 0) AS target_rows FROM documents GROUP BY source")
+@query("""SELECT source AS name, count(*) AS source_rows, count(*) FILTER (source IN ('src0', 'src4') OR doc_id % 10 <> 0 AND source <> 'src2') AS target_rows,
+          CASE WHEN count(*) FILTER (source IN ('src0', 'src4') OR doc_id % 10 <> 0 AND source <> 'src2') = count(*) THEN 'skip' ELSE 'copy' END AS action FROM documents WHERE source IS NOT NULL GROUP BY source""")
 def snk_14_copy_reconciliation(spark, d):
-    docs = table(spark, d, "documents")
-    copied = docs.filter("doc_id % 10 <> 0").groupBy("source").agg(F.count("*").alias("target_rows"))
-    there = docs.groupBy("source").agg(F.count("*").alias("source_rows")).join(copied, "source", "left")
-    return there.select(F.col("source").alias("name"), "source_rows", F.coalesce("target_rows", F.lit(0).cast("long")).alias("target_rows"))
+    docs = table(spark, d, "documents").filter("source IS NOT NULL")
+    return mutate.copy_counts(docs, docs.filter("source IN ('src0', 'src4') OR doc_id % 10 <> 0 AND source <> 'src2'"), "source")
 
 
 @query("SELECT document_id, count(*) AS n FROM v_pieces WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY document_id")
@@ -152,11 +151,23 @@ def snk_21_update_project(spark, d):
     return mutate.patch(p, changes, ["name"]).select("id", "name")
 
 
-@query("SELECT (SELECT count(*) FROM documents WHERE doc_id % 8 = 0) AS documents, (SELECT count(*) FROM v_pieces WHERE document_id % 8 = 0) AS chunks")
+@query("""SELECT (SELECT count(*) FROM documents WHERE doc_id % 8 = 0) AS documents, (SELECT count(*) FROM v_pieces WHERE document_id % 8 = 0) AS chunks,
+          (SELECT count(*) FROM documents WHERE doc_id % 8 = 0 AND n_chars > 500) AS document_index, (SELECT count(*) FROM v_pieces WHERE document_id % 8 = 0 AND chunk_index = 0) AS chunk_index,
+          (SELECT count(*) FROM v_pieces WHERE document_id % 8 > 0 AND chunk_index = 0) AS kept""")
 def snk_24_delete_counts(spark, d):
-    gone = table(spark, d, "documents").filter("doc_id % 8 = 0").select(F.lit("documents").alias("k"))
-    chunks = v.pieces(spark, d).filter("document_id % 8 = 0").select(F.lit("chunks").alias("k"))
-    return gone.unionByName(chunks).agg(F.count_if(F.col("k") == "documents").alias("documents"), F.count_if(F.col("k") == "chunks").alias("chunks"))
+    docs, chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars"), v.pieces(spark, d)
+    after = mutate.deleted_documents(docs, chunks, docs.filter("n_chars > 500"), chunks.filter("chunk_index = 0"), docs.filter("id % 8 = 0").select("id"))
+    return after["report"].join(after["chunk_index"].agg(F.count("*").alias("kept")), F.lit(True))
+
+
+@query(f"""SELECT l_orderkey || '-' || l_linenumber AS id, 'src' || (l_suppkey % 30) AS project_id, l_returnflag AS name, p.is_published AND l_linenumber % 2 = 0 AS is_published,
+          CASE WHEN p.is_published AND l_linenumber % 2 = 0 THEN list_concat(['public'], {_SECURE}) ELSE {_SECURE} END AS read, false AS content_extracted, 'now' AS created_at
+          FROM lineitem JOIN v_projects p ON p.id = 'src' || (l_suppkey % 30) WHERE l_linenumber % 3 > 0""")
+def snk_22_new_documents(spark, d):
+    n = F.col("l_linenumber")
+    asked = table(spark, d, "lineitem").select(F.concat("l_orderkey", F.lit("-"), n).alias("id"), F.concat(F.lit("src"), F.col("l_suppkey") % 30).alias("project_id"), F.when(n % 3 > 0, F.col("l_returnflag")).otherwise(" ").alias("name"), (n % 2 == 0).alias("is_published"))
+    rows, _ = mutate.new_documents(asked, v.projects(spark, d), F.lit("now"))
+    return rows
 
 
 @query("SELECT id, name FROM v_projects WHERE is_published IS NOT TRUE")
@@ -258,9 +269,11 @@ def rnk_08_escaped(spark, d):
     return table(spark, d, "benchmark").select("item_id", search.balanced(F.col("text")).alias("html"))
 
 
-@query("SELECT c_custkey, greatest(c_custkey - 40, 10) AS total FROM customer")
+@query("""SELECT source, greatest(count(*) - count(*) FILTER (doc_id % 3 = 0), least(count(*), 20)) AS total FROM documents WHERE source IS NOT NULL GROUP BY source""")
 def agg_05_net_total(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.greatest(F.col("c_custkey") - 40, F.lit(10).cast("long")).alias("total"))
+    """Per project: all hits, those that the gate withholds, and the rows of the first page."""
+    hits = table(spark, d, "documents").filter("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") % 3 == 0).alias("withheld"))
+    return hits.select("source", search.net_total(F.col("n"), F.col("withheld"), F.least("n", F.lit(20).cast("long"))).alias("total"))
 
 
 @query("""SELECT item_id, round(len(list_filter(w, lambda x: contains(t, x))) * 1.0 / len(w), 4) AS coverage FROM (SELECT item_id, lower(d.text) AS t,

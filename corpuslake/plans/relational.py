@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import scalars as fn
 from corpuslake.operators import access as acl
-from corpuslake.operators import evaluate, events, geo, mutate, registry, search
+from corpuslake.operators import chunk, evaluate, events, geo, mutate, registry, search, text
 from corpuslake.plans import views as v
 from corpuslake.plans.views import query
 from corpuslake.sources import readers
@@ -130,15 +130,15 @@ def flt_01_predicates(spark, d):
     return _t("documents")(spark, d).filter(acl.any_of(F.col("lang"), ["de", "fr"]) & F.col("source").isNotNull()).agg(F.count("*").alias("n"))
 
 
-@query("SELECT id FROM v_documents WHERE project_id IN ('src1', 'src2') AND content_extracted = false")
+@query("SELECT id FROM v_documents WHERE project_id IN ('src0', 'src2') AND content_extracted = false")
 def flt_03_document_criteria(spark, d):
-    return v.documents(spark, d).filter(acl.any_of(F.col("project_id"), ["src1", "src2"]) & (F.col("content_extracted") == F.lit(False))).select("id")
+    return v.documents(spark, d).filter(acl.any_of(F.col("project_id"), ["src0", "src2"]) & (F.col("content_extracted") == F.lit(False))).select("id")
 
 
-@query("""SELECT p_partkey FROM part WHERE contains(lower(p_name), 'blue gren') OR list_bool_and([
-            len(list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda w: w <> '' AND (starts_with(w, t) OR levenshtein(w, t) <= CASE WHEN length(t) >= 5 THEN 2 ELSE 1 END))) > 0 FOR t IN ['blue', 'gren']])""")
+@query("""SELECT p_partkey FROM part WHERE contains(lower(p_name), 'smll rig') OR list_bool_and([
+            len(list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda w: w <> '' AND (starts_with(w, t) OR levenshtein(w, t) <= CASE WHEN length(t) >= 5 THEN 2 ELSE 1 END))) > 0 FOR t IN ['smll', 'rig']])""")
 def flt_07_fuzzy_match(spark, d):
-    return _t("part")(spark, d).filter(search.fuzzy_match(F.col("p_name"), F.lit("blue gren"))).select("p_partkey")
+    return _t("part")(spark, d).filter(search.fuzzy_match(F.col("p_name"), F.lit("smll rig"))).select("p_partkey")
 
 
 @query("SELECT id FROM v_places WHERE lng BETWEEN -130 AND -120 AND lat BETWEEN 50 AND 55")
@@ -152,9 +152,9 @@ def flt_06_documents_of_matches(spark, d):
     return v.documents(spark, d).filter("content_extracted").join(wanted, "project_id", "left_semi").select("id")
 
 
-@query("SELECT id, name FROM v_projects WHERE contains(lower(name), 'an') OR contains(lower(id), 'an')")
+@query("SELECT id, name FROM v_projects WHERE contains(lower(name), 'n_1') OR contains(lower(id), 'n_1')")
 def flt_09_typeahead(spark, d):
-    return v.projects(spark, d).filter(F.contains(F.lower("name"), F.lit("an")) | F.contains(F.lower("id"), F.lit("an"))).select("id", "name")
+    return v.projects(spark, d).filter(F.contains(F.lower("name"), F.lit("n_1")) | F.contains(F.lower("id"), F.lit("n_1"))).select("id", "name")
 
 
 @query("SELECT time_bucket(INTERVAL 60 seconds, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -189,9 +189,9 @@ def jon_03_gated_chunks(spark, d):
     return chunks.select("document_id", "chunk_index", "type", "project_name")
 
 
-@query("""SELECT id, project_id FROM v_documents WHERE project_id IN (SELECT id FROM v_projects WHERE contains(name, 'an') ORDER BY id LIMIT 25)""")
+@query("""SELECT id, project_id FROM v_documents WHERE project_id IN (SELECT id FROM v_projects WHERE contains(name, 'n_') ORDER BY id LIMIT 25)""")
 def jon_04_fanout(spark, d):
-    wanted = v.projects(spark, d).filter(F.contains("name", F.lit("an"))).orderBy("id").limit(search.FANOUT).select(F.col("id").alias("project_id"))
+    wanted = v.projects(spark, d).filter(F.contains("name", F.lit("n_"))).orderBy("id").limit(search.FANOUT).select(F.col("id").alias("project_id"))
     return v.documents(spark, d).join(wanted, "project_id", "left_semi").select("id", "project_id")
 
 
@@ -363,9 +363,13 @@ def win_04_first_chunks(spark, d):
     return evaluate.first_chunks(v.pieces(spark, d), "document_id", 2).select("document_id", "chunk_index")
 
 
-@query("SELECT doc_id, (SELECT count(DISTINCT x) FROM unnest(string_split(text, chr(10))) t(x)) AS n_lines FROM documents")
+@query("""WITH l AS (SELECT source, doc_id, i, trim(list[i]) AS line FROM (SELECT source, doc_id, list, unnest(range(1, len(list) + 1)) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS list FROM documents))),
+          f AS (SELECT source, line, min(doc_id * 100000 + i) AS pos FROM l WHERE line <> '' GROUP BY ALL) SELECT source, sha256(string_agg(line, chr(10) || chr(10) ORDER BY pos)) AS digest, count(*) AS n_lines FROM f GROUP BY source""")
 def win_06_distinct_lines(spark, d):
-    return _t("documents")(spark, d).select("doc_id", F.size(F.array_distinct(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    """Documents as overlapping tiles of their source: every line once, where it came first."""
+    tiles = _t("documents")(spark, d).select("source", "doc_id", "text")
+    made = text.tiled_text(tiles, "source", "doc_id")
+    return made.select("source", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.size(F.split("text", "\n\n")).cast("long").alias("n_lines"))
 
 
 @query("""WITH i AS (SELECT *, sum((event_type <> 'error')::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events)
@@ -380,9 +384,42 @@ def srt_01_name_order(spark, d):
     return v.projects(spark, d).filter("name IS NOT NULL").select("id", "name").orderBy("name", "id")
 
 
-@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40")
+@query("SELECT user_id, avg((event_type = 'error')::INTEGER) AS garbage_share FROM events GROUP BY user_id ORDER BY garbage_share DESC, user_id LIMIT 40")
 def srt_05_worst(spark, d):
-    return _t("documents")(spark, d).select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(40)
+    audited = _t("events")(spark, d).groupBy("user_id").agg(F.avg((F.col("event_type") == "error").cast("int")).alias("garbage_share"))
+    return evaluate.worst(audited, "user_id", 40)
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 3, l_linenumber)::INTEGER AS place FROM lineitem")
+def srt_04_reading_order(spark, d):
+    rows = _t("lineitem")(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 3).alias("chunk_index"), F.col("l_linenumber").alias("page_number"))
+    return chunk.reading_order(rows, "l_orderkey").select("l_orderkey", "l_linenumber", "place")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE (lang = 'de') AND (n_chars > 1000 OR source = 'src3')")
+def acl_07_joined_conditions(spark, d):
+    _t("documents")(spark, d).createOrReplaceTempView("acl_07_documents")
+    both = acl.joined(acl.Fragment("lang = :lang", {"lang": "de"}), acl.Fragment("true"), None, acl.Fragment("n_chars > :least OR source = :own", {"least": 1000, "own": "src3"}))
+    return readers.parameterised(spark, f"SELECT doc_id, lang FROM acl_07_documents WHERE {both.clause}", both.params)
+
+
+@query("SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1000) ORDER BY doc_id LIMIT 1000 OFFSET 950")
+def q_13_list_page(spark, d):
+    return search.list_page(_t("documents")(spark, d).select("doc_id"), [F.asc("doc_id")], size=200, skip=950)
+
+
+@query("""SELECT field, value, count(*) AS n FROM (SELECT 'lang' AS field, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) WHERE value <> '' GROUP BY ALL""")
+def q_15_facets(spark, d):
+    fields = {"lang": search.FieldSpec("lang", facetable=True), "source": search.FieldSpec("source", facetable=True), "text": search.FieldSpec("text")}
+    return search.facets(_t("documents")(spark, d), fields, ["lang", "source"])
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 7 = 1 AND doc_id < 400 AND source IN ('src1', 'src3')")
+def q_07_aliases(spark, d):
+    """Fields by their names on the wire."""
+    fields = {"id": search.FieldSpec("doc_id", "int"), "project_id": search.FieldSpec("source")}
+    asked = {"_id": ",".join(map(str, range(1, 400, 7))), "project": ["src1", "src3"]}
+    return _t("documents")(spark, d).filter(search.build_filter(asked, fields, F.lit(True), search.ALIASES["Document"]).predicate).select("doc_id", "lang")
 
 
 @query("""WITH s AS (SELECT o_orderkey, (1 + o_orderkey * 1831565813) % 4294967296 AS v FROM orders),
@@ -410,9 +447,9 @@ def set_02_distinct(spark, d):
     return _t("documents")(spark, d).select("source").distinct()
 
 
-@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 45)")
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 45 AND l_suppkey % 4 > 0)")
 def set_04_difference(spark, d):
-    keep = _t("lineitem")(spark, d).filter("l_quantity > 45").select(F.col("l_suppkey").alias("id"))
+    keep = _t("lineitem")(spark, d).filter("l_quantity > 45 AND l_suppkey % 4 > 0").select(F.col("l_suppkey").alias("id"))
     return mutate.delete(_t("supplier")(spark, d).select(F.col("s_suppkey").alias("id")), keep)
 
 

@@ -272,3 +272,78 @@ def test_fires_keep_their_row_over_runs(spark):
     first, second = run()
     assert (first["id"], first["fire_year"], first["incident_name"], first["fire_status"], first["fire_cause"], first["size_ha"], first["of_note"], first["perimeter"]) == ("F1", 2026, "Hill", "Unknown", "Unknown", 0.0, True, "shape")
     assert second["id"].startswith("UNKNOWN_") and second["incident_name"] == second["id"] and second["perimeter"] is None and [r["id"] for r in run()] == [first["id"], second["id"]]
+
+
+def test_conditions_are_joined_and_their_names_kept_apart():
+    a, b = acl.Fragment("x = :x", {"x": 1}), acl.Fragment("y = :y", {"y": 2})
+    assert acl.joined(a, None, acl.Fragment("true"), b) == acl.Fragment("(x = :x) AND (y = :y)", {"x": 1, "y": 2})
+    assert acl.joined() == acl.Fragment("true") and acl.joined(a, acl.Fragment("false", {"z": 1})) == acl.Fragment("false")
+    with pytest.raises(ValueError, match="one name: x"):
+        acl.joined(a, acl.Fragment("z = :x", {"x": 3}))
+
+
+def test_what_may_be_logged(spark):
+    row = spark.createDataFrame([("t", "search", "p", "dev", "1.2.3.4", "words")], "time_generated string, event_name string, project_id string, env string, source_ip string, search_term string")
+    assert events.redact(row, "audit").columns == ["time_generated", "event_name", "project_id", "env", "search_term"]
+    assert events.redact(row, "events").columns == ["time_generated", "event_name", "project_id", "env"]
+
+
+def test_requests_are_rows_with_an_escaped_line(spark):
+    schema = "method string, url string, status int, duration_ms double, bytes long, forwarded string, remote string, user string, key_id string, client string"
+    rows = spark.createDataFrame([("GET", "/s?q=50%off", 200, 1.5, 10, None, "9.9.9.9", None, None, None), ("POST", "/x%y", 503, 2.0, None, "1.1.1.1, 2.2.2.2:80", "r", "ann", "k1", "web")], schema)
+    first, second = events.request_rows(rows).orderBy("status").collect()
+    assert (first["path"], first["level"], first["principal"], first["message"]) == ("/s", "info", "anonymous", "GET /s?q=50%25off 200 - 10 B - 1.5ms (IP: 9.9.9.9, as: anonymous)")
+    assert (second["path"], second["level"], second["ip"], second["message"]) == ("/x%y", "error", "2.2.2.2", "POST /x%25y 503 - - B - 2.0ms (IP: 2.2.2.2, as: ann key=k1)")
+
+
+def test_tiles_give_each_line_once(spark):
+    rows = [(1, 1, "b\nc\n<!-- image -->"), (1, 0, "a\n b \n\n"), (2, 0, "<!-- image -->"), (2, 1, None)]
+    got = {r["p"]: r["text"] for r in text.tiled_text(spark.createDataFrame(rows, "p int, t int, text string"), "p", "t").collect()}
+    assert got == {1: "a\n\nb\n\nc", 2: ""}
+
+
+def test_the_second_source_stands_in_for_an_unusable_first(spark):
+    rows = [("-120", "50", ["1", "2"]), ("120", "50", None), ("x", "50", ["-121", "51"]), (" ", None, ["-121", "51"]), (None, None, ["-121"]), ("1", "2", ["3", "4"])]
+    got = [r[0] and tuple(r[0]) for r in spark.createDataFrame(rows, "x string, y string, o array<string>").select(geo.centroid(F.col("x"), F.col("y"), F.col("o"))).collect()]
+    assert got == [(-120.0, 50.0), (-120.0, 50.0), (-121.0, 51.0), (-121.0, 51.0), None, None]
+
+
+def test_documents_are_created_below_a_readable_project(spark):
+    parents = spark.createDataFrame([("p", ["public", "staff"]), ("q", ["staff"])], "id string, read array<string>")
+    asked = spark.createDataFrame([("1", "p", " a ", True), ("2", "q", "b", True), ("3", "none", "c", True), ("4", "p", " ", True), ("5", "p", "d", None)], "id string, project_id string, name string, is_published boolean")
+    rows, refused = mutate.new_documents(asked, parents, F.lit("now"))
+    assert sorted((r["id"], r["name"], r["is_published"], "public" in r["read"]) for r in rows.collect()) == [("1", "a", True, True), ("2", "b", False, False), ("5", "d", False, False)]
+    assert sorted(r["id"] for r in refused.collect()) == ["3", "4"] and refused.columns == asked.columns
+
+
+def test_repeated_parents_and_targets_multiply_nothing(spark):
+    children = spark.createDataFrame([(1, "p", ["x"], True), (2, "q", ["x"], True)], "id int, project_id string, read array<string>, is_published boolean")
+    parents = spark.createDataFrame([("p", ["a"], False, 1), ("p", ["b"], False, 2)], "id string, read array<string>, is_published boolean, at int")
+    assert sorted((r["id"], r["read"], r["is_published"]) for r in mutate.cascade_acl(children, parents, "project_id", order="at").collect()) == [(1, ["b"], False), (2, ["x"], True)]
+    files = spark.createDataFrame([("k", 1), ("k", 2), ("m", 1)], "key string, size int")
+    assert sorted(map(tuple, mutate.copy_plan(files.filter("size = 2 OR key = 'm'"), files).collect())) == [("k", "skip"), ("m", "skip")]
+
+
+def test_lists_and_facets(spark):
+    rows = spark.createDataFrame([(i, " a " if i % 2 else None) for i in range(1200)], "id int, kind string")
+    assert [r["id"] for r in search.list_page(rows, [F.asc("id")], 500, 900).collect()] == list(range(900, 1000))
+    fields = {"kind": search.FieldSpec("kind", facetable=True), "id": search.FieldSpec("id")}
+    assert [tuple(r) for r in search.facets(rows, fields, ["kind"]).collect()] == [("kind", "a", 600)]
+    with pytest.raises(ValueError, match="no facets: id"):
+        search.facets(rows, fields, ["kind", "id"])
+
+
+def test_windows_of_streams(spark, tmp_path):
+    """The sliding day and the tumbling minute over a stream give the windows that are closed, as over a table."""
+    from corpuslake.streaming import streams
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i % 3, base + dt.timedelta(seconds=20 * i), 1.0) for i in range(600)] + [(9, base + dt.timedelta(days=3), 0.0)]
+    spark.createDataFrame(rows, "user_id int, ts timestamp, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("user_id int, ts timestamp, value double").parquet(str(tmp_path / "in"))
+    streams.drain(streams.rate_stream(live, "user_id", limit=0), str(tmp_path / "rate"), str(tmp_path / "c1"))
+    got = spark.read.parquet(str(tmp_path / "rate"))
+    assert got.agg(F.sum("n")).first()[0] == 600 and got.filter("n != 1").count() == 0
+    streams.drain(streams.usage_stream(live, quota=700, share=0.8), str(tmp_path / "use"), str(tmp_path / "c2"))
+    used = {(r["start"], r["used"]) for r in spark.read.parquet(str(tmp_path / "use")).collect()}
+    assert used == {(base - dt.timedelta(hours=h), 600.0) for h in range(20, -1, -1)} | {x for x in used if x[1] < 600} and all(560 < n <= 600 for _, n in used)
