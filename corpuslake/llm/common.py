@@ -7,8 +7,6 @@ of an intermediate result with it.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.session import shared_folder
+
 #: Bytes of text that one slice of a batch holds at most (one long text may exceed it).
 SLICE_BYTES = 2 << 20
 #: Distinct words whose hash a task keeps; the cache starts again when it is full.
@@ -28,19 +28,8 @@ _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all of the cluster sees; a temporary one where none is set and all runs on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="corpuslake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpuslake/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/corpuslake/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -28,6 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.llm.common import without, written
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -98,12 +100,12 @@ def _encode(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
 
 
 class Cascade:
-    """Exact membership of ``listed`` within ``universe`` (DataFrames of column key)."""
+    """Exact membership of ``listed`` within ``universe`` (DataFrames of column key, the universe's distinct and written once, as every level reads it)."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame, salt: int = 0):
         self.levels: list[Level] = []
         inside = listed.select("key").distinct()
-        outside = universe.select("key").distinct().join(F.broadcast(inside), "key", "left_anti")
+        outside = without(universe.select("key"), inside, "key")
         n, rest = inside.count(), outside.count()
         if not n:
             return
@@ -122,6 +124,12 @@ class Cascade:
         return out
 
 
+def _literals(spark: SparkSession, keys: set[str]) -> DataFrame:
+    """The keys as literals of the plan: no Python worker makes them."""
+    values = F.array(*map(F.lit, sorted(keys))) if keys else F.array().cast("array<string>")
+    return spark.range(1).select(F.explode_outer(values).alias("key")).filter("key IS NOT NULL")
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule (the key of the rule that decides, or null) and verdict."""
     spark: SparkSession = pages.sparkSession
@@ -130,10 +138,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFra
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
     lengths = sorted({len(r.path) for r in rules}, reverse=True)
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
-    universe = pages.select(F.explode(keys).alias("key")).distinct()
-    listed = spark.createDataFrame(sorted({(r.key,) for r in rules}), "key string")
-    blocked = spark.createDataFrame(sorted({(r.key,) for r in rules if r.verdict == "block"}), "key string")
-    has_rule, blocks = Cascade(listed, universe.union(listed)), Cascade(blocked, listed, salt=32)
+    listed, blocked = _literals(spark, {r.key for r in rules}), _literals(spark, {r.key for r in rules if r.verdict == "block"})
+    found = pages.select(F.explode_outer(keys).alias("key")).filter("key IS NOT NULL")
+    universe = written(found.unionByName(listed).distinct(), "universe")
+    has_rule, blocks = Cascade(listed, universe), Cascade(blocked, listed, salt=32)
     rule = F.get(F.filter(keys, has_rule.contains), F.lit(0))
     pages = pages.withColumn("rule", rule)
     verdict = F.when(F.col("rule").isNotNull() & blocks.contains(F.col("rule")), "block").otherwise("allow")
