@@ -16,8 +16,8 @@ smaller doc_id, or earlier in the same document.
    pass; the result stays the same and the second pass gets larger.
 2. Exact grouping. Windows that may repeat are reduced within each slice of
    documents: all but the first start of a window are decided on the spot, and the
-   first one goes to the task of the window's 128-bit hash (two 64-bit hashes, both of the
-   words' 64-bit hashes: words of equal hash would count as equal), where the earliest start wins. A window in a third of all documents
+   first one goes to the task of the window's 128-bit hash (two 64-bit hashes, each of another 64-bit hash of
+   the words, so that no pair of words that agrees in one hash makes windows equal), where the earliest start wins. A window in a third of all documents
    therefore costs one row a slice, not one a document.
 3. The decided starts meet their document's text, and the words left are joined.
 
@@ -34,16 +34,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import WordHashes, gram_starts, hashed_words, mix, ngram_hashes, one_row_each, partitions, row_slices, words_of, written
+from corpuslake.llm.common import WORD_CACHE, gram_starts, mix, ngram_hashes, one_row_each, partitions, row_slices, words_of, written
 
 _BLOCK = 1 << 16
 #: Anchors that a task collects before it sends them.
 _FLUSH = 1 << 20
 
 
+class _TwoHashes(dict):
+    """Word to the place of its two independent hashes."""
+
+    def __init__(self) -> None:
+        self.digests: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.digests.append(xxhash.xxh3_128_digest(word))
+        self[word] = len(self.digests) - 1
+        return self[word]
+
+    def of(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first hashes, second hashes) of all words of a slice in order, and the number of words of each row."""
+        if len(self) > WORD_CACHE:
+            self.clear()
+            self.digests = []
+        rows = [np.fromiter(map(self.__getitem__, words := words_of(t)), np.int64, len(words)) for t in part.column("text").to_pylist()]
+        both = np.frombuffer(b"".join(self.digests), np.uint64).reshape(-1, 2)
+        at = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        return both[at, 0], both[at, 1], np.fromiter(map(len, rows), np.int64, len(rows))
+
+
 def _anchors(hashes: np.ndarray, lens: np.ndarray, size: int, gram: int):
     """(index, row, start, anchor place, anchor hash) of every window of a slice."""
     index, rows, starts = gram_starts(lens, size)
@@ -85,10 +108,10 @@ def _sketch(size: int, gram: int, cells: int):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, found, n = WordHashes(), [], 0
+        cache, found, n = _TwoHashes(), [], 0
         with np.errstate(over="ignore"):
             for part in row_slices(batches):
-                hashes, lens = hashed_words(part, cache)
+                hashes, _, lens = cache.of(part)
                 _, _, _, place, anchor = _anchors(hashes, lens, size, gram)
                 if len(place):
                     found.append(anchor[np.flatnonzero(np.diff(place, prepend=-1))])
@@ -142,17 +165,17 @@ def _candidates(size: int, gram: int, cells: int, shared):
         return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = _TwoHashes()
         with np.errstate(over="ignore"):
             for part in row_slices(batches):
-                hashes, lens = hashed_words(part, cache)
+                hashes, others, lens = cache.of(part)
                 index, rows, starts, _, anchor = _anchors(hashes, lens, size, gram)
                 ok = maybe_repeated(anchor)
                 if not ok.any():
                     continue
                 index, ids = index[ok], part.column("doc_id").to_numpy(zero_copy_only=False)
                 doc, start = ids[rows[ok]], starts[ok].astype(np.int32)
-                h1, h2 = ngram_hashes(hashes, size)[index], ngram_hashes(hashes, size, second=True)[index]
+                h1, h2 = ngram_hashes(hashes, size)[index], ngram_hashes(others, size, second=True)[index]
                 order = np.lexsort((start, doc, h2, h1))
                 a, b = h1[order], h2[order]
                 first = np.ones(len(order), bool)
