@@ -102,7 +102,7 @@ def snk_27_wildfires(spark, d):
 
 @query("""WITH r AS (SELECT p_type AS document_id, p_brand AS phrase, arg_max(p_size, p_partkey) AS rank FROM part WHERE p_partkey % 3 > 0 GROUP BY ALL),
           c AS (SELECT p_type AS document_id, count(*) AS chunk_count, max(p_partkey::VARCHAR) AS newest FROM part WHERE p_size % 2 = 0 GROUP BY 1)
-          SELECT DISTINCT p_type AS document_id, p_brand AS phrase, rank::INTEGER AS rank, coalesce(chunk_count, 0) AS chunk_count, newest AS newest_extracted_at, coalesce(newest > '5', false) AS stale
+          SELECT DISTINCT p_type AS document_id, p_brand AS phrase, coalesce(rank, 0)::INTEGER AS rank, coalesce(chunk_count, 0) AS chunk_count, newest AS newest_extracted_at, coalesce(newest > '5', false) AS stale
           FROM part LEFT JOIN r ON document_id = p_type AND phrase = p_brand LEFT JOIN c ON c.document_id = p_type""")
 def jon_11_ranks(spark, d):
     parts = table(spark, d, "part")
@@ -111,7 +111,8 @@ def jon_11_ranks(spark, d):
     bare = F.transform("all", lambda x: F.struct(x["documentId"].alias("documentId"), x["phrase"].alias("phrase"), x["rank"].alias("rank")))
     ranks = readers.scorecard_rows(report.select(F.lit("5").alias("started"), bare.alias("results")))
     chunks = parts.filter("p_size % 2 = 0").select(F.col("p_type").alias("document_id"), F.col("p_partkey").cast("string").alias("extracted_at"))
-    return evaluate.with_ranks(parts.select(F.col("p_type").alias("document_id"), F.col("p_brand").alias("phrase")).distinct(), ranks, chunks)
+    ranked = evaluate.with_ranks(parts.select(F.col("p_type").alias("document_id"), F.col("p_brand").alias("phrase")).distinct(), ranks, chunks)
+    return ranked.withColumn("rank", F.coalesce("rank", F.lit(0)))
 
 
 @query("""SELECT page_id, CASE WHEN poor IS NULL THEN 'text' WHEN page_id % 5 = 0 THEN 'skip' WHEN page_id % 3 = 0 THEN 'ocr-empty' ELSE 'ocr' END AS route, CASE WHEN page_id % 5 > 0 AND page_id % 3 = 0 THEN poor || '; OCR found no text' ELSE poor END AS reason FROM (

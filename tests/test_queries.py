@@ -41,8 +41,8 @@ def plan_of(df) -> str:
     return out.getvalue()
 
 
-#: Joins with one row of totals.
-ONE_ROW = {"agg_02_counts", "agg_14_reconciliation", "flagship_search", "rnk_01_bm25", "q_02_fuzzy_prefix", "snk_17_purge_report"}
+#: Joins with one row: of totals, or of whether something is there.
+ONE_ROW = {"agg_02_counts", "agg_14_reconciliation", "agg_21_project_counts", "flt_05_project_filter", "jon_11_ranks", "q_10_project_ids", "snk_17_purge_report", "snk_24_delete_counts"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ONE_ROW))
