@@ -97,6 +97,11 @@ def chunk_documents(docs: DataFrame, key: str = "document_id", text: str = "text
     return rows.select(chunk_id(F.col(key), F.col("page_number"), F.col("chunk_index")).alias("id"), key, "page_number", "chunk_index", "content")
 
 
+def with_carry(chunks: DataFrame, document: str = "document_id", most: int = OVERLAP) -> DataFrame:
+    """``chunks`` with carry: the end of the chunk before in the same document; null for the first."""
+    return chunks.withColumn("carry", F.right(F.lag("content").over(Window.partitionBy(document).orderBy("chunk_index")), F.lit(most)))
+
+
 def reading_order(chunks: DataFrame, document: str = "document_id") -> DataFrame:
     """``chunks`` with place: where a chunk stands in its document, by index and then by page."""
     return chunks.withColumn("place", F.row_number().over(Window.partitionBy(document).orderBy("chunk_index", "page_number")))

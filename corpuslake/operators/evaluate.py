@@ -38,6 +38,18 @@ def reason_counts(classified: DataFrame) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def probe_stats(pages: DataFrame, document: str, chars: str, floor: float = 50) -> DataFrame:
+    """(document, median_chars, share): what a probe of a document's pages says, the share of pages with more than ``floor`` characters."""
+    more = F.avg((F.col(chars) > floor).cast("int"))
+    return pages.groupBy(document).agg(F.round(F.median(chars), 3).alias("median_chars"), F.round(more, 3).alias("share"))
+
+
+def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row: how many rows there are beyond the first of each key."""
+    per = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    return per.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0).cast("long")).alias("duplicates"))
+
+
 def worst(audited: DataFrame, document: str, top: int = 40) -> DataFrame:
     return audited.orderBy(F.desc("garbage_share"), document).limit(top)
 

@@ -111,9 +111,6 @@ def gates(projects: DataFrame, most_names: int = 20, synthetic: int = 8_000_000)
     return out
 
 
-__all__ = ["decoded", "gates", "has_value", "last_wins", "match_classes", "merge", "pick_centroid", "reconciliation", "resolve_either", "valued"]
-
-
 def phrase_holders(items: DataFrame, docs: DataFrame, most: int = 200_000) -> DataFrame:
     """(item_id, doc_id) of the documents (doc_id, text) that hold the whole text of an item (item_id, text), each pair once.
 

@@ -81,6 +81,34 @@ def keyword_page(ranked: DataFrame, order: list[Column], top: int = 20, skip: in
     return page(ranked, order, top, skip)
 
 
+#: Orders of lists, each ended by the id.
+LISTS = {"name": lambda column, key: [F.asc(column), F.asc(key)], "newest": lambda column, key: [F.desc_nulls_last(column), F.asc(key)]}
+
+
+def listing(rows: DataFrame, kind: str, column: str, key: str, top: int | None = None) -> DataFrame:
+    """A list by name or from the newest on; rows without the column's value are no part of a list by name."""
+    shown = rows.filter(F.col(column).isNotNull()) if kind == "name" else rows
+    out = shown.orderBy(*LISTS[kind](column, key))
+    return out if top is None else out.limit(top)
+
+
+def typeahead(rows: DataFrame, typed: str, name: str = "name", key: str = "id") -> DataFrame:
+    """Rows whose name or id holds what was typed, whatever its case; nothing typed finds all."""
+    wanted = F.lit(typed.strip().lower())
+    return rows.filter(F.contains(F.lower(F.coalesce(F.col(name), F.lit(""))), wanted) | F.contains(F.lower(F.col(key)), wanted))
+
+
+def fan_out(rows: DataFrame, projects: DataFrame, order: list[Column], field: str = "project_id", most: int = FANOUT) -> DataFrame:
+    """Rows of the first ``most`` projects (id) that were found."""
+    first = projects.orderBy(*order).limit(most).select(F.col("id").alias(field))
+    return rows.join(F.broadcast(first), field, "left_semi")
+
+
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, first): each key once, with the place at which it came first."""
+    return rows.groupBy(key).agg(F.min(order).alias("first"))
+
+
 def net_total(count: Column, withheld: Column, page_rows: Column) -> Column:
     """The total that a caller is told: without what was withheld from this page, and never less than its rows."""
     return F.greatest(count - withheld, page_rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fields of the store, the digest of a key, and the names of what has none.
@@ -36,6 +36,30 @@ def _or_else(column: str, other: str):
     return F.when(F.col(column) != "", F.col(column)).otherwise(F.lit(other))
 
 
+def with_labels(rows: DataFrame, names: DataFrame, key: str, label: str, default: str) -> DataFrame:
+    """``rows`` with the label of their key by ``names`` (key, label), or a default: a row isn't lost for want of a label."""
+    known = names.select(F.col(key).alias("__key"), F.col(label).alias("__label"))
+    return rows.join(known, F.col(key) == F.col("__key"), "left").withColumn(label, F.coalesce("__label", F.lit(default))).drop("__key", "__label")
+
+
+def index_projection(rows: DataFrame, renames: dict[str, str], hidden: tuple[str, ...] = ("content", "text")) -> DataFrame:
+    """Columns of an index under their names there; texts are searched in but never stored to be returned."""
+    if shown := [new for new, old in renames.items() if old in hidden]:
+        raise ValueError(f"texts are not part of an index: {', '.join(shown)}")
+    return rows.select(*(F.col(old).alias(new) for new, old in renames.items()))
+
+
+def reference(key: Column, name: Column) -> Column:
+    """(_id, name) of something that has a name, else null."""
+    return F.when(F.coalesce(name != "", F.lit(False)) & key.isNotNull(), F.struct(key.cast("string").alias("_id"), name.alias("name")))
+
+
+def envelope(page: DataFrame, total: DataFrame, order: str) -> DataFrame:
+    """One row: searchResults, the rows of a page (500 at most) in order, and count, of all rows; ``total`` is one row with count."""
+    rows = page.agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in page.columns if c != order)))).alias("searchResults"))
+    return rows.join(F.broadcast(total.select("count")), F.lit(True))
+
+
 def _labelled(rows: DataFrame, projects: DataFrame) -> DataFrame:
     """``rows`` with project_name and project, the reference (_id, name) that templates bind, in the project's other id space where it has one.
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import scalars as fn
 from corpuslake.operators import access as acl
-from corpuslake.operators import evaluate, events, geo, mutate, registry, search, text
+from corpuslake.operators import evaluate, events, geo, mutate, registry, search, shape, text
 from corpuslake.plans import views as v
 from corpuslake.plans.views import query
+from corpuslake.session import shared_folder
 from corpuslake.sources import readers
 from corpuslake.sources.readers import table
 from corpuslake.streaming import streams
@@ -29,8 +32,8 @@ def src_12_envelope(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, coalesce(r_name, 'none') AS label FROM customer LEFT JOIN region ON c_nationkey = r_regionkey")
 def src_14_list_lookup(spark, d):
-    lists = table(spark, d, "region").select(F.col("r_regionkey").alias("c_nationkey"), "r_name")
-    return table(spark, d, "customer").join(lists, "c_nationkey", "left").select("c_custkey", F.coalesce("r_name", F.lit("none")).alias("label"))
+    lists = table(spark, d, "region").select(F.col("r_regionkey").alias("c_nationkey"), F.col("r_name").alias("label"))
+    return shape.with_labels(table(spark, d, "customer"), lists, "c_nationkey", "label", "none").select("c_custkey", "label")
 
 
 @query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
@@ -59,7 +62,9 @@ def src_23_queue_message(spark, d):
 
 @query("SELECT DISTINCT source AS key FROM documents WHERE trim(source) <> ''")
 def src_24_key_file(spark, d):
-    return table(spark, d, "documents").select(F.trim("source").alias("key")).filter("key <> ''").distinct()
+    folder = f"{shared_folder(spark)}/corpuslake/keys-{uuid.uuid4().hex}"
+    table(spark, d, "documents").select(F.concat(F.coalesce("source", F.lit("")), F.lit(" ")).alias("value")).write.text(folder)
+    return readers.keys_of(spark, folder)
 
 
 # Writes
@@ -189,7 +194,7 @@ def snk_28_issue_keys(spark, d):
 
 @query("SELECT id, name AS displayName, is_published AS status FROM v_projects")
 def prj_01_index_projection(spark, d):
-    return v.projects(spark, d).select("id", F.col("name").alias("displayName"), F.col("is_published").alias("status"))
+    return shape.index_projection(v.projects(spark, d), {"id": "id", "displayName": "name", "status": "is_published"})
 
 
 @query("SELECT id, coalesce(nullif(name, ''), 'Unnamed Project') AS name, coalesce(nullif(trim(sector), ''), 'Unknown') AS sector FROM v_projects")
@@ -199,13 +204,14 @@ def prj_04_project_hit(spark, d):
 
 @query("SELECT id, CASE WHEN name IS NOT NULL THEN name || '/' || id END AS ref FROM v_projects")
 def prj_07_reference(spark, d):
-    ref = F.when(F.col("name").isNotNull(), F.struct(F.col("id").alias("_id"), F.col("name").alias("name")))
-    return v.projects(spark, d).withColumn("r", ref).select("id", F.concat("r.name", F.lit("/"), "r._id").alias("ref"))
+    return v.projects(spark, d).withColumn("r", shape.reference(F.col("id"), F.col("name"))).select("id", F.concat("r.name", F.lit("/"), "r._id").alias("ref"))
 
 
-@query("SELECT count(*) AS total, count(*) > 500 AS more FROM documents")
+@query("SELECT i.doc_id, i.lang, (SELECT count(*) FROM documents) AS count FROM (SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 500) i")
 def prj_08_envelope(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("total")).withColumn("more", F.col("total") > search.PAGE)
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    one = shape.envelope(search.keyword_page(docs, [F.asc("doc_id")], top=500), docs.agg(F.count("*").alias("count")), "doc_id")
+    return one.select(F.explode("searchResults").alias("r"), "count").select("r.*", "count")
 
 
 @query("SELECT doc_id, 'Scan Of ' || upper(source[1]) || source[2:] || ' Document' AS title FROM documents")
@@ -295,12 +301,12 @@ def win_08_stale(spark, d):
 
 @query("SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100")
 def srt_03_newest_first(spark, d):
-    return table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(100).select("c_custkey")
+    return search.listing(table(spark, d, "customer"), "newest", "c_acctbal", "c_custkey", top=100).select("c_custkey")
 
 
 @query("SELECT n_name AS name FROM nation ORDER BY n_name")
 def srt_07_binary_name_order(spark, d):
-    return table(spark, d, "nation").select(F.col("n_name").alias("name")).orderBy("name")
+    return search.listing(table(spark, d, "nation"), "name", "n_name", "n_nationkey").select(F.col("n_name").alias("name"))
 
 
 # Routing and functions

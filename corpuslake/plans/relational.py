@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import scalars as fn
 from corpuslake.operators import access as acl
-from corpuslake.operators import chunk, evaluate, events, geo, mutate, registry, search, text
+from corpuslake.operators import chunk, evaluate, events, geo, mutate, registry, search, shape, text
 from corpuslake.plans import views as v
 from corpuslake.plans.views import query
 from corpuslake.sources import readers
@@ -143,7 +143,7 @@ def flt_07_fuzzy_match(spark, d):
 
 @query("SELECT id FROM v_places WHERE lng BETWEEN -130 AND -120 AND lat BETWEEN 50 AND 55")
 def flt_08_viewport(spark, d):
-    return v.places(spark, d).filter(F.col("lng").between(-130, -120) & F.col("lat").between(50, 55)).select("id")
+    return v.places(spark, d).filter(geo.in_view(F.col("lng"), F.col("lat"), -130, 50, -120, 55)).select("id")
 
 
 @query("SELECT id FROM v_documents WHERE project_id IN (SELECT id FROM v_projects WHERE trim(sector) = 'Energy') AND content_extracted")
@@ -154,7 +154,7 @@ def flt_06_documents_of_matches(spark, d):
 
 @query("SELECT id, name FROM v_projects WHERE contains(lower(name), 'n_1') OR contains(lower(id), 'n_1')")
 def flt_09_typeahead(spark, d):
-    return v.projects(spark, d).filter(F.contains(F.lower("name"), F.lit("n_1")) | F.contains(F.lower("id"), F.lit("n_1"))).select("id", "name")
+    return search.typeahead(v.projects(spark, d), " N_1 ").select("id", "name")
 
 
 @query("SELECT time_bucket(INTERVAL 60 seconds, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -176,8 +176,8 @@ def jon_01_registry_merge(spark, d):
 
 @query("SELECT d.id, coalesce(p.name, 'Associated Project') AS project_name FROM v_documents d LEFT JOIN v_projects p ON d.project_id = p.id")
 def jon_02_label_hydrate(spark, d):
-    names = v.projects(spark, d).select(F.col("id").alias("project_id"), "name")
-    return v.documents(spark, d).join(names, "project_id", "left").select("id", F.coalesce("name", F.lit("Associated Project")).alias("project_name"))
+    names = v.projects(spark, d).select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))
+    return shape.with_labels(v.documents(spark, d), names, "project_id", "project_name", shape.NO_PROJECT).select("id", "project_name")
 
 
 @query(f"""SELECT c.document_id, c.chunk_index, d.type, p.name AS project_name FROM v_pieces c JOIN v_documents d ON c.document_id = d.id
@@ -191,8 +191,7 @@ def jon_03_gated_chunks(spark, d):
 
 @query("""SELECT id, project_id FROM v_documents WHERE project_id IN (SELECT id FROM v_projects WHERE contains(name, 'n_') ORDER BY id LIMIT 25)""")
 def jon_04_fanout(spark, d):
-    wanted = v.projects(spark, d).filter(F.contains("name", F.lit("n_"))).orderBy("id").limit(search.FANOUT).select(F.col("id").alias("project_id"))
-    return v.documents(spark, d).join(wanted, "project_id", "left_semi").select("id", "project_id")
+    return search.fan_out(v.documents(spark, d), v.projects(spark, d).filter(F.contains("name", F.lit("n_"))), [F.asc("id")]).select("id", "project_id")
 
 
 @query("""SELECT p.id, count(f.lat) AS fires, round(min(km), 1) AS nearest_km, count(*) FILTER (f.of_note) AS of_note FROM v_places p LEFT JOIN (
@@ -327,7 +326,7 @@ def agg_15_gates(spark, d):
 
 @query("SELECT l_suppkey, round(median(l_quantity), 3) AS median_chars, round(avg((l_quantity > 25)::INTEGER), 3) AS share FROM lineitem GROUP BY l_suppkey")
 def agg_16_probe_stats(spark, d):
-    return _t("lineitem")(spark, d).groupBy("l_suppkey").agg(F.round(F.median("l_quantity"), 3).alias("median_chars"), F.round(F.avg((F.col("l_quantity") > 25).cast("int")), 3).alias("share"))
+    return evaluate.probe_stats(_t("lineitem")(spark, d), "l_suppkey", "l_quantity", floor=25)
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
@@ -343,8 +342,7 @@ def agg_18_cost(spark, d):
 
 @query("SELECT coalesce(sum(n - 1), 0)::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey)")
 def agg_20_duplicates(spark, d):
-    per = _t("lineitem")(spark, d).groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"))
-    return per.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    return evaluate.duplicates(_t("lineitem")(spark, d), ["l_orderkey", "l_partkey"])
 
 
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
@@ -354,8 +352,7 @@ def win_01_rank(spark, d):
 
 @query("""SELECT document_id, chunk_index, right(lag(content) OVER (PARTITION BY document_id ORDER BY chunk_index), 200) AS carry FROM v_pieces""")
 def win_03_carry(spark, d):
-    turn = Window.partitionBy("document_id").orderBy("chunk_index")
-    return v.pieces(spark, d).select("document_id", "chunk_index", F.right(F.lag("content").over(turn), F.lit(200)).alias("carry"))
+    return chunk.with_carry(v.pieces(spark, d)).select("document_id", "chunk_index", "carry")
 
 
 @query("SELECT document_id, chunk_index FROM v_pieces QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) <= 2")
@@ -381,7 +378,7 @@ def win_07_streaks(spark, d):
 
 @query("SELECT id, name FROM v_projects WHERE name IS NOT NULL ORDER BY name, id")
 def srt_01_name_order(spark, d):
-    return v.projects(spark, d).filter("name IS NOT NULL").select("id", "name").orderBy("name", "id")
+    return search.listing(v.projects(spark, d).select("id", "name"), "name", "name", "id")
 
 
 @query("SELECT user_id, avg((event_type = 'error')::INTEGER) AS garbage_share FROM events GROUP BY user_id ORDER BY garbage_share DESC, user_id LIMIT 40")
@@ -442,9 +439,9 @@ def set_01_two_legs(spark, d):
     return search.two_legs(docs.filter(F.contains("text", F.lit("the"))).select("doc_id"), docs.filter(F.col("source").isin("src1", "src2")).select("doc_id"), "doc_id")
 
 
-@query("SELECT DISTINCT source FROM documents")
+@query("SELECT source, min(doc_id) AS first FROM documents GROUP BY source")
 def set_02_distinct(spark, d):
-    return _t("documents")(spark, d).select("source").distinct()
+    return search.first_seen(_t("documents")(spark, d), "source", "doc_id")
 
 
 @query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 45 AND l_suppkey % 4 > 0)")

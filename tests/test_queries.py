@@ -42,7 +42,7 @@ def plan_of(df) -> str:
 
 
 #: Joins with one row: of totals, or of whether something is there.
-ONE_ROW = {"agg_02_counts", "agg_14_reconciliation", "agg_21_project_counts", "flt_05_project_filter", "jon_11_ranks", "q_10_project_ids", "snk_17_purge_report", "snk_24_delete_counts"}
+ONE_ROW = {"agg_02_counts", "agg_14_reconciliation", "agg_21_project_counts", "prj_08_envelope", "flt_05_project_filter", "jon_11_ranks", "q_10_project_ids", "snk_17_purge_report", "snk_24_delete_counts"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ONE_ROW))
