@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.operators.access import all_of
 from corpuslake.operators.text import tokenize
 
 # Limits, and the words that carry no fuzzy or prefix clause.
@@ -92,6 +93,14 @@ def listing(rows: DataFrame, kind: str, column: str, key: str, top: int | None =
     return out if top is None else out.limit(top)
 
 
+def project_criteria(source: str | None = None, **tags: str | None) -> Column:
+    """Projects of one source, and of the areas by which they are tagged (municipality, regional_district, electoral_district); what isn't given is no condition."""
+    given = {"source_system": source, **tags}
+    if unknown := tags.keys() - {"municipality", "regional_district", "electoral_district"}:
+        raise ValueError(f"no such criteria: {', '.join(sorted(unknown))}")
+    return all_of(*(F.col(column) == F.lit(value) for column, value in given.items() if value))
+
+
 def typeahead(rows: DataFrame, typed: str, name: str = "name", key: str = "id") -> DataFrame:
     """Rows whose name or id holds what was typed, whatever its case; nothing typed finds all."""
     wanted = F.lit(typed.strip().lower())

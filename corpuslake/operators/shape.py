@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.operators.geo import point_or_default
+
 # Fields of the store, the digest of a key, and the names of what has none.
 INTERNAL, SECRET = ("_rid", "_self", "_attachments", "_ts"), "hash"
 NO_PROJECT, NO_DOCUMENT, NO_TYPE = "Associated Project", "Untitled Document", "PDF Document"
@@ -101,6 +103,29 @@ def document_hits(documents: DataFrame, projects: DataFrame) -> DataFrame:
     return _labelled(rows, projects)
 
 
+# What stands for a missing field of a project.
+_PROJECT = {"name": "Unnamed Project", "sector": "Other", "status": "Active", "region": "British Columbia", "description": "No project description provided.", "proponent": "Proponent Organization"}
+
+
+def project_hits(rows: DataFrame, stored: bool = False) -> DataFrame:
+    """Projects as callers get them, from the index (external_id, name, display_name, status, ...) or ``stored`` (project_state and status, proponent_name, is_published).
+
+    Empty text counts as missing. The id that links out is the other registry's, or the own one where there is none. An index row without a list of roles
+    is published, a stored one without roles by its flag.
+    """
+    def first(field: str, *columns: str) -> Column:
+        return F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in columns), F.lit(_PROJECT[field])).alias(field)
+
+    own, other = F.col("id").cast("string"), F.nullif(F.col("external_id"), F.lit(""))
+    public = F.array_contains("read", "public")
+    shown = F.when(F.coalesce(F.size("read"), F.lit(0)) > 0, public).otherwise(F.coalesce("is_published", F.lit(False))) if stored else F.when(F.col("read").isNotNull(), public).otherwise(True)
+    return rows.select(
+        F.coalesce(other, own).alias("_id"), own.alias("id"), (F.coalesce(F.nullif(F.col("track_id").cast("string"), F.lit("")), own) if stored else own).alias("track_id"), F.coalesce(other, F.lit("")).alias("external_id"),
+        first("name", "name") if stored else first("name", "name", "display_name"), first("sector", "sector"), first("status", "project_state", "status") if stored else first("status", "status"), point_or_default(F.col("centroid")).alias("centroid"),
+        first("region", "region"), first("description", "description"), first("proponent", "proponent_name") if stored else first("proponent", "proponent"), shown.alias("is_published"),
+    )
+
+
 def overlay(defaults: DataFrame, stored: DataFrame, allowed: list[str], by: list[str] | None = None) -> DataFrame:
     """Settings (key, value as VARIANT, and the columns ``by`` of who has them) with stored values in place of defaults: only of ``allowed`` keys, never a null, and in place of a boolean only a boolean."""
     on = [*(by or []), "key"]

@@ -197,9 +197,22 @@ def prj_01_index_projection(spark, d):
     return shape.index_projection(v.projects(spark, d), {"id": "id", "displayName": "name", "status": "is_published"})
 
 
-@query("SELECT id, coalesce(nullif(name, ''), 'Unnamed Project') AS name, coalesce(nullif(trim(sector), ''), 'Unknown') AS sector FROM v_projects")
+@query("""SELECT s_suppkey::VARCHAR AS id, CASE WHEN s_suppkey % 3 > 0 THEN 'x' || s_suppkey ELSE s_suppkey::VARCHAR END AS _id, CASE WHEN stored AND s_suppkey % 2 = 0 THEN 't' || s_suppkey ELSE s_suppkey::VARCHAR END AS track_id,
+          CASE WHEN s_suppkey % 3 > 0 THEN 'x' || s_suppkey ELSE '' END AS external_id, CASE WHEN s_suppkey % 5 > 0 THEN s_name WHEN stored THEN 'Unnamed Project' ELSE 'shown ' || s_suppkey END AS name, CASE WHEN s_suppkey % 4 > 0 THEN 'Mines' ELSE 'Other' END AS sector,
+          CASE WHEN stored AND s_suppkey % 7 > 0 THEN 'Closed' WHEN s_suppkey % 2 = 0 THEN 'Open' ELSE 'Active' END AS status, CASE WHEN s_suppkey % 6 > 0 THEN s_suppkey::DOUBLE ELSE -125.0 END AS lng,
+          'British Columbia' AS region, 'No project description provided.' AS description, CASE WHEN stored THEN 'Proponent Organization' ELSE s_name END AS proponent,
+          CASE WHEN s_suppkey % 8 = 1 THEN true WHEN s_suppkey % 8 = 2 THEN false WHEN s_suppkey % 8 = 3 THEN stored AND s_suppkey % 2 = 1 ELSE NOT stored OR s_suppkey % 2 = 1 END AS is_published, stored FROM supplier, (VALUES (true), (false)) b(stored)""")
 def prj_04_project_hit(spark, d):
-    return v.projects(spark, d).select("id", fn.or_default(F.col("name"), "Unnamed Project").alias("name"), fn.or_default(F.trim("sector"), "Unknown").alias("sector"))
+    """Both shapes of a project: from the index, and as it is stored."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    read = F.when(k % 8 == 1, F.array(F.lit("public"))).when(k % 8 == 2, F.array(F.lit("staff"))).when(k % 8 == 3, F.array().cast("array<string>"))
+    rows = table(spark, d, "supplier").select(
+        k.alias("id"), F.when(k % 3 > 0, F.concat(F.lit("x"), k)).otherwise("").alias("external_id"), F.when(k % 2 == 0, F.concat(F.lit("t"), k)).alias("track_id"), F.when(k % 5 > 0, name).otherwise("").alias("name"), F.concat(F.lit("shown "), k).alias("display_name"),
+        F.when(k % 4 > 0, "Mines").alias("sector"), F.when(k % 7 > 0, "Closed").otherwise("").alias("project_state"), F.when(k % 2 == 0, "Open").alias("status"), F.when(k % 6 > 0, F.array(k.cast("double"), F.lit(50.0))).alias("centroid"),
+        F.lit("").alias("region"), F.lit(None).cast("string").alias("description"), name.alias("proponent"), F.lit("").alias("proponent_name"), read.alias("read"), (k % 2 == 1).alias("is_published"),
+    )
+    both = [shape.project_hits(rows, stored).withColumn("stored", F.lit(stored)) for stored in (True, False)]
+    return both[0].unionByName(both[1]).withColumn("lng", F.col("centroid")[0]).drop("centroid")
 
 
 @query("SELECT id, CASE WHEN name IS NOT NULL THEN name || '/' || id END AS ref FROM v_projects")
@@ -248,9 +261,10 @@ def acl_19_key_parse(spark, d):
     return table(spark, d, "customer").withColumn("k", acl.parse_key(key)).select("c_custkey", "k.id", "k.secret")
 
 
-@query("SELECT id FROM v_projects WHERE region = '1' AND is_published AND trim(sector) = 'Energy'")
+@query("SELECT c_custkey AS id, c_nationkey::VARCHAR AS municipality FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7")
 def flt_02_project_criteria(spark, d):
-    return v.projects(spark, d).filter(acl.all_of(F.col("region") == "1", F.col("is_published"), F.trim("sector") == "Energy")).select("id")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("source_system"), F.col("c_nationkey").cast("string").alias("municipality"))
+    return rows.filter(search.project_criteria("BUILDING", municipality="7", regional_district=None)).select("id", "municipality")
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM orders")
