@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import partitions, written
+from corpuslake.llm.common import discard, partitions, written
 from corpuslake.llm.vectors import matrix, squared_distances, usable, whole
 
 #: How much wider a bound is made for what doubles round off.
@@ -146,10 +146,12 @@ def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, sa
     for turn in range(rounds):
         old, now = now, _means(state, now)
         if turn + 1 < rounds:
-            state = written(state.mapInArrow(_next(old, now), _STATE), "clusters")
+            before, state = state, written(state.mapInArrow(_next(old, now), _STATE), "clusters")
+            discard(before)
     if not rounds:
         old = now
     final = written(state.mapInArrow(_last(old, now), "vec_id long, cluster int, distance long"), "clustered")
+    discard(state)
     sums = {row["cluster"]: row["s"] for row in final.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
     digest = {j: hashlib.sha256(",".join(map(str, now[j].tolist())).encode()).hexdigest() for j in sums}
     facts = spark.createDataFrame([(j, s, sum(sums.values()), digest[j]) for j, s in sums.items()], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")

@@ -8,6 +8,7 @@ of an intermediate result with it.
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,27 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Work tables by the object that reads them.
+_places: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove work tables (as ``written`` returned them) that nothing reads any more: whatever was made from them is written itself."""
+    for table in tables:
+        held = _places.pop(id(table), None)
+        if held is not None and held[0]() is table:
+            remove(table.sparkSession, held[1])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -3,7 +3,7 @@
 Every round is an aggregation and a join on node ids, so a node with very many
 neighbours is pre-aggregated for its smallest neighbour and its partition of the
 join can be split. The edges of each round are a work table: rounds do not grow
-the lineage, and nothing but a count and a checksum reaches the driver.
+the lineage, a round's table goes when the next one is written, and nothing but a count and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import written
+from corpuslake.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,8 +39,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("a", "b").filter("a != b").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        discard(old)
         before, state = state, _state(edges)
         if before == state:
             break
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return edges.toDF("id", "component")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import semi_by_size, without, work_path, written
+from corpuslake.llm.common import remove, semi_by_size, without, work_path, written
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -70,9 +70,11 @@ class DigestIndex:
     def compact(self) -> None:
         """Merge all runs into one of the next level."""
         if len(self.runs) > 1:
-            level, old = max(x for x, _ in self.runs) + 1, self.entries()
-            self._write(old, level)
+            level, old = max(x for x, _ in self.runs) + 1, list(self.runs)
+            self._write(self.entries(), level)
             self.runs = self.runs[-1:]
+            for _, path in old:
+                remove(self.spark, path)
 
     def entries(self) -> DataFrame:
         schema = "digest binary, id long, n long"

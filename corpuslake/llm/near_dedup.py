@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import WordHashes, gram_starts, hashed_words, mix, ngram_hashes, one_row_each, row_slices, semi_by_size, written
+from corpuslake.llm.common import WordHashes, discard, gram_starts, hashed_words, mix, ngram_hashes, one_row_each, row_slices, semi_by_size, written
 from corpuslake.llm.components import connected_components
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -179,7 +179,10 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def _compared(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    return _verified(_sets_of(docs, ids, size), pairs, percent)
+    sets = _sets_of(docs, ids, size)
+    out = _verified(sets, pairs, percent)
+    discard(pairs, sets)
+    return out
 
 
 def _close(percent: int):
@@ -222,12 +225,16 @@ def _rest(docs: DataFrame, buckets: DataFrame, labels: DataFrame, done: DataFram
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     schema = "key long, rep long, n long, at long, " + ", ".join(f"{c} long" for c in _bits("x")) + ", before array<long>"
     rare = sets.mapInArrow(_rarest(percent, shared), schema)
-    pairs = _cross_pairs(_members(rare, labels), percent).join(done, ["a", "b"], "left_anti")
-    return _verified(sets, written(pairs, "pairs"), percent)
+    members = _members(rare, labels)
+    members = written(members.join(_several(members), "key", "left_semi"), "members")
+    pairs = written(_cross_pairs(members, percent).join(done, ["a", "b"], "left_anti"), "pairs")
+    out = _verified(sets, pairs, percent)
+    discard(members, pairs, sets)
+    return out
 
 
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key that lie in different components and may link.
+    """Pairs of one key that lie in different components and may link; ``members`` is a written table.
 
     ``at`` shingles stand before the key in a set's order. Where the key is the first that a pair has in common, the sets
     have at most least(n - at) shingles in common, and a link needs t (n + m) / (1 + t): for the smaller set,
@@ -237,7 +244,6 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     rows. Nor are pairs that meet under a key although they have a shingle in common shortly before it
     in the order: they meet under that one as well, and under the first one that they have in common in any case.
     """
-    members = written(members.join(_several(members), "key", "left_semi"), "members")
     smaller = members.filter((F.col("n") - F.col("at")) * (100 + percent) >= F.col("n") * (2 * percent))
     there = members.select("key", F.col("rep").alias("o"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("comp").alias("other"), F.col("before").alias("earlier"), *(F.col(x).alias(y) for x, y in zip(_bits("x"), _bits("y"), strict=True)))
     there = there.join(smaller.select("key").distinct(), "key", "left_semi")
@@ -273,14 +279,17 @@ def near_duplicates(
     buckets = written(spread.join(shared, "key"), "buckets")
 
     found = _compared(docs, _star_pairs(buckets.withColumn("comp", F.col("rep")), 0, percent), size, percent)
-    done, labels = found, connected_components(found.filter("linked").select("a", "b"))
+    founds, done, labels = [found], found, connected_components(found.filter("linked").select("a", "b"))
     for i in range(1, star_rounds):
         if found.filter("linked").isEmpty():
             break
         pairs = _star_pairs(_members(buckets, labels), i, percent).join(done, ["a", "b"], "left_anti")
         found = _compared(docs, pairs, size, percent)
+        founds.append(found)
         done, labels = _joined(done, found, labels)
-    _, labels = _joined(done, _rest(docs, buckets, labels, done, size, percent), labels)
+    found = _rest(docs, buckets, labels, done, size, percent)
+    _, labels = _joined(done, found, labels)
+    discard(buckets, found, *founds)
     return _labelled(entries, classes, labels)
 
 
