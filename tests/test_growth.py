@@ -45,3 +45,13 @@ def test_rows_without_key_are_one_document(spark, tmp_path):
     index = TextIndex(spark, str(tmp_path / "i")).add(spark.createDataFrame(TEXTS, "id int, text string"), "id", ["text"])
     assert {r.key for r in index.search(search.compile_query("red ring", False)).collect()} == {1, None}
     assert sorted((r.key or 0, r.len) for r in index._read("lengths").collect()) == [(0, 3), (1, 3), (2, 2), (3, 0), (4, 0)]
+
+
+def test_many_terms_of_a_query_deal_out_no_postings(spark, tmp_path, monkeypatch, never_broadcast):
+    index = TextIndex(spark, str(tmp_path / "i")).add(spark.createDataFrame(TEXTS, "id int, text string"), "id", ["text"])
+    query = search.compile_query("red ring", True, True)
+    few = {(r.key, round(r.score, 9)) for r in index.search(query).collect()}
+    monkeypatch.setattr(inverted, "_NAMED", 0)
+    many = index.search(query)
+    assert {(r.key, round(r.score, 9)) for r in many.collect()} == few and len(few) == 2
+    assert "SortMergeJoin" not in plan_of(many)
