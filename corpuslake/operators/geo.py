@@ -60,20 +60,21 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
 def near(places: DataFrame, fires: DataFrame, radius: float = 50.0) -> DataFrame:
     """For each place (id, lat, lng): fires within the radius, the least distance, fires of note.
 
-    Each fire is put into all grid cells that its radius may reach, so that the join is on the
-    cell and no pair beyond neighbouring cells is made.
+    Fires and places of one point are one row with its counts. Each point of fires is put into all grid cells that
+    its radius may reach, so that the join is on the cell and no pair beyond neighbouring cells is made.
     """
     step_lat = radius / 111.0
     step_lng = radius / (111.32 * 0.48)  # a degree of longitude at the box's northern edge, rounded down
     cell = lambda v, step: F.floor(v / step).cast("int")
-    p = places.select("id", "lat", "lng", cell(F.col("lat"), step_lat).alias("r"), cell(F.col("lng"), step_lng).alias("c"))
+    p = places.select("lat", "lng").distinct().select("lat", "lng", cell(F.col("lat"), step_lat).alias("r"), cell(F.col("lng"), step_lng).alias("c"))
     live = fires.filter((F.col("status") != "Out") & ((F.col("lat") != 0) | (F.col("lng") != 0)))
-    f = live.select(F.col("lat").alias("flat"), F.col("lng").alias("flng"), "of_note")
+    f = live.groupBy(F.col("lat").alias("flat"), F.col("lng").alias("flng")).agg(F.count("*").alias("n"), F.count_if(F.col("of_note")).alias("noted"))
     around = lambda v, step: F.explode(F.sequence(cell(v, step) - 1, cell(v, step) + 1))
     f = f.withColumn("r", around(F.col("flat"), step_lat)).withColumn("c", around(F.col("flng"), step_lng))
     km = haversine(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng"))
     hits = p.join(f, ["r", "c"]).withColumn("km", km).filter(F.col("km") <= radius)
-    found = hits.groupBy("id").agg(F.count("*").alias("fires"), F.round(F.min("km"), 1).alias("nearest_km"), F.count_if(F.col("of_note")).alias("of_note"))
+    at = hits.groupBy("lat", "lng").agg(F.sum("n").alias("fires"), F.min("km").alias("km"), F.sum("noted").alias("of_note"))
+    found = places.select("id", "lat", "lng").join(at, ["lat", "lng"]).groupBy("id").agg(F.sum("fires").alias("fires"), F.round(F.min("km"), 1).alias("nearest_km"), F.sum("of_note").alias("of_note"))
     zero = F.lit(0).cast("long")
     return places.select("id").join(found, "id", "left").select("id", F.coalesce("fires", zero).alias("fires"), "nearest_km", F.coalesce("of_note", zero).alias("of_note"))
 

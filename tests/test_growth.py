@@ -55,3 +55,13 @@ def test_many_terms_of_a_query_deal_out_no_postings(spark, tmp_path, monkeypatch
     many = index.search(query)
     assert {(r.key, round(r.score, 9)) for r in many.collect()} == few and len(few) == 2
     assert "SortMergeJoin" not in plan_of(many)
+
+
+def test_places_and_fires_of_one_point_are_compared_once(spark, monkeypatch):
+    compared, plain = spark.sparkContext.accumulator(0), geo.haversine
+    count = F.udf(lambda x: (compared.add(1), x)[1], "double").asNondeterministic()
+    monkeypatch.setattr(geo, "haversine", lambda *a: count(plain(*a)))
+    places = spark.range(60).select("id", F.lit(50.0).alias("lat"), F.lit(-120.0).alias("lng"))
+    fires = spark.range(70).select(F.lit(50.1).alias("lat"), F.lit(-120.0).alias("lng"), F.when(F.col("id") < 5, "Out").otherwise("Active").alias("status"), (F.col("id") % 7 == 0).alias("of_note"))
+    got = {tuple(r)[1:] for r in geo.near(places, fires).collect()}
+    assert got == {(65, 11.1, 9)} and compared.value <= 4
