@@ -1,7 +1,8 @@
 """Stateful operators of streams: a chunker fed by sections (CHK-04) and a bounded buffer (STR-04).
 
 Both keep what is open in the state store between triggers (RocksDB: set ``spark.sql.streaming.stateStore.providerClass``
-for a live stream, see ``STORE``), so that a restart goes on where it was, and both also run over a table as a batch.
+for a live stream, see ``STORE``), so that a restart goes on where it was. Over a table they need no store: the rows of a key come in order in one
+partition, and the same rules run along them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -79,42 +82,58 @@ class _Chunker:
         yield from self._released()
 
 
-def _in_order(rows: Iterator[pd.DataFrame], live: bool) -> Iterator[pd.DataFrame]:
-    """Rows of a key by ``seq``. A table comes sorted, so that no more than a batch of Arrow is held; a stream can't be, and what a trigger brings of a key is sorted here."""
-    return iter([pd.concat(list(rows)).sort_values("seq")]) if live else rows
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Rows of a key by ``seq``: what a trigger brings of it is sorted here."""
+    return pd.concat(list(rows)).sort_values("seq").itertuples()
 
 
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """A table by key and order, which is what the stateful operator's own exchange and sort would give, and the order within a key, too."""
-    return rows if rows.isStreaming else rows.repartition(key).sortWithinPartitions(key, "seq")
+    """A table by key and order: a key's rows follow each other in one partition."""
+    return rows.repartition(key).sortWithinPartitions(key, "seq")
+
+
+def _fed(chunker: _Chunker, seq: int | None, section: str | None, last: bool, out: list[tuple]) -> _Chunker:
+    """A row's section, its chunks added to ``out``; the chunker that takes the next row."""
+    if seq is not None and seq <= chunker.seen:
+        return chunker  # was here before a restart of the source
+    chunker.seen = chunker.seen if seq is None else seq
+    out += chunker.section(section or "")
+    if last:
+        out += chunker.end()
+        return _Chunker(None)
+    return chunker
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents whose rows follow each other."""
+    now, chunker = [], _Chunker(None)
+    for batch in batches:
+        made: list[tuple] = []
+        for document, seq, section, last in zip(*(batch.column(c).to_pylist() for c in ("document_id", "seq", "section", "last")), strict=True):
+            if now != [document]:
+                now, chunker = [document], _Chunker(None)
+            out: list[tuple] = []
+            chunker = _fed(chunker, seq, section, last, out)
+            made += [(document, *c) for c in out]
+        columns = list(zip(*made, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["document_id", "page_number", "chunk_index", "content"])
 
 
 class SectionChunker(StatefulProcessor):
     """State of an open document: one full block and one open one at most."""
 
-    def __init__(self, live: bool) -> None:
-        self.live = live
-
     def init(self, handle) -> None:
         self.open = handle.getValueState("open", _Chunker.FIELDS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        chunker, out, ended = _Chunker(self.open.get() if self.open.exists() else None), [], False
-        for frame in _in_order(rows, self.live):
-            for row in frame.itertuples():
-                if row.seq <= chunker.seen:
-                    continue  # was here before a restart of the source
-                chunker.seen, ended = row.seq, bool(row.last)
-                out += chunker.section(row.section or "")
-                if ended:
-                    out += chunker.end()
-                    chunker = _Chunker(None)
-            yield pd.DataFrame([(key[0], *c) for c in out], columns=["document_id", "page_number", "chunk_index", "content"])
-            out = []
-        if ended:
+        chunker, out = _Chunker(self.open.get() if self.open.exists() else None), []
+        for row in _in_order(rows):
+            chunker = _fed(chunker, row.seq, row.section, bool(row.last), out)
+        if chunker.seen < 0:
             self.open.clear()
         else:
             self.open.update(chunker.state)
+        yield pd.DataFrame([(key[0], *c) for c in out], columns=["document_id", "page_number", "chunk_index", "content"])
 
     def close(self) -> None:
         pass
@@ -127,21 +146,23 @@ def chunk_sections(sections: DataFrame) -> DataFrame:
     arrive in order of ``seq`` from trigger to trigger (within one in any order); ``last`` ends a document and drops its state; repeated ones are skipped while it is open. A section may
     be blank, null or hold blank lines itself.
     """
-    sections.sparkSession.streams.active  # noqa: B018  a batch needs the coordinator of the state stores, too
     whole = sections.select(F.col("document_id").cast("string").alias("document_id"), F.col("seq").cast("long").alias("seq"), "section", F.coalesce("last", F.lit(False)).alias("last"))
     parts = F.split(F.coalesce("section", F.lit("")), "\n{2,}")
     at = F.struct(F.col("pos"), F.col("col"))
     cut = whole.select("document_id", "seq", "last", F.size(parts).alias("n"), F.posexplode(parts)).select("document_id", "seq", "last", "n", at.alias("part"))
     # A section of several blocks: its parts come after one another, and the last one carries the end.
     rows = cut.select("document_id", (F.col("seq") * (1 << 20) + F.col("part.pos")).alias("seq"), cleaned(F.col("part.col")).alias("section"), (F.col("last") & (F.col("part.pos") == F.col("n") - 1)).alias("last"))
-    made = _dealt(rows, "document_id").groupBy("document_id").transformWithStateInPandas(statefulProcessor=SectionChunker(rows.isStreaming), outputStructType=_CHUNKS, outputMode="append", timeMode="None")
+    if rows.isStreaming:
+        made = rows.groupBy("document_id").transformWithStateInPandas(statefulProcessor=SectionChunker(), outputStructType=_CHUNKS, outputMode="append", timeMode="None")
+    else:
+        made = _dealt(rows, "document_id").mapInArrow(_chunked, _CHUNKS)
     return made.select(chunk_id(F.col("document_id"), F.col("page_number"), F.col("chunk_index")).alias("id"), "document_id", "page_number", "chunk_index", "content")
 
 
 class Buffer(StatefulProcessor):
     """Rows of a stream until they are a batch: as many rows or bytes as a batch may have, or until the first of them has waited."""
 
-    def __init__(self, most_rows: int, most_bytes: int, wait_ms: int | None) -> None:
+    def __init__(self, most_rows: int, most_bytes: int, wait_ms: int) -> None:
         self.most_rows, self.most_bytes, self.wait_ms = most_rows, most_bytes, wait_ms
 
     def init(self, handle) -> None:
@@ -155,19 +176,18 @@ class Buffer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch, n, size, due = self.counts.get() if self.counts.exists() else (0, 0, 2, -1)
         open_, before = (list(self.rows.get()) if n else []), batch
-        live = self.wait_ms is not None
-        for arrived in _in_order(rows, live):
-            for seq, row in zip(arrived["seq"], arrived["row"], strict=True):
-                own = len(row.encode()) + 1
-                if n and (n >= self.most_rows or size + own > self.most_bytes):
-                    yield self._frame(key, batch, open_)
-                    batch, n, size, open_ = batch + 1, 0, 2, []
-                open_.append((int(seq), row))
-                n, size = n + 1, size + own
-        if n >= self.most_rows or not live:  # full, or nothing follows
+        for arrived in _in_order(rows):
+            seq, row = arrived.seq, arrived.row
+            own = len(row.encode()) + 1
+            if n and (n >= self.most_rows or size + own > self.most_bytes):
+                yield self._frame(key, batch, open_)
+                batch, n, size, open_ = batch + 1, 0, 2, []
+            open_.append((int(seq), row))
+            n, size = n + 1, size + own
+        if n >= self.most_rows:
             yield self._frame(key, batch, open_)
             batch, n, size, open_ = batch + 1, 0, 2, []
-        if live and (batch != before or due < 0):  # the open batch has another first row
+        if batch != before or due < 0:  # the open batch has another first row
             if due >= 0:
                 self.handle.deleteTimer(due)
             due = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms if n else -1
@@ -190,16 +210,36 @@ class Buffer(StatefulProcessor):
         pass
 
 
+def _batched(most_rows: int, most_bytes: int):
+    """Rows of streams that follow each other, each with the number of its batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, n, size = [], 0, 0, 2
+        for part in batches:
+            numbers = []
+            for stream, length in zip(part.column("stream").to_pylist(), pc.binary_length(part.column("row")).to_pylist(), strict=True):
+                own = length + 1
+                if now != [stream]:
+                    now, number, n, size = [stream], 0, 0, 2
+                elif n >= most_rows or size + own > most_bytes:
+                    number, n, size = number + 1, 0, 2
+                n, size = n + 1, size + own
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([part.column("stream"), pa.array(numbers, pa.int64()), part.column("seq"), part.column("row")], names=["stream", "batch", "seq", "row"])
+
+    return run
+
+
+_BATCHES = "stream string, batch long, seq long, row string"
+
+
 def buffered(rows: DataFrame, stream: str, seq: str, row: str, most_rows: int = 100, most_bytes: int = 800_000, wait_ms: int = 1000) -> DataFrame:
     """(stream, batch, seq, row): rows in batches that are sent together.
 
     A batch ends before a row that would exceed either bound (a byte between two rows and two around them count, too), when it is full, or when its first row has waited ``wait_ms``: on a table the
     end of a stream closes its batch. State is the open batch. A key is one stream, as its batches follow each other.
     """
-    rows.sparkSession.streams.active  # noqa: B018
-    live = rows.isStreaming
     named = rows.select(F.col(stream).cast("string").alias("stream"), F.col(seq).cast("long").alias("seq"), F.coalesce(F.col(row), F.lit("")).alias("row"))
-    return _dealt(named, "stream").groupBy("stream").transformWithStateInPandas(
-        statefulProcessor=Buffer(most_rows, most_bytes, wait_ms if live else None), outputStructType="stream string, batch long, seq long, row string",
-        outputMode="append", timeMode="ProcessingTime" if live else "None",
-    )
+    if not rows.isStreaming:
+        return _dealt(named, "stream").mapInArrow(_batched(most_rows, most_bytes), _BATCHES)
+    return named.groupBy("stream").transformWithStateInPandas(statefulProcessor=Buffer(most_rows, most_bytes, wait_ms), outputStructType=_BATCHES, outputMode="append", timeMode="ProcessingTime")

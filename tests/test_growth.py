@@ -65,3 +65,13 @@ def test_places_and_fires_of_one_point_are_compared_once(spark, monkeypatch):
     fires = spark.range(70).select(F.lit(50.1).alias("lat"), F.lit(-120.0).alias("lng"), F.when(F.col("id") < 5, "Out").otherwise("Active").alias("status"), (F.col("id") % 7 == 0).alias("of_note"))
     got = {tuple(r)[1:] for r in geo.near(places, fires).collect()}
     assert got == {(65, 11.1, 9)} and compared.value <= 4
+
+
+def test_a_buffered_table_needs_no_state_store(spark):
+    rows = spark.range(200).select((F.col("id") % 3).alias("who"), "id", F.repeat(F.lit("é"), (F.col("id") % 9).cast("int")).alias("row"))
+    made = stateful.buffered(rows, "who", "id", "row", most_rows=4, most_bytes=30)
+    assert "TransformWithState" not in plan_of(made)
+    sizes = {}
+    for r in made.collect():
+        sizes.setdefault((r.stream, r.batch), []).append(len(r.row.encode()) + 1)
+    assert sum(map(len, sizes.values())) == 200 and all(len(x) <= 4 and (sum(x) + 2 <= 30 or len(x) == 1) for x in sizes.values())
