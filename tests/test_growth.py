@@ -75,3 +75,10 @@ def test_a_buffered_table_needs_no_state_store(spark):
     for r in made.collect():
         sizes.setdefault((r.stream, r.batch), []).append(len(r.row.encode()) + 1)
     assert sum(map(len, sizes.values())) == 200 and all(len(x) <= 4 and (sum(x) + 2 <= 30 or len(x) == 1) for x in sizes.values())
+
+
+def test_sections_of_a_table_need_no_state_store(spark):
+    rows = [(d, i, d * 900, i == 9) for d in "abc" for i in range(10)]
+    made = stateful.chunk_sections(spark.createDataFrame(rows, "document_id string, seq long, section string, last boolean"))
+    assert "TransformWithState" not in plan_of(made)
+    assert {(r.document_id, r.page_number) for r in made.collect()} == {(d, p) for d in "abc" for p in range(4)}
