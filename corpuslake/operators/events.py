@@ -21,8 +21,8 @@ def device_class(agent: Column) -> Column:
     return F.when(agent.rlike("(?i)mobile|android|iphone"), "mobile").otherwise("desktop")
 
 
-def hmac_sha256(key: Column, message: Column) -> Column:
-    """Hex digits of the keyed digest of bytes, composed of built-in functions; null where either is."""
+def _hmac_pads(key: Column) -> tuple[Column, Column]:
+    """The key's outer and inner block of a keyed digest."""
     short = F.when(F.length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key)
     block = F.rpad(F.hex(short), 128, "0")
 
@@ -30,23 +30,33 @@ def hmac_sha256(key: Column, message: Column) -> Column:
         byte = lambda i: F.conv(F.substr(block, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(with_))
         return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
 
-    made = F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message), 256))), 256)
-    return F.when(key.isNotNull() & message.isNotNull(), made)
+    return F.when(key.isNotNull(), pad(0x5C)), F.when(key.isNotNull(), pad(0x36))
+
+
+def _hmac_of(outer: Column, inner: Column, message: Column) -> Column:
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
+
+
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """Hex digits of the keyed digest of bytes, composed of built-in functions; null where either is."""
+    return _hmac_of(*_hmac_pads(key), message)
 
 
 def with_pseudonyms(events: DataFrame, salts: DataFrame, who: str = "user_id", ts: str = "ts") -> DataFrame:
     """``events`` with ``pseudonym``: 32 hex digits of the keyed digest of ``who`` under the salt in force.
 
     ``salts`` are (since, salt as bytes). A salt holds from its time to the next one, and not beyond its day: so no pseudonym outlives
-    a day, and a salt made anew within a day starts new ones. Without a salt in force it is null. Both sides meet by day, and salts are few a day.
+    a day, and a salt made anew within a day starts new ones. Without a salt in force it is null. Both sides meet by day, and salts are few a day:
+    they are broadcast with the blocks of their keyed digests, which are made once a salt.
     """
     next_ = F.lead("since").over(Window.partitionBy("day").orderBy("since"))
     own = salts.select(F.to_date("since").alias("day"), "since", "salt").withColumn("until", next_)
-    own = own.select(F.col("day").alias("__day"), F.col("since").alias("__since"), F.col("until").alias("__until"), F.col("salt").alias("__salt"))
+    outer, inner = _hmac_pads(F.col("salt"))
+    own = own.select(F.col("day").alias("__day"), F.col("since").alias("__since"), F.col("until").alias("__until"), outer.alias("__outer"), inner.alias("__inner"))
     at = F.col(ts)
     holds = (F.to_date(at) == F.col("__day")) & (at >= F.col("__since")) & (F.col("__until").isNull() | (at < F.col("__until")))
-    digest = F.substring(hmac_sha256(F.col("__salt"), F.col(who).cast("string").cast("binary")), 1, 32)
-    return events.join(own, holds, "left").withColumn("pseudonym", digest).drop("__day", "__since", "__until", "__salt")
+    digest = F.substring(_hmac_of(F.col("__outer"), F.col("__inner"), F.col(who).cast("string").cast("binary")), 1, 32)
+    return events.join(F.broadcast(own), holds, "left").withColumn("pseudonym", digest).drop("__day", "__since", "__until", "__outer", "__inner")
 
 
 def request_rows(requests: DataFrame) -> DataFrame:

@@ -82,3 +82,12 @@ def test_sections_of_a_table_need_no_state_store(spark):
     made = stateful.chunk_sections(spark.createDataFrame(rows, "document_id string, seq long, section string, last boolean"))
     assert "TransformWithState" not in plan_of(made)
     assert {(r.document_id, r.page_number) for r in made.collect()} == {(d, p) for d in "abc" for p in range(4)}
+
+
+def test_pads_of_a_salt_are_made_before_the_join(spark, never_broadcast):
+    rows = spark.createDataFrame([("2024-01-02 05:00:00", i) for i in range(5)] + [("2024-01-02 01:00:00", 9)], "at string, user_id long").withColumn("ts", F.to_timestamp("at"))
+    salts = spark.createDataFrame([("2024-01-02 03:00:00", b"x" * 70)], "at string, salt binary").select(F.to_timestamp("at").alias("since"), "salt")
+    made = events.with_pseudonyms(rows, salts)
+    key, plan = b"x" * 70, plan_of(made)
+    assert {r.user_id: r.pseudonym for r in made.collect()} == {9: None} | {i: hmac.new(key, str(i).encode(), hashlib.sha256).hexdigest()[:32] for i in range(5)}
+    assert "BroadcastHashJoin" in plan and plan.rindex("BroadcastHashJoin") < plan.index("rpad(")
