@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from corpuslake.sources.readers import spread
 # White space as the reference's language has it, and a placeholder that stands for an image.
 SPACES = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_LINE_ENDS = [0x0A, 0x0D, 0x2028, 0x2029]
 IMAGE = r"(?i)<!--\s*image\s*-->"
 
 
@@ -33,16 +35,31 @@ def _share(n: Column, of: Column) -> Column:
     return F.when(of > 0, _round(n / of)).otherwise(F.lit(0.0))
 
 
+def _longest_runs(texts: pd.Series) -> pd.Series:
+    """The longest run of at least four of a sign that ends no line, else 0."""
+    out = []
+    for text in texts:
+        signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.append(np.flatnonzero(signs[1:] != signs[:-1]), len(signs) - 1) if len(signs) else np.empty(0, np.int64)
+        sizes = np.diff(ends, prepend=-1)
+        sizes, own = sizes[sizes > 3], signs[ends[sizes > 3]]
+        out.append(max(sizes[~np.isin(own, _LINE_ENDS)].tolist(), default=0))
+    return pd.Series(out, dtype="int64")
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the quality measures of a text; all of it runs in the JVM, each class of signs in one pass without a pattern."""
+    """``docs`` with the quality measures of a text; classes of signs are counted in the JVM in one pass each without a pattern, runs of a sign in Arrow batches."""
     raw = F.coalesce(F.col(text), F.lit(""))
     without = lambda t, signs: F.translate(t, signs, "")
-    alnum = lambda t: F.regexp_replace(t, "[^A-Za-z0-9]", "")
     letters, digits = string.ascii_letters, string.digits
     printable = "".join(map(chr, range(0x20, 0x7F)))
     d = spread(docs).withColumns({"length": F.length(raw), "placeholders": F.regexp_count(raw, F.lit(IMAGE)), "__body": F.regexp_replace(raw, IMAGE, " ")})
     d = d.withColumns({"__dense": without(F.col("__body"), SPACES), "__tokens": F.filter(F.split("__body", f"{SPACE}+"), lambda t: t != ""), "__lines": F.filter(F.split("__body", "\n"), lambda x: without(x, SPACES) != "")})
-    d = d.withColumns({"__denom": F.greatest(F.length("__dense"), F.lit(1)), "__plain": F.transform("__tokens", alnum), "__trimmed": F.length(F.trim("__body", F.lit(SPACES)))})
+    # Signs of the text that are neither letters nor digits, each once: tokens are rid of them without a pattern.
+    d = d.withColumns({"__odd": without(F.col("__dense"), letters + digits), "__letters": F.length("__dense") - F.length(without(F.col("__dense"), letters))})
+    d = d.withColumn("__signs", F.array_join(F.array_distinct(F.split("__odd", "")), ""))
+    plain = F.when(F.col("__signs") == "", F.col("__tokens")).otherwise(F.transform("__tokens", lambda t: F.call_function("translate", t, F.col("__signs"), F.lit(""))))
+    d = d.withColumns({"__denom": F.greatest(F.length("__dense"), F.lit(1)), "__plain": plain, "__trimmed": F.length(F.trim("__body", F.lit(SPACES)))})
     d = d.withColumn("__words", F.filter("__plain", lambda w: (F.length(w) >= 3) & (without(w, digits) == w)))
     # A number counts with the blanks around it, so two neighbours need a blank each.
     numeric = lambda x: F.regexp_count(F.regexp_replace(x, f"({SPACE})", "$1$1"), F.lit(rf"(^|{SPACE})-?[0-9]+(\.[0-9]+)?({SPACE}|$)"))
@@ -50,13 +67,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     digital = lambda x: F.length(x) - F.length(without(x, digits)) >= 3
     rows = F.size(F.filter("__lines", lambda x: bars(x) >= 2)) + F.size(F.filter("__lines", lambda x: F.when(digital(x), numeric(x) >= 3).otherwise(False)))
     n, dense = F.size("__tokens"), F.length("__dense")
-    runs = F.transform(F.regexp_extract_all("__body", F.lit(r"(([^\n\r\u2028\u2029])\2{3,})"), F.lit(1)), F.length)
     d = d.withColumns(
         {
             "placeholder_ratio": _share(F.col("length") - F.col("__trimmed"), F.col("length")),
-            "alpha_ratio": _round((dense - F.length(without(F.col("__dense"), letters))) / F.col("__denom")),
-            "digit_ratio": _round((dense - F.length(without(F.col("__dense"), digits))) / F.col("__denom")),
-            "non_ascii_ratio": _round(F.length(without(F.col("__dense"), printable)) / F.col("__denom")),
+            "alpha_ratio": _round(F.col("__letters") / F.col("__denom")),
+            "digit_ratio": _round((dense - F.length("__odd") - F.col("__letters")) / F.col("__denom")),
+            "non_ascii_ratio": _round(F.length(without(F.col("__odd"), printable)) / F.col("__denom")),
             "token_count": n.cast("long"),
             "word_count": F.size("__words").cast("long"),
             "tabular": (F.size("__lines") > 0) & (rows * 2 >= F.size("__lines")),
@@ -64,10 +80,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "short_token_ratio": _share(F.size(F.filter("__plain", lambda t: F.length(t) <= 2)), n),
             "vowelless_ratio": _share(F.size(F.filter("__words", lambda w: without(w, "aeiouyAEIOUY") == w)), F.size("__words")),
             "separator_ratio": _round(F.length(F.array_join(F.regexp_extract_all("__body", F.lit(r"[.\-_=·•*]{4,}"), F.lit(0)), "")) / F.col("__denom")),
-            "max_repeat": F.coalesce(F.array_max(runs), F.lit(0)).cast("long"),
+            "max_repeat": F.pandas_udf(_longest_runs, "long")("__body"),
         }
     )
-    return d.drop("__body", "__dense", "__tokens", "__lines", "__denom", "__trimmed", "__plain", "__words")
+    return d.drop("__body", "__dense", "__tokens", "__lines", "__denom", "__trimmed", "__odd", "__letters", "__signs", "__plain", "__words")
 
 
 def _named(tests: list[tuple[str, Column]]) -> Column:

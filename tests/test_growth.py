@@ -8,7 +8,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslake.operators import events, geo, inverted, search
+from corpuslake.operators import events, geo, inverted, search, text
 from corpuslake.operators.inverted import TextIndex
 from corpuslake.streaming import stateful
 
@@ -91,3 +91,12 @@ def test_pads_of_a_salt_are_made_before_the_join(spark, never_broadcast):
     key, plan = b"x" * 70, plan_of(made)
     assert {r.user_id: r.pseudonym for r in made.collect()} == {9: None} | {i: hmac.new(key, str(i).encode(), hashlib.sha256).hexdigest()[:32] for i in range(5)}
     assert "BroadcastHashJoin" in plan and plan.rindex("BroadcastHashJoin") < plan.index("rpad(")
+
+
+def test_tokens_are_stripped_and_runs_found_without_a_pattern(spark):
+    rows = [(0, "a-b 😀😀😀😀😀 -- x.y.z 'tis 12,5\n\n\n\n\n\u2028\u2028\u2028\u2028\u2028"), (1, None), (2, ""), (3, "aaa=== ·····é·"), (4, "ébcd éé1 ---"), (5, "plain words only")]
+    made = text.measure(spark.createDataFrame(rows, "i int, text string").repartition(1))
+    got = {r.i: (r.max_repeat, r.word_count, r.short_token_ratio, r.non_ascii_ratio, r.digit_ratio) for r in made.collect()}
+    assert got == {0: (5, 2, 0.5, 0.217, 0.13), 1: (0, 0, 0.0, 0.0, 0.0), 2: (0, 0, 0.0, 0.0, 0.0), 3: (5, 1, 0.5, 0.538, 0.0), 4: (0, 1, 0.667, 0.3, 0.1), 5: (0, 3, 0.0, 0.0, 0.0)}
+    plan = plan_of(made)
+    assert "[^A-Za-z0-9]" not in plan and "{3,})" not in plan
