@@ -96,7 +96,8 @@ class TextIndex:
     def _post(self, rows: DataFrame, batch: int, kind: str) -> None:
         """Rows by bucket and slice, and the lengths and the vocabulary that they make; the more partitions a shuffle has, the more slices, so that they fill evenly."""
         slices = max(self.slices, 8 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(slices)))
+        # Rebalanced, so that a task sorts what the advisory size of a partition allows, however large the input is: larger sorts would spill all their rows.
+        dealt = rows.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices))).hint("rebalance", "bucket", "slice").drop("slice")
         self._write(dealt.sortWithinPartitions("bucket", "term"), "postings", batch, ["bucket"])
         lengths = self._stored(kind).filter((F.col("batch") == batch) & (F.col("bucket") == _LENGTHS))
         self._write(lengths.select("key", "field", "len"), "lengths", batch)

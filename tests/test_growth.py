@@ -100,3 +100,18 @@ def test_tokens_are_stripped_and_runs_found_without_a_pattern(spark):
     assert got == {0: (5, 2, 0.5, 0.217, 0.13), 1: (0, 0, 0.0, 0.0, 0.0), 2: (0, 0, 0.0, 0.0, 0.0), 3: (5, 1, 0.5, 0.538, 0.0), 4: (0, 1, 0.667, 0.3, 0.1), 5: (0, 3, 0.0, 0.0, 0.0)}
     plan = plan_of(made)
     assert "[^A-Za-z0-9]" not in plan and "{3,})" not in plan
+
+
+def test_sorts_of_postings_stay_small_however_few_partitions_are_set(spark, tmp_path):
+    settings = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = spark.range(4000).select("id", F.concat_ws(" ", *(F.sha2((F.col("id") * 8 + i).cast("string"), 256) for i in range(8))).alias("text")).repartition(8)
+        index = TextIndex(spark, str(tmp_path / "i"), buckets=2).add(docs, "id", ["text"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = index.postings().groupBy("bucket", F.input_file_name()).count().groupBy("bucket").agg(F.count("*").alias("files"), F.sum("count").alias("n")).collect()
+    assert sum(r.n for r in files) == 32_000 and all(r.files >= 8 for r in files)
