@@ -32,7 +32,7 @@ def _stripped(text: Column) -> Column:
 
 def cleaned(section: Column) -> Column:
     """A section without placeholders and superfluous blanks."""
-    out = F.regexp_replace(F.regexp_replace(section, _IMAGE, " "), r"[ \t]+", " ")
+    out = F.regexp_replace(F.regexp_replace(section, _IMAGE, " "), r"[ \t]{2,}|\t", " ")  # a single blank stays as it is
     return _stripped(F.regexp_replace(out, r"\n[ \t]*\n[ \t]*\n+", "\n\n"))
 
 

@@ -15,8 +15,10 @@ from corpuslake.streaming import stateful
 def chk_04_section_stream(spark: SparkSession, d: str) -> DataFrame:
     """Every document fed line by line through the incremental chunker: the chunks of chk_01."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    lines = docs.select(F.col("doc_id").alias("document_id"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")), (F.length("text") - F.length(F.replace("text", F.lit("\n")))).alias("breaks"))
-    return stateful.chunk_sections(lines.select("document_id", F.col("pos").alias("seq"), F.col("col").alias("section"), (F.col("pos") == F.col("breaks")).alias("last")))
+    lines = docs.select(F.col("doc_id").alias("document_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    # A column of its own below the explosion: else every line would carry its whole document to find whether it is the last one.
+    lines = lines.select("document_id", F.size("lines").alias("n"), "lines").select("document_id", "n", F.posexplode("lines"))
+    return stateful.chunk_sections(lines.select("document_id", F.col("pos").alias("seq"), F.col("col").alias("section"), (F.col("pos") == F.col("n") - 1).alias("last")))
 
 
 @query("""WITH RECURSIVE r AS (SELECT user_id, event_id, length(event_type || ':' || user_id) + 1 AS own, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),

@@ -147,9 +147,10 @@ def chunk_sections(sections: DataFrame) -> DataFrame:
     be blank, null or hold blank lines itself.
     """
     whole = sections.select(F.col("document_id").cast("string").alias("document_id"), F.col("seq").cast("long").alias("seq"), "section", F.coalesce("last", F.lit(False)).alias("last"))
-    parts = F.split(F.coalesce("section", F.lit("")), "\n{2,}")
+    whole = whole.select("document_id", "seq", "last", F.split(F.coalesce("section", F.lit("")), "\n{2,}").alias("parts"))
     at = F.struct(F.col("pos"), F.col("col"))
-    cut = whole.select("document_id", "seq", "last", F.size(parts).alias("n"), F.posexplode(parts)).select("document_id", "seq", "last", "n", at.alias("part"))
+    cut = whole.select("document_id", "seq", "last", F.size("parts").alias("n"), "parts")  # below the explosion, so that no part carries its whole section
+    cut = cut.select("document_id", "seq", "last", "n", F.posexplode("parts")).select("document_id", "seq", "last", "n", at.alias("part"))
     # A section of several blocks: its parts come after one another, and the last one carries the end.
     rows = cut.select("document_id", (F.col("seq") * (1 << 20) + F.col("part.pos")).alias("seq"), cleaned(F.col("part.col")).alias("section"), (F.col("last") & (F.col("part.pos") == F.col("n") - 1)).alias("last"))
     if rows.isStreaming:

@@ -4,11 +4,12 @@ import contextlib
 import hashlib
 import hmac
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslake.operators import events, geo, inverted, search, text
+from corpuslake.operators import chunk, events, geo, inverted, search, text
 from corpuslake.operators.inverted import TextIndex
 from corpuslake.streaming import stateful
 
@@ -115,3 +116,20 @@ def test_sorts_of_postings_stay_small_however_few_partitions_are_set(spark, tmp_
             spark.conf.set(k, v)
     files = index.postings().groupBy("bucket", F.input_file_name()).count().groupBy("bucket").agg(F.count("*").alias("files"), F.sum("count").alias("n")).collect()
     assert sum(r.n for r in files) == 32_000 and all(r.files >= 8 for r in files)
+
+
+def test_exploded_lines_do_not_carry_their_document(spark, sf_dir):
+    from corpuslake.plans.states import chk_04_section_stream
+
+    plan = plan_of(chk_04_section_stream(spark, sf_dir))
+    kept = re.findall(r"Generate posexplode\(\w+#\d+\), \[([^\]]*)\]", plan)
+    assert len(kept) == 2 and not any(re.search("text|lines|parts|section", k) for k in kept)
+
+
+def test_blanks_of_a_section_are_cleaned_as_before(spark):
+    texts = ["a b", "a  b", "a\tb", "\t a \t\tb ", "a \t", " ", "a\n \n\t\n b", "x <!-- image -->  y", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    pattern = r"[ \t]+"
+    plain = F.regexp_replace(F.regexp_replace("t", r"(?i)<!--\s*image\s*-->", " "), pattern, " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\n[ \t]*\n[ \t]*\n+", "\n\n"), r"(?U)^\s+|\s+$", "")
+    assert all(r.a == r.b for r in rows.select(chunk.cleaned(F.col("t")).alias("a"), plain.alias("b")).collect())
