@@ -3,19 +3,22 @@
 Every round is an aggregation and a join on node ids, so a node with very many
 neighbours is pre-aggregated for its smallest neighbour and its partition of the
 join can be split. The edges of each round are a work table: rounds do not grow
-the lineage, a round's table goes when the next one is written, and nothing but a count and a checksum reaches the driver.
+the lineage, a round's table goes when the next one is written, and nothing but a count and a checksum, observed as it is written, reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import discard, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """``edges`` as a work table, with its count and checksum."""
+    state = Observation()
+    edges = written(edges.observe(state, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("checksum")), "edges")
+    return edges, state.get
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,12 +39,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns a and b; loops and repeated edges change nothing.
     """
-    edges = written(edges.select("a", "b").filter("a != b").distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
-        old, edges = edges, written(_small_star(_large_star(edges)), "edges")
+    edges, state = _written(edges.select("a", "b").filter("a != b").distinct())
+    while state["n"]:
+        old, before = edges, state
+        edges, state = _written(_small_star(_large_star(edges)))
         discard(old)
-        before, state = state, _state(edges)
         if before == state:
             break
     return edges.toDF("id", "component")

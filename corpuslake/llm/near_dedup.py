@@ -11,7 +11,7 @@ Equal sets form a class with one representative. Bands of equal coordinates put
 representatives into buckets; with 6 rows and 40 bands a pair at J = 0.8 misses
 all buckets with probability 5e-6. Links are found without the pairs of a bucket:
 
-1. star rounds: each member is compared with one member of its bucket that lies in
+1. star rounds: each member is compared with one member of its bucket, then with further ones that lie in
    another component; links merge components;
 2. cross round: where members of one bucket still lie in different components, they are compared
    across components if they have one of their rarest shingles in common: sets with J >= t share a shingle among the first
@@ -24,7 +24,8 @@ all buckets with probability 5e-6. Links are found without the pairs of a bucket
 
 Every link is confirmed on the full sets. Components come from
 ``connected_components``; every loop writes work tables, and nothing of the
-documents reaches the driver.
+documents reaches the driver. The sets of all bucket members are one work table, made once, and whether there are
+links is observed as they are written: each job and plan costs the driver memory.
 
 Nulls and odd input: null, empty or blank texts have no shingle and are alone. A
 text with fewer words than a shingle is one shingle. Rows without doc_id are left
@@ -35,10 +36,11 @@ An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import WordHashes, discard, gram_starts, hashed_words, mix, ngram_hashes, one_row_each, row_slices, semi_by_size, written
@@ -140,8 +142,8 @@ def _rarest(percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            ids, n, tokens, bits, before, at = [], [], [], [], [], []
-            for id_, grams in zip(batch.column("id").to_pylist(), batch.column("grams"), strict=True):
+            ids, comps, n, tokens, bits, before, at = [], [], [], [], [], [], []
+            for id_, comp, grams in zip(batch.column("id").to_pylist(), batch.column("comp").to_pylist(), batch.column("grams"), strict=True):
                 g = grams.values.to_numpy(zero_copy_only=False)
                 first = len(g) - -(-len(g) * percent // 100) + 1
                 order = np.lexsort((g, counts[g & (len(counts) - 1)]))[:first]
@@ -149,14 +151,15 @@ def _rarest(percent: int, shared):
                 at.append(np.arange(len(order)))
                 before += [g[order[max(0, i - _BEFORE) : i]] for i in range(len(order))]
                 ids.append(np.full(len(order), id_))
+                comps.append(np.full(len(order), comp))
                 n.append(np.full(len(order), len(g)))
                 odd = np.bincount((g >> 32) & (64 * _BITS - 1), minlength=64 * _BITS).astype(np.uint8) & 1
                 bits.append(np.broadcast_to(np.packbits(odd).view(np.int64), (len(order), _BITS)))
             if ids:
-                columns = [np.concatenate(x) for x in (tokens, ids, n, at)] + list(np.concatenate(bits).T)
+                columns = [np.concatenate(x) for x in (tokens, ids, comps, n, at)] + list(np.concatenate(bits).T)
                 offsets = np.cumsum([0, *map(len, before)], dtype=np.int32)
                 before = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(before)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), before], names=["key", "rep", "n", "at", *_bits("x"), "before"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), before], names=["key", "rep", "comp", "n", "at", *_bits("x"), "before"])
 
     return run
 
@@ -167,22 +170,15 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return written(sets.dropDuplicates(["id"]), "sets")
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with linked: 100 * intersection >= percent * union of the full sets."""
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """pairs (a, b) with linked: 100 * intersection >= percent * union of the full sets; and how many are."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return written(both.select("a", "b", (common * 100 >= union * percent).alias("linked")), "verified")
-
-
-def _compared(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    sets = _sets_of(docs, ids, size)
-    out = _verified(sets, pairs, percent)
-    discard(pairs, sets)
-    return out
+    seen = Observation()
+    out = both.select("a", "b", (common * 100 >= union * percent).alias("linked")).observe(seen, F.count_if("linked").alias("links"))
+    return written(out, "verified"), seen.get["links"]
 
 
 def _close(percent: int):
@@ -199,10 +195,10 @@ def _pairs(both: DataFrame, percent: int) -> DataFrame:
     return both.filter(_close(percent)).select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct()
 
 
-def _star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member with its bucket's hub (another one each turn), unless they are joined already."""
-    hub = F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", F.lit(turn)))
-    hubs = members.groupBy("key").agg(hub.alias("hub"))
+def _star_pairs(members: DataFrame, turns: range, percent: int) -> DataFrame:
+    """Each member with its bucket's hubs (another one each turn), unless they are joined already."""
+    hubs = F.array(*(F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", F.lit(turn))) for turn in turns))
+    hubs = members.groupBy("key").agg(hubs.alias("hubs")).select("key", F.explode(F.array_distinct("hubs")).alias("hub"))
     hubs = hubs.select("key", F.col("hub.rep").alias("o"), F.col("hub.n").alias("m"), F.col("hub.comp").alias("other"))
     return _pairs(members.join(hubs, "key").filter("comp != other"), percent)
 
@@ -212,24 +208,24 @@ def _several(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
 
 
-def _rest(docs: DataFrame, buckets: DataFrame, labels: DataFrame, done: DataFrame, size: int, percent: int, cells: int = 1 << 20) -> DataFrame:
-    """Comparisons that are left after the star rounds, each pair once."""
+def _rest(sets: DataFrame, buckets: DataFrame, labels: DataFrame, done: DataFrame, percent: int, cells: int = 1 << 20) -> tuple[DataFrame, int]:
+    """Comparisons that are left after the star rounds, each pair once; and how many are links."""
     members = _members(buckets, labels)
-    open_ = members.join(_several(members), "key", "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = _sets_of(docs, open_, size)
-    cell = F.col("gram").bitwiseAND(F.lit(cells - 1))
-    counted = sets.select(F.explode("grams").alias("gram")).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    counts = np.zeros(cells, np.int64)
-    found = counted.toArrow()  # one row a cell: at most `cells`, whatever the input
+    open_ = written(members.join(_several(members), "key", "left_semi").select(F.col("rep").alias("id"), "comp").distinct(), "open")
+    apart = sets.join(open_, "id")
+    cell = F.col("gram").bitwiseAND(F.lit(cells - 1)).cast("int")
+    counted = apart.select(F.explode("grams").alias("gram")).groupBy(cell.alias("cell")).agg(F.least(F.count("*"), F.lit(32767)).cast("smallint").alias("n"))
+    counts = np.zeros(cells, np.int16)
+    found = counted.toArrow()  # one row of six bytes a cell: at most `cells`, whatever the input
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = "key long, rep long, n long, at long, " + ", ".join(f"{c} long" for c in _bits("x")) + ", before array<long>"
-    rare = sets.mapInArrow(_rarest(percent, shared), schema)
-    members = _members(rare, labels)
-    members = written(members.join(_several(members), "key", "left_semi"), "members")
-    pairs = written(_cross_pairs(members, percent).join(done, ["a", "b"], "left_anti"), "pairs")
-    out = _verified(sets, pairs, percent)
-    discard(members, pairs, sets)
+    del found
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    schema = "key long, rep long, comp long, n long, at long, " + ", ".join(f"{c} long" for c in _bits("x")) + ", before array<long>"
+    rare = apart.select("id", "comp", "grams").mapInArrow(_rarest(percent, shared), schema)
+    members = written(rare.join(_several(rare), "key", "left_semi"), "members")
+    shared.destroy()
+    out = _verified(sets, _cross_pairs(members, percent).join(done, ["a", "b"], "left_anti"), percent)
+    discard(members, open_)
     return out
 
 
@@ -255,12 +251,12 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     return met.select("rep", "n", "o", "m").transform(_pairs, percent)
 
 
-def _joined(done: DataFrame, found: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All comparisons so far, and the components with the new links."""
-    linked = found.filter("linked").select("a", "b")
-    if not linked.isEmpty():
-        labels = connected_components(linked.union(labels.select("id", "component")))
-    return done.unionByName(found), labels
+def _round(found: DataFrame, links: int, founds: list[DataFrame], labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components with the links of ``found``, and all comparisons so far: ``founds``, to which it is added."""
+    founds.append(found)
+    if links:
+        labels = connected_components(found.filter("linked").select("a", "b").union(labels.select("id", "component")))
+    return labels, reduce(DataFrame.unionByName, founds)
 
 
 def near_duplicates(
@@ -278,18 +274,14 @@ def near_duplicates(
     shared = spread.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     buckets = written(spread.join(shared, "key"), "buckets")
 
-    found = _compared(docs, _star_pairs(buckets.withColumn("comp", F.col("rep")), 0, percent), size, percent)
-    founds, done, labels = [found], found, connected_components(found.filter("linked").select("a", "b"))
-    for i in range(1, star_rounds):
-        if found.filter("linked").isEmpty():
-            break
-        pairs = _star_pairs(_members(buckets, labels), i, percent).join(done, ["a", "b"], "left_anti")
-        found = _compared(docs, pairs, size, percent)
-        founds.append(found)
-        done, labels = _joined(done, found, labels)
-    found = _rest(docs, buckets, labels, done, size, percent)
-    _, labels = _joined(done, found, labels)
-    discard(buckets, found, *founds)
+    sets = _sets_of(docs, buckets.select(F.col("rep").alias("doc_id")), size)
+    done, links = _verified(sets, _star_pairs(buckets.withColumn("comp", F.col("rep")), range(1), percent), percent)
+    founds, labels = [done], connected_components(done.filter("linked").select("a", "b"))
+    if links and star_rounds > 1:
+        pairs = _star_pairs(_members(buckets, labels), range(1, star_rounds), percent).join(done, ["a", "b"], "left_anti")
+        labels, done = _round(*_verified(sets, pairs, percent), founds, labels)
+    labels, _ = _round(*_rest(sets, buckets, labels, done, percent), founds, labels)
+    discard(buckets, sets, *founds)
     return _labelled(entries, classes, labels)
 
 
