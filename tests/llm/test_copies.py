@@ -84,6 +84,16 @@ def test_near_copies_of_odd_input(spark):
     assert {(r["doc_id"], r["component_id"], r["n_shingles"]) for r in got if r["doc_id"] != 1} == {(2, 2, 0), (3, 3, 0)}
 
 
+def test_sets_of_near_copies_are_made_once(spark, monkeypatch):
+    """All rounds compare the same sets, each in one table: every job costs the driver memory."""
+    names, real = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: names.append(name) or real(df, name))
+    rows = near_fixture(11)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), size=4).collect()
+    assert names.count("sets") == 1 and names.count("verified") == 3 and len(names) <= 10
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(rows, 4, 80)
+
+
 def test_a_long_chain_is_one_component(spark):
     edges = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     got = connected_components(edges.union(spark.createDataFrame([(1000, 1001), (7, 7)], "a long, b long"))).collect()
