@@ -17,7 +17,7 @@ Characters without piece become the pieces of their UTF-8 bytes.
 The most frequent units, ``vocabulary`` at most, are encoded once and broadcast in flat arrays (25 bytes each).
 Documents become the codes of their units in it, and each unit without code is a hole: a row
 of its own, which is dealt with its document by the document's key and encoded there by the same lattice. So
-texts are cut twice (to count, to code) and shuffled once, as codes of two bytes a unit, and no number
+texts are cut twice (to count, to code; mostly at their spaces alone) and shuffled once, as codes of two bytes a unit, and no number
 of rare units reaches the driver. The size of the vocabulary changes no result.
 Units of over 60 characters, which the bits of a long can't hold, are folded by the same
 rule in a Python helper where they occur.
@@ -64,8 +64,24 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _cuts(pairs: set[str]) -> str:
-    """A pattern of the units, from all neighbours within pieces: never is one cut apart."""
+#: Stands before a unit's key where the unit has no leading space.
+_BARE = "\0"
+
+
+def _key(unit: str) -> str:
+    """A unit with plain spaces as it is looked up: without its first space."""
+    return unit[1:] if unit[:1] == " " and unit[1:2] != _BARE else _BARE + unit
+
+
+def _units(keys: pa.Array) -> pa.Array:
+    """The units of many keys."""
+    units = pc.if_else(pc.starts_with(keys, _BARE), pc.utf8_slice_codeunits(keys, 1), pc.binary_join_element_wise(" ", keys, ""))
+    return pc.replace_substring(units, " ", SPACE)
+
+
+def _cuts(pairs: set[str]) -> tuple[str, set[str], bool]:
+    """A pattern of the units, from all neighbours within pieces: never is one cut apart. Then the signs
+    that it cuts at, and whether it cuts at line ends."""
     if any(y == SPACE != x for x, y in pairs):
         raise ValueError("a piece holds a space after another sign")
     signs = {c for pair in pairs for c in pair if not c.isalnum()} - {SPACE}
@@ -76,7 +92,7 @@ def _cuts(pairs: set[str]) -> str:
     sign = "".join(map(re.escape, sorted(signs)))
     plain = f"[^{SPACE}{line}{sign}]"
     rest = f"|{SPACE}*[{sign}]+{plain}*" if sign else ""
-    return f"{SPACE}*{plain}+{rest}|{SPACE}+" + (f"|{line}" if line else "")
+    return f"{SPACE}*{plain}+{rest}|{SPACE}+" + (f"|{line}" if line else ""), signs, bool(line)
 
 
 class PieceTable:
@@ -87,7 +103,10 @@ class PieceTable:
         self.index = {p: (i, s) for i, p, s in rows}
         self.longest = max((len(p) for _, p, _ in rows), default=1)
         # Texts are cut with their own spaces: as ASCII they are scanned and hashed faster, and kept in half the memory.
-        self.units = re.compile(_cuts({p[i : i + 2] for _, p, _ in rows for i in range(len(p) - 1)}).replace(SPACE, " ")).findall
+        pattern, signs, self.lines = _cuts({p[i : i + 2] for _, p, _ in rows for i in range(len(p) - 1)})
+        self.units = re.compile(pattern.replace(SPACE, " ")).findall
+        self.signed = re.compile("[" + "".join(map(re.escape, sorted(signs))) + "]").search if signs else None
+        self.ascii_signs = any(c.isascii() for c in signs)
 
     @classmethod
     def read(cls, path: str, kind: str = "bpe") -> PieceTable:
@@ -104,6 +123,36 @@ class PieceTable:
         """The units of a text in order, with plain spaces."""
         return self.units(" " + text.replace(SPACE, " ")) if text else []
 
+    def keys(self, text: str | None) -> list[str]:
+        """The keys of the units of a text in order. Where no sign cuts a word and spaces are single, these are what stands between the spaces."""
+        if not text:
+            return []
+        plain = text.replace(SPACE, " ")
+        if _BARE not in plain and plain[0] != " " and (self.signed is None or plain.isascii() and not self.ascii_signs or not self.signed(plain)):
+            if self.lines and "\n" in plain:
+                plain = plain.replace("\n", f" {_BARE}\n {_BARE}")
+            if "  " not in plain:
+                keys = plain.split(" ")
+                return [k for k in keys if k != _BARE] if f"{_BARE} " in plain or plain[-1] == _BARE else keys
+        return [_key(u) for u in self.spaced(text)]
+
+    def split(self, texts: pa.Array) -> tuple[pa.Array, list[str | None]]:
+        """The keys of all texts that ``keys`` splits at their spaces, and the other texts."""
+        plain = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
+        odd = pc.or_(pc.match_substring(plain, _BARE), pc.or_(pc.starts_with(plain, " "), pc.equal(pc.binary_length(plain), 0)))
+        if self.signed is not None:
+            signed = np.zeros(len(plain), bool)
+            there = np.arange(len(plain)) if self.ascii_signs else np.flatnonzero(~np.asarray(pc.string_is_ascii(plain)))
+            signed[there] = [self.signed(t) is not None for t in plain.take(pa.array(there)).to_pylist()]
+            odd = pc.or_(odd, pa.array(signed))
+        if self.lines:
+            plain = pc.replace_substring(plain, "\n", f" {_BARE}\n {_BARE}")
+        odd = pc.or_(odd, pc.match_substring(plain, "  "))
+        keys = pc.split_pattern(plain.filter(pc.invert(odd)), " ").flatten()
+        if self.lines:
+            keys = keys.filter(pc.not_equal(keys, _BARE))
+        return keys, texts.filter(odd).to_pylist()
+
     def cut(self, text: str | None) -> list[str]:
         """The units of a text in order."""
         return [u.replace(" ", SPACE) for u in self.spaced(text)]
@@ -132,22 +181,27 @@ class PieceTable:
 
 
 def _count_units(table: PieceTable):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def counts(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("key").aggregate([("n", "sum")]).rename_columns(["key", "n"])
 
-        def flush() -> pa.RecordBatch:
-            units, n = pa.array([u.replace(" ", SPACE) for u in seen], pa.string()), pa.array(list(seen.values()), pa.int64())
-            seen.clear()
-            counted = pa.RecordBatch.from_arrays([units, n], names=["unit", "n"])
-            return counted.filter(pc.less_equal(pc.utf8_length(units), LONGEST))
+    def flushed(counted: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in counted.to_batches():
+            units = _units(batch.column("key"))
+            yield pa.RecordBatch.from_arrays([units, batch.column("n")], names=["unit", "n"]).filter(pc.less_equal(pc.utf8_length(units), LONGEST))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for part in row_slices(batches):
-            for text in part.column("text").to_pylist():
-                seen.update(table.spaced(text))
-            if len(seen) >= 6 * _UNITS:
-                yield flush()
-        if seen:
-            yield flush()
+            keys, rest = table.split(part.column("text"))
+            for own in (keys, pa.array(chain.from_iterable(map(table.keys, rest)), pa.string())):
+                found = own.value_counts()
+                held.append(pa.table({"key": found.field("values"), "n": found.field("counts")}))
+            if sum(map(len, held)) >= 12 * _UNITS:
+                held = [counts(held)]
+                if len(held[0]) >= 6 * _UNITS:
+                    yield from flushed(held.pop())
+        if held:
+            yield from flushed(counts(held))
 
     return run
 
@@ -349,7 +403,7 @@ class Vocabulary:
 
 
 class _Known(dict):
-    """Unit, with plain spaces, to code + 1; units that are met for the first time get a place in ``new`` instead (-1, -2, ...)."""
+    """A unit's key to code + 1; units that are met for the first time get a place in ``new`` instead (-1, -2, ...)."""
 
     def __init__(self):
         self.new: list[str] = []
@@ -364,7 +418,7 @@ class _Known(dict):
             self.clear()
         out = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
         if self.new:
-            found = vocabulary.find([u.replace(" ", SPACE) for u in self.new])
+            found = vocabulary.find(_units(pa.array(self.new, pa.string())).to_pylist())
             first = out < 0
             out[first] = found[-out[first] - 1]
             for unit, code in zip(self.new, found.tolist(), strict=True):  # units without code are rare: they are not kept
@@ -429,13 +483,13 @@ def _coded(table: PieceTable, shared, schema: pa.Schema):
             if len(copies) < len(keys):
                 part = part.take(pa.array(sorted({k: i for i, k in reversed(list(enumerate(keys)))}.values())))
                 keys = list(zip(part.column("__k1").to_pylist(), part.column("__k2").to_pylist(), strict=True))
-            cut = [table.spaced(t) for t in part.column("__text").to_pylist()]
+            cut = [table.keys(t) for t in part.column("__text").to_pylist()]
             lens = np.fromiter(map(len, cut), np.int64, len(cut))
             codes = known.codes(list(chain.from_iterable(cut)), vocabulary)
             holes = np.flatnonzero(codes == 0)
             rows = np.searchsorted(np.cumsum(lens), holes, "right")
             ats = holes - (np.cumsum(lens) - lens)[rows]
-            units = [cut[row][at].replace(" ", SPACE) for row, at in zip(rows.tolist(), ats.tolist(), strict=True)]
+            units = _units(pa.array([cut[row][at] for row, at in zip(rows.tolist(), ats.tolist(), strict=True)], pa.string())).to_pylist()
             n = part.num_rows
             body = {"__at": pa.array(np.full(n, -1, np.int32)), "__codes": pa.array(_varints(codes, lens), pa.binary()), "__n": pa.array([copies[k] for k in keys], pa.int64())}
             body |= {c: part.column(c) for c in ("__k1", "__k2", *passed)}

@@ -4,8 +4,10 @@ import html
 import itertools
 import random
 import re
+from collections import Counter
 
 import brute
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuslake.llm import decontamination
 from corpuslake.llm.decontamination import MASKS, contaminations, decontaminate
 from corpuslake.llm.html_text import _strip, extract_text, main_text
-from corpuslake.llm.sentencepiece_lattice import PieceTable, decode, default_model, encode, encode_units, merge
+from corpuslake.llm.sentencepiece_lattice import LONGEST, PieceTable, _count_units, _units, decode, default_model, encode, encode_units, merge
 
 SCHEMA = "doc_id long, text string"
 LONG = "This paragraph belongs to the article and is long enough to make the sum of its window surge over the limit."
@@ -288,3 +290,24 @@ def test_the_fold_equals_the_helper(spark, table):
     units = sorted({"▁" + "".join(draw.choice("aeinrst") for _ in range(draw.randrange(1, 20))) for _ in range(80)} | {"▁" + "ab" * 28, "▁(", "é", "🙂a"})
     got = {r["unit"]: list(r["ids"]) for r in encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), table).collect()}
     assert got == {u: merge(u, table) for u in units}
+
+
+@pytest.mark.parametrize("pieces", [None, ["a", "\u2581a"], ["a\n", "a."], ["-.", "]]", "\\\\", "a"]])
+def test_texts_split_at_their_spaces_have_the_units_of_the_pattern(pieces):
+    table = PieceTable([(i, p, -float(i)) for i, p in enumerate(pieces)], {}) if pieces else PieceTable.read(default_model())
+    draw = random.Random(2)
+    texts = ["".join(draw.choice(" \n\0\u2581a.\u00e9\u2013\u00a3\t\r-]\\b ") for _ in range(draw.randrange(14))) for _ in range(3000)] + [None, "", "a" * 100]
+    assert [_units(pa.array(table.keys(t), pa.string())).to_pylist() for t in texts] == [table.cut(t) for t in texts]
+    got: Counter = Counter()
+    for batch in _count_units(table)(iter([pa.record_batch({"text": pa.array(texts, pa.string())})])):
+        got.update(dict(zip(batch.column("unit").to_pylist(), batch.column("n").to_pylist(), strict=True)))
+    assert got == Counter(u for t in texts for u in table.cut(t) if len(u) <= LONGEST)
+
+
+def test_plain_texts_are_cut_without_the_pattern():
+    table = PieceTable.read(default_model())
+    table.units = None
+    texts = ["one two, three.\n\nfour \u00e9t\u00e9 five\n", "\u00e9t\u00e9"]
+    assert _units(pa.array(table.keys(texts[0]))).to_pylist() == ["\u2581one", "\u2581two,", "\u2581three.", "\n", "\n", "four", "\u2581\u00e9t\u00e9", "\u2581five", "\n"]
+    (batch,) = _count_units(table)(iter([pa.record_batch({"text": texts})]))
+    assert dict(zip(batch.column("unit").to_pylist(), batch.column("n").to_pylist(), strict=True))["\u2581\u00e9t\u00e9"] == 2
