@@ -182,7 +182,7 @@ class PieceTable:
 
 def _count_units(table: PieceTable):
     def counts(held: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(held).group_by("key").aggregate([("n", "sum")]).rename_columns(["key", "n"])
+        return pa.concat_tables(held).group_by("key", use_threads=False).aggregate([("n", "sum")]).rename_columns(["key", "n"])
 
     def flushed(counted: pa.Table) -> Iterator[pa.RecordBatch]:
         for batch in counted.to_batches():
@@ -202,6 +202,8 @@ def _count_units(table: PieceTable):
                     yield from flushed(held.pop())
         if held:
             yield from flushed(counts(held))
+        held.clear()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
