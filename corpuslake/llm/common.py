@@ -82,18 +82,20 @@ def partitions(spark: SparkSession) -> int:
 def semi_by_size(big: DataFrame, keys: DataFrame, on: list[str], limit: int = 1_000_000) -> DataFrame:
     """Rows of ``big`` whose key is in ``keys``: the keys are broadcast only when they
     were counted and are at most ``limit``; beyond that both sides are shuffled."""
-    keys = keys.select(*on).distinct()
-    if keys.limit(limit + 1).count() <= limit:
-        keys = F.broadcast(keys)
-    return big.join(keys, on, "left_semi")
+    return big.join(_by_size(keys.select(*on), limit), on, "left_semi")
 
 
 def without(big: DataFrame, keys: DataFrame, on, limit: int = 1_000_000) -> DataFrame:
     """Rows of ``big`` that no key matches; broadcast as in ``semi_by_size``."""
-    keys = keys.distinct()
+    return big.join(_by_size(keys, limit), on, "left_anti")
+
+
+def _by_size(keys: DataFrame, limit: int) -> DataFrame:
+    """``keys`` for a join that asks whether there is one; they are dealt out to be distinct only where they are many rows."""
     if keys.limit(limit + 1).count() <= limit:
-        keys = F.broadcast(keys)
-    return big.join(keys, on, "left_anti")
+        return F.broadcast(keys)
+    keys = keys.distinct()
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
 def one_row_each(docs: DataFrame) -> DataFrame:

@@ -165,9 +165,11 @@ def _rarest(percent: int, shared):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, grams) of the given documents, from their whole texts."""
-    sets = semi_by_size(docs, ids, ["doc_id"]).mapInArrow(_sets(size), "id long, grams array<long>")
-    return written(sets.dropDuplicates(["id"]), "sets")
+    """(id, grams) of the given documents, from their whole texts; ``docs`` has one row each."""
+    ids = written(ids.distinct(), "ids")  # they are counted and joined
+    sets = written(semi_by_size(docs, ids, ["doc_id"]).mapInArrow(_sets(size), "id long, grams array<long>"), "sets")
+    discard(ids)
+    return sets
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, int]:

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpuslake.llm.common import SLICE_BYTES, partitions, row_slices, small_batches, sorted_groups, written
+from corpuslake.llm.common import SLICE_BYTES, discard, partitions, row_slices, small_batches, sorted_groups, written
 
 SPACE = "▁"
 #: The most characters of a unit whose bounds fit a long.
@@ -554,7 +554,9 @@ def encode(docs: DataFrame, table: PieceTable, vocabulary: int = 1_500_000, keep
     small_batches(spark)
     counted = docs.select(text.alias("text")).mapInArrow(_count_units(table), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     often = encode_units(_frequent(written(counted, "units"), vocabulary), table)
-    blobs = often.mapInArrow(_packed_units, "n binary, hash binary, check binary, size binary, ids binary").collect()  # at most `vocabulary` units
+    packed = written(often.mapInArrow(_packed_units, "n binary, hash binary, check binary, size binary, ids binary"), "vocabulary")
+    blobs = list(packed.toLocalIterator())  # at most `vocabulary` units; the driver's JVM holds those of one partition at a time
+    discard(packed)
     shared = spark.sparkContext.broadcast(Vocabulary(blobs, max((i for i, _, _ in table.rows), default=0)))
     del blobs
 

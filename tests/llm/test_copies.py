@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpuslake.llm import near_dedup
+from corpuslake.llm import common, components, near_dedup
 from corpuslake.llm.components import connected_components
 from corpuslake.llm.exact_dedup import DigestIndex, drop_exact_copies, exact_groups
 from corpuslake.llm.near_dedup import near_duplicates, sketches
@@ -100,6 +100,37 @@ def test_a_long_chain_is_one_component(spark):
     assert {(r["id"], r["component"]) for r in got} == {(i, 0) for i in range(1, 300)} | {(1001, 1000)}
 
 
+def test_stars_are_settled_by_one_aggregation(spark, monkeypatch):
+    """Each job and plan costs the driver memory: no round after the last link, no join where one aggregation tells the end."""
+    names, real = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or real(df, name))
+    star = spark.range(1, 50).select(F.col("id").alias("a"), (F.col("id") % 3 - 3).alias("b"))
+    got = connected_components(star).collect()
+    assert {(r["id"], r["component"]) for r in got} == {(i, i % 3 - 3) for i in range(1, 50)} and names == ["edges", "near"]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_components_of_random_graphs(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "_BROADCAST", most)
+    draw = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in draw.integers(0, 150, (110, 2))]
+    root = list(range(150))
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r["id"], r["component"]) for r in got) == [(i, x) for i, x in enumerate(root) if i != x]
+
+
+def test_few_keys_are_not_dealt_out(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "keys"))
+    keys, rows = spark.read.parquet(str(tmp_path / "keys")), spark.range(20)
+    for got in (common.semi_by_size(rows, keys, ["id"]), common.without(rows, keys.toDF("gone"), F.col("id") == F.col("gone"))):
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    repeated = keys.union(keys).union(keys)
+    assert common.semi_by_size(rows, repeated, ["id"], limit=6).count() == 5 and common.semi_by_size(rows, repeated, ["id"], limit=3).count() == 5
+
+
 def test_sketches_fill_and_estimate_similarity():
     draw = np.random.default_rng(3)
     grams = draw.integers(0, 1 << 63, 1500).astype(np.uint64)

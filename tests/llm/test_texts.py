@@ -262,6 +262,16 @@ def test_encoding_of_repeated_rows_clashing_names_and_long_texts(spark, table, m
     assert encode(docs.limit(0), table, vocabulary=vocabulary).count() == 0
 
 
+def test_the_vocabulary_comes_to_the_driver_a_partition_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two"), (2, "two three")], SCHEMA).repartition(3)
+    table, model = PieceTable.read(default_model()), sentencepiece.SentencePieceProcessor(model_file=default_model())
+    with monkeypatch.context() as held:
+        for name in ("collect", "toArrow", "toPandas"):
+            held.setattr(type(docs), name, lambda *_: pytest.fail("fetched at once"))
+        rows = encode(docs, table)
+    assert {r["doc_id"]: list(r["ids"]) for r in rows.collect()} == {1: model.encode("one two"), 2: model.encode("two three")}
+
+
 def unigram():
     pieces = {"▁": -3.0, "a": -2.0, "b": -2.5, "c": -2.2, "ab": -2.1, "bc": -2.6, "abc": -5.9, "▁a": -2.4, "▁ab": -3.9, "ca": -2.0, "cab": -4.5}
     return PieceTable([(i + 1, p, s) for i, (p, s) in enumerate(pieces.items())], {}, kind="unigram")
